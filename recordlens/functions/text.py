@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 # The characters of the Unicode White_Space property.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 WS = "[" + WHITESPACE + "]"
 NOT_LETTER_OR_DIGIT = r"[^\p{L}\p{Nd}]"
@@ -24,7 +24,7 @@ MIN_TERM_LENGTH = 3
 MAX_TERMS = 24
 SNIPPET_LENGTH = 240
 COMPONENT_PREFIX_LENGTH = 12
-ELLIPSIS = "…"
+ELLIPSIS = "\u2026"
 
 
 def trim_ws(col: Column) -> Column:
@@ -85,7 +85,7 @@ def snippet(col: Column, n: int = SNIPPET_LENGTH) -> Column:
 
 def single_line(col: Column) -> Column:
     """Trimmed text with each line ending replaced by a blank."""
-    return F.regexp_replace(trim_ws(col), "\r\n|[\n\r\x0c\x85  ]", " ")
+    return F.regexp_replace(trim_ws(col), "\\r\\n|[\\n\\r\\f\\x85\\u2028\\u2029]", " ")
 
 
 def component_prefix(col: Column, n: int = COMPONENT_PREFIX_LENGTH) -> Column:
