@@ -73,22 +73,70 @@ def within_fit(records: DataFrame, vehicles: DataFrame) -> DataFrame:
     )
 
 
+SIGNATURE = ["vehicle_id", "scope", "component", "filed_from", "filed_to"]
+
+
+def _signatures(queries: DataFrame) -> DataFrame:
+    """The distinct filter settings among the queries, trims left out."""
+    return queries.select(*SIGNATURE, *[f"own_{k}" for k in FIT_KEYS]).distinct()
+
+
+def _per_query(queries: DataFrame, per_signature: DataFrame, how: str) -> DataFrame:
+    same = F.lit(True)
+    for name in SIGNATURE:
+        same = same & F.col(f"q.{name}").eqNullSafe(F.col(f"s.{name}"))
+    return queries.alias("q").join(per_signature.alias("s"), same, how)
+
+
 def count_other_trims(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Per query, the chunks that pass its other filters but not its vehicle's fit.
 
-    Chunks are first counted per distinct combination of the columns a filter can
-    look at, so the join sees the combinations of a vehicle and not its chunks.
+    Both sides are first reduced to what a filter can look at: chunks to counted
+    combinations of record columns, queries to distinct filter settings.
     """
     combos = chunks.groupBy(*RECORD_COLUMNS).agg(F.count(F.lit(1)).alias("chunks"))
     own = fits({k: F.col(f"r.{k}") for k in FIT_KEYS}, {k: F.col(f"q.own_{k}") for k in FIT_KEYS})
     other = (
         combos.alias("r")
         .join(
-            queries.alias("q"),
+            _signatures(queries).alias("q"),
             (F.col("r.vehicle_id") == F.col("q.vehicle_id")) & passes("r", "q", trims=False) & ~own,
         )
-        .groupBy("q.query_id").agg(F.sum("r.chunks").alias("other_trims"))
+        .groupBy(*[F.col(f"q.{c}") for c in SIGNATURE]).agg(F.sum("r.chunks").alias("other_trims"))
+    )
+    return _per_query(queries, other, "left").select(
+        "q.query_id", F.coalesce("s.other_trims", F.lit(0)).cast("long").alias("other_trims")
     )
-    return queries.select("query_id").join(other, "query_id", "left").select(
-        "query_id", F.coalesce("other_trims", F.lit(0)).cast("long").alias("other_trims")
+
+
+def dense_ready(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split queries by whether any embedded chunk passes their filters.
+
+    Queries without one are not answered with an empty result; they carry the
+    reason they were skipped.
+    """
+    combos = corpus.where(F.col("embedding").isNotNull()).select(*RECORD_COLUMNS).distinct()
+    keep = ["query_id", "vehicle_id", "trims", "scope", "component", "filed_from", "filed_to",
+            *[f"own_{k}" for k in FIT_KEYS]]
+    settings = queries.select(*keep[1:]).distinct()
+    found = (
+        settings.alias("q")
+        .join(
+            combos.alias("r"),
+            (F.col("r.vehicle_id") == F.col("q.vehicle_id")) & passes("r", "q"),
+            "left_semi",
+        )
     )
+    same = F.lit(True)
+    for name in keep[1:]:
+        same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+    ready = queries.alias("a").join(found.alias("b"), same, "left_semi")
+    waiting = queries.alias("a").join(found.alias("b"), same, "left_anti")
+    return ready, waiting.withColumn("problem", F.lit(NOT_EMBEDDED))
+
+
+# Fixed value: the reason given when nothing in reach has a vector.
+NOT_EMBEDDED = (
+    "No chunk for this vehicle has an embedding yet. Run the embed command, "
+    "or search with mode=sparse."
+)
