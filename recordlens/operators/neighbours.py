@@ -17,7 +17,8 @@ from .filters import FIT_KEYS
 from .ranking import CANDIDATE_WINDOW, top_k
 from .sizing import SALTS, replicated, salted
 
-BLOCK_BYTES = 1 << 20
+RECORD_BLOCK_BYTES = 1 << 20
+QUERY_BLOCK_BYTES = 1 << 18
 HELD_ENTRIES = 4_000_000
 NO_DATE = -(2**31)
 LAST_DATE = 2**31 - 1
@@ -47,7 +48,7 @@ def _fit_values(prefix: str = "") -> dict[str, Column]:
     }
 
 
-def _packed(df: DataFrame, attributes: dict[str, str], key: str) -> DataFrame:
+def _packed(df: DataFrame, attributes: dict[str, str], key: str, block_bytes: int) -> DataFrame:
     """Rows ``vehicle_id, <key> array, vectors, <attribute arrays>``, one per block."""
     names = list(attributes)
     schema = f"vehicle_id long, {key} array<long>, vectors binary, " + ", ".join(
@@ -59,7 +60,7 @@ def _packed(df: DataFrame, attributes: dict[str, str], key: str) -> DataFrame:
             for vehicle, rows in batch.groupby("vehicle_id", sort=False):
                 rows = rows.sort_values(key)
                 vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-                step = max(1, BLOCK_BYTES // (4 * vectors.shape[1]))
+                step = max(1, block_bytes // (4 * vectors.shape[1]))
                 for at in range(0, len(rows), step):
                     part = rows.iloc[at:at + step]
                     yield pd.DataFrame({
@@ -81,7 +82,7 @@ def pack_records(chunks: DataFrame) -> DataFrame:
         F.coalesce(_days("filed_on"), F.lit(NO_DATE)).alias("filed"),
         *[c.alias(n) for n, c in _fit_values().items()],
     )
-    return _packed(rows, _RECORD_ATTRIBUTES, "chunk_id")
+    return _packed(rows, _RECORD_ATTRIBUTES, "chunk_id", RECORD_BLOCK_BYTES)
 
 
 def pack_queries(queries: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def pack_queries(queries: DataFrame) -> DataFrame:
         (F.col("trims") == "thisTrim").alias("this_trim"),
         *[c.alias(n) for n, c in _fit_values("own_").items()],
     )
-    return _packed(rows, _QUERY_ATTRIBUTES, "query_id")
+    return _packed(rows, _QUERY_ATTRIBUTES, "query_id", QUERY_BLOCK_BYTES)
 
 
 def _unit_rows(block: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
