@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # The Snowball English stop words.
@@ -131,6 +132,6 @@ def stem_word(word: str) -> str:
     return word.replace("Y", "y")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(stem_word)
