@@ -21,6 +21,11 @@ NO_EVIDENCE = (
 )
 
 
+def as_text(name: str) -> Column:
+    """A record id as the text a citation names it by."""
+    return F.col(name).cast("string").alias(name)
+
+
 def _match(body: Column, quote: Column) -> Column:
     """Start and end of the first verbatim match in code points, or null."""
     pattern = quote_pattern(quote)
@@ -52,7 +57,9 @@ def locate_quotes(cited: DataFrame) -> DataFrame:
 
 def attach_shown(citations: DataFrame, shown: DataFrame) -> DataFrame:
     """Citations with ``is_shown``: whether their answer was given that record."""
-    known = shown.select("answer_id", "document_id").distinct().withColumn("is_shown", F.lit(True))
+    known = shown.select("answer_id", as_text("document_id")).distinct().withColumn(
+        "is_shown", F.lit(True)
+    )
     return citations.join(known, ["answer_id", "document_id"], "left").withColumn(
         "is_shown", F.coalesce("is_shown", F.lit(False))
     )
@@ -66,7 +73,7 @@ def check_citations(citations: DataFrame, shown: DataFrame, bodies: DataFrame) -
     """
     tagged = attach_shown(citations, shown)
     pairs = tagged.where("is_shown").select("document_id", "quote").distinct()
-    located = locate_quotes(pairs.join(bodies.select("document_id", "body"), "document_id")).select(
+    located = locate_quotes(pairs.join(bodies.select(as_text("document_id"), "body"), "document_id")).select(
         "document_id", "quote", "start_offset", "end_offset", "reason"
     )
     return (
@@ -129,7 +136,7 @@ def ground_answers(answers: DataFrame, accounting: DataFrame) -> DataFrame:
 def cited_records(checked: DataFrame, documents: DataFrame) -> DataFrame:
     """Official records an answer's verified citations name, once each, in citation order."""
     official = documents.where(F.col("kind").isin(CAMPAIGN_KINDS)).select(
-        "document_id", "kind", "external_id"
+        as_text("document_id"), "kind", "external_id"
     )
     return (
         checked.where("verified").join(official, "document_id")
@@ -148,7 +155,7 @@ def citation_context(verified: DataFrame, bodies: DataFrame) -> DataFrame:
     """``before, highlighted, after`` around each citation; a bad range highlights nothing."""
     start, end, body = F.col("start_offset"), F.col("end_offset"), F.col("body")
     valid = F.coalesce((start >= 0) & (end <= F.length(body)) & (start < end), F.lit(False))
-    return verified.join(bodies.select("document_id", "body"), "document_id").select(
+    return verified.join(bodies.select(as_text("document_id"), "body"), "document_id").select(
         "answer_id", "pos", "document_id",
         F.when(valid, F.substring(body, F.lit(1), start)).otherwise(body).alias("before"),
         F.when(valid, F.substring(body, start + 1, end - start)).otherwise(F.lit("")).alias("highlighted"),
