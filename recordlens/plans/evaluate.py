@@ -12,6 +12,7 @@ from ..operators.postings import tokens_of
 from ..operators.ranking import evaluation_ranking, fused_order, merge_rankings, rrf_score
 from ..operators.sizing import is_small
 from ..operators.validation import validate_queries
+from ..session import cut_lineage
 from .search import sparse_ranking
 
 RANKING_DEPTH = 10
@@ -103,9 +104,8 @@ def evaluate(
 ) -> DataFrame:
     """Six rows: each pool and mode with its averages, or why it was skipped."""
     cases, relevant = build_ground_truth(links, documents, vehicle_id)
-    if cases.sparkSession.sparkContext.getCheckpointDir():
-        # Used by the rankings, the counts and the averages: written once.
-        cases = cases.checkpoint()
+    # Used by the rankings, the counts and the averages: written once.
+    cases = cut_lineage(cases)
     ranked, skips = case_rankings(cases, vehicles, corpus, query_vectors, tokens, analyzer, small)
     return summarise(ranked, cases, relevant, skips)
 
