@@ -89,7 +89,8 @@ def load_records(
     matched = match_family(rows, known)
 
     planned = cut_lineage(plan_records(complaints, recalls, matched))
-    stored = read_table(spark, root, "documents", DOCUMENTS)
+    # A load that is run again must not see itself.
+    stored = read_table(spark, root, "documents", DOCUMENTS, without=load_id)
     new, _ = append_new(stored, planned)
     new = cut_lineage(new)
     lines = investigation_lines(matched).join(

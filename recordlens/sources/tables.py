@@ -123,8 +123,10 @@ def write_load(tables: dict[str, DataFrame], root: str, load_id: str) -> None:
     commit.coalesce(1).write.mode("overwrite").json(f"{root}/_commits/load_id={load_id}")
 
 
-def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """The rows of the committed loads of a table."""
+def read_table(
+    spark: SparkSession, root: str, name: str, schema: str, without: str | None = None
+) -> DataFrame:
+    """The rows of the committed loads of a table, one load left out when named."""
     partitioned = schema + ", load_id string"
     rows = read_or_empty(spark, f"{root}/{name}", partitioned)
     try:
@@ -133,6 +135,8 @@ def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFr
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return rows.limit(0).drop("load_id")
+    if without is not None:
+        rows = rows.where(F.col("load_id") != without)
     return rows.join(commits.select("load_id").distinct(), "load_id", "left_semi").drop("load_id")
 
 
