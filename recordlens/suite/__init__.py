@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import records, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, records]
 
 
 def all_queries() -> dict:

@@ -35,6 +35,13 @@ def _open_corpus(spark: SparkSession, d: str) -> DataFrame:
     return _one_vehicle(t.corpus(spark, d, embedded=False))
 
 
+def _only_vehicle(spark: SparkSession, d: str) -> DataFrame:
+    """The vehicle of ``_one_vehicle``, of no known version."""
+    unknown = {k: F.lit(None).cast(c) for k, c in
+               (("trim_key", "string"), ("engine_litres", "decimal(4,1)"), ("engine_cylinders", "int"))}
+    return _one_vehicle(t.vehicles(spark, d)).withColumns(unknown).select("vehicle_id", *unknown).distinct()
+
+
 def _own(q: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     return filters.own_fit(t.normal_queries(q), t.vehicles(spark, d))
 
@@ -59,7 +66,7 @@ _OPEN = [DOCS, t.terms_sql("benchmark", "item_id"), t.tokens_sql(),
 
 def _open_matches(spark, d):
     q = _one_vehicle(t.queries(spark, d, mode="sparse", embedded=False))
-    own = filters.own_fit(q, _one_vehicle(t.vehicles(spark, d)).limit(1))
+    own = filters.own_fit(q, _only_vehicle(spark, d))
     return postings.match_terms(
         postings.query_terms(own), postings.tokens_of(_open_corpus(spark, d)), is_small(q)
     )
@@ -114,7 +121,7 @@ def dense_topk(spark, d):
         F.lit(None).cast("int").alias("engine_cylinders"),
     )
     q = _one_vehicle(t.queries(spark, d, mode="dense"))
-    own = filters.own_fit(q, _one_vehicle(t.vehicles(spark, d)).limit(1))
+    own = filters.own_fit(q, _only_vehicle(spark, d))
     return knn(own, vectors, is_small(q)).withColumn("distance", F.round("distance", 9))
 
 
