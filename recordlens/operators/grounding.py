@@ -21,6 +21,9 @@ NO_EVIDENCE = (
 )
 
 
+PERCENT_DECIMALS = 1
+
+
 def as_text(name: str) -> Column:
     """A record id as the text a citation names it by."""
     return F.col(name).cast("string").alias(name)
@@ -86,7 +89,8 @@ def check_citations(citations: DataFrame, shown: DataFrame, bodies: DataFrame) -
         )
         .select(
             "answer_id", "pos", "document_id", "quote", F.col("reason").isNull().alias("verified"),
-            "reason", "start_offset", "end_offset",
+            "reason",
+            *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("start_offset", "end_offset")],
         )
     )
 
@@ -105,7 +109,7 @@ def faithfulness(checked: DataFrame) -> DataFrame:
     counts = checked.agg(
         F.count_if("verified").alias("verified"), F.count(F.lit(1)).alias("emitted")
     )
-    percent = F.format_number(F.col("verified") * 100 / F.col("emitted"), "0")
+    percent = F.format_number(F.col("verified") * 100 / F.col("emitted"), PERCENT_DECIMALS)
     return counts.select(
         "verified", "emitted",
         F.when(F.col("emitted") > 0, F.col("verified") / F.col("emitted")).alias("faithfulness"),

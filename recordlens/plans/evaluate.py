@@ -12,7 +12,7 @@ from ..operators.postings import tokens_of
 from ..operators.ranking import evaluation_ranking, fused_order, merge_rankings, rrf_score
 from ..operators.sizing import is_small
 from ..operators.validation import validate_queries
-from ..session import cut_lineage
+from ..session import cut_lineage, steady_unions
 from .search import sparse_ranking
 
 RANKING_DEPTH = 10
@@ -68,6 +68,7 @@ def case_rankings(
     ``query_vectors`` is ``document_id, embedding`` of the complaints asked; None
     means there is no provider, which skips the modes that need one.
     """
+    steady_unions(cases.sparkSession)
     small = is_small(cases, 10_000) if small is None else small
     queries = case_queries(cases, vehicles)
     tokens = tokens_of(corpus, analyzer) if tokens is None else tokens

@@ -10,7 +10,7 @@ from ..operators.planning import (
     investigation_lines, match_family, plan_complaints, plan_investigations, plan_recalls,
 )
 from ..schemas import CHUNKS, DOCUMENTS, LINKS
-from ..session import cut_lineage
+from ..session import cut_lineage, steady_unions
 from ..sources.tables import (
     append_new, explode_links, explode_passages, load_report, read_table, write_load,
 )
@@ -80,6 +80,7 @@ def load_records(
     for; ``rows`` are flat-file rows of every vehicle.  All of it is planned
     before anything is written, and the write becomes visible as a whole.
     """
+    steady_unions(spark)
     if outcomes is not None:
         require_loaded(outcomes)
     known = known_vehicles(vehicles, model_names)

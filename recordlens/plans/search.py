@@ -13,6 +13,7 @@ from ..operators.ranking import (
 )
 from ..operators.sizing import is_small
 from ..operators.validation import validate_queries
+from ..session import steady_unions
 
 DENSE_MODES = ["dense", "hybrid"]
 SPARSE_MODES = ["sparse", "hybrid"]
@@ -57,6 +58,7 @@ def fused_ranking(
 
     A query of one method has one list, so the same sum is its own score.
     """
+    steady_unions(corpus.sparkSession)
     tokens = tokens_of(corpus, analyzer) if tokens is None else tokens
     sparse = sparse_ranking(queries.where(F.col("mode").isin(SPARSE_MODES)), tokens, small, k, analyzer)
     dense = knn(queries.where(F.col("mode").isin(DENSE_MODES)), corpus, small, k)

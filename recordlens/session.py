@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,6 +13,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
+def steady_unions(spark: SparkSession) -> None:
+    """Let a union hide the partitioning of its inputs.
+
+    Spark 4.1 plans on it, but adaptive execution may change one input's
+    partition count afterwards, and the job then fails to zip them.  Every union
+    here joins short lists, so the shuffle this saves is not worth the risk.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a reused result to the shared checkpoint folder; without one it stays lazy."""
     spark = df.sparkSession
@@ -19,3 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for written intermediate tables, inside the shared checkpoint folder.
+
+    Only a local session, which has one machine, may fall back on its own disk.
+    """
+    shared = checkpoint_dir(spark)
+    if shared:
+        return f"{shared.rstrip('/')}/recordlens-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="recordlens-")
+    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

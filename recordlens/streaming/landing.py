@@ -16,7 +16,7 @@ from ..sources.tables import not_stored, read_or_empty
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the Parquet files that land in a folder."""
+    """A stream of the Parquet files that land in a folder, or that match a pattern."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

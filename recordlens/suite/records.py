@@ -406,15 +406,16 @@ def link_recalls(spark, d):
 
 
 @query("ordered_links", with_sql(DOCS, _LINKS, select="""
-SELECT row_number() OVER (ORDER BY external_id, component, campaign_number, vehicle_id, link) AS place,
-  external_id, component, campaign_number FROM links"""))
+SELECT row_number() OVER (PARTITION BY vehicle_id ORDER BY external_id, component, campaign_number, link) AS place,
+  vehicle_id, external_id, component, campaign_number FROM links"""))
 def ordered_links(spark, d):
     from pyspark.sql import Window
 
-    pos = ground_truth.ordered_links(t.links(spark, d), t.documents(spark, d)).withColumn("one", F.lit(1))
-    return pos.withColumn("place", F.row_number().over(Window.partitionBy("one").orderBy("pos"))).select(
-        F.col("place").cast("long").alias("place"), F.col("investigation_external_id").alias("external_id"),
-        "component", "campaign_number",
+    ordered = ground_truth.ordered_links(t.links(spark, d), t.documents(spark, d))
+    place = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("pos"))
+    return ordered.select(
+        place.cast("long").alias("place"), "vehicle_id",
+        F.col("investigation_external_id").alias("external_id"), "component", "campaign_number",
     )
 
 
