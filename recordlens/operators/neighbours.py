@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .filters import FIT_KEYS
 from .ranking import CANDIDATE_WINDOW, top_k
-from .sizing import SALTS, replicated, salted
+from .sizing import replicated, salted
 
 RECORD_BLOCK_BYTES = 1 << 20
 QUERY_BLOCK_BYTES = 1 << 18
@@ -196,23 +196,23 @@ def _out(found: pd.DataFrame) -> pd.DataFrame:
 
 
 def knn(
-    queries: DataFrame, chunks: DataFrame, small: bool, k: int = CANDIDATE_WINDOW, salts: int = SALTS
+    queries: DataFrame, chunks: DataFrame, hot: DataFrame | None, k: int = CANDIDATE_WINDOW
 ) -> DataFrame:
     """``query_id, chunk_id, distance, dense_rank`` of each query's nearest ``k`` chunks.
 
-    With few queries their blocks are broadcast and chunk vectors never move.
-    With many, chunk blocks are spread over ``salts`` partitions per vehicle and
-    the query blocks follow them, so one large vehicle is not one task.
+    With few queries (``hot`` is None) their blocks are broadcast and chunk
+    vectors never move.  With many, blocks meet by vehicle, and the blocks of the
+    vehicles in ``hot`` are spread over salts that the query blocks follow.
     """
     records, wanted = pack_records(chunks), pack_queries(queries)
     renamed = {"component": "q_component", "trim_key": "q_trim_key", "litres": "q_litres",
                "cylinders": "q_cylinders", "vectors": "q_vectors"}
     wanted = wanted.withColumnsRenamed(renamed)
-    if small:
+    if hot is None:
         pairs = records.join(F.broadcast(wanted), "vehicle_id")
     else:
-        pairs = salted(records, F.element_at("chunk_id", 1), salts).join(
-            replicated(wanted, salts), ["vehicle_id", "salt"]
+        pairs = salted(records, F.element_at("chunk_id", 1), hot).join(
+            replicated(wanted, hot), ["vehicle_id", "salt"]
         )
     local = pairs.mapInPandas(_score(k), "query_id long, chunk_id long, distance double")
     return top_k(local, "query_id", [F.asc("distance"), F.asc("chunk_id")], k, "dense_rank")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.english import STOP_WORDS, stem
 from ..functions.text import lexemes, query_term_array
 from .filters import RECORD_COLUMNS, passes
-from .sizing import SALTS, replicated, salted
+from .sizing import replicated, salted
 
 
 def _english(tokens: DataFrame) -> DataFrame:
@@ -80,20 +80,19 @@ def save_postings(corpus: DataFrame, table: str, buckets: int, analyzer: str = "
     )
 
 
-def match_terms(
-    terms: DataFrame, postings: DataFrame, small: bool, salts: int = SALTS
-) -> DataFrame:
+def match_terms(terms: DataFrame, postings: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Query terms × postings of the same vehicle and lexeme that pass the query's filters.
 
-    With few queries the terms are broadcast and the postings stay where they
-    are.  With many, both sides are shuffled by (vehicle, lexeme) and a salt, so
-    a frequent word or a large vehicle is spread over ``salts`` partitions.
+    With few queries (``hot`` is None) the terms are broadcast and the postings
+    stay where they are.  With many, both sides are shuffled by vehicle and
+    lexeme, and the vehicles in ``hot`` also by a salt, so that a frequent word
+    of a large vehicle is many tasks.
     """
     same = (F.col("p.vehicle_id") == F.col("t.vehicle_id")) & (F.col("p.lexeme") == F.col("t.lexeme"))
-    if small:
+    if hot is None:
         left, right = postings, F.broadcast(terms)
     else:
-        left, right = salted(postings, F.col("chunk_id"), salts), replicated(terms, salts)
+        left, right = salted(postings, F.col("chunk_id"), hot), replicated(terms, hot)
         same = same & (F.col("p.salt") == F.col("t.salt"))
     return left.alias("p").join(right.alias("t"), same & passes("p", "t")).select(
         "t.query_id", "p.chunk_id", "p.lexeme", "p.tf"

@@ -1,4 +1,4 @@
-"""Choosing between a broadcast and a salted shuffle by a checked size."""
+"""Choosing between a broadcast and a shuffle by a checked size, and splitting hot keys."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A query is at most 500 characters, 24 terms and one vector, so this many
 # queries stay near 100 MB in every form in which they are broadcast.
 MAX_BROADCAST_QUERIES = 20_000
-SALTS = 16
+# Chunks of one vehicle that may meet in one task.
+CHUNKS_PER_SALT = 1_000_000
 
 
 def is_small(df: DataFrame, rows: int = MAX_BROADCAST_QUERIES) -> bool:
@@ -15,11 +16,37 @@ def is_small(df: DataFrame, rows: int = MAX_BROADCAST_QUERIES) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
-def salted(df: DataFrame, key: Column, salts: int) -> DataFrame:
-    """Spread the rows of each join key over ``salts`` partitions."""
-    return df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on a scan with fewer splits than cores; larger scans stay as they are.
 
+    Meant for a plain file scan, whose splits are known without running a job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
-def replicated(df: DataFrame, salts: int) -> DataFrame:
-    """The small side of a salted join: every row once per salt."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+def hot_vehicles(corpus: DataFrame, chunks_per_salt: int = CHUNKS_PER_SALT) -> DataFrame:
+    """``vehicle_id, salts`` of the vehicles too large for one task.
+
+    There are at most (all chunks / ``chunks_per_salt``) of them, which bounds
+    what is broadcast: a hundred thousand rows for a hundred billion chunks.
+    """
+    return (
+        corpus.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("chunks"))
+        .where(F.col("chunks") > chunks_per_salt)
+        .select("vehicle_id", F.ceil(F.col("chunks") / chunks_per_salt).cast("int").alias("salts"))
+    )
+
+
+def salted(df: DataFrame, key: Column, hot: DataFrame) -> DataFrame:
+    """The large side of a join: rows of a hot vehicle are spread over its salts."""
+    return df.join(F.broadcast(hot), "vehicle_id", "left").withColumn(
+        "salt", F.pmod(F.xxhash64(key), F.coalesce("salts", F.lit(1))).cast("int")
+    ).drop("salts")
+
+
+def replicated(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """The small side: rows of a hot vehicle are repeated for each of its salts, others stay single."""
+    return df.join(F.broadcast(hot), "vehicle_id", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    ).drop("salts")

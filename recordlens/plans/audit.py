@@ -10,6 +10,7 @@ from ..operators.grounding import check_citations, citation_accounting, ground_a
 from ..operators.hits import describe_hits
 from ..operators.sizing import is_small
 from ..operators.validation import validate_queries
+from ..session import cut_lineage
 from .search import DENSE_MODES, ranked_hits
 
 # Records shown from each pool, and the reason given when there are none.
@@ -52,7 +53,8 @@ def evidence_pools(
         valid, _ = validate_queries(pool_queries(questions, scope, limit))
         known, _ = reject_unknown_scope(valid, vehicles)
         queries = with_fallback(own_fit(known, vehicles), corpus)
-        return describe_hits(ranked_hits(queries, corpus, small, tokens), corpus, small)
+        # At most ``limit`` rows per question, read several times from here on.
+        return cut_lineage(describe_hits(ranked_hits(queries, corpus, small, tokens), corpus, small))
 
     return hits("all", wide), hits("campaigns", campaigns)
 

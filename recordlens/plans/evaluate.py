@@ -13,7 +13,7 @@ from ..operators.ranking import evaluation_ranking, fused_order, merge_rankings,
 from ..operators.sizing import is_small
 from ..operators.validation import validate_queries
 from ..session import cut_lineage, steady_unions
-from .search import sparse_ranking
+from .search import hot_or_none, sparse_ranking
 
 RANKING_DEPTH = 10
 NO_PROVIDER = (
@@ -72,7 +72,8 @@ def case_rankings(
     small = is_small(cases, 10_000) if small is None else small
     queries = case_queries(cases, vehicles)
     tokens = tokens_of(corpus, analyzer) if tokens is None else tokens
-    sparse = sparse_ranking(queries, tokens, small, analyzer=analyzer)
+    hot = hot_or_none(corpus, small)
+    sparse = sparse_ranking(queries, tokens, hot, analyzer=analyzer)
     pools = F.explode(F.array(F.lit("dense"), F.lit("hybrid"))).alias("mode")
     if query_vectors is None:
         merged = sparse.withColumn("dense_rank", F.lit(None).cast("int"))
@@ -84,7 +85,7 @@ def case_rankings(
         skips = waiting.groupBy("scope").agg(F.first("problem").alias("skipped_reason")).select(
             "scope", pools, "skipped_reason"
         )
-        dense = knn(queries.join(query_vectors, "document_id"), corpus, small)
+        dense = knn(queries.join(query_vectors, "document_id"), corpus, hot)
         merged = merge_rankings((dense, "dense_rank"), (sparse, "sparse_rank"))
     positions = mode_rankings(merged)
     named = corpus.select("chunk_id", "document_id").join(

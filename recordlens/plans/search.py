@@ -11,7 +11,7 @@ from ..operators.postings import match_terms, query_terms, sparse_scores, tokens
 from ..operators.ranking import (
     CANDIDATE_WINDOW, fused_order, limit_per_query, rank_sparse, rrf,
 )
-from ..operators.sizing import is_small
+from ..operators.sizing import CHUNKS_PER_SALT, hot_vehicles, is_small
 from ..operators.validation import validate_queries
 from ..session import steady_unions
 
@@ -41,18 +41,23 @@ def accept(
     return fitted.where(~needs).unionByName(ready), rejected
 
 
+def hot_or_none(corpus: DataFrame, small: bool, chunks_per_salt: int = CHUNKS_PER_SALT) -> DataFrame | None:
+    """None for few queries, which are broadcast; else the vehicles to be salted."""
+    return None if small else hot_vehicles(corpus, chunks_per_salt)
+
+
 def sparse_ranking(
-    queries: DataFrame, tokens: DataFrame, small: bool, k: int = CANDIDATE_WINDOW,
+    queries: DataFrame, tokens: DataFrame, hot: DataFrame | None, k: int = CANDIDATE_WINDOW,
     analyzer: str = "simple", score: str = "occurrences",
 ) -> DataFrame:
     """Top ``k`` chunks of each query by keyword score."""
     terms = query_terms(queries.drop("embedding"), analyzer=analyzer)
-    return rank_sparse(sparse_scores(match_terms(terms, tokens, small), score), k)
+    return rank_sparse(sparse_scores(match_terms(terms, tokens, hot), score), k)
 
 
 def fused_ranking(
     queries: DataFrame, corpus: DataFrame, small: bool, tokens: DataFrame | None = None,
-    analyzer: str = "simple", k: int = CANDIDATE_WINDOW,
+    analyzer: str = "simple", k: int = CANDIDATE_WINDOW, chunks_per_salt: int = CHUNKS_PER_SALT,
 ) -> DataFrame:
     """Each query's candidates with their ranks, ``fused_score`` and ``position``.
 
@@ -60,8 +65,9 @@ def fused_ranking(
     """
     steady_unions(corpus.sparkSession)
     tokens = tokens_of(corpus, analyzer) if tokens is None else tokens
-    sparse = sparse_ranking(queries.where(F.col("mode").isin(SPARSE_MODES)), tokens, small, k, analyzer)
-    dense = knn(queries.where(F.col("mode").isin(DENSE_MODES)), corpus, small, k)
+    hot = hot_or_none(corpus, small, chunks_per_salt)
+    sparse = sparse_ranking(queries.where(F.col("mode").isin(SPARSE_MODES)), tokens, hot, k, analyzer)
+    dense = knn(queries.where(F.col("mode").isin(DENSE_MODES)), corpus, hot, k)
     return fused_order(rrf((dense, "dense_rank"), (sparse, "sparse_rank")))
 
 

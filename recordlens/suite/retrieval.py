@@ -8,7 +8,7 @@ from ..functions.text import snippet
 from ..operators import filters, postings, ranking
 from ..operators.hits import campaign_matches
 from ..operators.neighbours import knn
-from ..operators.sizing import is_small
+from ..operators.sizing import hot_vehicles, is_small
 from ..plans import search as plan
 from . import tables as t
 from .tables import DENSE, DOCS, FUSED, PAIRS, SPARSE, VEHICLES, with_sql
@@ -68,7 +68,8 @@ def _open_matches(spark, d):
     q = _one_vehicle(t.queries(spark, d, mode="sparse", embedded=False))
     own = filters.own_fit(q, _only_vehicle(spark, d))
     return postings.match_terms(
-        postings.query_terms(own), postings.tokens_of(_open_corpus(spark, d)), is_small(q)
+        postings.query_terms(own), postings.tokens_of(_open_corpus(spark, d)),
+        plan.hot_or_none(_open_corpus(spark, d), is_small(q)),
     )
 
 
@@ -93,7 +94,8 @@ _SCOPED = [DOCS, VEHICLES, t.terms_sql(), t.tokens_sql(), PAIRS, SPARSE]
 SELECT query_id, chunk_id, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse"""))
 def sparse_topk_pool(spark, d):
     q = _own(t.queries(spark, d, mode="sparse", scope="campaigns", embedded=False), spark, d)
-    return plan.sparse_ranking(q, postings.tokens_of(t.corpus(spark, d, embedded=False)), is_small(q))
+    c = t.corpus(spark, d, embedded=False)
+    return plan.sparse_ranking(q, postings.tokens_of(c), plan.hot_or_none(c, is_small(q)))
 
 
 @query("sparse_score_single", with_sql(t.queries_sql(), *_SCOPED, select="""
@@ -101,7 +103,8 @@ SELECT query_id, chunk_id, CAST(NULL AS INTEGER) AS dense_rank, CAST(sparse_rank
   round(1.0::DOUBLE / (60 + sparse_rank), 9) AS fused_score FROM sparse"""))
 def sparse_score_single(spark, d):
     q = _own(t.queries(spark, d, mode="sparse", embedded=False), spark, d)
-    ranked = plan.sparse_ranking(q, postings.tokens_of(t.corpus(spark, d, embedded=False)), is_small(q))
+    c = t.corpus(spark, d, embedded=False)
+    ranked = plan.sparse_ranking(q, postings.tokens_of(c), plan.hot_or_none(c, is_small(q)))
     return ranking.explain_single(ranked, "sparse").withColumn("fused_score", F.round("fused_score", 9))
 
 
@@ -122,7 +125,7 @@ def dense_topk(spark, d):
     )
     q = _one_vehicle(t.queries(spark, d, mode="dense"))
     own = filters.own_fit(q, _only_vehicle(spark, d))
-    return knn(own, vectors, is_small(q)).withColumn("distance", F.round("distance", 9))
+    return knn(own, vectors, plan.hot_or_none(vectors, is_small(q))).withColumn("distance", F.round("distance", 9))
 
 
 @query("dense_topk_by_label", """
@@ -147,7 +150,7 @@ def dense_topk_by_label(spark, d):
         F.col("engine_litres").alias("own_engine_litres"),
         F.col("engine_cylinders").alias("own_engine_cylinders"),
     )
-    return knn(asked, vectors, small=False, salts=4).select("query_id", "chunk_id", "dense_rank")
+    return knn(asked, vectors, hot_vehicles(vectors, 20)).select("query_id", "chunk_id", "dense_rank")
 
 
 _HYBRID = [*_SCOPED, DENSE, FUSED]

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.identity import trim_key
 from ..functions.text import trim_ws
+from ..operators.sizing import spread
 from ..operators.validation import checked_queries
 
 ANY = "all"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def day(column: Column) -> Column:
