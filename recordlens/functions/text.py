@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The characters of the Unicode White_Space property.
@@ -10,7 +12,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WS = "[" + WHITESPACE + "]"
+# The same characters as ranges, which a regex engine tests faster than a list.
+WS_RANGES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = "[" + WS_RANGES + "]"
 NOT_LETTER_OR_DIGIT = r"[^\p{L}\p{Nd}]"
 
 # Words that never become query terms.
@@ -46,10 +50,14 @@ def non_blank(col: Column) -> Column:
     return F.nullif(trim_ws(col), F.lit(""))
 
 
+def raw_words(col: Column) -> Column:
+    """White-space separated words reduced to letters and digits; the outer ones may be empty."""
+    return F.split(F.regexp_replace(col, r"[^\p{L}\p{Nd}" + WS_RANGES + "]+", ""), WS + "+")
+
+
 def words(col: Column) -> Column:
     """White-space separated words reduced to letters and digits; empty ones dropped."""
-    kept = F.regexp_replace(col, r"[^\p{L}\p{Nd}" + WHITESPACE + "]+", "")
-    return F.filter(F.split(kept, WS + "+"), lambda w: w != "")
+    return F.filter(raw_words(col), lambda w: w != "")
 
 
 def lexemes(col: Column) -> Column:
@@ -57,30 +65,38 @@ def lexemes(col: Column) -> Column:
     return words(F.lower(col))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once for an expression that reads it many times, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def query_term_array(col: Column) -> Column:
     """Distinct usable terms of a question, first spelling kept, at most ``MAX_TERMS``."""
     usable = F.filter(
         words(F.coalesce(col, F.lit(""))),
         lambda w: (F.length(w) >= MIN_TERM_LENGTH) & ~F.lower(w).isin(IGNORED_WORDS),
     )
-    lowered = F.transform(usable, lambda w: F.lower(w))
-    first = F.slice(F.array_distinct(lowered), 1, MAX_TERMS)
-    return F.transform(
-        first, lambda t: F.struct(
-            F.get(usable, F.array_position(lowered, t).cast("int") - 1).alias("term"),
-            t.alias("lexeme"),
-        )
-    )
+    return let(usable, lambda spelled: let(
+        F.transform(spelled, lambda w: F.lower(w)),
+        lambda lowered: F.transform(
+            F.slice(F.array_distinct(lowered), 1, MAX_TERMS),
+            lambda t: F.struct(
+                F.get(spelled, F.array_position(lowered, t).cast("int") - 1).alias("term"),
+                t.alias("lexeme"),
+            ),
+        ),
+    ))
 
 
 def snippet(col: Column, n: int = SNIPPET_LENGTH) -> Column:
     """The collapsed text, cut at the last blank at or before ``n`` with an ellipsis."""
-    text = collapse_ws(col)
-    head = F.substring(text, 1, n + 1)
-    cut = F.when(F.instr(head, " ") > 0, F.regexp_extract(head, "^(.*) ", 1)).otherwise(
-        F.substring(text, 1, n)
-    )
-    return F.when(F.length(text) <= n, text).otherwise(F.concat(cut, F.lit(ELLIPSIS)))
+    head = lambda text: F.substring(text, 1, n + 1)
+    cut = lambda text: F.when(
+        F.instr(head(text), " ") > 0, F.regexp_extract(head(text), "^(.*) ", 1)
+    ).otherwise(F.substring(text, 1, n))
+    return let(collapse_ws(col), lambda text: F.when(F.length(text) <= n, text).otherwise(
+        F.concat(cut(text), F.lit(ELLIPSIS))
+    ))
 
 
 def single_line(col: Column) -> Column:
@@ -103,7 +119,8 @@ def escape_regex(col: Column) -> Column:
 
 def quote_pattern(quote: Column) -> Column:
     """A regex that finds the quote verbatim, any run of white space matching any other."""
-    return F.regexp_replace(escape_regex(collapse_ws(quote)), " ", WS + "+")
+    gap = WS.replace("\\", "\\\\") + "+"
+    return F.regexp_replace(escape_regex(collapse_ws(quote)), " ", gap)
 
 
 def option(col: Column, names: list[str], default: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import fit_is_known, fit_label
 from ..functions.text import snippet
@@ -31,13 +31,19 @@ def attach_records(ranked: DataFrame, corpus: DataFrame, small: bool) -> DataFra
     return fields.join(F.broadcast(ranked) if small else ranked, "chunk_id")
 
 
+def rounded_score() -> Column:
+    """The score scaled, rounded half to even, and scaled back."""
+    scale = 10.0 ** SCORE_DECIMALS
+    return F.rint(F.col("fused_score") * scale) / scale
+
+
 def describe_hits(ranked: DataFrame, corpus: DataFrame, small: bool) -> DataFrame:
     """Hits as a reader sees them: fields, snippet, ranks, rounded score, fit label."""
     fit = [F.col(c) for c in ("trim", "engine_litres", "engine_cylinders")]
     return attach_records(ranked, corpus, small).select(
         "query_id", "position", "document_id", "chunk_id", "kind", "external_id", "title",
         "component", "filed_on", snippet(F.col("text")).alias("snippet"), "dense_rank",
-        "sparse_rank", F.bround("fused_score", SCORE_DECIMALS).alias("fused_score"),
+        "sparse_rank", rounded_score().alias("fused_score"),
         found_by_both().alias("found_by_both"),
         F.when(fit_is_known(*fit), fit_label(*fit)).alias("trim"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.english import STOP_WORDS, stem
-from ..functions.text import lexemes, query_term_array
+from ..functions.text import lexemes, query_term_array, raw_words
 from .filters import RECORD_COLUMNS, passes
 from .sizing import replicated, salted
 
@@ -22,10 +22,8 @@ def _english(tokens: DataFrame) -> DataFrame:
     )
 
 
-def analyze(df: DataFrame, text: str, analyzer: str = "simple") -> DataFrame:
-    """One row per token: the other columns, ``position`` and ``lexeme``."""
-    others = [c for c in df.columns if c != text]
-    tokens = df.select(*others, F.posexplode(lexemes(F.col(text))).alias("position", "lexeme"))
+def analyzed(tokens: DataFrame, analyzer: str) -> DataFrame:
+    """Tokens as an analyzer leaves them: as they are, or English stems without stop words."""
     if analyzer == "simple":
         return tokens
     if analyzer == "english":
@@ -33,6 +31,13 @@ def analyze(df: DataFrame, text: str, analyzer: str = "simple") -> DataFrame:
     raise ValueError(f"unknown analyzer {analyzer!r}")
 
 
+def analyze(df: DataFrame, text: str, analyzer: str = "simple") -> DataFrame:
+    """One row per token: the other columns, ``position`` and ``lexeme``."""
+    others = [c for c in df.columns if c != text]
+    tokens = df.select(*others, F.posexplode(lexemes(F.col(text))).alias("position", "lexeme"))
+    return analyzed(tokens, analyzer)
+
+
 def query_terms(queries: DataFrame, text: str = "text", analyzer: str = "simple") -> DataFrame:
     """``query_id, pos, term, lexeme`` and the other query columns; none for no usable term."""
     others = [c for c in queries.columns if c != text]
@@ -49,9 +54,12 @@ def query_terms(queries: DataFrame, text: str = "text", analyzer: str = "simple"
 
 def tokens_of(corpus: DataFrame, analyzer: str = "simple") -> DataFrame:
     """Token occurrences of a corpus with the columns filters look at; ``tf`` is one."""
-    return analyze(
-        corpus.select("chunk_id", *RECORD_COLUMNS, "text"), "text", analyzer
-    ).select("chunk_id", *RECORD_COLUMNS, "lexeme", F.lit(1).alias("tf"))
+    tokens = corpus.select(
+        "chunk_id", *RECORD_COLUMNS, F.explode(raw_words(F.lower("text"))).alias("lexeme")
+    ).where(F.col("lexeme") != "")
+    if analyzer != "simple":
+        tokens = analyzed(tokens, analyzer)
+    return tokens.withColumn("tf", F.lit(1))
 
 
 def build_postings(corpus: DataFrame, analyzer: str = "simple", partitions: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators.answers import build_contexts, merge_pools, parse_answers
 from ..operators.filters import dense_ready, own_fit, reject_unknown_scope
 from ..operators.grounding import check_citations, citation_accounting, ground_answers
 from ..operators.hits import describe_hits
-from ..operators.sizing import is_small
+from ..operators.sizing import is_small, spread
 from ..operators.validation import validate_queries
 from ..session import cut_lineage
 from .search import DENSE_MODES, ranked_hits
@@ -19,15 +19,21 @@ CAMPAIGN_RECORDS = 4
 NO_RECORDS = "No records for this vehicle matched the question, so there is nothing to cite."
 
 
-def pool_queries(questions: DataFrame, scope: str, limit: int) -> DataFrame:
-    """Questions as queries of one pool; a question without a mode is hybrid."""
+def pool_queries(questions: DataFrame, wide: int, campaigns: int) -> DataFrame:
+    """Each question as a query of both pools; a question without a mode is hybrid."""
     blank = F.lit(None)
-    return questions.select(
-        "query_id", "vehicle_id", "text", "mode", "embedding", F.lit(scope).alias("scope"),
-        F.lit("allTrims").alias("trims"), F.lit(limit).alias("limit"),
-        blank.cast("string").alias("component"), blank.cast("date").alias("filed_from"),
-        blank.cast("date").alias("filed_to"),
+    pools = F.array(
+        F.struct(F.lit("all").alias("scope"), F.lit(wide).alias("limit")),
+        F.struct(F.lit("campaigns").alias("scope"), F.lit(campaigns).alias("limit")),
     )
+    return questions.select(
+        F.col("query_id").alias("question_id"), "vehicle_id", "text", "mode", "embedding",
+        F.inline(pools),
+    ).withColumns({
+        "query_id": F.xxhash64("question_id", "scope"), "trims": F.lit("allTrims"),
+        "component": blank.cast("string"), "filed_from": blank.cast("date"),
+        "filed_to": blank.cast("date"),
+    })
 
 
 def with_fallback(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -47,16 +53,18 @@ def evidence_pools(
     tokens: DataFrame | None = None, small: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Hits of each question among all records, and among the official ones."""
-    small = is_small(questions) if small is None else small
-
-    def hits(scope: str, limit: int) -> DataFrame:
-        valid, _ = validate_queries(pool_queries(questions, scope, limit))
-        known, _ = reject_unknown_scope(valid, vehicles)
-        queries = with_fallback(own_fit(known, vehicles), corpus)
-        # At most ``limit`` rows per question, read several times from here on.
-        return cut_lineage(describe_hits(ranked_hits(queries, corpus, small, tokens), corpus, small))
-
-    return hits("all", wide), hits("campaigns", campaigns)
+    valid, _ = validate_queries(pool_queries(questions, wide, campaigns))
+    known, _ = reject_unknown_scope(valid, vehicles)
+    asked = spread(cut_lineage(with_fallback(own_fit(known, vehicles), corpus)))
+    small = is_small(asked) if small is None else small
+    found = describe_hits(ranked_hits(asked.drop("question_id"), corpus, small, tokens), corpus, small)
+    # At most the two limits per question, read several times from here on.
+    hits = cut_lineage(
+        found.join(asked.select("query_id", "question_id", "scope"), "query_id")
+        .withColumn("query_id", F.col("question_id")).drop("question_id")
+    )
+    pool = lambda scope: hits.where(F.col("scope") == scope).drop("scope")
+    return pool("all"), pool("campaigns")
 
 
 def shown_records(wide: DataFrame, campaigns: DataFrame, documents: DataFrame) -> DataFrame:

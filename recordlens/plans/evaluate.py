@@ -10,7 +10,7 @@ from ..operators.metrics import metrics_json, per_case, summarise
 from ..operators.neighbours import knn
 from ..operators.postings import tokens_of
 from ..operators.ranking import evaluation_ranking, fused_order, merge_rankings, rrf_score
-from ..operators.sizing import is_small
+from ..operators.sizing import is_small, spread
 from ..operators.validation import validate_queries
 from ..session import cut_lineage, steady_unions
 from .search import hot_or_none, sparse_ranking
@@ -70,7 +70,8 @@ def case_rankings(
     """
     steady_unions(cases.sparkSession)
     small = is_small(cases, 10_000) if small is None else small
-    queries = case_queries(cases, vehicles)
+    # Asked by both methods: checked and fitted once, without the texts too long to ask.
+    queries = spread(cut_lineage(case_queries(cases, vehicles)))
     tokens = tokens_of(corpus, analyzer) if tokens is None else tokens
     hot = hot_or_none(corpus, small)
     sparse = sparse_ranking(queries, tokens, hot, analyzer=analyzer)
@@ -107,7 +108,7 @@ def evaluate(
     """Six rows: each pool and mode with its averages, or why it was skipped."""
     cases, relevant = build_ground_truth(links, documents, vehicle_id)
     # Used by the rankings, the counts and the averages: written once.
-    cases = cut_lineage(cases)
+    cases = spread(cut_lineage(cases))
     ranked, skips = case_rankings(cases, vehicles, corpus, query_vectors, tokens, analyzer, small)
     return summarise(ranked, cases, relevant, skips)
 

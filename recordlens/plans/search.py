@@ -11,9 +11,9 @@ from ..operators.postings import match_terms, query_terms, sparse_scores, tokens
 from ..operators.ranking import (
     CANDIDATE_WINDOW, fused_order, limit_per_query, rank_sparse, rrf,
 )
-from ..operators.sizing import CHUNKS_PER_SALT, hot_vehicles, is_small
+from ..operators.sizing import CHUNKS_PER_SALT, hot_vehicles, is_small, spread
 from ..operators.validation import validate_queries
-from ..session import steady_unions
+from ..session import cut_lineage, steady_unions
 
 DENSE_MODES = ["dense", "hybrid"]
 SPARSE_MODES = ["sparse", "hybrid"]
@@ -89,8 +89,10 @@ def search(
     ``chunk_context`` with an ``embedding``; ``tokens`` are stored postings, cut
     from the corpus when not given.
     """
-    small = is_small(queries) if small is None else small
     accepted, rejected = accept(queries, vehicles, corpus)
+    # Asked by both methods and the final limit: checked and fitted once.
+    accepted = spread(cut_lineage(accepted))
+    small = is_small(accepted) if small is None else small
     ranked = ranked_hits(accepted, corpus, small, tokens, analyzer)
     return describe_hits(ranked, corpus, small), rejected
 

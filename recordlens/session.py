@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -24,14 +25,14 @@ def steady_unions(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a reused result to the shared checkpoint folder; without one it stays lazy."""
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if not folder:
-        return df
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Write a result that is read several times to the shared checkpoint folder, and read it back.
+
+    It is computed once, outlives the executors that computed it, and comes back
+    with its size known.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -43,5 +44,5 @@ def scratch_folder(spark: SparkSession) -> str:
     if shared:
         return f"{shared.rstrip('/')}/recordlens-{uuid.uuid4().hex}"
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="recordlens-")
+        return os.path.join(tempfile.mkdtemp(prefix="recordlens-"), "table")
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.vectors import hash_embed
 from ..operators import catalog, metrics
 from ..operators.ground_truth import build_ground_truth
+from ..operators.sizing import spread
 from ..plans import embed, evaluate as plan
 from ..session import cut_lineage, scratch_folder
 from ..streaming import landing
@@ -226,7 +227,7 @@ FROM scores s JOIN cases c ON s.case_row = c.link * 1000000000 + c.document_id""
 def case_metrics(spark, d):
     links, docs, vehicles, corpus, vectors = _evaluation(spark, d)
     cases, relevant = build_ground_truth(links, docs)
-    cases = cut_lineage(cases)
+    cases = spread(cut_lineage(cases))
     ranked, _ = plan.case_rankings(cases, vehicles, corpus, vectors)
     link = relevant.join(links.select(F.col("investigation_document_id").alias("document_id")), "document_id").select(
         "link_id", F.col("document_id").alias("link")
@@ -253,7 +254,7 @@ def evaluation_without_vectors(spark, d):
     """No embedding provider: keyword rankings are scored, the other modes say why they are not."""
     links, docs, vehicles, corpus, _ = _evaluation(spark, d)
     cases, relevant = build_ground_truth(links, docs)
-    cases = cut_lineage(cases)
+    cases = spread(cut_lineage(cases))
     ranked, skips = plan.case_rankings(cases, vehicles, t.corpus(spark, d, embedded=False), None)
     rows = metrics.summarise(ranked, cases, relevant, skips)
     share = metrics.per_case(ranked, cases, relevant, ["scope", "mode"]).groupBy("scope", "mode").agg(
