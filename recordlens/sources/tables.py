@@ -18,7 +18,7 @@ def stable_id(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
-def assert_unique_ids(df: DataFrame, id_column: str) -> DataFrame:
+def colliding_ids(df: DataFrame, id_column: str) -> DataFrame:
     """The ids that more than one row carries; empty when there is no collision."""
     return df.groupBy(id_column).count().where("count > 1")
 
