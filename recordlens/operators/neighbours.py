@@ -215,4 +215,4 @@ def knn(
             replicated(wanted, hot), ["vehicle_id", "salt"]
         )
     local = pairs.mapInPandas(_score(k), "query_id long, chunk_id long, distance double")
-    return top_k(local, "query_id", [F.asc("distance"), F.asc("chunk_id")], k, "dense_rank")
+    return top_k(local, "query_id", [F.asc_nulls_last("distance"), F.asc("chunk_id")], k, "dense_rank")

@@ -31,7 +31,7 @@ def rank_sparse(scores: DataFrame, k: int = CANDIDATE_WINDOW) -> DataFrame:
 
 def rank_dense(distances: DataFrame, k: int = CANDIDATE_WINDOW) -> DataFrame:
     """``query_id, chunk_id, dense_rank`` by distance ascending, chunk ascending."""
-    return top_k(distances, "query_id", [F.asc("distance"), F.asc("chunk_id")], k, "dense_rank").select(
+    return top_k(distances, "query_id", [F.asc_nulls_last("distance"), F.asc("chunk_id")], k, "dense_rank").select(
         "query_id", "chunk_id", "dense_rank"
     )
 
