@@ -11,6 +11,7 @@ from recordlens.operators import filters, neighbours, postings, ranking, validat
 from recordlens.operators.sizing import hot_vehicles, is_small
 from recordlens.plans import search as plan
 from recordlens.plans.embed import hash_embedded
+from recordlens.session import cut_lineage
 
 CORPUS = ("chunk_id long, document_id long, vehicle_id long, kind string, external_id string, title string, component string, "
           "filed_on date, text string, trim string, trim_key string, engine_litres decimal(4,1), engine_cylinders int")
@@ -252,8 +253,7 @@ def test_postings_table_is_scored_without_a_shuffle(spark):
     corpus, queries, own = random_corpus(spark)
     postings.save_postings(corpus, "kept_postings", 3)
     accepted, _ = plan.accept(queries.withColumn("mode", F.lit("sparse")), own, corpus)
-    terms = postings.query_terms(accepted.drop("embedding")).persist()
-    terms.count()
+    terms = cut_lineage(postings.query_terms(accepted.drop("embedding")))
     scores = postings.sparse_scores(postings.match_terms(terms, spark.table("kept_postings"), None))
     assert "Exchange hashpartitioning" not in scores._jdf.queryExecution().executedPlan().toString()
     direct = postings.sparse_scores(postings.match_terms(terms, postings.tokens_of(corpus), None))
@@ -295,7 +295,7 @@ def test_document_order(spark):
 
 
 def test_window_of_fifty(spark):
-    scores = spark.range(200).select(F.lit(1).alias("query_id"), F.col("id").alias("chunk_id"), (F.col("id") % 3).alias("score"))
+    scores = spark.range(200).select(F.floor(F.col("id") / 1000).alias("query_id"), F.col("id").alias("chunk_id"), (F.col("id") % 3).alias("score"))
     top = ranking.rank_sparse(scores)
     assert top.count() == 50 and top.orderBy("sparse_rank").first()["chunk_id"] == 2
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
