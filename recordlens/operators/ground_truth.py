@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import covers
 from ..functions.text import COMPONENT_PREFIX_LENGTH, case_id, component_prefix
+from ..session import cut_lineage
 from .ranking import top_k
+from .sizing import hot_vehicles, keep_ids, replicated, salted
 
 # Fixed value: complaints taken as queries per link.
 MAX_QUERIES_PER_LINK = 20
@@ -63,13 +65,15 @@ def qrels(links: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def window_matches(
-    links: DataFrame, complaints: DataFrame, prefix_len: int = COMPONENT_PREFIX_LENGTH
+    links: DataFrame, complaints: DataFrame, prefix_len: int = COMPONENT_PREFIX_LENGTH,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``link_id, document_id, external_id`` of the complaints inside each link's window.
 
     A full-length component prefix is itself a join key.  A shorter one can only
     share its first character as a key, so a complaint offers both; a link uses
-    exactly one, and the prefix test stays as a condition.
+    exactly one, and the prefix test stays as a condition.  Complaints of the
+    vehicles in ``hot`` are spread over salts that those vehicles' links follow.
     """
     windows = links.select(
         "link_id", "vehicle_id", "opened_on", "closed_on",
@@ -84,8 +88,12 @@ def window_matches(
             F.substring("component", 1, prefix_len), F.substring("component", 1, 1)
         ))).alias("prefix_key"),
     )
+    keys = ["vehicle_id", "prefix_key"]
+    if hot is not None:
+        offered, windows = salted(offered, F.col("document_id"), hot), replicated(windows, hot)
+        keys.append("salt")
     return (
-        offered.join(windows, ["vehicle_id", "prefix_key"])
+        offered.join(windows, keys)
         .where(
             F.col("component").startswith(F.col("prefix"))
             & covers(F.col("opened_on"), F.col("closed_on"), F.col("filed_on"))
@@ -114,9 +122,14 @@ def build_ground_truth(
     if vehicle_id is not None:
         scoped = scoped.where(F.col("vehicle_id") == vehicle_id)
     complaints = documents.where(F.col("kind") == "complaint")
-    picked = cap_queries(window_matches(scoped, complaints)).select("link_id", "document_id")
+    matches = window_matches(scoped, complaints, hot=hot_vehicles(complaints))
+    # A few complaints per link: written, so their bodies can be picked by id.
+    picked = cut_lineage(cap_queries(matches).select("link_id", "document_id"))
     heads = scoped.select("link_id", "vehicle_id", "investigation_external_id")
-    bodies = complaints.select("document_id", "external_id", F.col("body").alias("query_text"))
+    bodies = keep_ids(
+        complaints.select("document_id", "external_id", F.col("body").alias("query_text")),
+        picked, "document_id",
+    )
     cases = (
         picked.join(heads, "link_id").join(bodies, "document_id")
         .select(

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.identity import fit_is_known, fit_label
 from ..functions.text import snippet
 from ..schemas import FIT_COLUMNS
+from ..session import cut_lineage
 from .ranking import found_by_both
+from .sizing import keep_ids
 
 SCORE_DECIMALS = 5
 CORPUS_COLUMNS = [
@@ -26,9 +28,13 @@ def attach_records(ranked: DataFrame, corpus: DataFrame, small: bool) -> DataFra
     """Ranked chunks with their stored fields; a chunk that is gone drops out.
 
     Few ranked rows are broadcast, so the corpus is scanned and not shuffled.
+    Many are written first, and only the chunks they name are shuffled to them.
     """
     fields = corpus.select(*CORPUS_COLUMNS).drop("vehicle_id")
-    return fields.join(F.broadcast(ranked) if small else ranked, "chunk_id")
+    if small:
+        return fields.join(F.broadcast(ranked), "chunk_id")
+    ranked = cut_lineage(ranked)
+    return keep_ids(fields, ranked, "chunk_id").join(ranked, "chunk_id")
 
 
 def rounded_score() -> Column:

@@ -10,11 +10,11 @@ from .passages import numbered, passage_texts, whole_passage_array
 TITLE_CHARACTERS = 80
 COMPONENT_SEPARATOR = "; "
 SECTION_SEPARATOR = "\n\n"
+INVESTIGATION_KEY = ["vehicle_id", "external_id"]
 
-_LINKS = "array<struct<campaign_number:string,component:string,opened_on:date,closed_on:date>>"
 _PLAN = [
     "vehicle_id", "kind", "external_id", "component", "filed_on", "title", "body",
-    "raw_payload", "passages", "links",
+    "raw_payload", "passages",
 ]
 
 
@@ -46,7 +46,6 @@ def plan_complaints(feed: DataFrame) -> DataFrame:
         F.col("summary").alias("body"),
         F.col("raw").alias("raw_payload"),
         whole_passage_array(F.col("summary")).alias("passages"),
-        F.array().cast(_LINKS).alias("links"),
     ).select(*_PLAN)
 
 
@@ -78,7 +77,6 @@ def plan_recalls(feed: DataFrame) -> DataFrame:
         "body",
         F.col("raw").alias("raw_payload"),
         whole_passage_array(F.col("body")).alias("passages"),
-        F.array().cast(_LINKS).alias("links"),
     ).select(*_PLAN)
 
 
@@ -119,27 +117,21 @@ def collapse_investigations(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def usable_rows(rows: DataFrame) -> DataFrame:
+    """Rows with an action number and a summary, the number trimmed as ``external_id``."""
+    return rows.where(~is_blank(F.col("action_number")) & ~is_blank(F.col("summary"))).withColumn(
+        "external_id", trim_ws(F.col("action_number"))
+    )
+
+
 def plan_investigations(rows: DataFrame) -> DataFrame:
-    """Investigation documents, one per (vehicle, action number), with passages and links.
+    """Investigation documents, one per (vehicle, action number), with their passages.
 
-    The verbatim lines stay rows of their own (``investigation_lines``): one
-    action number may hold any number of them.
+    Links and verbatim lines stay rows of their own (``investigation_links``,
+    ``investigation_lines``): one action number may hold any number of them.
     """
-    usable = rows.where(~is_blank(F.col("action_number")) & ~is_blank(F.col("summary"))).withColumn(
-        "external_id", trim_ws(F.col("action_number"))
-    )
-    keys = ["vehicle_id", "external_id"]
-    links = distinct_links(usable, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(
-            F.struct("feed_order", "campaign_number", "component", "opened_on", "closed_on")
-        )).alias("links")
-    )
-    plain = F.transform("links", lambda l: F.struct(
-        l["campaign_number"].alias("campaign_number"), l["component"].alias("component"),
-        l["opened_on"].alias("opened_on"), l["closed_on"].alias("closed_on"),
-    ))
     return (
-        collapse_investigations(usable, keys).join(links, keys, "left").select(
+        collapse_investigations(usable_rows(rows), INVESTIGATION_KEY).select(
             "vehicle_id",
             F.lit("investigation").alias("kind"),
             "external_id",
@@ -149,16 +141,18 @@ def plan_investigations(rows: DataFrame) -> DataFrame:
             F.col("summary").alias("body"),
             F.lit("").alias("raw_payload"),
             numbered(passage_texts(F.col("summary"))).alias("passages"),
-            F.coalesce(plain, F.array().cast(_LINKS)).alias("links"),
         ).select(*_PLAN)
     )
 
 
 def investigation_lines(rows: DataFrame) -> DataFrame:
     """The verbatim flat-file lines behind each investigation, with their order."""
-    return rows.where(~is_blank(F.col("action_number")) & ~is_blank(F.col("summary"))).select(
-        "vehicle_id", trim_ws(F.col("action_number")).alias("external_id"), "feed_order", "raw_line"
-    )
+    return usable_rows(rows).select(*INVESTIGATION_KEY, "feed_order", "raw_line")
+
+
+def investigation_links(rows: DataFrame) -> DataFrame:
+    """``vehicle_id, external_id`` and the distinct links of each investigation, in feed order."""
+    return distinct_links(usable_rows(rows), INVESTIGATION_KEY)
 
 
 def with_vehicle(feed: DataFrame, vehicles: DataFrame, model: str = "model") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A query is at most 500 characters, 24 terms and one vector, so this many
 # queries stay near 100 MB in every form in which they are broadcast.
 MAX_BROADCAST_QUERIES = 20_000
+# Ids broadcast to pick rows out of a large table: a few hundred MB at most.
+MAX_BROADCAST_IDS = 2_000_000
 # Chunks of one vehicle that may meet in one task.
 CHUNKS_PER_SALT = 1_000_000
 
@@ -16,6 +18,17 @@ def is_small(df: DataFrame, rows: int = MAX_BROADCAST_QUERIES) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def keep_ids(df: DataFrame, ids: DataFrame, key: str, rows: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """The rows of a large table whose ``key`` is listed.
+
+    ``ids`` comes from a written table, so counting it is cheap.  Up to ``rows``
+    ids are broadcast and the table is filtered where it is read, before its
+    texts meet any shuffle; more are joined by a shuffle.
+    """
+    wanted = ids.select(key).distinct()
+    return df.join(F.broadcast(wanted) if is_small(wanted, rows) else wanted, key, "left_semi")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use every core on a scan with fewer splits than cores; larger scans stay as they are.
 

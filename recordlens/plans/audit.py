@@ -8,7 +8,7 @@ from ..operators.answers import build_contexts, merge_pools, parse_answers
 from ..operators.filters import dense_ready, own_fit, reject_unknown_scope
 from ..operators.grounding import check_citations, citation_accounting, ground_answers
 from ..operators.hits import describe_hits
-from ..operators.sizing import is_small, spread
+from ..operators.sizing import is_small, keep_ids, spread
 from ..operators.validation import validate_queries
 from ..session import cut_lineage
 from .search import DENSE_MODES, ranked_hits
@@ -69,8 +69,9 @@ def evidence_pools(
 
 def shown_records(wide: DataFrame, campaigns: DataFrame, documents: DataFrame) -> DataFrame:
     """The records of both pools with their bodies, once per question."""
+    shown = merge_pools(wide, campaigns)
     fields = documents.select("document_id", "kind", "external_id", "filed_on", "body")
-    return merge_pools(wide, campaigns).join(fields, "document_id")
+    return shown.join(keep_ids(fields, shown, "document_id"), "document_id")
 
 
 def question_contexts(
@@ -99,8 +100,11 @@ def audit_answers(
         F.col("query_id").alias("answer_id"), "reply"
     )
     answers, citations, failures = parse_answers(answered)
+    citations = cut_lineage(citations)
+    named = citations.select(F.col("document_id").try_cast("long").alias("document_id"))
     checked = check_citations(
-        citations, evidence.withColumnRenamed("query_id", "answer_id"), documents
+        citations, evidence.withColumnRenamed("query_id", "answer_id"),
+        keep_ids(documents, named, "document_id"),
     )
     grounded = ground_answers(answers, citation_accounting(checked))
     outcome = (

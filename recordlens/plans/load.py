@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import is_blank
 from ..operators.names import split_known
 from ..operators.planning import (
-    investigation_lines, match_family, plan_complaints, plan_investigations, plan_recalls,
+    investigation_lines, investigation_links, match_family, plan_complaints, plan_investigations, plan_recalls,
 )
 from ..schemas import CHUNKS, DOCUMENTS, LINKS
 from ..session import cut_lineage, steady_unions
 from ..sources.tables import (
-    append_new, explode_links, explode_passages, load_report, read_table, write_load,
+    append_new, explode_passages, load_report, new_links, read_table, write_load,
 )
 
 DOCUMENT_COLUMNS = [
@@ -98,16 +98,17 @@ def load_records(
         new.where(F.col("kind") == "investigation").select("document_id", "vehicle_id", "external_id"),
         ["vehicle_id", "external_id"],
     ).select("document_id", "feed_order", "raw_line")
+    links = cut_lineage(new_links(new, investigation_links(matched)))
     write_load(
         {
             "documents": new.select(*DOCUMENT_COLUMNS),
             "chunks": explode_passages(new),
-            "links": explode_links(new),
+            "links": links,
             "investigation_lines": lines,
         },
         root, load_id,
     )
-    return load_report(fetched_rows(complaints, recalls, matched), planned, new)
+    return load_report(fetched_rows(complaints, recalls, matched), planned, new, links)
 
 
 def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:

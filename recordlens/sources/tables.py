@@ -45,12 +45,15 @@ def explode_passages(new: DataFrame) -> DataFrame:
     )
 
 
-def explode_links(new: DataFrame) -> DataFrame:
-    """Link rows of newly stored documents."""
-    return new.select(
-        F.col("document_id").alias("investigation_document_id"), "vehicle_id",
-        F.explode("links").alias("l"),
-    ).select("investigation_document_id", "vehicle_id", "l.*")
+def new_links(new: DataFrame, links: DataFrame) -> DataFrame:
+    """Planned links of the investigations that are newly stored."""
+    stored = new.where(F.col("kind") == "investigation").select(
+        "vehicle_id", "external_id", F.col("document_id").alias("investigation_document_id")
+    )
+    return links.join(stored, ["vehicle_id", "external_id"]).select(
+        "investigation_document_id", "vehicle_id", "campaign_number", "component",
+        "opened_on", "closed_on",
+    )
 
 
 def upsert_registry(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -70,11 +73,13 @@ def lookup_documents(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(ids.select("document_id"), "document_id", "left_semi")
 
 
-def load_report(fetched: DataFrame, planned: DataFrame, new: DataFrame) -> DataFrame:
+def load_report(
+    fetched: DataFrame, planned: DataFrame, new: DataFrame, links: DataFrame
+) -> DataFrame:
     """Counts of one load per vehicle.
 
     ``fetched`` is ``vehicle_id, kind, is_empty``; ``planned`` and ``new`` are
-    plan rows with their passages and links.
+    plan rows with their passages; ``links`` are the link rows created.
     """
     of = lambda kind: F.col("kind") == kind
     seen = fetched.groupBy("vehicle_id").agg(
@@ -91,10 +96,13 @@ def load_report(fetched: DataFrame, planned: DataFrame, new: DataFrame) -> DataF
         F.count_if(of("complaint")).alias("complaints_new"),
         F.count_if(of("recall")).alias("recalls_new"),
         F.count_if(of("investigation")).alias("investigations_new"),
-        F.sum(F.size("links")).alias("links_created"),
         F.sum(F.size("passages")).alias("chunks_created"),
     )
-    joined = seen.join(kept, "vehicle_id", "left").join(stored, "vehicle_id", "left").na.fill(0)
+    linked = links.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("links_created"))
+    joined = seen
+    for counts in (kept, stored, linked):
+        joined = joined.join(counts, "vehicle_id", "left")
+    joined = joined.na.fill(0)
     return joined.select(
         "vehicle_id", "complaints_fetched", "complaints_skipped_empty", "complaints_new",
         (F.col("complaints_planned") - F.col("complaints_new")).alias("complaints_unchanged"),

@@ -183,19 +183,16 @@ parts AS (SELECT action_number, string_agg(component, '; ' ORDER BY seen) AS com
 linked AS (SELECT action_number, campaign_number, component, min(feed_order) AS feed_order FROM kept GROUP BY ALL)"""
 
 
-def _planned_investigations(spark, d) -> DataFrame:
-    rows = flatfile.parse_investigations(_flat_lines(spark, d)).withColumn("vehicle_id", F.lit(1).cast("long"))
-    return planning.plan_investigations(rows)
+def _flat_rows(spark, d) -> DataFrame:
+    return flatfile.parse_investigations(_flat_lines(spark, d)).withColumn("vehicle_id", F.lit(1).cast("long"))
 
 
 @query("plan_investigations", with_sql(_FLAT_GROUPS, select="""
-SELECT k.action_number AS external_id, p.component, k.opened_on AS filed_on, k.subject AS title, k.summary AS body,
-  CAST(count(*) AS INTEGER) AS links
-FROM heads h JOIN kept k USING (feed_order) JOIN parts p ON p.action_number = k.action_number
-JOIN linked l ON l.action_number = k.action_number GROUP BY ALL"""))
+SELECT k.action_number AS external_id, p.component, k.opened_on AS filed_on, k.subject AS title, k.summary AS body
+FROM heads h JOIN kept k USING (feed_order) JOIN parts p ON p.action_number = k.action_number"""))
 def plan_investigations(spark, d):
-    return _planned_investigations(spark, d).select(
-        "external_id", "component", "filed_on", "title", "body", F.size("links").alias("links")
+    return planning.plan_investigations(_flat_rows(spark, d)).select(
+        "external_id", "component", "filed_on", "title", "body"
     )
 
 
@@ -203,11 +200,12 @@ def plan_investigations(spark, d):
 SELECT k.action_number AS external_id, k.campaign_number, k.component, k.opened_on, k.closed_on
 FROM linked l JOIN kept k USING (feed_order)"""))
 def planned_links(spark, d):
-    planned = _planned_investigations(spark, d).withColumn("document_id", F.xxhash64("external_id"))
-    return stored.explode_links(planned).join(
+    rows = _flat_rows(spark, d)
+    planned = planning.plan_investigations(rows).withColumn("document_id", F.xxhash64("external_id"))
+    return stored.new_links(planned, planning.investigation_links(rows)).join(
         planned.select(F.col("document_id").alias("investigation_document_id"), "external_id"),
         "investigation_document_id",
-    ).select("external_id", "campaign_number", "component", "opened_on", "closed_on")
+    ).select("external_id", "campaign_number", F.col("component"), "opened_on", "closed_on")
 
 
 @query("plan_complaints", r"""
@@ -507,12 +505,10 @@ SELECT vehicle_id, count(*) FILTER (kind = 'complaint') AS complaints_fetched,
 FROM docs GROUP BY ALL"""))
 def load_report(spark, d):
     docs = t.documents(spark, d).withColumn("is_empty", F.trim("body") == "")
-    planned = docs.where(~F.col("is_empty")).withColumns({
-        "passages": F.array("body"),
-        "links": F.when(F.col("kind") == "investigation", F.array("external_id")).otherwise(F.array()),
-    })
+    planned = docs.where(~F.col("is_empty")).withColumn("passages", F.array("body"))
     known = t.table(spark, d, "labels").select(F.col("doc_id").alias("document_id"))
-    return stored.load_report(docs, planned, stored.not_stored(planned, known, ["document_id"]))
+    new = stored.not_stored(planned, known, ["document_id"])
+    return stored.load_report(docs, planned, new, new.where(F.col("kind") == "investigation"))
 
 
 # --- identity --------------------------------------------------------------------
