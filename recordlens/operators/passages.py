@@ -84,8 +84,14 @@ def whole_passage_array(body: Column) -> Column:
 
 
 def number_passages(documents: DataFrame, texts: str) -> DataFrame:
-    """One row per passage of an array column, with its ordinal."""
-    return documents.select("document_id", F.posexplode(texts).alias("ordinal", "text"))
+    """One row per passage of an array column, with its ordinal.
+
+    The outer form keeps Spark from also computing the array in a filter of its
+    own, once more and below any repartitioning.
+    """
+    return documents.select(
+        "document_id", F.posexplode_outer(texts).alias("ordinal", "text")
+    ).where(F.col("text").isNotNull())
 
 
 def split_passages(documents: DataFrame, max_chars: int = MAX_PASSAGE_CHARACTERS) -> DataFrame:

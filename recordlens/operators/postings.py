@@ -34,7 +34,9 @@ def analyzed(tokens: DataFrame, analyzer: str) -> DataFrame:
 def analyze(df: DataFrame, text: str, analyzer: str = "simple") -> DataFrame:
     """One row per token: the other columns, ``position`` and ``lexeme``."""
     others = [c for c in df.columns if c != text]
-    tokens = df.select(*others, F.posexplode(lexemes(F.col(text))).alias("position", "lexeme"))
+    tokens = df.select(*others, F.posexplode_outer(lexemes(F.col(text))).alias("position", "lexeme")).where(
+        F.col("lexeme").isNotNull()
+    )
     return analyzed(tokens, analyzer)
 
 
@@ -42,8 +44,8 @@ def query_terms(queries: DataFrame, text: str = "text", analyzer: str = "simple"
     """``query_id, pos, term, lexeme`` and the other query columns; none for no usable term."""
     others = [c for c in queries.columns if c != text]
     terms = queries.select(
-        *others, F.posexplode(query_term_array(F.col(text))).alias("pos", "t")
-    ).select(*others, "pos", "t.term", "t.lexeme")
+        *others, F.posexplode_outer(query_term_array(F.col(text))).alias("pos", "t")
+    ).where(F.col("t").isNotNull()).select(*others, "pos", "t.term", "t.lexeme")
     if analyzer == "english":
         # Two words of one stem count once: the earliest stays.
         return _english(terms).groupBy(*others, "lexeme").agg(
@@ -53,9 +55,13 @@ def query_terms(queries: DataFrame, text: str = "text", analyzer: str = "simple"
 
 
 def tokens_of(corpus: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """Token occurrences of a corpus with the columns filters look at; ``tf`` is one."""
+    """Token occurrences of a corpus with the columns filters look at; ``tf`` is one.
+
+    The outer form keeps Spark from cutting each text a second time in a filter
+    of its own; empty words and texts drop out after.
+    """
     tokens = corpus.select(
-        "chunk_id", *RECORD_COLUMNS, F.explode(raw_words(F.lower("text"))).alias("lexeme")
+        "chunk_id", *RECORD_COLUMNS, F.explode_outer(raw_words(F.lower("text"))).alias("lexeme")
     ).where(F.col("lexeme") != "")
     if analyzer != "simple":
         tokens = analyzed(tokens, analyzer)

@@ -26,8 +26,8 @@ def record_fields(envelopes: DataFrame) -> DataFrame:
     """One row per element of ``results``: ``feed_order, raw, fields`` and what came along."""
     carried = [c for c in envelopes.columns if c not in ("path", "body")]
     return envelopes.select(
-        "path", *carried, F.posexplode(result_elements(F.col("body"))).alias("pos", "raw")
-    ).select(
+        "path", *carried, F.posexplode_outer(result_elements(F.col("body"))).alias("pos", "raw")
+    ).where(F.col("pos").isNotNull()).select(
         *carried,
         F.struct("path", F.col("pos").cast("long").alias("seq")).alias("feed_order"),
         "raw",
