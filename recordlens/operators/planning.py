@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_blank, non_blank, single_line, trim_ws
+from ..functions.text import is_blank, single_line, trim_ws
 from .passages import numbered, passage_texts, whole_passage_array
 
 TITLE_CHARACTERS = 80
@@ -155,15 +155,6 @@ def investigation_links(rows: DataFrame) -> DataFrame:
     return distinct_links(usable_rows(rows), INVESTIGATION_KEY)
 
 
-def with_vehicle(feed: DataFrame, vehicles: DataFrame, model: str = "model") -> DataFrame:
-    """Attach the vehicle a feed request was made for: ``make, model, model_year`` equal."""
-    wanted = vehicles.select(
-        "vehicle_id", F.col("make").alias("make"),
-        F.coalesce(non_blank(F.col(model)), F.col("model")).alias("model"), "model_year",
-    )
-    return feed.join(wanted, ["make", "model", "model_year"]).drop("make", "model", "model_year")
-
-
 def match_family(rows: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Investigation rows × vehicles: same year and make, and the row's model is the
     vehicle's model or the start of it up to a blank, in any case.

@@ -11,6 +11,7 @@ from ..operators.hits import describe_hits
 from ..operators.sizing import is_small, keep_ids, spread
 from ..operators.validation import validate_queries
 from ..session import cut_lineage
+from ..sources.tables import append_log
 from .search import DENSE_MODES, ranked_hits
 
 # Records shown from each pool, and the reason given when there are none.
@@ -124,6 +125,11 @@ def audit_answers(
     ), checked
 
 
+def append_answers(audited: DataFrame, path: str, created_at) -> None:
+    """Append the answers to their log; rows are never rewritten."""
+    append_log(answer_rows(audited, created_at), path)
+
+
 def answer_rows(audited: DataFrame, created_at) -> DataFrame:
     """The rows the answer log keeps."""
     stored = F.to_json(F.struct(

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.identity import fit_is_known
+from ..functions.identity import fit, fit_is_known
 from ..operators.catalog import describable
-from ..schemas import FIT_COLUMNS
+from ..schemas import FIT_COLUMNS, VIN_DECODES
+from ..session import cut_lineage
+from ..sources.tables import append_log, read_or_empty
+
+# A picklable function from (descriptor, model year) pairs to (trim, litres,
+# cylinders) triples, in order; unknown parts are None.
+Decoder = Callable[[list[tuple[str, int]]], list[tuple[str | None, float | None, int | None]]]
 
 KEY = ["descriptor", "model_year"]
 
@@ -33,6 +42,48 @@ def resolve_decodes(records: DataFrame, decodes: DataFrame) -> tuple[DataFrame,
     return resolved, descriptor_worklist(records, decodes)
 
 
+def decode_worklist(worklist: DataFrame, decoder: Decoder, batch: int = 50) -> DataFrame:
+    """``descriptor, model_year`` and the fit a provider answers, empty answers included."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                part = rows.iloc[at:at + batch]
+                asked = list(zip(part["descriptor"], part["model_year"].astype(int)))
+                fits = decoder(asked)
+                if len(fits) != len(asked):
+                    raise ValueError(f"Asked for {len(asked)} decodes and received {len(fits)}.")
+                yield pd.DataFrame({
+                    "descriptor": part["descriptor"].to_numpy(), "model_year": part["model_year"].to_numpy(),
+                    "t": [f[0] for f in fits],
+                    "l": [None if f[1] is None else str(f[1]) for f in fits],
+                    "c": [None if f[2] is None else str(f[2]) for f in fits],
+                })
+
+    answered = worklist.select(*KEY).mapInPandas(
+        run, "descriptor string, model_year int, t string, l string, c string"
+    )
+    made = fit(F.col("t"), F.col("l").try_cast("decimal(4,1)"), F.col("c").try_cast("int"))
+    return answered.select(*KEY, made.alias("f")).select(*KEY, "f.*")
+
+
+def decode_records(
+    documents: DataFrame, vehicles: DataFrame, path: str, decoder: Decoder
+) -> tuple[DataFrame, DataFrame]:
+    """Ask about every descriptor nobody has asked about yet, remember the answers, fit the records.
+
+    Answers are appended to the table at ``path``; asking once per descriptor and
+    year is what keeps the calls few.  Returns the documents with their fits and
+    the report.
+    """
+    spark = documents.sparkSession
+    records = cut_lineage(described(documents, vehicles).select("document_id", *KEY))
+    known = read_or_empty(spark, path, VIN_DECODES)
+    append_log(cut_lineage(decode_worklist(descriptor_worklist(records, known), decoder)), path)
+    decodes = spark.read.schema(VIN_DECODES).parquet(path)
+    report = decode_report(records, vehicles.withColumn("was_decoded", F.lit(False)))
+    return with_fit(documents, vehicles, decodes), report
+
+
 def with_fit(documents: DataFrame, vehicles: DataFrame, decodes: DataFrame) -> DataFrame:
     """All documents, complaints with the fit their VIN decodes to.
 

@@ -13,6 +13,7 @@ from ..operators.ranking import evaluation_ranking, fused_order, merge_rankings,
 from ..operators.sizing import is_small, spread
 from ..operators.validation import validate_queries
 from ..session import cut_lineage, steady_unions
+from ..sources.tables import append_log
 from .search import hot_or_none, sparse_ranking
 
 RANKING_DEPTH = 10
@@ -118,6 +119,17 @@ def case_scores(ranked: DataFrame, cases: DataFrame, relevant: DataFrame) -> Dat
     return per_case(ranked, cases, relevant, ["scope", "mode"])
 
 
+def append_eval_run(
+    results: DataFrame, path: str, run_id: int, vehicle_id: int | None, ran_at,
+    results_path: str | None = None,
+) -> None:
+    """Append the run to the history, and write its rows as JSON when a path is given."""
+    results = cut_lineage(results)
+    append_log(eval_run(results, run_id, vehicle_id, ran_at), path)
+    if results_path:
+        results.coalesce(1).write.mode("overwrite").json(results_path)
+
+
 def eval_run(results: DataFrame, run_id: int, vehicle_id: int | None, ran_at) -> DataFrame:
     """The row the run history keeps."""
     return metrics_json(results).select(

@@ -10,7 +10,7 @@ from ..operators import ground_truth, names, passages, planning, validation
 from ..plans import decode, embed
 from ..sources import feeds, flatfile, tables as stored
 from . import tables as t
-from .tables import DOCS, VEHICLES, with_sql
+from .tables import DOCS, with_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -137,7 +137,7 @@ def test_answerer_seam(spark):
         answers.answer(contexts, lambda batch: ["one"]).collect()
 
 
-def test_audit(spark):
+def test_audit(spark, tmp_path):
     questions = spark.createDataFrame([(i, 1, f"question {i}") for i in range(1, 7)], "query_id long, vehicle_id long, text string")
     shown = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 6)], "query_id long, document_id long")
     cite = lambda d, q: {"documentId": d, "quote": q}
@@ -154,7 +154,8 @@ def test_audit(spark):
         1: ("Yes.", True, True, ["17V1"], 1, 1), 2: (grounding.NO_EVIDENCE, *none, 1),
         3: ("The model declined to answer this question.", *none, 0), 4: (answers.MALFORMED_JSON, *none, 0),
         5: (audit.NO_RECORDS, *none, 0), 6: (answers.MALFORMED_JSON, *none, 0)}
-    stored = audit.answer_rows(audited, datetime(2026, 1, 1)).where("answer_id = 1").first()
+    audit.append_answers(audited, str(tmp_path / "answers"), datetime(2026, 1, 1))
+    stored = spark.read.parquet(str(tmp_path / "answers")).where("answer_id = 1").first()
     assert json.loads(stored["answer_json"])["AnswerText"] == "Yes." and stored["verified_citation_count"] == 1
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from recordlens.operators import catalog, ground_truth, metrics
 from recordlens.operators.hits import chunk_context
-from recordlens.operators.validation import QUERY_LENGTH_PROBLEM  # noqa: F401
 from recordlens.plans import evaluate as plan
 from recordlens.plans.embed import hash_embedded
 from recordlens.schemas import FIT
@@ -160,6 +159,10 @@ def test_run_history(spark, tmp_path):
     assert list(stored) == ["sparse", "dense", "hybrid", "campaignsSparse", "campaignsDense", "campaignsHybrid", "skipped"]
     assert stored["dense"] is None and stored["skipped"]["dense"] == plan.NO_PROVIDER
     assert stored["campaignsSparse"]["recallAt10"] == 1.0 and stored["sparse"]["scoredCaseCount"] == 6
+    plan.append_eval_run(results, str(tmp_path / "runs"), 7, 1, datetime(2026, 9, 6), str(tmp_path / "results"))
+    plan.append_eval_run(results, str(tmp_path / "runs"), 8, None, datetime(2026, 9, 7))
+    assert rows(spark.read.parquet(str(tmp_path / "runs")), "run_id", "case_count") == [(7, 6), (8, 6)]
+    assert spark.read.json(str(tmp_path / "results")).count() == 6
     history = spark.createDataFrame([(1, datetime(2026, 9, 5), "oops"), (2, datetime(2026, 9, 6), run["metrics"]),
                                      (3, datetime(2026, 9, 4), "{}")], "run_id long, ran_at timestamp, metrics string")
     got = catalog.latest_and_history(history, 2).orderBy(F.desc("ran_at")).collect()

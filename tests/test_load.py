@@ -142,6 +142,31 @@ def test_decoding(spark):
     assert rows(decode.decode_vehicles(done.drop("was_decoded"), own), "vehicle_id", "was_decoded") == [(1, False), (2, False)]
 
 
+def test_decoding_asks_once(spark, tmp_path):
+    raw = ['{"vin": "1FM5K8D80DGA"}', '{"vin": "1FM5K8D85DG"}', '{"vin": ""}', '{"vin": "2FM5K8D80D"}']
+    docs = spark.createDataFrame([(i, 1, "complaint", r) for i, r in enumerate(raw)],
+                                 "document_id long, vehicle_id long, kind string, raw_payload string")
+    vehicles = spark.createDataFrame([vehicle(1, "EXPLORER", 2013)], VEHICLES)
+    decoder = lambda asked: [("Sport", 3.5, 6) if d[0] == "1" else (" ", None, 0) for d, _ in asked]
+    path = str(tmp_path / "decodes")
+    fitted, report = decode.decode_records(docs, vehicles, path, decoder)
+    assert rows(fitted, "document_id", "trim", "engine_litres") == [
+        (0, "Sport", Decimal("3.5")), (1, "Sport", Decimal("3.5")), (2, None, None), (3, None, None)]
+    assert rows(report) == [(1, 0, 3, 1)]
+    assert spark.read.parquet(path).count() == 2
+    decode.decode_records(docs, vehicles, path, lambda asked: 1 / 0 if asked else [])
+    assert spark.read.parquet(path).count() == 2, "empty answers are remembered too"
+
+
+def test_feed_rows_find_the_vehicle_that_asked(spark):
+    vehicles = spark.createDataFrame([(1, "FORD", "F-150 SUPER CREW", "F-150", 2014), (2, "FORD", "EDGE", None, 2014)],
+                                     "vehicle_id long, make string, model string, recall_model string, model_year int")
+    feed = spark.createDataFrame([("FORD", "F-150", 2014, "a"), ("FORD", "EDGE", 2014, "b")],
+                                 "make string, model string, model_year int, raw string")
+    assert rows(load.for_vehicles(feed, vehicles, "recall_model"), "vehicle_id", "raw") == [(1, "a"), (2, "b")]
+    assert rows(load.for_vehicles(feed, vehicles), "vehicle_id", "raw") == [(2, "b")]
+
+
 eight = lambda texts: hash_embed(texts, 8)  # noqa: E731 - a lambda travels to the tasks by value
 
 
