@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import dates, identity
 from ..functions.vectors import hash_bytes
 from ..operators import ground_truth, names, passages, planning, validation
-from ..plans import decode, embed
+from ..plans import decode, embed, load
+from ..session import scratch_folder
 from ..sources import feeds, flatfile, tables as stored
 from . import tables as t
 from .tables import DOCS, with_sql
@@ -743,3 +744,52 @@ def listed_model_names(spark, d):
     return names.model_names(p.select(
         F.col("p_brand").alias("make"), F.col("p_size").alias("model_year"), F.col("p_name").alias("model")
     ))
+
+
+# --- composite jobs --------------------------------------------------------------
+
+
+def _by_descriptor(asked: list[tuple[str, int]]) -> list[tuple]:
+    return [("T" + descriptor[0], 2.5, None) for descriptor, _ in asked]
+
+
+@query("decode_records", with_sql(_VINS, select="""
+SELECT document_id, CASE WHEN descriptor IS NOT NULL THEN 'T' || left(descriptor, 1) END AS trim,
+  CASE WHEN descriptor IS NOT NULL THEN 2.5 END AS engine_litres, CAST(NULL AS INTEGER) AS engine_cylinders
+FROM described"""))
+def decode_records(spark, d):
+    fitted, _ = decode.decode_records(
+        _vin_documents(spark, d), _nations(spark, d), f"{scratch_folder(spark)}/decodes", _by_descriptor
+    )
+    return fitted.select("document_id", "trim", "engine_litres", "engine_cylinders")
+
+
+@query("load_records", with_sql(DOCS, _FLAT, select="""
+SELECT vehicle_id, count(*) FILTER (kind = 'complaint') AS complaints_fetched,
+  count(*) FILTER (kind = 'complaint' AND trim(body) <> '') AS complaints_new,
+  count(*) FILTER (kind = 'recall' AND trim(body) <> '') AS recalls_new,
+  (SELECT count(*) FROM flat WHERE subject = 'src' || vehicle_id AND model_year = 2000 + vehicle_id) AS investigation_rows,
+  (SELECT count(DISTINCT action_number) FROM flat WHERE subject = 'src' || vehicle_id AND summary <> ''
+    AND model_year = 2000 + vehicle_id) AS investigations_new,
+  (SELECT count(DISTINCT (action_number, campaign_number, component)) FROM flat WHERE subject = 'src' || vehicle_id
+    AND summary <> '' AND model_year = 2000 + vehicle_id) AS links_created
+FROM docs WHERE kind <> 'investigation' GROUP BY ALL"""))
+def load_records(spark, d):
+    """A first load of every vehicle into an empty store."""
+    docs = t.documents(spark, d)
+    shared = ["vehicle_id", F.col("document_id").alias("feed_order")]
+    complaints = docs.where(F.col("kind") == "complaint").select(
+        *shared, F.col("external_id").alias("odi_number"), F.col("component").alias("components"),
+        F.col("body").alias("summary"), "filed_on", F.lit("{}").alias("raw"),
+    )
+    recalls = docs.where(F.col("kind") == "recall").select(
+        *shared, F.col("external_id").alias("campaign_number"), "component", F.col("body").alias("summary"),
+        F.lit("").alias("consequence"), F.lit("").alias("remedy"), F.col("filed_on").alias("received_on"),
+        F.lit("{}").alias("raw"),
+    )
+    rows = flatfile.parse_investigations(_flat_lines(spark, d))
+    report = load.load_records(spark, scratch_folder(spark), "first", t.vehicles(spark, d), complaints, recalls, rows)
+    return report.select(
+        "vehicle_id", "complaints_fetched", "complaints_new", "recalls_new", "investigation_rows",
+        "investigations_new", "links_created",
+    )
