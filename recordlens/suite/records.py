@@ -8,7 +8,7 @@ from ..functions import dates, identity
 from ..functions.vectors import hash_bytes
 from ..operators import ground_truth, names, passages, planning, validation
 from ..plans import decode, embed, load
-from ..session import scratch_folder
+from ..session import cut_lineage, scratch_folder
 from ..sources import feeds, flatfile, tables as stored
 from . import tables as t
 from .tables import DOCS, with_sql
@@ -185,7 +185,8 @@ linked AS (SELECT action_number, campaign_number, component, min(feed_order) AS
 
 
 def _flat_rows(spark, d) -> DataFrame:
-    return flatfile.parse_investigations(_flat_lines(spark, d)).withColumn("vehicle_id", F.lit(1).cast("long"))
+    rows = flatfile.parse_investigations(_flat_lines(spark, d)).withColumn("vehicle_id", F.lit(1).cast("long"))
+    return cut_lineage(rows)
 
 
 @query("plan_investigations", with_sql(_FLAT_GROUPS, select="""
