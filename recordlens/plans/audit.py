@@ -92,7 +92,8 @@ def audit_answers(
     a refusal or with a reply that cannot be read are ungrounded, with the reason
     as their text.
     """
-    evidence = shown.select("query_id", "document_id")
+    # A few ids per question, asked for the evidence test and for every citation.
+    evidence = cut_lineage(shown.select("query_id", "document_id"))
     has_evidence = evidence.select("query_id").distinct().withColumn("has_evidence", F.lit(True))
     asked = questions.select("query_id", "vehicle_id", F.col("text").alias("question")).join(
         has_evidence, "query_id", "left"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import answers, grounding, postings, ranking
 from ..plans import audit
+from ..session import cut_lineage
 from . import tables as t
 from .retrieval import _OPEN, _open_matches
 from .tables import DENSE, DOCS, FUSED, PAIRS, SPARSE, VEHICLES, with_sql
@@ -270,5 +271,6 @@ SELECT item_id AS answer_id, item_id % 20 AS vehicle_id, text AS question, CASE
   CASE WHEN state IN ('good', 'bad') THEN emitted - good ELSE 0 END AS dropped_citation_count FROM states"""))
 def audit_answers(spark, d):
     shown = _shown(spark, d)
-    audited, _ = audit.audit_answers(_questions(spark, d), shown, _shown_replies(shown), t.documents(spark, d))
+    replies = cut_lineage(_shown_replies(shown))
+    audited, _ = audit.audit_answers(_questions(spark, d), shown, replies, t.documents(spark, d))
     return audited.withColumn("campaigns", F.size("linked_campaigns")).drop("linked_campaigns")
