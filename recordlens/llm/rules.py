@@ -1,11 +1,10 @@
 """Quality rules whose cutoffs are chosen under a proven limit on false rejections.
 
 Every document is measured whole; labelled documents are counted per stratum,
-rule and value; and for each stratum and rule the strictest cutoff is taken whose
-rate of rejected good documents is shown, by an exact binomial test on the
-labelled holdout, to stay under the limit.  The tests of all strata, rules and
-cutoffs are corrected together (Bonferroni), so with probability
-``1 - error`` every cutoff in use keeps its limit.
+rule and value; and for each stratum and rule a cutoff is taken whose rate of rejected good documents is shown, by an exact binomial test on the
+labelled holdout, to stay under the limit.  The tests are corrected over all
+strata and rules (Bonferroni) and run in a fixed sequence over cutoffs, so with
+probability ``1 - error`` every cutoff in use keeps its limit.
 """
 
 from __future__ import annotations
@@ -124,14 +123,11 @@ def share(part: str, whole: str) -> Column:
 def rules() -> list[Rule]:
     """The published heuristics, as shares."""
     return [
-        Rule("symbols", share("n_symbols", "word_chars")),
-        Rule("symbols_a_word", share("n_symbols", "n_words")),
+        Rule("symbols", share("n_symbols", "n_words")),
+        Rule("bare_words", share("n_bare", "n_words")),
         Rule("repeated_lines", share("n_dup_lines", "n_lines")),
         Rule("repeated_words", share("n_repeat_words", "n_words")),
-        Rule("bare_words", share("n_bare", "n_words")),
         Rule("distinct_words", share("n_distinct", "n_words"), above=False),
-        Rule("long_words", share("word_chars", "n_words") / 40),
-        Rule("short_words", share("word_chars", "n_words") / 10, above=False),
     ]
 
 
@@ -147,35 +143,39 @@ def at_most(rejected: int, total: int, limit: float) -> float:
     return min(1.0, math.exp(log))
 
 
-def choose(counts: list[tuple], steps: dict[str, int], *, limit: float, error: float) -> list[tuple]:
+def choose(counts: list[tuple], steps: dict[str, int], *, limit: float, error: float, price: float = 10.0) -> list[tuple]:
     """``(stratum, rule, cutoff, rejected_good, good)`` of every cutoff in use.
 
     ``counts`` holds ``(stratum, rule, step, good, bad)``.  A document is rejected
     if its step is above the cutoff.  Within a stratum each rule gets an equal part
-    of ``limit``, so the rules together keep it.  A rule without a certified cutoff,
-    or whose certified cutoffs reject nothing bad, is not used in that stratum.
+    of ``limit``, so the rules together keep it.  ``error`` is divided among the
+    (stratum, rule) pairs; in each, cutoffs are tested from the loosest on until one
+    is not certified (a fixed sequence, which needs no further correction).  Of the
+    certified ones that is used which rejects the largest share of the bad after
+    ``price`` times the share of the good; a rule that gains nothing is not used.
     """
     tables: dict[tuple, np.ndarray] = {}
     for stratum, rule, step, good, bad in counts:
         found = tables.setdefault((stratum, rule), np.zeros((steps[rule] + 1, 2), np.int64))
         found[step] += (good, bad)
-    each = error / max(1, sum(steps[rule] for _, rule in tables))
-    per_rule = limit / max(1, len(steps))
+    each, per_rule = error / max(1, len(tables)), limit / max(1, len(steps))
     chosen = []
     for (stratum, rule), found in sorted(tables.items(), key=lambda t: (t[0][0] or "", t[0][1])):
-        total = int(found[:, 0].sum())
-        above = found.sum(0) - np.cumsum(found, axis=0)  # good and bad rejected at each cutoff
-        for cutoff in range(steps[rule]):
-            good, bad = (int(x) for x in above[cutoff])
-            if at_most(good, total, per_rule) <= each:
-                if bad:
-                    chosen.append((stratum, rule, cutoff, good, total))
-                break  # looser cutoffs reject less
+        good, bad = (max(1, int(x)) for x in found.sum(0))
+        rejected = (found.sum(0) - np.cumsum(found, axis=0)).tolist()  # good and bad at each cutoff
+        best = (0.0, None)
+        for cutoff in range(steps[rule] - 1, -1, -1):
+            wrong, right = rejected[cutoff]
+            if at_most(wrong, good, per_rule) > each:
+                break
+            best = max(best, (right / bad - price * wrong / good, (stratum, rule, cutoff, wrong, good)), key=lambda x: x[0])
+        if best[1]:
+            chosen.append(best[1])
     return chosen
 
 
 def learn(measured: DataFrame, labels: DataFrame, stratum: Column, *, doc_id: str = "doc_id", label: str = "quality",
-          limit: float = 0.02, error: float = 0.05) -> list[tuple]:
+          limit: float = 0.05, error: float = 0.05) -> list[tuple]:
     """Cutoffs from every labelled row (see ``choose``).
 
     Only counts reach the driver: at most (strata x rules x steps) rows, whatever
@@ -214,7 +214,7 @@ def verdict(chosen: list[tuple], stratum: Column) -> Column:
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
-                strata: str | None = "lang", limit: float = 0.02, error: float = 0.05) -> DataFrame:
+                strata: str | None = "lang", limit: float = 0.05, error: float = 0.05) -> DataFrame:
     """Every row without its text, with its counts, ``base_failed`` and ``kept``.
 
     ``strata`` names a column with few values (a null is a stratum of its own);

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, rules
+from . import bpe, lattice, rules
 from .common import table
 
 QUERIES: dict = {}
@@ -34,6 +35,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def unigram_pieces() -> list[tuple[str, float]]:
+    """The normal pieces of the public piece vocabulary.  Its scores are falling ranks; a piece's weight is one by its rank."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    odd = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+    return [(model.id_to_piece(k), -math.log(1 - model.get_score(k))) for k in range(model.get_piece_size()) if not any(f(k) for f in odd)]
+
+
+@query
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), unigram_pieces())
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
