@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, lattice, rules
+from ..session import scratch_folder
+from . import bpe, lattice, rules, token_files
 from .common import table
 
 QUERIES: dict = {}
@@ -26,6 +27,14 @@ def vocabulary(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write_tokens(docs, path, vocabulary("word_bpe_49k.json").decode(), end=2)
+    return token_files.id_checksums(token_files.read_tokens(spark, path))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
