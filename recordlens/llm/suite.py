@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_folder
-from . import bpe, lattice, mixing, rules, token_files, toxicity
+from . import bpe, lattice, mixing, pu_quality, rules, token_files, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -73,6 +73,14 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("spans").alias("stretches"))
 
 
+@query
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.learn(docs, table(spark, sf_dir, "labels"))
+    return pu_quality.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= pu_quality.CUT).cast("int").alias("predicted"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
