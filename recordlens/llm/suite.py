@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_folder
-from . import bpe, lattice, mixing, pu_quality, rules, token_files, toxicity
+from . import bpe, lattice, line_windows, mixing, pu_quality, rules, token_files, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -59,6 +59,15 @@ def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), unigram_pieces())
 
 
+@query
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLE["op5_line_windows"] = line_windows.ORACLE
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
