@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_folder
-from . import bpe, lattice, line_windows, mixing, pu_quality, rules, token_files, toxicity
+from . import bpe, lattice, line_windows, mixing, pu_quality, rules, spotsigs, token_files, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -35,6 +35,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_checksums(token_files.read_tokens(spark, path))
 
 
+@query
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return prints.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"), spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
