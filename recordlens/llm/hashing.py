@@ -19,11 +19,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray]:
-    """For every word (A-Z lower-cased, cut at ASCII white space) its hash and those of its beginnings, and where each
+def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = PREFIXES, *, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For every word (cut at ASCII white space, with ``lower`` A-Z lower-cased) its hash and those of its beginnings, and where each
     text's words begin (one more entry at the end).  A word shorter than a beginning stands for it whole."""
     data = b"\n".join((t or "").encode() for t in texts) + b"\n"
-    raw = _LOWER[np.frombuffer(data, np.uint8)]
+    raw = np.frombuffer(data, np.uint8)
+    raw = _LOWER[raw] if lower else raw
     space = _SPACES[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
