@@ -21,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
 from .common import over_batches
@@ -94,6 +94,17 @@ def keyed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", hashes
     return over_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), schema, work, size=2 << 20)
 
 
+def with_keys(docs: DataFrame, made: str, *, text: str = "text") -> DataFrame:
+    """Every row, whole, with the key of its set of shingles as ``made``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(made, T.BinaryType())])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [set_key(s) for s in shingle_sets(batch.column(batch.num_columns - 1).to_pylist())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], schema.names)
+
+    return over_batches(docs.withColumn("_shingled", F.col(text)), schema, work, size=2 << 20)
+
+
 # ---- chosen paths ----------------------------------------------------------------------------------------------
 
 def runs_for(recall: float, like: float, levels: int) -> int:

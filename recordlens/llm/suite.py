@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_folder
+from ..session import scratch_folder, steady_unions
 from . import bpe, jaccard_join, lattice, line_windows, mixing, pu_quality, rules, spotsigs, token_files, toxicity
 from .common import fold, table
 
@@ -16,8 +17,13 @@ ORACLE: dict[str, str] = {}
 
 
 def query(run):
-    QUERIES[run.__name__] = run
-    return run
+    @functools.wraps(run)
+    def steady(spark, sf_dir):
+        steady_unions(spark)
+        return run(spark, sf_dir)
+
+    QUERIES[run.__name__] = steady
+    return steady
 
 
 def vocabulary(name: str) -> bytes:
