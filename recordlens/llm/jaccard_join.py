@@ -102,7 +102,7 @@ def with_keys(docs: DataFrame, made: str, *, text: str = "text") -> DataFrame:
         keys = [set_key(s) for s in shingle_sets(batch.column(batch.num_columns - 1).to_pylist())]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], schema.names)
 
-    return over_batches(docs.withColumn("_shingled", F.col(text)), schema, work, size=2 << 20)
+    return over_batches(docs.select("*", F.col(text).alias("_shingled")), schema, work, size=2 << 20)
 
 
 # ---- chosen paths ----------------------------------------------------------------------------------------------
@@ -121,6 +121,7 @@ def children(node: np.ndarray, sig: np.ndarray, like: float, first: np.ndarray |
     """Rows and the child buckets they go to; a node's coordinates are sampled by its own number."""
     coordinate = (mixed(node + np.uint64(1)) % np.uint64(HASHES)).astype(np.int64) if first is None else first
     other = (mixed(node + np.uint64(2)) % np.uint64(HASHES)).astype(np.int64)
+    other = np.where(other == coordinate, (other + 1) % HASHES, other)
     also = np.flatnonzero((mixed(node + np.uint64(3)) >> np.uint64(11)).astype(float) / (1 << 53) < 1 / like - 1)
     rows = np.concatenate([np.arange(len(node)), also])
     chosen = np.concatenate([coordinate, other[also]])
@@ -300,7 +301,7 @@ def compare(rows: DataFrame, like: float = LIKE) -> DataFrame:
 def _tokens(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``key, tokens`` of the documents that stand for the wanted classes."""
     found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(
-        ids.select(F.col("rep").alias("_rep")).distinct(), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_id", "_text")
+        ids.select(F.col("rep").alias("_rep")).distinct().hint("merge"), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_id", "_text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist())
