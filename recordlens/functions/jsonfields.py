@@ -1,21 +1,125 @@
-"""Tolerant reads of JSON objects whose field names and types vary by feed."""
+"""Tolerant reads of JSON objects whose field names and types vary by feed.
+
+JSON is cut into its members and elements as they are written: a number keeps its
+text, a nested value its own, a repeated name all its values, and a body may be of
+any size.  The cutting is done by Python's JSON scanner over Arrow batches.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import functools
+import json
+from json.decoder import WHITESPACE, scanstring
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
+
+FIELDS = T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in ("name", "text", "type")]))
+RESULTS = T.StructType([
+    T.StructField("is_json", T.BooleanType()), T.StructField("found", T.BooleanType()),
+    T.StructField("elements", T.ArrayType(T.StructType([T.StructField("raw", T.StringType()), T.StructField("fields", FIELDS)]))),
+])
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+@functools.cache
+def _scanner() -> json.JSONDecoder:
+    """Finds where a value ends; only strings are kept."""
+    return json.JSONDecoder(parse_constant=_no_constant, parse_float=str, parse_int=str, object_pairs_hook=lambda pairs: None)
+
+
+def _gap(text: str, at: int) -> int:
+    return WHITESPACE.match(text, at).end()
+
+
+def _kind(first: str) -> str:
+    return {'"': "STRING", "{": "OBJECT", "[": "ARRAY", "t": "BOOLEAN", "f": "BOOLEAN", "n": "VOID"}.get(first, "NUMBER")
+
+
+def _clean(text: str) -> str:
+    """Half of a surrogate pair is no character; it reads as the replacement character."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+
+
+def members(text: str | None) -> list[tuple[str, str, str]] | None:
+    """``(name, text, type)`` of each member of an object in order; None for anything else."""
+    return _cut(text, "{", "}")
+
 
-SCALARS = r"^(STRING|BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
+def elements(text: str | None) -> list[str] | None:
+    """The texts of an array's elements as written; None for anything else."""
+    found = _cut(text, "[", "]")
+    return None if found is None else [raw for _, raw, _ in found]
 
 
-def object_fields(text: Column) -> Column:
+def _cut(text: str | None, opening: str, closing: str) -> list[tuple[str, str, str]] | None:
+    if not text:
+        return None
+    try:
+        at = _gap(text, 0)
+        if text[at] != opening:
+            return None
+        out, at = [], _gap(text, at + 1)
+        while text[at] != closing:
+            if out:
+                if text[at] != ",":
+                    return None
+                at = _gap(text, at + 1)
+            name = ""
+            if opening == "{":
+                if text[at] != '"':
+                    return None
+                name, at = scanstring(text, at + 1, True)
+                at = _gap(text, at)
+                if text[at] != ":":
+                    return None
+                at = _gap(text, at + 1)
+            value, end = _scanner().raw_decode(text, at)
+            kind = _kind(text[at])
+            shown = value if kind == "STRING" and opening == "{" else text[at:end]
+            out.append((_clean(name), _clean(shown), kind))
+            at = _gap(text, end)
+        return out if _gap(text, at + 1) == len(text) else None
+    except (ValueError, IndexError, RecursionError):
+        return None
+
+
+def _is_json(text: str | None) -> bool:
+    try:
+        value = (text or "").strip(" \t\r\n")
+        return _scanner().raw_decode(value, 0)[1] == len(value)
+    except (ValueError, IndexError, RecursionError):
+        return False
+
+
+def _results(body: str | None) -> dict:
+    fields = members(body)
+    first = next((f for f in fields or [] if f[0].lower() == "results"), None)
+    rows = elements(first[1]) if first and first[2] == "ARRAY" else None
+    return {"is_json": fields is not None or _is_json(body), "found": rows is not None,
+            "elements": [{"raw": raw, "fields": members(raw)} for raw in rows or []]}
+
+
+@pandas_udf(FIELDS)
+def object_fields(text: pd.Series) -> pd.Series:
     """``array<struct<name, text, type>>`` of an object; null for anything else."""
-    plain = F.from_json(text, "map<string,string>")
-    typed = F.from_json(text, "map<string,variant>")
-    return F.arrays_zip(
-        F.map_keys(plain).alias("name"),
-        F.map_values(plain).alias("text"),
-        F.transform(F.map_values(typed), lambda v: F.schema_of_variant(v)).alias("type"),
-    )
+    return text.map(members)
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def array_elements(text: pd.Series) -> pd.Series:
+    """The elements of an array as written; null for anything else."""
+    return text.map(elements)
+
+
+@pandas_udf(RESULTS)
+def read_results(body: pd.Series) -> pd.DataFrame:
+    """A response read once: whether it is JSON, whether it has a ``results`` array, and each element's text and fields."""
+    return pd.DataFrame([_results(b) for b in body], columns=["is_json", "found", "elements"])
 
 
 def find_field(fields: Column, name: str) -> Column:
@@ -27,17 +131,8 @@ def read_text(fields: Column, name: str) -> Column:
     """Strings and numbers as written, booleans as True/False, else the empty text."""
     field = find_field(fields, name)
     return F.coalesce(
-        F.when(field["type"].rlike(SCALARS), field["text"]).when(
+        F.when(field["type"].isin("STRING", "NUMBER"), field["text"]).when(
             field["type"] == "BOOLEAN", F.initcap(field["text"])
         ),
         F.lit(""),
     )
-
-
-def result_elements(body: Column) -> Column:
-    """The texts of the ``results`` array; an empty array when there is none."""
-    results = find_field(object_fields(body), "results")
-    return F.coalesce(
-        F.when(results["type"].startswith("ARRAY"), F.from_json(results["text"], "array<string>")),
-        F.array().cast("array<string>"),
-    )

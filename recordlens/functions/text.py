@@ -70,8 +70,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def query_term_array(col: Column) -> Column:
-    """Distinct usable terms of a question, first spelling kept, at most ``MAX_TERMS``."""
+def query_term_array(col: Column, max_terms: int | None = MAX_TERMS) -> Column:
+    """Distinct usable terms of a question, first spelling kept, at most ``max_terms`` (None: all)."""
     usable = F.filter(
         words(F.coalesce(col, F.lit(""))),
         lambda w: (F.length(w) >= MIN_TERM_LENGTH) & ~F.lower(w).isin(IGNORED_WORDS),
@@ -79,7 +79,7 @@ def query_term_array(col: Column) -> Column:
     return let(usable, lambda spelled: let(
         F.transform(spelled, lambda w: F.lower(w)),
         lambda lowered: F.transform(
-            F.slice(F.array_distinct(lowered), 1, MAX_TERMS),
+            F.slice(F.array_distinct(lowered), 1, max_terms or 2**31 - 1),
             lambda t: F.struct(
                 F.get(spelled, F.array_position(lowered, t).cast("int") - 1).alias("term"),
                 t.alias("lexeme"),

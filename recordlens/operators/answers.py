@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.jsonfields import array_elements, object_fields
 from ..functions.text import cited_id, is_blank, trim_ws
 
 # Failure reasons.
@@ -83,53 +84,43 @@ def answer(contexts: DataFrame, answerer: Answerer, batch: int = 16) -> DataFram
     return contexts.select("query_id", "context").mapInPandas(run, "query_id long, reply string")
 
 
-def _typed(value: Column, path: str, kind: str) -> Column:
-    """Whether a variant has a value of that type at the path."""
-    found = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    return F.coalesce(found.startswith(kind), F.lit(False))
-
-
-def _text(value: Column, path: str) -> Column:
-    return F.when(_typed(value, path, "STRING"), F.try_variant_get(value, path, "string"))
-
-
-def _items(value: Column, path: str) -> Column:
-    return F.when(_typed(value, path, "ARRAY"), F.try_variant_get(value, path, "array<variant>"))
+def _last(fields: Column, name: str, kind: str) -> Column:
+    """The text of the last member of that name, if it has that type."""
+    named = F.filter(fields, lambda f: f["name"] == name)
+    last = F.try_element_at(named, F.lit(-1))
+    return F.when(last["type"] == kind, last["text"])
 
 
 def parse_answers(replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read ``answer_id, reply`` into answers, citations and failures.
 
     Anything but an object with a non-blank ``answer`` text is a failure with its
-    reason.  Citations that are not objects are passed over; a missing id or
-    quote reads as the empty text.
+    reason.  Of a repeated member the last counts.  Citations that are not objects
+    are passed over; a missing id or quote reads as the empty text.
     """
     v = F.col("v")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    read = replies.withColumn("v", F.try_parse_json("reply")).withColumn(
+    read = replies.withColumn("v", object_fields("reply")).withColumn(
         "failure",
-        F.when(~is_object, F.lit(MALFORMED_JSON))
-        .when(is_blank(_text(v, "$.answer")), F.lit(MISSING_ANSWER)),
+        F.when(v.isNull(), F.lit(MALFORMED_JSON))
+        .when(is_blank(F.coalesce(_last(v, "answer", "STRING"), F.lit(""))), F.lit(MISSING_ANSWER)),
     )
     good = read.where("failure IS NULL")
-    campaigns = F.filter(
-        F.transform(_items(v, "$.linkedCampaigns"), lambda c: _text(c, "$")),
-        lambda c: ~is_blank(c),
-    )
+    texts = F.filter(
+        F.from_json(_last(v, "linkedCampaigns", "ARRAY"), "array<variant>"), lambda c: F.schema_of_variant(c) == "STRING")
+    campaigns = F.filter(F.transform(texts, lambda c: F.variant_get(c, "$", "string")), lambda c: ~is_blank(c))
     answers = good.select(
         "answer_id",
-        F.try_variant_get(v, "$.answer", "string").alias("answer_text"),
-        (_typed(v, "$.isKnownPattern", "BOOLEAN")
-         & F.coalesce(F.try_variant_get(v, "$.isKnownPattern", "boolean"), F.lit(False)))
-        .alias("is_known_pattern"),
+        _last(v, "answer", "STRING").alias("answer_text"),
+        F.coalesce(_last(v, "isKnownPattern", "BOOLEAN") == "true", F.lit(False)).alias("is_known_pattern"),
         F.coalesce(campaigns, F.array().cast("array<string>")).alias("linked_campaigns"),
     )
+    cited = good.select("answer_id", array_elements(_last(v, "citations", "ARRAY")).alias("items")).select(
+        "answer_id", F.posexplode_outer("items").alias("pos", "item")
+    ).select("answer_id", "pos", object_fields("item").alias("c"))
     c = F.col("c")
-    citations = good.select(
-        "answer_id", F.posexplode(_items(v, "$.citations")).alias("pos", "c")
-    ).where(F.schema_of_variant(c).startswith("OBJECT")).select(
+    citations = cited.where(c.isNotNull()).select(
         "answer_id", "pos",
-        cited_id(F.coalesce(_text(c, "$.documentId"), F.lit(""))).alias("document_id"),
-        F.coalesce(_text(c, "$.quote"), F.lit("")).alias("quote"),
+        cited_id(F.coalesce(_last(c, "documentId", "STRING"), F.lit(""))).alias("document_id"),
+        F.coalesce(_last(c, "quote", "STRING"), F.lit("")).alias("quote"),
     )
     return answers, citations, read.where("failure IS NOT NULL").select("answer_id", "failure")

@@ -71,10 +71,14 @@ def window_matches(
     """``link_id, document_id, external_id`` of the complaints inside each link's window.
 
     A full-length component prefix is itself a join key.  A shorter one can only
-    share its first character as a key, so a complaint offers both; a link uses
-    exactly one, and the prefix test stays as a condition.  Complaints of the
-    vehicles in ``hot`` are spread over salts that those vehicles' links follow.
+    share its first character as a key, so a complaint offers both where such links
+    exist; a link uses exactly one, and the prefix test stays as a condition.  The
+    month is a key too: a link offers the months of its window, an open window those
+    up to the newest complaint.  Complaints of the vehicles in ``hot`` are spread over
+    salts that those vehicles' links follow.
     """
+    dated = complaints.where(F.col("filed_on").isNotNull())
+    newest = dated.agg(F.max("filed_on")).first()[0]
     windows = links.select(
         "link_id", "vehicle_id", "opened_on", "closed_on",
         component_prefix(F.col("component"), prefix_len).alias("prefix"),
@@ -82,13 +86,16 @@ def window_matches(
         "prefix_key",
         F.when(F.length("prefix") == prefix_len, F.col("prefix")).otherwise(F.substring("prefix", 1, 1)),
     )
-    offered = complaints.where(F.col("filed_on").isNotNull()).select(
-        "vehicle_id", "document_id", "external_id", "component", "filed_on",
-        F.explode(F.array_distinct(F.array(
-            F.substring("component", 1, prefix_len), F.substring("component", 1, 1)
-        ))).alias("prefix_key"),
+    last = F.least(F.coalesce("closed_on", F.lit(newest)), F.lit(newest))
+    short = not windows.where(F.length("prefix") < prefix_len).isEmpty()
+    windows = windows.where(F.col("opened_on") <= last).withColumn(
+        "month", F.explode(F.sequence(F.trunc("opened_on", "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))))
+    prefixes = [F.substring("component", 1, prefix_len), *[F.substring("component", 1, 1)] * short]
+    offered = dated.select(
+        "vehicle_id", "document_id", "external_id", "component", "filed_on", F.trunc("filed_on", "month").alias("month"),
+        F.explode(F.array_distinct(F.array(*prefixes))).alias("prefix_key"),
     )
-    keys = ["vehicle_id", "prefix_key"]
+    keys = ["vehicle_id", "prefix_key", "month"]
     if hot is not None:
         offered, windows = salted(offered, F.col("document_id"), hot), replicated(windows, hot)
         keys.append("salt")
@@ -110,21 +117,24 @@ def cap_queries(matches: DataFrame, n: int = MAX_QUERIES_PER_LINK) -> DataFrame:
 
 
 def build_ground_truth(
-    links: DataFrame, documents: DataFrame, vehicle_id: int | None = None
+    links: DataFrame, documents: DataFrame, vehicle_id: int | None = None,
+    per_link: int | None = MAX_QUERIES_PER_LINK, prefix_len: int = COMPONENT_PREFIX_LENGTH,
 ) -> tuple[DataFrame, DataFrame]:
     """Cases and their relevant sets.
 
     ``cases``: ``case_row, case_id, link_id, vehicle_id, document_id, query_text``;
     one complaint under two links is two cases with one ``case_id``, so rows are
-    told apart by ``case_row``.  ``qrels``: ``link_id, document_id``.
+    told apart by ``case_row``.  ``qrels``: ``link_id, document_id``.  A link asks
+    ``per_link`` complaints, or all of its window with None.
     """
     scoped = scoped_links(links, documents)
     if vehicle_id is not None:
         scoped = scoped.where(F.col("vehicle_id") == vehicle_id)
     complaints = documents.where(F.col("kind") == "complaint")
-    matches = window_matches(scoped, complaints, hot=hot_vehicles(complaints))
+    matches = window_matches(scoped, complaints, prefix_len, hot_vehicles(complaints))
     # A few complaints per link: written, so their bodies can be picked by id.
-    picked = cut_lineage(cap_queries(matches).select("link_id", "document_id"))
+    picked = matches if per_link is None else cap_queries(matches, per_link)
+    picked = cut_lineage(picked.select("link_id", "document_id"))
     heads = scoped.select("link_id", "vehicle_id", "investigation_external_id")
     bodies = keep_ids(
         complaints.select("document_id", "external_id", F.col("body").alias("query_text")),

@@ -49,28 +49,46 @@ def _fit_values(prefix: str = "") -> dict[str, Column]:
 
 
 def _packed(df: DataFrame, attributes: dict[str, str], key: str, block_bytes: int) -> DataFrame:
-    """Rows ``vehicle_id, <key> array, vectors, <attribute arrays>``, one per block."""
+    """Rows ``vehicle_id, <key> array, vectors, <attribute arrays>``, one per block.
+
+    Rows are sorted by vehicle inside their task, without a shuffle, and a block goes
+    on over Arrow batches: a vehicle has at most one unfilled block in each partition.
+    """
     names = list(attributes)
     schema = f"vehicle_id long, {key} array<long>, vectors binary, " + ", ".join(
         f"{n} array<{t}>" for n, t in attributes.items()
     )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for batch in batches:
-            for vehicle, rows in batch.groupby("vehicle_id", sort=False):
-                rows = rows.sort_values(key)
-                vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-                step = max(1, block_bytes // (4 * vectors.shape[1]))
-                for at in range(0, len(rows), step):
-                    part = rows.iloc[at:at + step]
-                    yield pd.DataFrame({
-                        "vehicle_id": [vehicle],
-                        key: [part[key].to_numpy()],
-                        "vectors": [vectors[at:at + step].tobytes()],
-                        **{n: [part[n].to_numpy()] for n in names},
-                    })
-
-    return df.mapInPandas(pack, schema)
+            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if len(frame):
+                blocks, left = cut(frame, last=False)
+                rest = frame.iloc[left:]
+                if blocks:
+                    yield pd.DataFrame(blocks)
+        if rest is not None and len(rest):
+            yield pd.DataFrame(cut(rest.reset_index(drop=True), last=True)[0])
+
+    def cut(frame: pd.DataFrame, last: bool) -> tuple[list[dict], int]:
+        """The blocks of a sorted frame, and the row where the unfinished one begins."""
+        vehicles = frame["vehicle_id"].to_numpy()
+        vectors = np.stack(frame["embedding"].to_numpy()).astype(np.float32)
+        columns = {n: frame[n].to_numpy() for n in (key, *names)}
+        step = max(1, block_bytes // (4 * vectors.shape[1]))
+        edges = [0, *(np.flatnonzero(vehicles[1:] != vehicles[:-1]) + 1).tolist(), len(frame)]
+        blocks = []
+        for first, end in zip(edges[:-1], edges[1:], strict=True):
+            for at in range(first, end, step):
+                if end == len(frame) and at + step > end and not last:
+                    return blocks, at
+                to = min(at + step, end)
+                blocks.append({"vehicle_id": vehicles[at], "vectors": vectors[at:to].tobytes(),
+                               **{n: c[at:to] for n, c in columns.items()}})
+        return blocks, len(frame)
+
+    return df.sortWithinPartitions("vehicle_id", key).mapInPandas(pack, schema)
 
 
 def pack_records(chunks: DataFrame) -> DataFrame:

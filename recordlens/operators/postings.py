@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.english import STOP_WORDS, stem
-from ..functions.text import lexemes, query_term_array, raw_words
+from ..functions.text import MAX_TERMS, lexemes, query_term_array, raw_words
 from .filters import RECORD_COLUMNS, passes
 from .sizing import replicated, salted
 
@@ -40,11 +40,13 @@ def analyze(df: DataFrame, text: str, analyzer: str = "simple") -> DataFrame:
     return analyzed(tokens, analyzer)
 
 
-def query_terms(queries: DataFrame, text: str = "text", analyzer: str = "simple") -> DataFrame:
+def query_terms(
+    queries: DataFrame, text: str = "text", analyzer: str = "simple", max_terms: int | None = MAX_TERMS,
+) -> DataFrame:
     """``query_id, pos, term, lexeme`` and the other query columns; none for no usable term."""
     others = [c for c in queries.columns if c != text]
     terms = queries.select(
-        *others, F.posexplode_outer(query_term_array(F.col(text))).alias("pos", "t")
+        *others, F.posexplode_outer(query_term_array(F.col(text), max_terms)).alias("pos", "t")
     ).where(F.col("t").isNotNull()).select(*others, "pos", "t.term", "t.lexeme")
     if analyzer == "english":
         # Two words of one stem count once: the earliest stays.

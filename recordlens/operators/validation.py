@@ -36,14 +36,17 @@ def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("problem IS NULL").drop("problem"), checked.where("problem IS NOT NULL")
 
 
-def checked_queries(queries: DataFrame) -> DataFrame:
-    """Queries with defaults filled in, and a ``problem`` that is null when valid."""
+def checked_queries(queries: DataFrame, max_length: int | None = MAX_QUERY_LENGTH) -> DataFrame:
+    """Queries with defaults filled in, and a ``problem`` that is null when valid.
+
+    A text may have ``max_length`` characters, or any number with None.
+    """
     mode = option(F.col("mode"), MODES, "hybrid")
     scope = option(F.col("scope"), SCOPES, "all")
     trims = option(F.col("trims"), TRIMS, "allTrims")
     length = F.length(F.coalesce(trim_ws(F.col("text")), F.lit("")))
     problem = (
-        F.when(~length.between(MIN_QUERY_LENGTH, MAX_QUERY_LENGTH), F.lit(QUERY_LENGTH_PROBLEM))
+        F.when(~length.between(MIN_QUERY_LENGTH, max_length or 2**31 - 1), F.lit(QUERY_LENGTH_PROBLEM))
         .when(mode.isNull(), F.format_string(MODE_PROBLEM, "mode"))
         .when(scope.isNull(), F.format_string(SCOPE_PROBLEM, "scope"))
         .when(trims.isNull(), F.format_string(TRIMS_PROBLEM, "trims"))
@@ -62,9 +65,9 @@ def checked_queries(queries: DataFrame) -> DataFrame:
     })
 
 
-def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_queries(queries: DataFrame, max_length: int | None = MAX_QUERY_LENGTH) -> tuple[DataFrame, DataFrame]:
     """Valid queries in normal form, and rejects with their first problem."""
-    return _split(checked_queries(queries))
+    return _split(checked_queries(queries, max_length))
 
 
 def checked_registrations(registrations: DataFrame, year_now: int) -> DataFrame:

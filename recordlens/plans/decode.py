@@ -36,9 +36,12 @@ def descriptor_worklist(records: DataFrame, decodes: DataFrame) -> DataFrame:
 
 def resolve_decodes(records: DataFrame, decodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with the fit of their descriptor, and the descriptors still to ask."""
-    fits = decodes.select(*KEY, *FIT_COLUMNS)
     kept = [c for c in records.columns if c not in FIT_COLUMNS]
-    resolved = records.select(*kept).join(fits, KEY, "left")
+    # Records without a descriptor match nothing; spread, so that they are not one key.
+    apart = F.pmod(F.xxhash64("document_id"), F.lit(4096)) if "document_id" in kept else F.lit(0)
+    fits = decodes.select(*KEY, *FIT_COLUMNS, F.lit(0).cast("long").alias("_apart"))
+    resolved = records.select(*kept, F.when(F.col("descriptor").isNull(), apart).otherwise(0).cast("long").alias("_apart")).join(
+        fits, [*KEY, "_apart"], "left").drop("_apart")
     return resolved, descriptor_worklist(records, decodes)
 
 

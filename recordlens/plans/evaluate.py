@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.filters import dense_ready, own_fit
-from ..operators.ground_truth import build_ground_truth
+from ..functions.text import COMPONENT_PREFIX_LENGTH, MAX_TERMS
+from ..operators.ground_truth import MAX_QUERIES_PER_LINK, build_ground_truth
 from ..operators.metrics import metrics_json, per_case, summarise
 from ..operators.neighbours import knn
 from ..operators.postings import tokens_of
-from ..operators.ranking import evaluation_ranking, fused_order, merge_rankings, rrf_score
+from ..operators.ranking import CANDIDATE_WINDOW, evaluation_ranking, fused_order, merge_rankings, rrf_score
 from ..operators.sizing import is_small, spread
-from ..operators.validation import validate_queries
+from ..operators.validation import MAX_QUERY_LENGTH, checked_queries, validate_queries
 from ..session import cut_lineage, steady_unions
 from ..sources.tables import append_log
 from .search import hot_or_none, sparse_ranking
@@ -22,12 +25,27 @@ NO_PROVIDER = (
 )
 
 
-def case_queries(cases: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Every case as a query in both pools.
+@dataclass(frozen=True)
+class Settings:
+    """What an evaluation asks: by default every case, with its whole text.
 
-    A case text outside the query limits is no query: its ranking stays empty
-    and still counts.
+    ``PUBLISHED`` has the limits of a typed query; a case beyond them is not asked,
+    counts as not asked, and scores zero.
     """
+
+    max_length: int | None = None
+    max_terms: int | None = MAX_TERMS
+    per_link: int | None = MAX_QUERIES_PER_LINK
+    prefix_len: int = COMPONENT_PREFIX_LENGTH
+    window: int = CANDIDATE_WINDOW
+    depth: int = RANKING_DEPTH
+
+
+PUBLISHED = Settings(max_length=MAX_QUERY_LENGTH)
+
+
+def case_queries(cases: DataFrame, vehicles: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Every case that can be asked as a query in both pools."""
     asked = cases.select(
         "case_row", "vehicle_id", "document_id", F.col("query_text").alias("text"),
         F.explode(F.array(F.lit("all"), F.lit("campaigns"))).alias("scope"),
@@ -35,13 +53,29 @@ def case_queries(cases: DataFrame, vehicles: DataFrame) -> DataFrame:
         F.xxhash64("case_row", "scope").alias("query_id"), "case_row", "vehicle_id", "document_id",
         "text", "scope", F.lit("hybrid").alias("mode"), F.lit("allTrims").alias("trims"),
         F.lit(None).cast("string").alias("component"), F.lit(None).cast("date").alias("filed_from"),
-        F.lit(None).cast("date").alias("filed_to"), F.lit(RANKING_DEPTH).alias("limit"),
+        F.lit(None).cast("date").alias("filed_to"), F.lit(1).alias("limit"),
     )
-    valid, _ = validate_queries(asked)
+    valid, _ = validate_queries(asked, settings.max_length)
     return own_fit(valid, vehicles)
 
 
-def mode_rankings(merged: DataFrame) -> DataFrame:
+def count_not_asked(cases: DataFrame, settings: Settings) -> int:
+    """Cases whose text is no query under the settings."""
+    checked = checked_queries(cases.select(
+        F.col("query_text").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("mode", "scope", "trims", "component")],
+        F.lit(1).alias("limit"), *[F.lit(None).cast("date").alias(c) for c in ("filed_from", "filed_to")]), settings.max_length)
+    return checked.where("problem IS NOT NULL").count()
+
+
+def count_without_vector(cases: DataFrame, query_vectors: DataFrame | None) -> int:
+    """Cases whose own text has no vector: their dense list is empty, their hybrid list the keyword one."""
+    if query_vectors is None:
+        return cases.count()
+    known = query_vectors.where(F.col("embedding").isNotNull()).select("document_id")
+    return cases.join(known, "document_id", "left_anti").count()
+
+
+def mode_rankings(merged: DataFrame, depth: int = RANKING_DEPTH) -> DataFrame:
     """From one merged rank list per query to the ordered list of each mode.
 
     Sparse and dense lists are ranked once; the hybrid list is their sum.
@@ -57,12 +91,13 @@ def mode_rankings(merged: DataFrame) -> DataFrame:
         .when(F.col("mode") == "dense", rrf_score(["dense_rank"]))
         .otherwise(rrf_score(["dense_rank", "sparse_rank"])),
     )
-    return fused_order(scored, ["query_id", "mode"]).where(F.col("position") <= RANKING_DEPTH)
+    return fused_order(scored, ["query_id", "mode"]).where(F.col("position") <= depth)
 
 
 def case_rankings(
     cases: DataFrame, vehicles: DataFrame, corpus: DataFrame, query_vectors: DataFrame | None,
     tokens: DataFrame | None = None, analyzer: str = "simple", small: bool | None = None,
+    settings: Settings = Settings(),
 ) -> tuple[DataFrame, DataFrame]:
     """``scope, mode, case_row, document_id, rank`` and the ``skips`` of modes that cannot run.
 
@@ -71,11 +106,11 @@ def case_rankings(
     """
     steady_unions(cases.sparkSession)
     small = is_small(cases, 10_000) if small is None else small
-    # Asked by both methods: checked and fitted once, without the texts too long to ask.
-    queries = spread(cut_lineage(case_queries(cases, vehicles)))
+    # Asked by both methods: checked and fitted once.
+    queries = spread(cut_lineage(case_queries(cases, vehicles, settings)))
     tokens = tokens_of(corpus, analyzer) if tokens is None else tokens
     hot = hot_or_none(corpus, small)
-    sparse = sparse_ranking(queries, tokens, hot, analyzer=analyzer)
+    sparse = sparse_ranking(queries, tokens, hot, settings.window, analyzer, max_terms=settings.max_terms)
     pools = F.explode(F.array(F.lit("dense"), F.lit("hybrid"))).alias("mode")
     if query_vectors is None:
         merged = sparse.withColumn("dense_rank", F.lit(None).cast("int"))
@@ -87,16 +122,16 @@ def case_rankings(
         skips = waiting.groupBy("scope").agg(F.first("problem").alias("skipped_reason")).select(
             "scope", pools, "skipped_reason"
         )
-        dense = knn(queries.join(query_vectors, "document_id"), corpus, hot)
+        dense = knn(queries.join(query_vectors, "document_id"), corpus, hot, settings.window)
         merged = merge_rankings((dense, "dense_rank"), (sparse, "sparse_rank"))
-    positions = mode_rankings(merged)
+    positions = mode_rankings(merged, settings.depth)
     named = corpus.select("chunk_id", "document_id").join(
         F.broadcast(positions) if small else positions, "chunk_id"
     )
     asked = queries.select("query_id", "case_row", "scope")
     ranked = evaluation_ranking(
         named.join(F.broadcast(asked) if small else asked, "query_id"),
-        RANKING_DEPTH, ["scope", "mode", "case_row"],
+        settings.depth, ["scope", "mode", "case_row"],
     )
     return ranked, skips
 
@@ -104,14 +139,18 @@ def case_rankings(
 def evaluate(
     links: DataFrame, documents: DataFrame, vehicles: DataFrame, corpus: DataFrame,
     query_vectors: DataFrame | None, tokens: DataFrame | None = None, analyzer: str = "simple",
-    vehicle_id: int | None = None, small: bool | None = None,
+    vehicle_id: int | None = None, small: bool | None = None, settings: Settings = Settings(),
 ) -> DataFrame:
-    """Six rows: each pool and mode with its averages, or why it was skipped."""
-    cases, relevant = build_ground_truth(links, documents, vehicle_id)
+    """Six rows: each pool and mode with its averages, or why it was skipped, and how many cases
+    were ``not_asked`` or had ``no_vector`` of their own."""
+    cases, relevant = build_ground_truth(links, documents, vehicle_id, settings.per_link, settings.prefix_len)
     # Used by the rankings, the counts and the averages: written once.
     cases = spread(cut_lineage(cases))
-    ranked, skips = case_rankings(cases, vehicles, corpus, query_vectors, tokens, analyzer, small)
-    return summarise(ranked, cases, relevant, skips)
+    ranked, skips = case_rankings(cases, vehicles, corpus, query_vectors, tokens, analyzer, small, settings)
+    return summarise(ranked, cases, relevant, skips).withColumns({
+        "not_asked": F.lit(count_not_asked(cases, settings)).cast("long"),
+        "no_vector": F.lit(count_without_vector(cases, query_vectors)).cast("long"),
+    })
 
 
 def case_scores(ranked: DataFrame, cases: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.filters import count_other_trims, dense_ready, own_fit, reject_unknown_scope
+from ..functions.text import MAX_TERMS
 from ..operators.hits import describe_hits
 from ..operators.neighbours import knn
 from ..operators.postings import match_terms, query_terms, sparse_scores, tokens_of
@@ -17,6 +18,7 @@ from ..session import cut_lineage, steady_unions
 
 DENSE_MODES = ["dense", "hybrid"]
 SPARSE_MODES = ["sparse", "hybrid"]
+NO_QUERY_VECTOR = "This mode needs the query's embedding, and it has none."
 
 
 def accept(
@@ -32,8 +34,13 @@ def accept(
     fitted = own_fit(known, vehicles)
     needs = F.col("mode").isin(DENSE_MODES)
     searched = corpus if dense else corpus.withColumn("embedding", F.lit(None).cast("array<float>"))
-    ready, waiting = dense_ready(fitted.where(needs), searched)
-    rejects = [malformed, unknown, waiting]
+    asked = fitted.where(needs)
+    rejects = [malformed, unknown]
+    if "embedding" in queries.columns:
+        rejects.append(asked.where(F.col("embedding").isNull()).withColumn("problem", F.lit(NO_QUERY_VECTOR)))
+        asked = asked.where(F.col("embedding").isNotNull())
+    ready, waiting = dense_ready(asked, searched)
+    rejects.append(waiting)
     shape = ["query_id", "problem"]
     rejected = rejects[0].select(*shape)
     for more in rejects[1:]:
@@ -48,10 +55,10 @@ def hot_or_none(corpus: DataFrame, small: bool, chunks_per_salt: int = CHUNKS_PE
 
 def sparse_ranking(
     queries: DataFrame, tokens: DataFrame, hot: DataFrame | None, k: int = CANDIDATE_WINDOW,
-    analyzer: str = "simple", score: str = "occurrences",
+    analyzer: str = "simple", score: str = "occurrences", max_terms: int | None = MAX_TERMS,
 ) -> DataFrame:
     """Top ``k`` chunks of each query by keyword score."""
-    terms = query_terms(queries.drop("embedding"), analyzer=analyzer)
+    terms = query_terms(queries.drop("embedding"), analyzer=analyzer, max_terms=max_terms)
     return rank_sparse(sparse_scores(match_terms(terms, tokens, hot), score), k)
 
 
@@ -73,17 +80,17 @@ def fused_ranking(
 
 def ranked_hits(
     queries: DataFrame, corpus: DataFrame, small: bool, tokens: DataFrame | None = None,
-    analyzer: str = "simple",
+    analyzer: str = "simple", k: int = CANDIDATE_WINDOW,
 ) -> DataFrame:
     """Fused candidates cut to each query's limit."""
-    return limit_per_query(fused_ranking(queries, corpus, small, tokens, analyzer), queries)
+    return limit_per_query(fused_ranking(queries, corpus, small, tokens, analyzer, k), queries)
 
 
 def search(
     queries: DataFrame, vehicles: DataFrame, corpus: DataFrame, tokens: DataFrame | None = None,
-    analyzer: str = "simple", small: bool | None = None,
+    analyzer: str = "simple", small: bool | None = None, k: int = CANDIDATE_WINDOW,
 ) -> tuple[DataFrame, DataFrame]:
-    """Hits of every valid query, and the rejects.
+    """Hits of every valid query, and the rejects; each method offers ``k`` candidates.
 
     ``queries`` carry an ``embedding`` where their mode needs one; ``corpus`` is
     ``chunk_context`` with an ``embedding``; ``tokens`` are stored postings, cut
@@ -93,7 +100,7 @@ def search(
     # Asked by both methods and the final limit: checked and fitted once.
     accepted = spread(cut_lineage(accepted))
     small = is_small(accepted) if small is None else small
-    ranked = ranked_hits(accepted, corpus, small, tokens, analyzer)
+    ranked = ranked_hits(accepted, corpus, small, tokens, analyzer, k)
     return describe_hits(ranked, corpus, small), rejected
 
 

@@ -1,8 +1,9 @@
 """Scans of the JSON feeds, landed as one envelope per file.
 
 The path and the position inside the envelope are kept: together they are the
-feed order, which first-wins rules need.  ``raw`` is the canonical text of one
-element; ``read_envelopes`` gives the untouched envelope.
+feed order, which first-wins rules need.  ``raw`` is one element as it is written.
+A response is one string and is read once, in one task; a body that cannot be read is
+a row of ``rejected_envelopes``, and the load does not start with one.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import is_ambiguous_date, slash_date
 from ..functions.identity import fit
-from ..functions.jsonfields import find_field, object_fields, read_text, result_elements
+from ..functions.jsonfields import array_elements, find_field, object_fields, read_results, read_text
 from ..functions.text import is_blank, non_blank, trim_ws
 
+NOT_JSON = "not JSON"
+NO_RESULTS = "no results array"
+
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed response: ``path, body``."""
@@ -25,16 +29,23 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
 def record_fields(envelopes: DataFrame) -> DataFrame:
     """One row per element of ``results``: ``feed_order, raw, fields`` and what came along."""
     carried = [c for c in envelopes.columns if c not in ("path", "body")]
-    return envelopes.select(
-        "path", *carried, F.posexplode_outer(result_elements(F.col("body"))).alias("pos", "raw")
+    return envelopes.select("path", *carried, read_results("body").alias("read")).select(
+        "path", *carried, F.posexplode_outer("read.elements").alias("pos", "element")
     ).where(F.col("pos").isNotNull()).select(
         *carried,
         F.struct("path", F.col("pos").cast("long").alias("seq")).alias("feed_order"),
-        "raw",
-        object_fields(F.col("raw")).alias("fields"),
+        F.col("element.raw").alias("raw"),
+        F.col("element.fields").alias("fields"),
     )
 
 
+def rejected_envelopes(envelopes: DataFrame) -> DataFrame:
+    """``path, reason`` of the responses that give no rows because they cannot be read."""
+    read = envelopes.select("path", read_results("body").alias("read"))
+    reason = F.when(~F.col("read.is_json"), NOT_JSON).when(~F.col("read.found"), NO_RESULTS)
+    return read.select("path", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def _fields(envelopes: DataFrame, columns: dict) -> DataFrame:
     records = record_fields(envelopes)
     carried = [c for c in records.columns if c not in ("feed_order", "raw", "fields")]
@@ -80,18 +91,16 @@ def classify_envelopes(responses: DataFrame) -> DataFrame:
     A failed response counts as empty only when it is a JSON object whose
     ``results`` is an array of length zero; anything else is a failed load.
     """
-    results = find_field(object_fields(F.col("body")), "results")
-    is_array = F.coalesce(results["type"].startswith("ARRAY"), F.lit(False))
-    count = F.size(result_elements(F.col("body")))
+    read = F.col("_read")
+    count = F.size(read["elements"])
     ok = F.col("status").between(200, 299)
-    is_json = F.try_parse_json(F.col("body")).isNotNull()
-    return responses.withColumn(
+    return responses.withColumn("_read", read_results("body")).withColumn(
         "outcome",
-        F.when(is_array & (count == 0), "empty")
-        .when(ok & is_array, "rows")
-        .when(ok & is_json, "empty")
+        F.when(read["found"] & (count == 0), "empty")
+        .when(ok & read["found"], "rows")
+        .when(ok & read["is_json"], "empty")
         .otherwise("failed"),
-    )
+    ).drop("_read")
 
 
 def ambiguous_dates(feed: DataFrame, column: str) -> DataFrame:
@@ -126,12 +135,12 @@ def vin_decodes_from(envelopes: DataFrame) -> DataFrame:
 
     ``envelopes`` carries the ``descriptor`` and ``model_year`` each response answers.
     """
-    first = F.get(result_elements(F.col("body")), F.lit(0))
+    first = F.get(F.col("read.elements"), F.lit(0))["fields"]
     f = F.col("fields")
     litres = F.regexp_replace(read_text(f, "DisplacementL"), ",", "").try_cast("decimal(4,1)")
     decoded = fit(read_text(f, "Trim"), litres, read_text(f, "EngineCylinders").try_cast("int"))
     return (
-        envelopes.withColumn("fields", object_fields(first))
+        envelopes.withColumn("read", read_results("body")).withColumn("fields", first)
         .select("descriptor", "model_year", decoded.alias("fit"))
         .select("descriptor", "model_year", "fit.*")
     )
@@ -154,7 +163,7 @@ def read_registry(spark: SparkSession, path: str, section: str = "Registry") ->
     vehicles = find_field(object_fields(inner), "vehicles")["text"]
     f = F.col("fields")
     return (
-        settings.select(F.explode(F.from_json(vehicles, "array<string>")).alias("raw"))
+        settings.select(F.explode(array_elements(vehicles)).alias("raw"))
         .select(object_fields(F.col("raw")).alias("fields"))
         .select(
             F.upper(trim_ws(read_text(f, "make"))).alias("make"),

@@ -23,17 +23,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Each split starts at its own offset and numbers its lines upwards, so the
     offset and that number order the lines as the file does.
     """
-    raw = spark.read.csv(
-        path, schema="line string", sep="\u0001", quote="", encoding=ENCODING,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    raw = spark.read.text(path)
     return raw.select(
         F.struct(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"),
         ).alias("feed_order"),
-        "line",
+        F.decode(F.col("value").cast("binary"), ENCODING).alias("line"),  # the bytes as they are in the file
     )
 
 

@@ -38,6 +38,11 @@ def _envelopes(records: DataFrame, element: Column, key: Column) -> DataFrame:
     ).alias("body"))
 
 
+def _response(docs: DataFrame) -> Column:
+    """Eight records a response, in the order of their ids."""
+    return F.floor(F.col("doc_id") / 8)
+
+
 def _slash(date: Column, key: Column) -> Column:
     """Dates written month first, day first, or not at all."""
     return F.when(F.pmod(key, F.lit(3)) == 0, F.date_format(date, "MM/dd/yyyy")).when(
@@ -59,19 +64,18 @@ def _complaint_feed(spark, d) -> DataFrame:
         F.col("text").alias("summary"), _slash(t.day(F.col("doc_id")), F.col("doc_id")).alias("dateComplaintFiled"),
         (F.col("n_chars") > 1000).alias("crash"),
     )
-    # One envelope per document: a response is as large as one text.
-    return feeds.complaints_from(_envelopes(docs, element, F.col("doc_id")))
+    return feeds.complaints_from(_envelopes(docs, element, _response(docs)))
 
 
 @query("complaints_feed", with_sql(_DAYS, f"written AS (SELECT *, {_SLASH_SQL} AS s FROM days)", select=f"""
-SELECT CAST(doc_id AS VARCHAR) AS odi_number, lang AS components, text AS summary, {_READ_SQL.format('s')} AS filed_on,
+SELECT doc_id % 8 AS seq, CAST(doc_id AS VARCHAR) AS odi_number, lang AS components, text AS summary, {_READ_SQL.format('s')} AS filed_on,
   '' AS vin FROM written"""))
 def complaints_feed(spark, d):
-    return _complaint_feed(spark, d).select("odi_number", "components", "summary", "filed_on", "vin")
+    return _complaint_feed(spark, d).select(F.col("feed_order.seq").alias("seq"), "odi_number", "components", "summary", "filed_on", "vin")
 
 
 @query("recalls_feed", with_sql(_DAYS, f"written AS (SELECT *, {_SLASH_SQL} AS s FROM days)", select=f"""
-SELECT source || '-' || doc_id AS campaign_number, lang AS component, text AS summary, '' AS consequence,
+SELECT doc_id % 8 AS seq, source || '-' || doc_id AS campaign_number, lang AS component, text AS summary, '' AS consequence,
   CASE WHEN n_chars > 1000 THEN 'True' ELSE 'False' END AS remedy, {_READ_SQL.format('s')} AS received_on
 FROM written"""))
 def recalls_feed(spark, d):
@@ -82,8 +86,8 @@ def recalls_feed(spark, d):
         (F.col("n_chars") > 1000).alias("Remedy"),
         _slash(t.day(F.col("doc_id")), F.col("doc_id")).alias("ReportReceivedDate"),
     )
-    return feeds.recalls_from(_envelopes(docs, element, F.col("doc_id"))).select(
-        "campaign_number", "component", "summary", "consequence", "remedy", "received_on"
+    return feeds.recalls_from(_envelopes(docs, element, _response(docs))).select(
+        F.col("feed_order.seq").alias("seq"), "campaign_number", "component", "summary", "consequence", "remedy", "received_on"
     )
 
 
@@ -151,7 +155,8 @@ def _flat_lines(spark, d) -> DataFrame:
     open_, close = t.day(F.col("doc_id")), F.date_add(t.day(F.col("doc_id")), 90)
     columns = [
         F.concat(F.lit(" PE"), F.pmod("doc_id", F.lit(50)).cast("string")), F.lit("MAKER"), F.upper("source"),
-        F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit("year")).otherwise(F.lit("2004")),
+        F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit("year")).otherwise(
+            F.concat(F.lit("20"), F.lpad(F.regexp_extract("source", "([0-9]+)", 1), 2, "0"))),
         F.col("lang"), F.lit("M"), F.date_format(open_, "yyyyMMdd"),
         F.when(F.pmod("doc_id", F.lit(4)) == 0, F.lit("")).otherwise(F.date_format(close, "yyyyMMdd")),
         F.concat(F.lit("C"), F.pmod("doc_id", F.lit(10)).cast("string")), F.col("source"),
@@ -163,7 +168,7 @@ def _flat_lines(spark, d) -> DataFrame:
 
 
 _FLAT = r"""flat AS (SELECT doc_id AS feed_order, 'PE' || (doc_id % 50) AS action_number, 'MAKER' AS make,
-    upper(source) AS model, 2004 AS model_year, lang AS component, 'M' AS manufacturer,
+    upper(source) AS model, CAST(2000 + CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) AS INTEGER) AS model_year, lang AS component, 'M' AS manufacturer,
     CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS opened_on,
     CASE WHEN doc_id % 4 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 365 + 90 AS INTEGER) AS DATE) END AS closed_on,
     'C' || (doc_id % 10) AS campaign_number, source AS subject,

@@ -182,7 +182,7 @@ _QUERIES = """queries AS (SELECT link * 1000000000 + document_id AS case_row, s.
     (link * 1000000000 + document_id) * 2 + CASE s.scope WHEN 'all' THEN 0 ELSE 1 END AS query_id, document_id AS asked,
     vehicle_id, body AS text, 'allTrims' AS trims, CAST(NULL AS VARCHAR) AS component, CAST(NULL AS DATE) AS filed_from,
     CAST(NULL AS DATE) AS filed_to FROM cases, (VALUES ('all'), ('campaigns')) s(scope)
-  WHERE length(trim(body, E' \\n\\t\\r')) BETWEEN 2 AND 500)"""
+  WHERE length(trim(body, E' \\n\\t\\r')) >= 2)"""
 _GRID = [DOCS, VEHICLES, _LINKS, _QUERIES, t.terms_sql(), t.tokens_sql(), PAIRS, SPARSE, DENSE.replace(
     "FROM pairs p JOIN embeddings a ON a.vec_id = p.query_id",
     "FROM pairs p JOIN (SELECT query_id, asked FROM queries) q USING (query_id) JOIN embeddings a ON a.vec_id = q.asked"),
@@ -210,14 +210,26 @@ SELECT g.scope, g.mode, CASE g.scope WHEN 'all' THEN g.mode ELSE 'campaigns' ||
     END AS key, round(coalesce(sum(recall_at_5), 0) / (SELECT count(*) FROM cases), 9) AS recall_at_5,
   round(coalesce(sum(recall_at_10), 0) / (SELECT count(*) FROM cases), 9) AS recall_at_10,
   round(coalesce(sum(reciprocal_rank), 0) / (SELECT count(*) FROM cases), 9) AS mrr,
-  (SELECT count(*) FROM cases) AS scored, 0 AS skipped
+  (SELECT count(*) FROM cases) AS scored, 0 AS skipped,
+  (SELECT count(*) FROM cases) - (SELECT count(DISTINCT case_row) FROM queries) AS not_asked,
+  (SELECT count(*) FROM cases WHERE document_id NOT IN (SELECT vec_id FROM embeddings)) AS no_vector
 FROM (SELECT * FROM (VALUES ('all'), ('campaigns')) s(scope), (VALUES ('sparse'), ('dense'), ('hybrid')) m(mode)) g
 LEFT JOIN scores USING (scope, mode) GROUP BY ALL"""))
 def evaluation_grid(spark, d):
-    rows = plan.evaluate(*_evaluation(spark, d))
+    """Every case asked with its whole text."""
+    return _grid_rows(plan.evaluate(*_evaluation(spark, d)))
+
+
+def _grid_rows(rows):
     return rows.select("scope", "mode", "key", *[
         F.round(c, 9).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")
-    ], "scored", "skipped")
+    ], "scored", "skipped", "not_asked", "no_vector")
+
+
+@query("evaluation_published", ORACLE["evaluation_grid"].replace("E' \\n\\t\\r')) >= 2", "E' \\n\\t\\r')) BETWEEN 2 AND 500"))
+def evaluation_published(spark, d):
+    """The published setting: a case text over 500 characters is no query."""
+    return _grid_rows(plan.evaluate(*_evaluation(spark, d), settings=plan.PUBLISHED))
 
 
 @query("case_metrics", with_sql(*_GRID, select="""

@@ -9,6 +9,7 @@ from ..operators import filters, postings, ranking
 from ..operators.hits import campaign_matches
 from ..operators.neighbours import knn
 from ..operators.sizing import hot_vehicles, is_small
+from ..operators.validation import QUERY_LENGTH_PROBLEM
 from ..plans import search as plan
 from . import tables as t
 from .tables import DENSE, DOCS, FUSED, PAIRS, SPARSE, VEHICLES, with_sql
@@ -186,6 +187,26 @@ def search_hits(spark, d):
     return hits
 
 
+@query("search_rejects", """
+SELECT query_id, CASE WHEN length(trim(coalesce(text, ''), E' \\n\\t\\r')) NOT BETWEEN 2 AND 500 THEN 'malformed'
+  WHEN item_id % 25 >= 20 THEN 'unknown vehicle' ELSE 'no vector' END AS kind
+FROM (SELECT *, item_id AS query_id FROM benchmark)
+WHERE length(trim(coalesce(text, ''), E' \\n\\t\\r')) NOT BETWEEN 2 AND 500 OR item_id % 25 >= 20
+  OR (item_id % 4 = 0 AND item_id % 3 <> 0) OR item_id NOT IN (SELECT vec_id FROM embeddings) AND item_id % 3 <> 0""")
+def search_rejects(spark, d):
+    """Unknown vehicles, and queries of two of three modes without a vector of their own."""
+    key = F.col("query_id")
+    asked = t.queries(spark, d).withColumns({
+        "vehicle_id": F.pmod(key, F.lit(25)),
+        "mode": F.element_at(F.array(F.lit("sparse"), F.lit("dense"), F.lit("hybrid")), (F.pmod(key, F.lit(3)) + 1).cast("int")),
+        "embedding": F.when(F.pmod(key, F.lit(4)) != 0, F.col("embedding")),
+    })
+    _, rejects = plan.search(asked, t.vehicles(spark, d), t.corpus(spark, d))
+    kind = F.when(F.col("problem") == plan.NO_QUERY_VECTOR, "no vector").when(
+        F.col("problem") == QUERY_LENGTH_PROBLEM, "malformed").otherwise("unknown vehicle")
+    return rejects.select("query_id", kind.alias("kind"))
+
+
 @query("search_filtered", with_sql(t.queries_sql(filtered=True), *_HYBRID, select=_HITS))
 def search_filtered(spark, d):
     """Search with component, date and fit filters and a limit of five."""

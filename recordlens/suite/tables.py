@@ -129,8 +129,8 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     d = documents(spark, sf_dir).where(F.col("kind") != "complaint")
-    following = Window.partitionBy("vehicle_id").orderBy("document_id").rowsBetween(
-        1, Window.unboundedFollowing
+    following = Window.partitionBy("vehicle_id").orderBy(F.desc("document_id")).rowsBetween(
+        Window.unboundedPreceding, -1
     )
     recall = F.when(F.col("kind") == "recall", F.col("document_id"))
     named = d.withColumn("campaign", F.min(recall).over(following))

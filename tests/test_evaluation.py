@@ -14,21 +14,21 @@ from recordlens.schemas import FIT
 DOCUMENT = ("document_id long, vehicle_id long, kind string, external_id string, component string, filed_on date, "
             f"title string, body string, {FIT}")
 LINK = "investigation_document_id long, campaign_number string, component string, opened_on date, closed_on date"
-FOUNDATION = "SERVICE BRAKES, HYDRAULIC:FOUNDATION"
+FOUNDATION = "RUNNING GEAR, FRONT AXLE:BEARINGS"
 
 
-def doc(i, kind, ext, component, filed, body="The brake pedal went to the floor.", vehicle=1):
+def doc(i, kind, ext, component, filed, body="Both pads were worn after a month.", vehicle=1):
     return (i, vehicle, kind, ext, component, filed, ext, body, None, None, None, None)
 
 
 BASE = [
     doc(1, "investigation", "PE16003", FOUNDATION, date(2016, 2, 29)), doc(2, "recall", "16V345000", FOUNDATION, date(2016, 6, 1)),
     doc(3, "complaint", "c-inside-1", FOUNDATION, date(2016, 3, 1)),
-    doc(4, "complaint", "c-inside-2", "SERVICE BRAKES, HYDRAULIC:FLUID", date(2016, 5, 1)),
+    doc(4, "complaint", "c-inside-2", "RUNNING GEAR, FRONT AXLE:SEALS", date(2016, 5, 1)),
     doc(5, "complaint", "c-before", FOUNDATION, date(2015, 1, 1)), doc(6, "complaint", "c-after", FOUNDATION, date(2020, 1, 1)),
-    doc(7, "complaint", "c-other", "STRUCTURE:BODY", date(2016, 4, 1)), doc(8, "complaint", "c-undated", FOUNDATION, None),
+    doc(7, "complaint", "c-other", "REAR SHELL:DOORS", date(2016, 4, 1)), doc(8, "complaint", "c-undated", FOUNDATION, None),
     doc(9, "complaint", "c-elsewhere", FOUNDATION, date(2016, 3, 1), vehicle=2),
-    doc(10, "complaint", "c-case", "service brakes, hydraulic", date(2016, 3, 1)),
+    doc(10, "complaint", "c-case", "running gear, front axle", date(2016, 3, 1)),
 ]
 WINDOW = (date(2016, 2, 29), date(2016, 7, 26))
 
@@ -49,13 +49,13 @@ def test_ground_truth(spark):
     assert truth(spark, links=[(1, "16V345000", "  ", *WINDOW)])[0] == []
     assert "PE16003:c-after" in truth(spark, links=[(1, "16V345000", FOUNDATION, WINDOW[0], None)])[0]
     # A short component matches whatever starts with it.
-    assert truth(spark, links=[(1, "16V345000", " STRUCT ", *WINDOW)])[0] == ["PE16003:c-other"]
-    assert truth(spark, links=[(1, "16V345000", "S", *WINDOW)])[0] == [
+    assert truth(spark, links=[(1, "16V345000", " REAR S ", *WINDOW)])[0] == ["PE16003:c-other"]
+    assert truth(spark, links=[(1, "16V345000", "R", *WINDOW)])[0] == [
         "PE16003:c-inside-1", "PE16003:c-inside-2", "PE16003:c-other"]
 
 
 def test_one_complaint_under_two_links_is_two_cases(spark):
-    links = [(1, "16V345000", FOUNDATION, *WINDOW), (1, "16V345000", "SERVICE BRAKES, OTHER", *WINDOW)]
+    links = [(1, "16V345000", FOUNDATION, *WINDOW), (1, "16V345000", "RUNNING GEAR, OTHER", *WINDOW)]
     cases, _ = ground_truth.build_ground_truth(*frames(spark, links=links))
     got = cases.collect()
     assert len(got) == 4 and len({r["case_row"] for r in got}) == 4 and len({r["case_id"] for r in got}) == 2
@@ -113,7 +113,7 @@ def test_recall_needs_a_positive_cutoff(spark):
 
 
 SIMILAR = BASE[:2] + [
-    doc(30 + i, "complaint", f"c{i}", FOUNDATION, date(2016, 3, 1 + i), f"Brake pedal sank to the floor near mile {i}.") for i in range(6)]
+    doc(30 + i, "complaint", f"c{i}", FOUNDATION, date(2016, 3, 1 + i), f"Both pads were worn after mile {i}.") for i in range(6)]
 
 
 def grid(spark, documents=SIMILAR, links=((1, "16V345000", FOUNDATION, *WINDOW),), vectors=True, **options):
@@ -147,9 +147,26 @@ def test_grid_without_cases_or_vectors(spark):
         assert all(got[k]["skipped_reason"].startswith(reason) for k in ("dense", "hybrid", "campaignsDense"))
 
 
-def test_long_cases_score_zero(spark):
-    long = [d[:7] + (d[7] + " pedal" * 100,) + d[8:] if d[2] == "complaint" else d for d in SIMILAR]
-    assert all(r["scored"] == 6 and r["mrr"] == 0 for r in grid(spark, documents=long).collect())
+def test_long_cases_are_asked_unless_the_published_limit_holds(spark):
+    long = [d[:7] + (d[7] + " pads" * 100,) + d[8:] if d[2] == "complaint" else d for d in SIMILAR]
+    published = grid(spark, documents=long, settings=plan.PUBLISHED).collect()
+    assert all(r["scored"] == r["not_asked"] == 6 and r["mrr"] == 0 for r in published)
+    whole = {r["key"]: r for r in grid(spark, documents=long).collect()}
+    assert all(r["not_asked"] == 0 for r in whole.values()) and whole["campaignsSparse"]["mrr"] > 0
+
+
+def test_settings_reach_the_cases(spark):
+    l, d = frames(spark, SIMILAR)
+    assert ground_truth.build_ground_truth(l, d, per_link=2)[0].count() == 2
+    assert ground_truth.build_ground_truth(l, d, per_link=None)[0].count() == 6
+    assert ground_truth.build_ground_truth(l, d, prefix_len=40)[0].count() == 6
+
+
+def test_cases_without_a_vector_are_counted(spark):
+    l, d = frames(spark, SIMILAR)
+    cases, _ = ground_truth.build_ground_truth(l, d)
+    some = spark.createDataFrame([(30, [1.0])], "document_id long, embedding array<float>")
+    assert plan.count_without_vector(cases, some) == 5 and plan.count_without_vector(cases, None) == 6
 
 
 def test_run_history(spark, tmp_path):

@@ -32,11 +32,11 @@ def ask(i, text, mode="sparse", vehicle=1, **o):
 @pytest.fixture(scope="module")
 def corpus(spark):
     plain = spark.createDataFrame([
-        record(1, 1, "exhaust-1", "EXHAUST", date(2016, 5, 1), "A strong exhaust odor enters the cabin when accelerating hard."),
-        record(2, 1, "exhaust-2", "EXHAUST", date(2019, 5, 1), "Exhaust smell in the passenger compartment, worse with the rear hatch open."),
-        record(3, 1, "brakes-1", "SERVICE BRAKES", date(2016, 6, 1), "The brake pedal went to the floor and the master cylinder leaked."),
-        record(4, 2, "other-vehicle-exhaust", "EXHAUST", date(2016, 5, 1), "Exhaust odor cabin complaint belonging to a different model."),
-        record(5, 1, "undated", "EXHAUST", None, "Exhaust note, no date.", kind="recall"),
+        record(1, 1, "whistle-1", "WHISTLE", date(2016, 5, 1), "A loud whistle noise starts at the window on each motorway trip."),
+        record(2, 1, "whistle-2", "WHISTLE", date(2019, 5, 1), "Whistle I hear from the boot, more of it in the rain."),
+        record(3, 1, "brakes-1", "SERVICE BRAKES", date(2016, 6, 1), "Both pads were worn after a month of city traffic."),
+        record(4, 2, "other-vehicle-whistle", "WHISTLE", date(2016, 5, 1), "Whistle noise window report about some other model."),
+        record(5, 1, "undated", "WHISTLE", None, "Whistle note, no date.", kind="recall"),
     ], CORPUS)
     return plain.join(hash_embedded(plain, 64), "chunk_id")
 
@@ -56,19 +56,19 @@ def names(hits):
     return [r["external_id"] for r in hits.orderBy("query_id", "position").collect()]
 
 
-ODOR = "I smell a strong exhaust odor inside the cabin"
+NOISE = "I hear a loud whistle noise beside the window"
 
 
 def test_sparse(spark, corpus, vehicles):
-    hits, rejects = run(spark, corpus, vehicles, ask(1, ODOR))
+    hits, rejects = run(spark, corpus, vehicles, ask(1, NOISE))
     got = hits.orderBy("position").collect()
-    assert [r["external_id"] for r in got] == ["exhaust-1", "exhaust-2", "undated"]
+    assert [r["external_id"] for r in got] == ["whistle-1", "whistle-2", "undated"]
     assert [r["sparse_rank"] for r in got] == [1, 2, 3] and all(r["dense_rank"] is None for r in got)
     assert got[0]["fused_score"] == round(1 / 61, 5) and rejects.count() == 0
 
 
 def test_dense_and_hybrid(spark, corpus, vehicles):
-    hits, _ = run(spark, corpus, vehicles, ask(1, ODOR, "dense"), ask(2, ODOR, None))
+    hits, _ = run(spark, corpus, vehicles, ask(1, NOISE, "dense"), ask(2, NOISE, None))
     dense = hits.where("query_id = 1").orderBy("position").collect()
     assert len(dense) == 4 and all(r["sparse_rank"] is None for r in dense)
     hybrid = hits.where("query_id = 2").orderBy("position").collect()
@@ -79,21 +79,21 @@ def test_dense_and_hybrid(spark, corpus, vehicles):
 def test_filters(spark, corpus, vehicles):
     hits, _ = run(
         spark, corpus, vehicles,
-        ask(1, ODOR, start=date(2018, 1, 1), end=date(2020, 1, 1)), ask(2, ODOR, limit=1),
-        ask(3, ODOR, component=" exhaust "), ask(4, ODOR, scope="CAMPAIGNS"), ask(5, ODOR, end=date(2017, 1, 1)),
-        ask(6, ODOR, "dense", scope="campaigns"), ask(7, ODOR, "dense", end=date(2017, 1, 1)),
+        ask(1, NOISE, start=date(2018, 1, 1), end=date(2020, 1, 1)), ask(2, NOISE, limit=1),
+        ask(3, NOISE, component=" whistle "), ask(4, NOISE, scope="CAMPAIGNS"), ask(5, NOISE, end=date(2017, 1, 1)),
+        ask(6, NOISE, "dense", scope="campaigns"), ask(7, NOISE, "dense", end=date(2017, 1, 1)),
     )
     by = lambda q: [r["external_id"] for r in hits.where(f"query_id = {q}").orderBy("position").collect()]
-    assert by(1) == ["exhaust-2"] and by(2) == ["exhaust-1"] and len(by(3)) == 3
-    assert by(4) == ["undated"] and by(5) == ["exhaust-1"] and by(6) == ["undated"]
-    assert sorted(by(7)) == ["brakes-1", "exhaust-1"]
+    assert by(1) == ["whistle-2"] and by(2) == ["whistle-1"] and len(by(3)) == 3
+    assert by(4) == ["undated"] and by(5) == ["whistle-1"] and by(6) == ["undated"]
+    assert sorted(by(7)) == ["brakes-1", "whistle-1"]
 
 
 def test_rejects(spark, corpus, vehicles):
     bare = corpus.withColumn("embedding", F.when(F.col("vehicle_id") != 2, F.col("embedding")))
     _, rejects = run(
-        spark, bare, vehicles, ask(1, "x"), ask(2, "odor", vehicle=9), ask(3, "odor", "hybrid", vehicle=2),
-        ask(4, "odor", "sparse", vehicle=2), ask(5, "odor", "magic"),
+        spark, bare, vehicles, ask(1, "x"), ask(2, "noise", vehicle=9), ask(3, "noise", "hybrid", vehicle=2),
+        ask(4, "noise", "sparse", vehicle=2), ask(5, "noise", "magic"),
     )
     assert rows(rejects) == [
         (1, validation.QUERY_LENGTH_PROBLEM), (2, "No vehicle with id 9 is registered."),
@@ -111,15 +111,15 @@ def test_rejects(spark, corpus, vehicles):
 ])
 def test_validation_problems(spark, bad, problem):
     bad = dict(bad)
-    q = spark.createDataFrame([ask(1, bad.pop("text", "odor"), None, **bad)], QUERY)
+    q = spark.createDataFrame([ask(1, bad.pop("text", "noise"), None, **bad)], QUERY)
     valid, rejects = validation.validate_queries(q)
     assert valid.count() == 0 and rejects.first()["problem"] == problem
 
 
 def test_validation_defaults(spark):
-    q = spark.createDataFrame([ask(1, "  odor ", None, component=" structure ", limit=50), ask(2, "x" * 500, " Dense ")], QUERY)
+    q = spark.createDataFrame([ask(1, "  noise ", None, component=" structure ", limit=50), ask(2, "x" * 500, " Dense ")], QUERY)
     a, b = validation.validate_queries(q)[0].orderBy("query_id").collect()
-    assert (a["text"], a["mode"], a["scope"], a["trims"], a["component"], a["limit"]) == ("odor", "hybrid", "all", "allTrims", "STRUCTURE", 50)
+    assert (a["text"], a["mode"], a["scope"], a["trims"], a["component"], a["limit"]) == ("noise", "hybrid", "all", "allTrims", "STRUCTURE", 50)
     assert b["mode"] == "dense" and b["limit"] == 10 and b["component"] is None
 
 

@@ -162,3 +162,28 @@ def test_upsert_registry_fills_a_missing_vin(spark):
 def test_colliding_ids_are_reported(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "document_id long, k string")
     assert rows(tables.colliding_ids(df, "document_id")) == [(1, 2)]
+
+
+def test_a_repeated_key_loses_nothing(spark):
+    body = '{"results": [{"odiNumber": 1.50, "summary": "one", "summary": "two"}, {"odiNumber": 2, "summary": "x"}], "results": []}'
+    got = feeds.complaints_from(spark.createDataFrame([("p", body)], "path string, body string")).orderBy("feed_order").collect()
+    assert [(r["odi_number"], r["summary"]) for r in got] == [("1.50", "one"), ("2", "x")]
+    assert got[0]["raw"] == '{"odiNumber": 1.50, "summary": "one", "summary": "two"}'
+
+
+def test_a_large_response_is_read_whole(spark):
+    one = '{"odiNumber": 7, "summary": "' + "s" * 100_000 + '"}'
+    df = spark.createDataFrame([("p", "{\"results\": [" + ",".join([one] * 400) + "]}")], "path string, body string")
+    assert feeds.complaints_from(df).where("length(summary) = 100000").count() == 400
+
+
+def test_rejected_envelopes(spark):
+    df = spark.createDataFrame([("a", '{"results": []}'), ("b", "<html>"), ("c", '{"results": 5}'), ("d", None), ("e", "[1, 2")],
+                               "path string, body string")
+    assert rows(feeds.rejected_envelopes(df)) == [
+        ("b", feeds.NOT_JSON), ("c", feeds.NO_RESULTS), ("d", feeds.NOT_JSON), ("e", feeds.NOT_JSON)]
+
+
+def test_any_byte_may_be_in_a_line(spark, tmp_path):
+    (tmp_path / "odd.txt").write_bytes(b"A1\tM\tX\t2012\tC\tF\t\t\t\tS\ttwo\x01three \xe9 \xff\n")
+    assert flatfile.read_investigations(spark, str(tmp_path / "odd.txt")).first()["summary"] == "two\x01three \xe9 \xff"
