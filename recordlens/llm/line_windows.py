@@ -69,9 +69,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     keep = [c for c in kept_columns(docs, made) if c != text]
     cuts = repeated_stretches(docs, text=text, doc_id=doc_id).select(
         F.col("_id").alias("_cut_id"), F.col("_hash").alias("_cut_hash"), "_cut")
+    # The same join at every size: whether the cuts would fit a broadcast depends on the corpus.
     joined = docs.select(
         F.struct(*keep).alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"),
-    ).join(cuts, F.col("_id").eqNullSafe(F.col("_cut_id")) & (F.col("_hash") == F.col("_cut_hash")), "left")
+    ).join(cuts.hint("merge"), F.col("_id").eqNullSafe(F.col("_cut_id")) & (F.col("_hash") == F.col("_cut_hash")), "left")
     parts = joined.withColumn("_lines", F.split("_text", "\n"))
     # What lies between the cuts, as (first line, end) pairs.
     begin = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda c: c["hi"] + 1))
