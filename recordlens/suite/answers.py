@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import answers, grounding, postings, ranking
 from ..plans import audit
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_folder
 from . import tables as t
-from .retrieval import _OPEN, _open_matches
+from .retrieval import _OPEN, _open_matches, _own
 from .tables import DENSE, DOCS, FUSED, PAIRS, SPARSE, VEHICLES, with_sql
 
 QUERIES: dict = {}
@@ -236,6 +236,23 @@ def evidence_context(spark, d):
     return audit.question_contexts(_questions(spark, d), t.vehicles(spark, d), _shown(spark, d))
 
 
+@query("answered_questions", "SELECT query_id, CAST(length(context) AS VARCHAR) AS reply FROM (" + ORACLE["evidence_context"] + ")")
+def answered_questions(spark, d):
+    """Every context goes to the answering service, here one that says how long it is."""
+    contexts = audit.question_contexts(_questions(spark, d), t.vehicles(spark, d), _shown(spark, d))
+    return answers.answer(contexts, lambda batch: [str(len(context)) for context in batch])
+
+
+@query("mode_fallback", """
+SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 OR item_id NOT IN (SELECT vec_id FROM embeddings) THEN 'sparse'
+  ELSE 'hybrid' END AS mode FROM benchmark WHERE length(trim(text, E' \\n\\t\\r')) BETWEEN 2 AND 500""")
+def mode_fallback(spark, d):
+    """A quarter of the questions has no vector and is asked by keyword."""
+    q = _own(t.queries(spark, d), spark, d).withColumn(
+        "embedding", F.when(F.pmod("query_id", F.lit(4)) != 0, F.col("embedding")))
+    return audit.with_fallback(q, t.corpus(spark, d)).select("query_id", "mode")
+
+
 def _shown_replies(shown: DataFrame) -> DataFrame:
     """Replies that cite every shown record: rightly, wrongly, or under a foreign id."""
     n = F.pmod("document_id", F.lit(3))
@@ -270,7 +287,24 @@ SELECT item_id AS answer_id, item_id % 20 AS vehicle_id, text AS question, CASE
   CASE WHEN state IN ('good', 'bad') THEN good ELSE 0 END AS verified_citation_count,
   CASE WHEN state IN ('good', 'bad') THEN emitted - good ELSE 0 END AS dropped_citation_count FROM states"""))
 def audit_answers(spark, d):
+    return _audited(spark, d).withColumn("campaigns", F.size("linked_campaigns")).drop("linked_campaigns")
+
+
+def _audited(spark, d) -> DataFrame:
     shown = _shown(spark, d)
     replies = cut_lineage(_shown_replies(shown))
-    audited, _ = audit.audit_answers(_questions(spark, d), shown, replies, t.documents(spark, d))
-    return audited.withColumn("campaigns", F.size("linked_campaigns")).drop("linked_campaigns")
+    return audit.audit_answers(_questions(spark, d), shown, replies, t.documents(spark, d))[0]
+
+
+@query("answer_log", f"""
+SELECT answer_id, vehicle_id, question, answer_text, is_grounded, verified_citation_count, dropped_citation_count
+FROM ({ORACLE["audit_answers"]})""")
+def answer_log(spark, d):
+    """The answers as their append-only log keeps them, read back."""
+    path = scratch_folder(spark)
+    audit.append_answers(_audited(spark, d), path, "2026-09-06 10:00:00")
+    return spark.read.parquet(path).select(
+        "answer_id", "vehicle_id", "question", F.get_json_object("answer_json", "$.AnswerText").alias("answer_text"),
+        (F.get_json_object("answer_json", "$.IsGrounded") == "true").alias("is_grounded"),
+        "verified_citation_count", "dropped_citation_count",
+    )

@@ -132,6 +132,40 @@ def classify_envelopes(spark, d):
     return feeds.classify_envelopes(responses).select("event_id", "outcome")
 
 
+@query("rejected_envelopes", f"""
+SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_type IN ('purchase', 'signup') THEN '{feeds.NO_RESULTS}'
+  ELSE '{feeds.NOT_JSON}' END AS reason FROM events WHERE event_type NOT IN ('click', 'view')""")
+def rejected_envelopes(spark, d):
+    """The same bodies, by what keeps them from giving rows."""
+    kind = F.col("event_type")
+    bodies = t.table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("path"),
+        F.when(kind == "click", F.concat(F.lit('{"results": [], "p": '), "props", F.lit("}")))
+        .when(kind == "view", F.concat(F.lit('{"RESULTS": ['), "props", F.lit("]}")))
+        .when(kind == "signup", F.concat(F.lit('{"results": null, "p": '), "props", F.lit("}")))
+        .when(kind == "purchase", F.col("props"))
+        .otherwise(F.concat(F.lit("<html>"), "props")).alias("body"),
+    )
+    return feeds.rejected_envelopes(bodies)
+
+
+@query("registry", """
+SELECT 'MAKER' || s_nationkey AS make, upper(s_name) AS model, 2000 + s_nationkey AS model_year,
+  'Car of ' || s_name AS display_name FROM supplier""")
+def registry(spark, d):
+    """Suppliers as the vehicles of settings files, one file a nation."""
+    s = t.table(spark, d, "supplier")
+    vehicle = F.struct(
+        F.format_string("maker%s", "s_nationkey").alias("Make"), F.col("s_name").alias("Model"),
+        (F.col("s_nationkey") + 2000).alias("ModelYear"), F.concat(F.lit(" Car of "), "s_name").alias("DisplayName"),
+    )
+    path = scratch_folder(spark)
+    s.groupBy("s_nationkey").agg(F.collect_list(vehicle).alias("Vehicles")).select(
+        F.col("s_nationkey").alias("nation"), F.to_json(F.struct(F.struct("Vehicles").alias("Registry"))).alias("value")
+    ).write.partitionBy("nation").text(path)
+    return feeds.read_registry(spark, path).select("make", "model", "model_year", "display_name")
+
+
 @query("model_names", """
 SELECT upper(p_brand) AS make, p_size AS model_year, min(p_name) AS model FROM part GROUP BY 1, 2, p_name""")
 def model_names(spark, d):
@@ -635,12 +669,19 @@ def hash_embedding_bytes(spark, d):
     return t.table(spark, d, "documents").select("doc_id", hash_bytes(F.col("text"), 32).alias("hex"))
 
 
-@query("hash_embed", """SELECT doc_id AS chunk_id, 1024 AS width, 1.0::DOUBLE AS length FROM documents""")
+@query("hash_embed", "WITH h AS (" + ORACLE["hash_bytes"] + """),
+v AS (SELECT doc_id, list_transform(generate_series(0, 1023), lambda i:
+  (CAST('0x' || substr(hex, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) - 128)::DOUBLE) AS b FROM h),
+n AS (SELECT doc_id, b, sqrt(list_sum(list_transform(b, lambda x: x * x))) AS size FROM v)
+SELECT doc_id AS chunk_id, 1024 AS width, 1.0::DOUBLE AS length, round(b[1] / size, 3) + 0.0 AS first, round(b[512] / size, 3) + 0.0 AS middle,
+  round(b[1024] / size, 3) + 0.0 AS last FROM n""")
 def hash_embed(spark, d):
     chunks = t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     vectors = embed.check_vectors(embed.hash_embedded(chunks), 1024)
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    return vectors.select("chunk_id", F.size("embedding").alias("width"), F.round(F.sqrt(squares), 4).alias("length"))
+    at = lambda place, name: (F.round(F.element_at("embedding", place).cast("double"), 3) + 0.0).alias(name)
+    return vectors.select("chunk_id", F.size("embedding").alias("width"), F.round(F.sqrt(squares), 4).alias("length"),
+                          at(1, "first"), at(512, "middle"), at(1024, "last"))
 
 
 # --- validation and names --------------------------------------------------------
@@ -782,6 +823,30 @@ SELECT vehicle_id, count(*) FILTER (kind = 'complaint') AS complaints_fetched,
 FROM docs WHERE kind <> 'investigation' GROUP BY ALL"""))
 def load_records(spark, d):
     """A first load of every vehicle into an empty store."""
+    return _load(spark, d, scratch_folder(spark), "first").select(
+        "vehicle_id", "complaints_fetched", "complaints_new", "recalls_new", "investigation_rows",
+        "investigations_new", "links_created",
+    )
+
+
+@query("load_records_again", with_sql(DOCS, _FLAT, select="""
+SELECT vehicle_id, count(*) FILTER (kind = 'complaint') AS complaints_fetched, 0 AS complaints_new,
+  count(*) FILTER (kind = 'complaint' AND trim(body) <> '') AS complaints_unchanged, 0 AS recalls_new,
+  count(*) FILTER (kind = 'recall' AND trim(body) <> '') AS recalls_unchanged,
+  (SELECT count(*) FROM flat WHERE subject = 'src' || vehicle_id AND model_year = 2000 + vehicle_id) AS investigation_rows,
+  0 AS investigations_new, 0 AS links_created, 0 AS chunks_created
+FROM docs WHERE kind <> 'investigation' GROUP BY ALL"""))
+def load_records_again(spark, d):
+    """A second load of the same feeds: nothing is new and nothing is rewritten."""
+    root = scratch_folder(spark)
+    _load(spark, d, root, "first")
+    return _load(spark, d, root, "second").select(
+        "vehicle_id", "complaints_fetched", "complaints_new", "complaints_unchanged", "recalls_new", "recalls_unchanged",
+        "investigation_rows", "investigations_new", "links_created", "chunks_created",
+    )
+
+
+def _load(spark, d, root: str, load_id: str) -> DataFrame:
     docs = t.documents(spark, d)
     shared = ["vehicle_id", F.col("document_id").alias("feed_order")]
     complaints = docs.where(F.col("kind") == "complaint").select(
@@ -794,8 +859,4 @@ def load_records(spark, d):
         F.lit("{}").alias("raw"),
     )
     rows = flatfile.parse_investigations(_flat_lines(spark, d))
-    report = load.load_records(spark, scratch_folder(spark), "first", t.vehicles(spark, d), complaints, recalls, rows)
-    return report.select(
-        "vehicle_id", "complaints_fetched", "complaints_new", "recalls_new", "investigation_rows",
-        "investigations_new", "links_created",
-    )
+    return load.load_records(spark, root, load_id, t.vehicles(spark, d), complaints, recalls, rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import snippet
 from ..operators import filters, postings, ranking
-from ..operators.hits import campaign_matches
+from ..operators.hits import campaign_matches, chunk_context
 from ..operators.neighbours import knn
 from ..operators.sizing import hot_vehicles, is_small
 from ..operators.validation import QUERY_LENGTH_PROBLEM
@@ -167,6 +167,16 @@ def hybrid_rrf(spark, d):
     )
 
 
+@query("chunk_contexts", with_sql(DOCS, select="""
+SELECT document_id * 10 AS chunk_id, document_id, vehicle_id, kind, external_id, component, filed_on FROM docs"""))
+def chunk_contexts(spark, d):
+    """Chunks meet the records they were cut from."""
+    docs = t.documents(spark, d)
+    chunks = docs.select((F.col("document_id") * 10).alias("chunk_id"), "document_id", F.col("body").alias("text"))
+    return chunk_context(chunks, docs).select(
+        "chunk_id", "document_id", "vehicle_id", "kind", "external_id", "component", "filed_on")
+
+
 _HITS = """SELECT query_id, CAST(position AS INTEGER) AS position, document_id, chunk_id, kind, external_id, title,
   d.component, filed_on, CASE WHEN length(s) <= 240 THEN s
     ELSE CASE WHEN contains(left(s, 241), ' ') THEN regexp_extract(left(s, 241), '^(.*) ', 1) ELSE left(s, 240) END
