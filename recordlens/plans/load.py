@@ -72,17 +72,17 @@ def require_loaded(outcomes: DataFrame) -> None:
 def load_records(
     spark: SparkSession, root: str, load_id: str, vehicles: DataFrame,
     complaints: DataFrame, recalls: DataFrame, rows: DataFrame,
-    outcomes: DataFrame | None = None, model_names: DataFrame | None = None,
+    outcomes: DataFrame, model_names: DataFrame | None = None,
 ) -> DataFrame:
     """Store what is new under ``root`` and report the counts per vehicle.
 
     ``complaints`` and ``recalls`` carry the ``vehicle_id`` they were fetched
-    for; ``rows`` are flat-file rows of every vehicle.  All of it is planned
+    for; ``rows`` are flat-file rows of every vehicle; ``outcomes`` says of each
+    response whether it was read (``classify_envelopes``), and one that was not stops the load.  All of it is planned
     before anything is written, and the write becomes visible as a whole.
     """
     steady_unions(spark)
-    if outcomes is not None:
-        require_loaded(outcomes)
+    require_loaded(outcomes)
     known = known_vehicles(vehicles, model_names)
     ours = known.select("vehicle_id")
     complaints = complaints.join(ours, "vehicle_id", "left_semi")

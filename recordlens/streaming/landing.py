@@ -14,6 +14,9 @@ from ..plans.embed import MAX_BATCH, Provider, embed, pending_chunks, require_pr
 from ..schemas import EMBEDDINGS
 from ..sources.tables import not_stored, read_or_empty
 
+# Hash buckets of a streamed table: a batch reads those its keys fall into.
+BUCKETS = 64
+
 
 def read_landing(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet files that land in a folder, or that match a pattern."""
@@ -23,6 +26,19 @@ def read_landing(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return reader.parquet(path)
 
 
+def in_buckets(batch: DataFrame, keys: list[str], table: str, schema: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """The batch with the hash bucket of its keys, and what other batches stored in the buckets it touches.
+
+    The table is partitioned by bucket, so files of other buckets are not opened.
+    """
+    dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # at most BUCKETS
+    stored = read_or_empty(batch.sparkSession, table, schema + ", batch_id long, bucket int").where(
+        F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id)
+    )
+    return dealt, stored
+
+
 def insert_if_absent(table: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A batch writer that adds the rows whose key the table does not hold.
 
@@ -30,13 +46,10 @@ def insert_if_absent(table: str, keys: list[str], order: str) -> Callable[[DataF
     is run again after a failure writes the same rows over itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-        stored = read_or_empty(spark, table, schema + ", batch_id long").where(
-            F.col("batch_id") != batch_id
-        )
-        first = dedupe_first(batch, keys, order).select(*batch.columns)
-        not_stored(first, stored, keys).write.mode("overwrite").parquet(
+        first, stored = in_buckets(
+            dedupe_first(batch, keys, order).select(*batch.columns), keys, table, schema, batch_id)
+        not_stored(first, stored, keys).write.mode("overwrite").partitionBy("bucket").parquet(
             f"{table}/batch_id={batch_id}"
         )
 
@@ -65,12 +78,10 @@ def stream_backfill(
     require_provider(provider)
 
     def write(landed: DataFrame, batch_id: int) -> None:
-        stored = read_or_empty(landed.sparkSession, table, EMBEDDINGS + ", batch_id long").where(
-            F.col("batch_id") != batch_id
-        )
-        embed(pending_chunks(landed, stored), provider, dim, batch).write.mode("overwrite").parquet(
-            f"{table}/batch_id={batch_id}"
-        )
+        _, stored = in_buckets(landed.select("chunk_id"), ["chunk_id"], table, EMBEDDINGS, batch_id)
+        made = embed(pending_chunks(landed, stored), provider, dim, batch)
+        made.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")).write.mode(
+            "overwrite").partitionBy("bucket").parquet(f"{table}/batch_id={batch_id}")
 
     return (
         read_landing(spark, chunks_dir, schema, files_per_batch)

@@ -846,6 +846,11 @@ def load_records_again(spark, d):
     )
 
 
+def _outcomes(docs: DataFrame) -> DataFrame:
+    """Every vehicle's feed was read."""
+    return docs.select(F.col("vehicle_id").cast("string").alias("path"), F.lit("rows").alias("outcome")).distinct()
+
+
 def _load(spark, d, root: str, load_id: str) -> DataFrame:
     docs = t.documents(spark, d)
     shared = ["vehicle_id", F.col("document_id").alias("feed_order")]
@@ -859,4 +864,4 @@ def _load(spark, d, root: str, load_id: str) -> DataFrame:
         F.lit("{}").alias("raw"),
     )
     rows = flatfile.parse_investigations(_flat_lines(spark, d))
-    return load.load_records(spark, root, load_id, t.vehicles(spark, d), complaints, recalls, rows)
+    return load.load_records(spark, root, load_id, t.vehicles(spark, d), complaints, recalls, rows, _outcomes(docs))

@@ -26,6 +26,10 @@ LINES = [
 ]
 
 
+def fine(spark):
+    return spark.createDataFrame([("p", "rows")], "path string, outcome string")
+
+
 def vehicle(i, model, year, vin=None):
     return (i, "FORD", model, None, year, f"{year} {model}", vin, None, None, None, None)
 
@@ -56,12 +60,12 @@ def report(df):
 def test_a_second_load_adds_nothing(spark, tmp_path, feed):
     vehicles = spark.createDataFrame([vehicle(1, "EXPLORER", 2012)], VEHICLES)
     root = str(tmp_path / "store")
-    first = report(load.load_records(spark, root, "one", vehicles, *feed))
+    first = report(load.load_records(spark, root, "one", vehicles, *feed, outcomes=fine(spark)))
     assert first == ((6, 5, 0), (3, 3, 0), (3, 2, 1), 10)
-    second = report(load.load_records(spark, root, "two", vehicles, *feed))
+    second = report(load.load_records(spark, root, "two", vehicles, *feed, outcomes=fine(spark)))
     assert second == ((6, 0, 5), (3, 0, 3), (3, 0, 0), 0)
     # The first load again replaces itself.
-    again = report(load.load_records(spark, root, "one", vehicles, *feed))
+    again = report(load.load_records(spark, root, "one", vehicles, *feed, outcomes=fine(spark)))
     assert again == first
     stored = load.stored_tables(spark, root)
     assert {k: v.count() for k, v in stored.items()} == {"documents": 10, "chunks": 10, "links": 1}
@@ -88,7 +92,7 @@ def test_unlisted_models_are_left_out(spark, tmp_path, feed):
     listed = spark.createDataFrame([("FORD", 2012, "explorer"), ("FORD", 2012, "TAURUS")], "make string, model_year int, model string")
     known, unknown = names.split_known(vehicles, listed)
     assert known.first()["vehicle_id"] == 1 and unknown.first()["vehicle_id"] == 2
-    load.load_records(spark, str(tmp_path / "s"), "one", vehicles, *feed, model_names=listed)
+    load.load_records(spark, str(tmp_path / "s"), "one", vehicles, *feed, outcomes=fine(spark), model_names=listed)
     assert rows(load.stored_tables(spark, str(tmp_path / "s"))["documents"].select("vehicle_id").distinct()) == [(1,)]
     assert rows(names.suggestions(unknown, listed), "rank", "name") == [(1, "TAURUS"), (2, "explorer")]
 
