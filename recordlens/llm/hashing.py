@@ -19,9 +19,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# Bytes of text that are hashed in one go.
+PART = 1 << 20
+
+
 def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = PREFIXES, *, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """For every word (cut at ASCII white space, with ``lower`` A-Z lower-cased) its hash and those of its beginnings, and where each
     text's words begin (one more entry at the end).  A word shorter than a beginning stands for it whole."""
+    parts, offsets, first = [], [np.zeros(1, np.int64)], 0
+    sizes = np.cumsum([len(t or "") for t in texts])
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + PART, "right")))
+        found, places = _word_hashes(texts[first:last], prefixes, lower)
+        parts.append(found)
+        offsets.append(places[1:] + offsets[-1][-1])
+        first = last
+    return (np.concatenate(parts) if parts else np.zeros((0, 1 + len(prefixes)), np.uint64)), np.concatenate(offsets)
+
+
+def _word_hashes(texts: list[str | None], prefixes: tuple[int, ...], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data = b"\n".join((t or "").encode() for t in texts) + b"\n"
     raw = np.frombuffer(data, np.uint8)
     raw = _LOWER[raw] if lower else raw

@@ -37,6 +37,9 @@ for _k, _chars in enumerate((b"0123456789", b".,;:", b"!?", bytes(range(65, 91))
     CLASSES[[*_chars], _k] = 1
 
 
+MEASURES = 14
+
+
 def measures(texts: list[str | None], hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Fourteen numbers for each whole text, whose words have these hashes."""
     data = [(t or "").encode() + b"\n" for t in texts]
@@ -100,11 +103,14 @@ class Features:
 def features(texts: list[str | None], edges: np.ndarray | None = None) -> tuple[Features, np.ndarray]:
     """The features of texts, and the bins' edges: those given, or quantiles of these texts."""
     hashes, offsets = word_hashes(texts, ())
-    values = measures(texts, hashes[:, 0], offsets)
+    step = 256
+    values = np.concatenate([
+        measures(texts[k:k + step], hashes[offsets[k]:offsets[min(k + step, len(texts))], 0], offsets[k:k + step + 1] - offsets[k])
+        for k in range(0, len(texts), step)] or [np.zeros((0, MEASURES))])
     if edges is None:
         edges = np.stack([np.quantile(values[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(values.shape[1])])
     bins = np.column_stack([np.searchsorted(edges[k], values[:, k], "right") for k in range(len(edges))])
-    return Features(bins, (hashes[:, 0] % np.uint64(BUCKETS)).astype(np.int64), offsets), edges
+    return Features(bins, (hashes[:, 0] % np.uint64(BUCKETS)).astype(np.int32), offsets), edges
 
 
 def _slope(z: np.ndarray, good: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +125,8 @@ class Trainer:
         self.model, self.x, self.rate, self.decay = model, x, rate, decay
         self.word_decay = 3 / max(300, len(x.bins))  # many weights, few texts
         common = np.zeros(BUCKETS, np.int64)
-        np.add.at(common, np.unique(x.owner * BUCKETS + x.bucket) % BUCKETS, 1)
+        for a, b in zip(x.offsets[:-1].tolist(), x.offsets[1:].tolist(), strict=True):
+            common[np.unique(x.bucket[a:b])] += 1
         self.common = common >= LEAST_TEXTS
         self.moments: dict[str, list] = {}
         self.turn = 0
