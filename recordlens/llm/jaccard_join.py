@@ -34,7 +34,7 @@ RECALL = 0.99999
 LEVELS = 4
 # Members of a bucket that is not split further, of a block, and shingles of a block.
 SMALL_BUCKET = 2048
-BLOCK = 256
+BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 # Min-hashes that must agree for a pair to be compared exactly: half of them is six deviations below 0.8.
 LEAST_EQUAL = 0.5
