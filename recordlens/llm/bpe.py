@@ -28,8 +28,10 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNSAFE = re.compile(f"[{SPACE}] (?![^{SPACE}])")
 # The cut for such texts: other characters with one space before them, or white space up to that space.
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+# Bytes of text that a worker takes apart at once.
+BYTES_AT_ONCE = 4 << 20
 # Runs, and pre-tokens, whose ids a worker remembers, and the longest of them; longer pre-tokens have a queue of their own.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 48
 
 
@@ -298,7 +300,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", d
             out.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
         return pa.RecordBatch.from_arrays(out, [*keep, *made])
 
-    return over_batches(docs.select(*keep, text), schema, work)
+    return over_batches(docs.select(*keep, text), schema, work, size=BYTES_AT_ONCE)
 
 
 def decode(encoded: DataFrame, ranks: bytes, *, ids: str = "ids") -> DataFrame:

@@ -29,6 +29,9 @@ MOST_SOURCES = 100_000
 # A block's words, at least; sources of few words have smaller blocks, so that a block is a thousandth of them.
 BLOCK_WORDS = 1024
 BLOCKS_A_SOURCE = 1000
+# Shards, at least, and words of a shard beyond them.
+LEAST_SHARDS = 64
+SHARD_WORDS = 1 << 24
 # All quotas together, in blocks: the hypergeometric draws need less than 10^9.  Blocks grow to keep it.
 MOST_BLOCKS = 400_000_000
 EPOCHS = 2
@@ -83,7 +86,8 @@ def split(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def plan(sizes: dict[str | None, int], *, weights=(5, 2, 1), share: float = 1.5, shards: int = 64, seed: int = 7) -> Plan:
+def plan(sizes: dict[str | None, int], *, weights=(5, 2, 1), share: float = 1.5, shards: int | None = None,
+         seed: int = 7) -> Plan:
     """Targets, blocks, quotas and each shard's part; sources by code point, null last, weigh ``weights`` in turn."""
     names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
     words = [sizes[n] for n in names]
@@ -92,6 +96,7 @@ def plan(sizes: dict[str | None, int], *, weights=(5, 2, 1), share: float = 1.5,
     block = np.array([max(1, least, min(BLOCK_WORDS, w // BLOCKS_A_SOURCE)) for w in words], np.int64)
     blocks = -(-np.array(words, np.int64) // block)
     quota = np.minimum(np.rint(np.array(targets) / block).astype(np.int64), EPOCHS * blocks) if names else np.zeros(0, np.int64)
+    shards = shards or max(LEAST_SHARDS, -(-int(sum(targets)) // SHARD_WORDS))
     return Plan(names, words, targets, block, blocks, quota, np.cumsum(split(quota, shards, seed), axis=1))
 
 
@@ -153,7 +158,7 @@ def draw(plan: Plan, source: np.ndarray, start: np.ndarray, size: np.ndarray, se
 SPANS = "array<struct<epoch:int,block:bigint,begin:bigint,end:bigint,shard:int>>"
 
 
-def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, shards: int = 64, seed: int = 7, whole: bool = False,
+def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, shards: int | None = None, seed: int = 7, whole: bool = False,
         text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """Every row with ``size`` (words), ``source_size``, ``target`` (its source's), ``spans`` and ``taken``.
 
@@ -162,6 +167,8 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, shards: int =
     counted.  The text is dropped unless ``whole`` is set, in which documents are taken
     or left as they are and the quotas count blocks of documents.
 
+    Without ``shards`` there are 64, and as many more as keep a shard at 16 million words.
+
     Null texts have no words and are never taken; a null source is a source of its
     own, the last; rows with the same id are documents each, their order is settled
     by their size; columns named like an output are replaced.  Empty tables and
