@@ -43,8 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, classes = jaccard_join.similar(docs)
     heads = classes.where(F.col("key") == F.col("class_key")).select(F.col("copy_id").alias("_head_id"), F.col("key").alias("_head"))
     with_key = jaccard_join.with_keys(docs, "_key")
-    kept = with_key.join(heads, F.col("_key") == F.col("_head"), "left").where(
-        F.col("_key").isNull() | (F.col("_head").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_head_id"))))
+    # By id and key: a key alone may be that of a third of all documents.
+    mine = (F.col("_key") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_head_id"))
+    kept = with_key.join(heads.hint("merge"), mine, "left").where(F.col("_key").isNull() | F.col("_head").isNotNull())
     # Rows with one id and one set of shingles are copies of each other too.
     first = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64("text")))
     worded = kept.where(F.col("_key").isNotNull()).withColumn("_first", first).where(F.col("_first") == 1)
