@@ -9,19 +9,26 @@ documents, or of the metadata alone, touches only their pages.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import over_batches, slices, BYTES_AT_ONCE
+from .common import over_batches, slices
 
 # Chunks of a text whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 LONGEST_REMEMBERED = 48
+# Bytes of text that a worker takes apart at once.
+BYTES_AT_ONCE = 4 << 20
+# Chunks that the tokenizer encodes in one call.
+CHUNKS_AT_ONCE = 4096
 
 FILE_OPTIONS = {
     "parquet.writer.version": "v2",  # delta encoding where no dictionary is used
@@ -35,34 +42,92 @@ FILE_OPTIONS = {
 }
 
 
+# One mark after an ASCII letter or digit and before white space is a pre-token of its own, whatever surrounds it.
+MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?])(?=\s)")
+# Where no full stop or comma follows anything else, plain replacement cuts those two off.
+ODD_MARK = re.compile(rb"[^A-Za-z0-9\s][.,]")
+PLAIN_MARKS = [(mark + space, b" " + mark + space) for mark in (b".", b",") for space in (b" ", b"\n")]
+# Stands for the id after each document; holds a space, so no chunk is like it.
+END = b" end"
+
+
+class Numbers(dict):
+    """Chunks in the order in which they were first met."""
+
+    def __init__(self, chunks: list[bytes]):
+        super().__init__(zip(chunks, range(len(chunks)), strict=True))
+        self.chunks = chunks
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = number = len(self.chunks)
+        self.chunks.append(chunk)
+        return number
+
+
 class Encoder:
     """A tokenizer's ids of a text, from those of its chunks between ASCII white space.
 
-    Holds for tokenizers that let no token reach across white space and drop it.
+    Holds for tokenizers that lower-case, let no token reach across white space and
+    drop it, and cut marks from letters.  Chunks are looked up without their last mark
+    and in lower case (A-Z alone; a text with ``<|`` may name special tokens and keeps
+    its case).
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, end: int | None = None):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed as little-endian unsigned 32-bit integers."""
-        new: set[bytes] = set()
+        self.end = [END] if end is not None else []
+        self._keep(list(self.end), np.full(len(self.end), end or 0, np.int32), np.ones(len(self.end), np.int64))
+
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember these chunks alone; their ids lie behind each other."""
+        self.numbers = Numbers(chunks)
+        self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
+
+    def _learn(self, known: int) -> None:
+        new = self.numbers.chunks[known:]
+        ids, sizes = [self.ids], [self.sizes]
+        for first in range(0, len(new), CHUNKS_AT_ONCE):
+            chunks = new[first:first + CHUNKS_AT_ONCE]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32))
+            sizes.append(np.array([*map(len, found)], np.int64))
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks behind each other, and each chunk's number of ids."""
+        sizes = self.sizes[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin (one more entry at the end)."""
+        cut = []
         for text in texts:
-            new.update((text or "").encode().split())
-        new.difference_update(self.known)
-        chunks = list(new)
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(chunks, found, strict=True))
-        out = [b"".join(map(self.known.__getitem__, (text or "").encode().split())) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for chunk in chunks:
-            if len(chunk) > LONGEST_REMEMBERED:
-                self.known.pop(chunk, None)
-        return out
+            data = (text or "").encode()
+            if b"<|" not in data:
+                data = data.lower()
+            if ODD_MARK.search(data):
+                data = MARK.sub(rb" \1", data)
+            else:
+                for mark, apart in PLAIN_MARKS:
+                    data = data.replace(mark, apart)
+            cut.append(data.split() + self.end)
+        known = len(self.numbers.chunks)
+        counts = np.cumsum([0, *map(len, cut)])
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts[-1]))
+        if len(self.numbers.chunks) > known:
+            self._learn(known)
+        ids, sizes = self._gather(numbers)
+        if len(self.numbers.chunks) > REMEMBERED:
+            seen = np.unique(np.append(numbers, np.arange(len(self.end))))
+            chunks = [self.numbers.chunks[k] for k in seen.tolist()]
+            short = np.array([len(c) <= LONGEST_REMEMBERED or c == END for c in chunks], bool)
+            self._keep([c for c, kept in zip(chunks, short.tolist(), strict=True) if kept], *self._gather(seen[short]))
+        return ids, np.append(0, np.cumsum(sizes))[counts]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -80,29 +145,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int | None
     texts nor large ranges are held whole.  An empty table writes an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
     order = [F.col("doc_id"), F.col("_tie")]
     ranged = (docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_tie"), F.col(text).alias("_text"))
               .repartitionByRange(*order).sortWithinPartitions(*order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
+        key = hash((shared.value, end))
         if key not in _encoders:
             _encoders.clear()
-            _encoders[key] = Encoder(shared.value)
+            _encoders[key] = Encoder(shared.value, end)
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, rows in slices(batch, BYTES_AT_ONCE):
                 piece = batch.slice(first, rows)
-                ids = [x + tail for x in _encoders[key].encode(piece.column(2).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
-                offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-                values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(ids))])
+                ids, offsets = _encoders[key].encode(piece.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(sizes), pa.array(np.full(rows, part), pa.int32()), pa.array(starts),
-                     pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_tokens", "part", "local_start", "ids"])
+                    [piece.column(0), pa.array(np.diff(offsets)), pa.array(np.full(rows, part), pa.int32()), pa.array(at + offsets[:-1]),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))],
+                    ["doc_id", "n_tokens", "part", "local_start", "ids"])
+                at += int(offsets[-1])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = ranged.mapInArrow(run, f"doc_id {kind}, n_tokens long, part int, local_start long, ids array<int>")

@@ -66,9 +66,23 @@ def test_encode_edges(edge, nothing, ranks, reference):
 def test_chunks_equal_whole_texts():
     encoder = token_files.Encoder(vocabulary("word_bpe_49k.json").decode())
     whole = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    all_texts = texts(4000, 3) + ["Word. word) ). (word.) A.B. it's. O'Neill's, end", "<|ENDOFTEXT|> A. <|endoftext|>"]
-    for text, packed in zip(all_texts, encoder.encode(all_texts), strict=True):
-        assert np.frombuffer(packed, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    all_texts = texts(4000, 3) + ["Word. word) ). (word.) A.B. it's. O'Neill's, end", "<|ENDOFTEXT|> A. <|endoftext|>", "é. ñ, —. …, a., b,. '. x.\ny,\nz. "]
+    ids, offsets = encoder.encode(all_texts)
+    for k, text in enumerate(all_texts):
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    monkeypatch.setattr(token_files, "CHUNKS_AT_ONCE", 7)
+    small, large = (token_files.Encoder(vocabulary("word_bpe_49k.json").decode(), 2) for _ in range(2))
+    monkeypatch.setattr(token_files, "LONGEST_REMEMBERED", 3)
+    for part in ([], [None, ""], texts(30, 5), texts(30, 6), texts(30, 5)):
+        a, b = small.encode(part)
+        monkeypatch.setattr(token_files, "REMEMBERED", 10**6)
+        c, d = large.encode(part)
+        monkeypatch.setattr(token_files, "REMEMBERED", 50)
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
 
 
 def test_token_files(spark, edge, nothing):
