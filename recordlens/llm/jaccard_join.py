@@ -5,7 +5,8 @@ node of its tree one or two coordinates of the sets' min-hashes are sampled (1 /
 wanted similarity on average), and a set goes to the child of its least token there,
 so two sets part where they do not share it.  Buckets that are small are compared pair by
 pair; others are split again, and what is still large at the last level is compared in
-blocks.  The number of runs follows from the target recall at the last level.
+blocks.  The number of runs follows from the target recall at the last level,
+averaged over how many of its min-hashes a pair shares.
 
 No pair is ever a row.  A bucket's members meet in blocks of bounded size; a pair that
 meets in several buckets counts in the first alone, which both members know from
@@ -107,14 +108,40 @@ def with_keys(docs: DataFrame, made: str, *, text: str = "text") -> DataFrame:
 
 # ---- chosen paths ----------------------------------------------------------------------------------------------
 
-def runs_for(recall: float, like: float, levels: int) -> int:
-    """Runs after which a pair of similarity ``like`` has met with probability ``recall``, if it must pass all levels."""
+def missed(runs: int, like: float, levels: int) -> float:
+    """The probability that a pair of similarity ``like`` is not found by ``runs`` runs, if it must pass all levels.
+
+    All runs and nodes pick from the same min-hashes, so their draws are independent
+    only for a given number of equal ones, which is binomial.  The roots of ``HASHES``
+    runs are different coordinates, and so are the two of a node.
+    """
     second = 1 / like - 1
-    meets = 1.0
-    for _ in range(levels):
-        part = like * meets
-        meets = 1 - ((1 - second) * (1 - part) + second * (1 - part) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    full, rest = divmod(runs, HASHES)
+    total = 0.0
+    for equal in range(HASHES + 1):
+        weight = math.comb(HASHES, equal) * like**equal * (1 - like) ** (HASHES - equal)
+        if equal < LEAST_EQUAL * HASHES:  # not compared
+            total += weight
+            continue
+        unequal, meets = HASHES - equal, 1.0
+        for _ in range(levels):
+            # Of a node whose first coordinate is an equal one, and of one whose first is not.
+            with_first = (1 - meets) * (1 - second * (equal - 1) / (HASHES - 1) * meets)
+            without = 1 - second * equal / (HASHES - 1) * meets
+            meets = 1 - (equal * with_first + unequal * without) / HASHES
+        roots = sum(
+            math.comb(equal, k) * math.comb(unequal, rest - k) / math.comb(HASHES, rest) * with_first**k * without ** (rest - k)
+            for k in range(rest + 1))
+        total += weight * roots * (with_first**equal * without**unequal) ** full
+    return total
+
+
+def runs_for(recall: float, like: float, levels: int) -> int:
+    """The least number of runs that find a pair of similarity ``like`` with probability ``recall``, if it must pass all levels."""
+    for runs in range(1, 64 * HASHES):
+        if missed(runs, like, levels) <= 1 - recall:
+            return runs
+    raise ValueError(f"{HASHES} min-hashes cannot reach a recall of {recall} at similarity {like}")
 
 
 def children(node: np.ndarray, sig: np.ndarray, like: float, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

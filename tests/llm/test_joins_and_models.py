@@ -102,6 +102,41 @@ def test_runs_reach_the_recall():
     assert jaccard_join.runs_for(0.99999, 0.8, 4) <= 20 and jaccard_join.runs_for(0.9, 0.8, 1) == 2
 
 
+def pairs_alike(n, seed=5):
+    """Min-hashes of ``n`` pairs of sets whose similarity is 0.8: eight tokens shared, one of its own each."""
+    tokens = np.random.default_rng(seed).integers(0, 1 << 63, (n, 10), np.uint64)
+    return [jaccard_join.min_hashes(list(tokens[:, columns])) for columns in ([*range(8), 8], [*range(8), 9])]
+
+
+def test_links_of_an_oversized_bucket_reach_the_recall():
+    n = 100_000
+    one, two = pairs_alike(n)
+    met = np.zeros(n, bool)
+    for run in range(jaccard_join.runs_for(jaccard_join.RECALL, jaccard_join.LIKE, jaccard_join.LEVELS)):
+        pair, node = np.arange(n), np.full(n, hashing.mixed(np.array([run + 1], np.uint64))[0])
+        first = np.full(n, run % jaccard_join.HASHES)
+        for _ in range(jaccard_join.LEVELS):
+            rows, mine = jaccard_join.children(node, one[pair], jaccard_join.LIKE, first)
+            _, other = jaccard_join.children(node, two[pair], jaccard_join.LIKE, first)
+            pair, node, first = pair[rows][mine == other], mine[mine == other], None
+        met[pair] = True
+    assert n - met.sum() <= 4  # one is expected
+
+
+def test_leaves_of_an_oversized_bucket_reach_the_recall(spark):
+    n = 4000
+    sigs = [(f"{side}{k}".encode(), 9, row.tobytes()) for side, side_sigs in zip("ab", pairs_alike(n), strict=True) for k, row in enumerate(side_sigs)]
+    classes = spark.createDataFrame(sigs, "key binary, n long, sig binary")
+    found = jaccard_join.leaves(classes, recall=0.99, small=1).select("leaf", F.col("key").cast("string").alias("key"))
+    met = found.groupBy("leaf", F.substring("key", 2, 9).alias("pair")).agg(F.count(F.lit(1)).alias("sides")).where("sides = 2")
+    assert n - met.select("pair").distinct().count() <= 0.01 * n
+
+
+def test_recall_out_of_reach_is_refused():
+    with pytest.raises(ValueError):
+        jaccard_join.runs_for(1.0, 0.8, 4)
+
+
 def test_chains_have_one_class(spark):
     edges = spark.createDataFrame([(bytes([k + 1]), bytes([k])) for k in range(40)] + [(b"x", b"x"), (b"z", b"y")], "key binary, root binary")
     labels = {bytes(r["key"]): bytes(r["label"]) for r in jaccard_join.connected(edges).collect()}
