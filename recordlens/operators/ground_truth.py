@@ -116,6 +116,24 @@ def cap_queries(matches: DataFrame, n: int = MAX_QUERIES_PER_LINK) -> DataFrame:
     )
 
 
+def _matched(
+    links: DataFrame, documents: DataFrame, vehicle_id: int | None, prefix_len: int,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scoped links, all complaints, and the complaints in each link's window."""
+    scoped = scoped_links(links, documents)
+    if vehicle_id is not None:
+        scoped = scoped.where(F.col("vehicle_id") == vehicle_id)
+    complaints = documents.where(F.col("kind") == "complaint")
+    return scoped, complaints, window_matches(scoped, complaints, prefix_len, hot_vehicles(complaints))
+
+
+def count_matches(
+    links: DataFrame, documents: DataFrame, vehicle_id: int | None = None, prefix_len: int = COMPONENT_PREFIX_LENGTH,
+) -> int:
+    """How many cases there are when no link's complaints are cut off."""
+    return _matched(links, documents, vehicle_id, prefix_len)[2].count()
+
+
 def build_ground_truth(
     links: DataFrame, documents: DataFrame, vehicle_id: int | None = None,
     per_link: int | None = MAX_QUERIES_PER_LINK, prefix_len: int = COMPONENT_PREFIX_LENGTH,
@@ -127,12 +145,8 @@ def build_ground_truth(
     told apart by ``case_row``.  ``qrels``: ``link_id, document_id``.  A link asks
     ``per_link`` complaints, or all of its window with None.
     """
-    scoped = scoped_links(links, documents)
-    if vehicle_id is not None:
-        scoped = scoped.where(F.col("vehicle_id") == vehicle_id)
-    complaints = documents.where(F.col("kind") == "complaint")
-    matches = window_matches(scoped, complaints, prefix_len, hot_vehicles(complaints))
-    # A few complaints per link: written, so their bodies can be picked by id.
+    scoped, complaints, matches = _matched(links, documents, vehicle_id, prefix_len)
+    # Ids alone: written, so their bodies can be picked by id.
     picked = matches if per_link is None else cap_queries(matches, per_link)
     picked = cut_lineage(picked.select("link_id", "document_id"))
     heads = scoped.select("link_id", "vehicle_id", "investigation_external_id")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.filters import dense_ready, own_fit
 from ..functions.text import COMPONENT_PREFIX_LENGTH, MAX_TERMS
-from ..operators.ground_truth import MAX_QUERIES_PER_LINK, build_ground_truth
+from ..operators.ground_truth import MAX_QUERIES_PER_LINK, build_ground_truth, count_matches
 from ..operators.metrics import metrics_json, per_case, summarise
 from ..operators.neighbours import knn
-from ..operators.postings import tokens_of
+from ..operators.postings import query_terms, tokens_of
 from ..operators.ranking import CANDIDATE_WINDOW, evaluation_ranking, fused_order, merge_rankings, rrf_score
-from ..operators.sizing import is_small, spread
+from ..operators.sizing import MAX_BROADCAST_QUERIES, is_small, keep_ids, spread
 from ..operators.validation import MAX_QUERY_LENGTH, checked_queries, validate_queries
 from ..session import cut_lineage, steady_unions
 from ..sources.tables import append_log
@@ -27,30 +27,36 @@ NO_PROVIDER = (
 
 @dataclass(frozen=True)
 class Settings:
-    """What an evaluation asks: by default every case, with its whole text.
+    """What an evaluation asks: by default every complaint of each link's window, with all terms of its text.
 
-    ``PUBLISHED`` has the limits of a typed query; a case beyond them is not asked,
-    counts as not asked, and scores zero.
+    ``CAPPED`` asks the first 20 complaints of a link (the others are ``not_picked``),
+    each by its first 24 distinct terms.  ``PUBLISHED`` has the limits of a typed query
+    too; a case beyond them is not asked, counts as not asked, and scores zero.
     """
 
     max_length: int | None = None
-    max_terms: int | None = MAX_TERMS
-    per_link: int | None = MAX_QUERIES_PER_LINK
+    max_terms: int | None = None
+    per_link: int | None = None
     prefix_len: int = COMPONENT_PREFIX_LENGTH
     window: int = CANDIDATE_WINDOW
     depth: int = RANKING_DEPTH
 
 
-PUBLISHED = Settings(max_length=MAX_QUERY_LENGTH)
+CAPPED = Settings(max_terms=MAX_TERMS, per_link=MAX_QUERIES_PER_LINK)
+PUBLISHED = replace(CAPPED, max_length=MAX_QUERY_LENGTH)
 
 
-def case_queries(cases: DataFrame, vehicles: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Every case that can be asked as a query in both pools."""
-    asked = cases.select(
-        "case_row", "vehicle_id", "document_id", F.col("query_text").alias("text"),
-        F.explode(F.array(F.lit("all"), F.lit("campaigns"))).alias("scope"),
-    ).select(
-        F.xxhash64("case_row", "scope").alias("query_id"), "case_row", "vehicle_id", "document_id",
+def case_texts(cases: DataFrame) -> DataFrame:
+    """``document_id, query_text``: the text of each complaint, once."""
+    return cases.select("document_id", "query_text").dropDuplicates(["document_id"])
+
+
+def case_queries(cases: DataFrame, texts: DataFrame, vehicles: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Every complaint that can be asked as a query in both pools, once for all cases that ask it."""
+    asked = cases.select("vehicle_id", "document_id").distinct().join(
+        texts.withColumnRenamed("query_text", "text"), "document_id"
+    ).select("*", F.explode(F.array(F.lit("all"), F.lit("campaigns"))).alias("scope")).select(
+        F.xxhash64("vehicle_id", "document_id", "scope").alias("query_id"), "vehicle_id", "document_id",
         "text", "scope", F.lit("hybrid").alias("mode"), F.lit("allTrims").alias("trims"),
         F.lit(None).cast("string").alias("component"), F.lit(None).cast("date").alias("filed_from"),
         F.lit(None).cast("date").alias("filed_to"), F.lit(1).alias("limit"),
@@ -59,12 +65,12 @@ def case_queries(cases: DataFrame, vehicles: DataFrame, settings: Settings = Set
     return own_fit(valid, vehicles)
 
 
-def count_not_asked(cases: DataFrame, settings: Settings) -> int:
+def count_not_asked(cases: DataFrame, texts: DataFrame, settings: Settings) -> int:
     """Cases whose text is no query under the settings."""
-    checked = checked_queries(cases.select(
-        F.col("query_text").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("mode", "scope", "trims", "component")],
+    checked = checked_queries(texts.select(
+        "document_id", F.col("query_text").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("mode", "scope", "trims", "component")],
         F.lit(1).alias("limit"), *[F.lit(None).cast("date").alias(c) for c in ("filed_from", "filed_to")]), settings.max_length)
-    return checked.where("problem IS NOT NULL").count()
+    return cases.join(checked.where("problem IS NOT NULL").select("document_id"), "document_id").count()
 
 
 def count_without_vector(cases: DataFrame, query_vectors: DataFrame | None) -> int:
@@ -97,17 +103,22 @@ def mode_rankings(merged: DataFrame, depth: int = RANKING_DEPTH) -> DataFrame:
 def case_rankings(
     cases: DataFrame, vehicles: DataFrame, corpus: DataFrame, query_vectors: DataFrame | None,
     tokens: DataFrame | None = None, analyzer: str = "simple", small: bool | None = None,
-    settings: Settings = Settings(),
+    settings: Settings = Settings(), texts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``scope, mode, case_row, document_id, rank`` and the ``skips`` of modes that cannot run.
 
     ``query_vectors`` is ``document_id, embedding`` of the complaints asked; None
-    means there is no provider, which skips the modes that need one.
+    means there is no provider, which skips the modes that need one.  ``texts`` are
+    ``case_texts`` when the cases do not carry their own.
     """
     steady_unions(cases.sparkSession)
-    small = is_small(cases, 10_000) if small is None else small
+    texts = case_texts(cases) if texts is None else texts
     # Asked by both methods: checked and fitted once.
-    queries = spread(cut_lineage(case_queries(cases, vehicles, settings)))
+    queries = spread(cut_lineage(case_queries(cases, texts, vehicles, settings)))
+    # Broadcast only as many queries as have few terms: a whole text has thousands.
+    fewest = is_small(queries) and (settings.max_terms is not None or is_small(
+        query_terms(queries, analyzer=analyzer, max_terms=None), MAX_BROADCAST_QUERIES * MAX_TERMS))
+    small = fewest if small is None else small
     tokens = tokens_of(corpus, analyzer) if tokens is None else tokens
     hot = hot_or_none(corpus, small)
     sparse = sparse_ranking(queries, tokens, hot, settings.window, analyzer, max_terms=settings.max_terms)
@@ -128,11 +139,11 @@ def case_rankings(
     named = corpus.select("chunk_id", "document_id").join(
         F.broadcast(positions) if small else positions, "chunk_id"
     )
-    asked = queries.select("query_id", "case_row", "scope")
-    ranked = evaluation_ranking(
-        named.join(F.broadcast(asked) if small else asked, "query_id"),
-        settings.depth, ["scope", "mode", "case_row"],
-    )
+    ranked = evaluation_ranking(named, settings.depth, ["query_id", "mode"])
+    asked = queries.select("query_id", "scope", "vehicle_id", F.col("document_id").alias("asked")).join(
+        cases.select("case_row", "vehicle_id", F.col("document_id").alias("asked")), ["vehicle_id", "asked"]
+    ).select("query_id", "scope", "case_row")
+    ranked = ranked.join(asked, "query_id").select("scope", "mode", "case_row", "document_id", "rank")
     return ranked, skips
 
 
@@ -141,15 +152,21 @@ def evaluate(
     query_vectors: DataFrame | None, tokens: DataFrame | None = None, analyzer: str = "simple",
     vehicle_id: int | None = None, small: bool | None = None, settings: Settings = Settings(),
 ) -> DataFrame:
-    """Six rows: each pool and mode with its averages, or why it was skipped, and how many cases
-    were ``not_asked`` or had ``no_vector`` of their own."""
+    """Six rows: each pool and mode with its averages, or why it was skipped, how many cases
+    were ``not_asked`` or had ``no_vector`` of their own, and how many complaints of the links'
+    windows were ``not_picked`` as cases."""
     cases, relevant = build_ground_truth(links, documents, vehicle_id, settings.per_link, settings.prefix_len)
-    # Used by the rankings, the counts and the averages: written once.
-    cases = spread(cut_lineage(cases))
-    ranked, skips = case_rankings(cases, vehicles, corpus, query_vectors, tokens, analyzer, small, settings)
+    # Used by the rankings, the counts and the averages: written once, a complaint's text not for each of its links.
+    cases = spread(cut_lineage(cases.drop("query_text")))
+    bodies = documents.where(F.col("kind") == "complaint").select("document_id", F.col("body").alias("query_text"))
+    texts = cut_lineage(case_texts(keep_ids(bodies, cases, "document_id")))
+    not_picked = 0 if settings.per_link is None else count_matches(
+        links, documents, vehicle_id, settings.prefix_len) - cases.count()
+    ranked, skips = case_rankings(cases, vehicles, corpus, query_vectors, tokens, analyzer, small, settings, texts)
     return summarise(ranked, cases, relevant, skips).withColumns({
-        "not_asked": F.lit(count_not_asked(cases, settings)).cast("long"),
+        "not_asked": F.lit(count_not_asked(cases, texts, settings)).cast("long"),
         "no_vector": F.lit(count_without_vector(cases, query_vectors)).cast("long"),
+        "not_picked": F.lit(not_picked).cast("long"),
     })
 
 

@@ -216,22 +216,37 @@ SELECT g.scope, g.mode, CASE g.scope WHEN 'all' THEN g.mode ELSE 'campaigns' ||
 FROM (SELECT * FROM (VALUES ('all'), ('campaigns')) s(scope), (VALUES ('sparse'), ('dense'), ('hybrid')) m(mode)) g
 LEFT JOIN scores USING (scope, mode) GROUP BY ALL"""))
 def evaluation_grid(spark, d):
-    """Every case asked with its whole text."""
-    return _grid_rows(plan.evaluate(*_evaluation(spark, d)))
+    """The first 20 complaints of each link, of any length, asked by their first 24 distinct terms."""
+    return _grid_rows(plan.evaluate(*_evaluation(spark, d), settings=plan.CAPPED))
 
 
-def _grid_rows(rows):
+def _grid_rows(rows, *more):
     return rows.select("scope", "mode", "key", *[
         F.round(c, 9).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")
-    ], "scored", "skipped", "not_asked", "no_vector")
+    ], "scored", "skipped", "not_asked", "no_vector", *more)
 
 
 @query("evaluation_published", ORACLE["evaluation_grid"].replace("E' \\n\\t\\r')) >= 2", "E' \\n\\t\\r')) BETWEEN 2 AND 500"))
 def evaluation_published(spark, d):
-    """The published setting: a case text over 500 characters is no query."""
+    """The published setting: as ``evaluation_grid``, and a case text over 500 characters is no query."""
     return _grid_rows(plan.evaluate(*_evaluation(spark, d), settings=plan.PUBLISHED))
 
 
+def _uncapped(sql: str) -> str:
+    """The SQL of a grid without its limits of terms a text and complaints a link."""
+    for limit in ("WHERE pos < 24", "WHERE pick <= 20"):
+        assert limit in sql
+        sql = sql.replace(limit, "")
+    return sql
+
+
+@query("evaluation_whole", _uncapped(ORACLE["evaluation_grid"]).replace(" AS no_vector", " AS no_vector, 0 AS not_picked"))
+def evaluation_whole(spark, d):
+    """Every complaint of each link's window, asked with all terms of its text."""
+    rows = plan.evaluate(*_evaluation(spark, d), settings=plan.Settings(max_terms=None, per_link=None))
+    return _grid_rows(rows, "not_picked")
+
+
 @query("case_metrics", with_sql(*_GRID, select="""
 SELECT scope, mode, link * 1000000000 + c.document_id AS case_row, round(recall_at_5, 9) AS recall_at_5,
   round(recall_at_10, 9) AS recall_at_10, round(reciprocal_rank, 9) AS reciprocal_rank
@@ -240,7 +255,7 @@ def case_metrics(spark, d):
     links, docs, vehicles, corpus, vectors = _evaluation(spark, d)
     cases, relevant = build_ground_truth(links, docs)
     cases = spread(cut_lineage(cases))
-    ranked, _ = plan.case_rankings(cases, vehicles, corpus, vectors)
+    ranked, _ = plan.case_rankings(cases, vehicles, corpus, vectors, settings=plan.CAPPED)
     link = relevant.join(links.select(F.col("investigation_document_id").alias("document_id")), "document_id").select(
         "link_id", F.col("document_id").alias("link")
     )
@@ -267,7 +282,7 @@ def evaluation_without_vectors(spark, d):
     links, docs, vehicles, corpus, _ = _evaluation(spark, d)
     cases, relevant = build_ground_truth(links, docs)
     cases = spread(cut_lineage(cases))
-    ranked, skips = plan.case_rankings(cases, vehicles, t.corpus(spark, d, embedded=False), None)
+    ranked, skips = plan.case_rankings(cases, vehicles, t.corpus(spark, d, embedded=False), None, settings=plan.CAPPED)
     rows = metrics.summarise(ranked, cases, relevant, skips)
     share = metrics.per_case(ranked, cases, relevant, ["scope", "mode"]).groupBy("scope", "mode").agg(
         F.count(F.lit(1)).alias("hits")
@@ -282,7 +297,7 @@ def evaluation_without_vectors(spark, d):
 SELECT (SELECT count(*) FROM cases) AS case_count, round(coalesce(sum(recall_at_10) FILTER (scope = 'campaigns'
   AND mode = 'hybrid'), 0) / (SELECT count(*) FROM cases), 9) AS campaigns_hybrid_recall_at_10 FROM scores"""))
 def metrics_json(spark, d):
-    stored = metrics.metrics_json(plan.evaluate(*_evaluation(spark, d)))
+    stored = metrics.metrics_json(plan.evaluate(*_evaluation(spark, d), settings=plan.CAPPED))
     return stored.select("case_count", F.round(
         F.get_json_object("metrics", "$.campaignsHybrid.recallAt10").cast("double"), 9
     ).alias("campaigns_hybrid_recall_at_10"))

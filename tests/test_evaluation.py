@@ -162,6 +162,19 @@ def test_settings_reach_the_cases(spark):
     assert ground_truth.build_ground_truth(l, d, prefix_len=40)[0].count() == 6
 
 
+def test_an_evaluation_asks_every_complaint_with_all_its_terms(spark):
+    filler = " ".join(f"filler{k}" for k in range(30))
+    many = [BASE[0][:7] + ("Nothing of it.",) + BASE[0][8:], BASE[1][:7] + ("A lastword here.",) + BASE[1][8:]] + [
+        doc(100 + i, "complaint", str(i), FOUNDATION, date(2016, 3, 1), f"{filler} lastword") for i in range(25)]
+    whole = {r["key"]: r for r in grid(spark, documents=many).collect()}
+    assert all(r["scored"] == 25 and r["not_picked"] == 0 for r in whole.values())
+    assert whole["campaignsSparse"]["mrr"] == 1.0  # the 31st term alone finds the recall
+    capped = {r["key"]: r for r in grid(spark, documents=many, settings=plan.CAPPED).collect()}
+    assert all(r["scored"] == 20 and r["not_picked"] == 5 for r in capped.values())
+    assert capped["campaignsSparse"]["mrr"] == 0.0
+    assert rows(grid(spark, documents=many)) == rows(grid(spark, documents=many, small=False))
+
+
 def test_cases_without_a_vector_are_counted(spark):
     l, d = frames(spark, SIMILAR)
     cases, _ = ground_truth.build_ground_truth(l, d)
