@@ -23,9 +23,3 @@ def spark(tmp_path_factory):
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
-
-
-def rows(df, *columns):
-    """The rows as tuples in a settled order."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=lambda r: tuple((v is not None, str(v)) for v in r))

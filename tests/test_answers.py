@@ -2,7 +2,7 @@ import json
 from datetime import date, datetime
 
 import pytest
-from conftest import rows
+from frames import rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@ import json
 from datetime import date, datetime
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from recordlens.operators import catalog, ground_truth, metrics

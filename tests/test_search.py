@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from recordlens.operators import filters, neighbours, postings, ranking, validation
