@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_folder, steady_unions
-from . import bpe, jaccard_join, lattice, line_windows, mixing, pu_quality, rules, spotsigs, token_files, toxicity
+from . import bpe, jaccard_join, lattice, line_windows, mixing, negatives, phrases, pu_quality, rules, spotsigs, token_files, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -118,3 +118,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                          "n_lines", "n_distinct", "n_bare")
 
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.taking_part(table(spark, sf_dir, "embeddings"), label=label), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op12_hard_negatives"] = negatives.ORACLE
+
+
+@query
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLE["op13_phrase_mining"] = phrases.ORACLE
