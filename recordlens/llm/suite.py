@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_folder, steady_unions
-from . import bpe, jaccard_join, lattice, line_windows, mixing, negatives, phrases, pu_quality, rules, spotsigs, token_files, toxicity
+from . import bpe, jaccard_join, lattice, line_windows, mixing, negatives, phrases, pu_quality, rules, spotsigs, token_files, toxicity, warc
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -119,6 +119,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_lines", "n_distinct", "n_bare")
 
 
+@query
+def op11_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op11_warc_bundles"] = warc.ORACLE
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
