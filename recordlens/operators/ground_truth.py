@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.dates import covers
 from ..functions.text import COMPONENT_PREFIX_LENGTH, case_id, component_prefix
@@ -12,6 +17,8 @@ from .sizing import hot_vehicles, keep_ids, replicated, salted
 
 # Fixed value: complaints taken as queries per link.
 MAX_QUERIES_PER_LINK = 20
+# Links of one vehicle that may meet its days in one task.
+LINKS_PER_SALT = 200_000
 LINK_KEY = ["vehicle_id", "investigation_external_id", "component", "campaign_number",
             "investigation_document_id"]
 
@@ -64,74 +71,155 @@ def qrels(links: DataFrame, documents: DataFrame) -> DataFrame:
     return own.unionByName(recalls).distinct()
 
 
+def _windows(links: DataFrame, prefix_len: int) -> DataFrame:
+    """``link_id, vehicle_id, prefix, opened_on, closed_on`` of the links whose component says anything."""
+    return links.select(
+        "link_id", "vehicle_id", "opened_on", "closed_on", component_prefix(F.col("component"), prefix_len).alias("prefix"),
+    ).where(F.col("prefix") != "")
+
+
+def _offered(windows: DataFrame, complaints: DataFrame, prefix_len: int) -> DataFrame:
+    """Dated complaints, once for each length of prefix that the links have: a link's prefix is then a join key."""
+    lengths = [F.length("prefix") == k for k in range(1, prefix_len)]
+    found = windows.agg(*[F.bool_or(has).alias(str(k)) for k, has in enumerate(lengths, 1)]).first() if lengths else {}
+    used = [k for k in range(1, prefix_len) if found[str(k)]] + [prefix_len]
+    prefixes = F.array_distinct(F.array(*[F.substring("component", 1, k) for k in used]))
+    return complaints.where(F.col("filed_on").isNotNull()).select(
+        "vehicle_id", "document_id", "external_id", "filed_on", F.explode(prefixes).alias("prefix"))
+
+
 def window_matches(
     links: DataFrame, complaints: DataFrame, prefix_len: int = COMPONENT_PREFIX_LENGTH,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """``link_id, document_id, external_id`` of the complaints inside each link's window.
-
-    A full-length component prefix is itself a join key.  A shorter one can only
-    share its first character as a key, so a complaint offers both where such links
-    exist; a link uses exactly one, and the prefix test stays as a condition.  The
-    month is a key too: a link offers the months of its window, an open window those
-    up to the newest complaint.  Complaints of the vehicles in ``hot`` are spread over
-    salts that those vehicles' links follow.
+    """``link_id, document_id, external_id`` of all complaints inside each link's window.
+
+    The month is a join key beside vehicle and prefix: a link offers the months of its
+    window, an open window those up to the newest complaint.  Complaints of the vehicles
+    in ``hot`` are spread over salts that those vehicles' links follow.  Every match is
+    a row; ``first_in_window`` finds the first few without making them.
     """
-    dated = complaints.where(F.col("filed_on").isNotNull())
-    newest = dated.agg(F.max("filed_on")).first()[0]
-    windows = links.select(
-        "link_id", "vehicle_id", "opened_on", "closed_on",
-        component_prefix(F.col("component"), prefix_len).alias("prefix"),
-    ).where(F.col("prefix") != "").withColumn(
-        "prefix_key",
-        F.when(F.length("prefix") == prefix_len, F.col("prefix")).otherwise(F.substring("prefix", 1, 1)),
-    )
+    windows = _windows(links, prefix_len)
+    offered = _offered(windows, complaints, prefix_len).withColumn("month", F.trunc("filed_on", "month"))
+    newest = complaints.agg(F.max("filed_on")).first()[0]
     last = F.least(F.coalesce("closed_on", F.lit(newest)), F.lit(newest))
-    short = not windows.where(F.length("prefix") < prefix_len).isEmpty()
     windows = windows.where(F.col("opened_on") <= last).withColumn(
         "month", F.explode(F.sequence(F.trunc("opened_on", "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))))
-    prefixes = [F.substring("component", 1, prefix_len), *[F.substring("component", 1, 1)] * short]
-    offered = dated.select(
-        "vehicle_id", "document_id", "external_id", "component", "filed_on", F.trunc("filed_on", "month").alias("month"),
-        F.explode(F.array_distinct(F.array(*prefixes))).alias("prefix_key"),
-    )
-    keys = ["vehicle_id", "prefix_key", "month"]
+    keys = ["vehicle_id", "prefix", "month"]
     if hot is not None:
         offered, windows = salted(offered, F.col("document_id"), hot), replicated(windows, hot)
         keys.append("salt")
     return (
         offered.join(windows, keys)
-        .where(
-            F.col("component").startswith(F.col("prefix"))
-            & covers(F.col("opened_on"), F.col("closed_on"), F.col("filed_on"))
-        )
+        .where(covers(F.col("opened_on"), F.col("closed_on"), F.col("filed_on")))
         .select("link_id", "document_id", "external_id")
     )
 
 
+def _days_met(
+    links: DataFrame, complaints: DataFrame, prefix_len: int, daily: Callable[[DataFrame], DataFrame], work: Callable, schema: T.StructType,
+) -> DataFrame:
+    """``work`` over the windows and the days of each vehicle and prefix.
+
+    ``daily`` makes a bounded number of rows of each day of complaints, so a vehicle of
+    any size is a bounded table here; the links of a vehicle with many are spread over
+    salts that its days follow.
+    """
+    windows = _windows(links, prefix_len)
+    hot = windows.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") > LINKS_PER_SALT).select(
+        "vehicle_id", F.ceil(F.col("links") / LINKS_PER_SALT).cast("int").alias("salts"))
+    # A complaint whose vehicle and prefix no link names is in no window.
+    named = windows.select("vehicle_id", "prefix").distinct()
+    offered = _offered(windows, complaints, prefix_len).join(named, ["vehicle_id", "prefix"], "left_semi")
+    keys = ["vehicle_id", "prefix", "salt"]
+    asked = salted(windows.where("opened_on IS NOT NULL"), F.col("link_id"), hot)
+    # Both sides may stem from one table: columns of their own tell them apart.
+    asked = asked.select(*[F.col(name).alias(name) for name in asked.columns])
+    return asked.groupBy(keys).cogroup(replicated(daily(offered), hot).groupBy(keys)).applyInArrow(work, schema)
+
+
+def _spans(windows: pa.Table, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and end of each window in the sorted days."""
+    opened, closed = (windows.column(name).cast(pa.int32()) for name in ("opened_on", "closed_on"))
+    first = np.searchsorted(days, opened.to_numpy(), "left")
+    return first, np.maximum(first, np.searchsorted(days, closed.fill_null(np.iinfo(np.int32).max).to_numpy(), "right"))
+
+
+def first_in_window(
+    links: DataFrame, complaints: DataFrame, n: int = MAX_QUERIES_PER_LINK, prefix_len: int = COMPONENT_PREFIX_LENGTH,
+) -> DataFrame:
+    """``link_id, document_id, external_id, pick`` of the first ``n`` complaints in each link's window, by external id as text.
+
+    Only the first ``n`` of a day can be among the first of a window, so that many of each
+    day meet the windows; matches are never rows.  Ties go by the document's id, as text if
+    it is no whole number.
+    """
+    kind = complaints.schema["document_id"].dataType
+    tie = F.col("document_id") if isinstance(kind, T.IntegralType) else F.col("document_id").cast("string")
+    schema = T.StructType([links.schema["link_id"], complaints.schema["document_id"], complaints.schema["external_id"], T.StructField("pick", T.IntegerType())])
+
+    def daily(offered: DataFrame) -> DataFrame:
+        found = top_k(offered.withColumn("tie", tie), ["vehicle_id", "prefix", "filed_on"], [F.asc("external_id"), F.asc("tie")], n, "pick")
+        return found.select("vehicle_id", "prefix", "filed_on", "external_id", "tie", "document_id")
+
+    def work(windows: pa.Table, records: pa.Table) -> pa.Table:
+        order = pc.sort_indices(records, sort_keys=[("external_id", "ascending"), ("tie", "ascending")])
+        records = records.take(order)
+        days = records.column("filed_on").cast(pa.int32()).to_numpy()
+        by_day = np.argsort(days, kind="stable")  # the places in order of id, gathered by day
+        firsts, ends = _spans(windows, days[by_day])
+        spans, same = np.unique(np.stack([firsts, ends], axis=1), axis=0, return_inverse=True)
+        picked = []
+        for first, end in spans.tolist():
+            inside = by_day[first:end]
+            picked.append(np.sort(np.partition(inside, n - 1)[:n] if len(inside) > n else inside))
+        sizes = np.array([*map(len, picked)], np.int64)
+        starts, found = np.cumsum(sizes) - sizes, np.concatenate([np.zeros(0, np.int64), *picked])
+        many = sizes[same.ravel()]
+        link = np.repeat(np.arange(windows.num_rows), many)
+        pick = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        rows = records.take(pa.array(found[np.repeat(starts[same.ravel()], many) + pick]))
+        return pa.table([windows.column("link_id").take(pa.array(link)), rows.column("document_id"), rows.column("external_id"),
+                         pa.array((pick + 1).astype(np.int32))], names=schema.names)
+
+    return _days_met(links, complaints, prefix_len, daily, work, schema)
+
+
+def count_in_window(links: DataFrame, complaints: DataFrame, prefix_len: int = COMPONENT_PREFIX_LENGTH) -> DataFrame:
+    """``link_id, matches``: how many complaints each link's window holds; a match is no row."""
+    schema = T.StructType([links.schema["link_id"], T.StructField("matches", T.LongType())])
+
+    def daily(offered: DataFrame) -> DataFrame:
+        return offered.groupBy("vehicle_id", "prefix", "filed_on").agg(F.count(F.lit(1)).alias("matches"))
+
+    def work(windows: pa.Table, counts: pa.Table) -> pa.Table:
+        counts = counts.sort_by("filed_on")
+        firsts, ends = _spans(windows, counts.column("filed_on").cast(pa.int32()).to_numpy())
+        before = np.append(0, np.cumsum(counts.column("matches").to_numpy()))
+        return pa.table([windows.column("link_id"), pa.array(before[ends] - before[firsts])], names=schema.names)
+
+    return _days_met(links, complaints, prefix_len, daily, work, schema)
+
+
 def cap_queries(matches: DataFrame, n: int = MAX_QUERIES_PER_LINK) -> DataFrame:
-    """The first ``n`` complaints of each link by external id as text."""
+    """The first ``n`` complaints of each link by external id as text, of matches that are rows."""
     return top_k(
         matches, "link_id", [F.asc("external_id"), F.asc("document_id")], n, "pick"
     )
 
 
-def _matched(
-    links: DataFrame, documents: DataFrame, vehicle_id: int | None, prefix_len: int,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The scoped links, all complaints, and the complaints in each link's window."""
+def _scoped(links: DataFrame, documents: DataFrame, vehicle_id: int | None) -> tuple[DataFrame, DataFrame]:
+    """The scoped links, of one vehicle if asked, and all complaints."""
     scoped = scoped_links(links, documents)
-    if vehicle_id is not None:
-        scoped = scoped.where(F.col("vehicle_id") == vehicle_id)
-    complaints = documents.where(F.col("kind") == "complaint")
-    return scoped, complaints, window_matches(scoped, complaints, prefix_len, hot_vehicles(complaints))
+    return scoped if vehicle_id is None else scoped.where(F.col("vehicle_id") == vehicle_id), documents.where(F.col("kind") == "complaint")
 
 
 def count_matches(
     links: DataFrame, documents: DataFrame, vehicle_id: int | None = None, prefix_len: int = COMPONENT_PREFIX_LENGTH,
 ) -> int:
     """How many cases there are when no link's complaints are cut off."""
-    return _matched(links, documents, vehicle_id, prefix_len)[2].count()
+    counts = count_in_window(*_scoped(links, documents, vehicle_id), prefix_len)
+    return counts.agg(F.coalesce(F.sum("matches"), F.lit(0))).first()[0]
 
 
 def build_ground_truth(
@@ -145,9 +233,10 @@ def build_ground_truth(
     told apart by ``case_row``.  ``qrels``: ``link_id, document_id``.  A link asks
     ``per_link`` complaints, or all of its window with None.
     """
-    scoped, complaints, matches = _matched(links, documents, vehicle_id, prefix_len)
+    scoped, complaints = _scoped(links, documents, vehicle_id)
     # Ids alone: written, so their bodies can be picked by id.
-    picked = matches if per_link is None else cap_queries(matches, per_link)
+    picked = window_matches(scoped, complaints, prefix_len, hot_vehicles(complaints)) if per_link is None else first_in_window(
+        scoped, complaints, per_link, prefix_len)
     picked = cut_lineage(picked.select("link_id", "document_id"))
     heads = scoped.select("link_id", "vehicle_id", "investigation_external_id")
     bodies = keep_ids(

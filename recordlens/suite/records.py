@@ -485,9 +485,7 @@ def window_ground_truth(spark, d):
     ).distinct().withColumn(
         "document_id", F.struct("filed_on", "component")
     )
-    return ground_truth.cap_queries(ground_truth.window_matches(links, complaints)).select(
-        "link_id", "external_id"
-    )
+    return ground_truth.first_in_window(links, complaints).select("link_id", "external_id")
 
 
 # --- stored tables ---------------------------------------------------------------

@@ -1,5 +1,6 @@
 import json
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from frames import rows
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recordlens.operators import catalog, ground_truth, metrics
 from recordlens.operators.hits import chunk_context
+from recordlens.operators.ranking import top_k
 from recordlens.plans import evaluate as plan
 from recordlens.plans.embed import hash_embedded
 from recordlens.schemas import FIT
@@ -14,65 +16,118 @@ from recordlens.schemas import FIT
 DOCUMENT = ("document_id long, vehicle_id long, kind string, external_id string, component string, filed_on date, "
             f"title string, body string, {FIT}")
 LINK = "investigation_document_id long, campaign_number string, component string, opened_on date, closed_on date"
-FOUNDATION = "RUNNING GEAR, FRONT AXLE:BEARINGS"
+PARTS = ["HOIST", "HOIST DRUM", "HOIST DRUM BRAKE", "HOIST DRUM BRAKE SHOE", "CABIN DOOR SENSOR LOOM", "CABIN", " CABIN", "hoist drum"]
 
 
-def doc(i, kind, ext, component, filed, body="Both pads were worn after a month.", vehicle=1):
+def doc(i, kind, ext, component, filed, body="", vehicle=1):
     return (i, vehicle, kind, ext, component, filed, ext, body, None, None, None, None)
 
 
-BASE = [
-    doc(1, "investigation", "PE16003", FOUNDATION, date(2016, 2, 29)), doc(2, "recall", "16V345000", FOUNDATION, date(2016, 6, 1)),
-    doc(3, "complaint", "c-inside-1", FOUNDATION, date(2016, 3, 1)),
-    doc(4, "complaint", "c-inside-2", "RUNNING GEAR, FRONT AXLE:SEALS", date(2016, 5, 1)),
-    doc(5, "complaint", "c-before", FOUNDATION, date(2015, 1, 1)), doc(6, "complaint", "c-after", FOUNDATION, date(2020, 1, 1)),
-    doc(7, "complaint", "c-other", "REAR SHELL:DOORS", date(2016, 4, 1)), doc(8, "complaint", "c-undated", FOUNDATION, None),
-    doc(9, "complaint", "c-elsewhere", FOUNDATION, date(2016, 3, 1), vehicle=2),
-    doc(10, "complaint", "c-case", "running gear, front axle", date(2016, 3, 1)),
-]
-WINDOW = (date(2016, 2, 29), date(2016, 7, 26))
-
-
-def frames(spark, documents=BASE, links=((1, "16V345000", FOUNDATION, *WINDOW),)):
+def drawn_day(draw, spread=900):
+    return date(1990, 1, 1) + timedelta(days=draw.randrange(spread))
+
+
+def drawn_records(seed, complaints=150, vehicles=3, investigations=12):
+    """Documents and links drawn at random: undated ones, repeated and reversed windows, campaigns nobody stored."""
+    draw = random.Random(seed)
+    documents = [doc(k, "complaint", f"n{draw.randrange(10 ** 6)}", draw.choice(PARTS), draw.choice([None, *[drawn_day(draw)] * 9]),
+                     vehicle=draw.randint(1, vehicles)) for k in range(complaints)]
+    documents += [doc(1000 + k, "recall", f"r{k}", draw.choice(PARTS), drawn_day(draw), vehicle=draw.randint(1, vehicles)) for k in range(9)]
+    documents += [doc(2000 + k, "investigation", f"i{draw.randrange(50)}", "", None, vehicle=draw.randint(1, vehicles)) for k in range(investigations)]
+    links = {(2000 + draw.randrange(investigations), draw.choice(["", "gone", *[f"r{k}" for k in range(9)]]), draw.choice([*PARTS, " ", "H", "CAB "]),
+              draw.choice([None, *[drawn_day(draw)] * 9]), draw.choice([None, drawn_day(draw), drawn_day(draw)])) for _ in range(60)}
+    # One link of a key: its window is part of the link, not of the key.
+    return documents, sorted({link[:3]: link for link in links}.values(), key=str)
+
+
+def expected_truth(documents, links, per_link, prefix_len):
+    """The rules as loops: the cases, and the relevant documents of each link."""
+    by_id = {d[0]: d for d in documents}
+    cases, relevant, matches = [], set(), 0
+    for head, campaign, component, opened, closed in links:
+        if not campaign:
+            continue
+        _, vehicle, _, name, *_ = by_id[head]
+        relevant.add((head, campaign, component, head))
+        relevant |= {(head, campaign, component, d[0]) for d in documents if d[1:4] == (vehicle, "recall", campaign)}
+        prefix = component.strip()[:prefix_len]
+        inside = sorted((d[3], d[0]) for d in documents if d[2] == "complaint" and d[1] == vehicle and prefix and d[4].startswith(prefix)
+                        and opened and d[5] and opened <= d[5] and (closed is None or d[5] <= closed))
+        matches += len(inside)
+        cases += [(f"{name}:{ext}", head, campaign, component, i) for ext, i in inside[:per_link]]
+    return sorted(cases), relevant, matches
+
+
+def frames(spark, documents, links):
     return spark.createDataFrame(list(links), LINK), spark.createDataFrame(documents, DOCUMENT)
 
 
-def truth(spark, **k):
-    cases, relevant = ground_truth.build_ground_truth(*frames(spark, **k))
-    return sorted(r["case_id"] for r in cases.collect()), sorted(r["document_id"] for r in relevant.collect())
-
-
-def test_ground_truth(spark):
-    assert truth(spark) == (["PE16003:c-inside-1", "PE16003:c-inside-2"], [1, 2])
-    assert truth(spark, links=[(1, "99V1", FOUNDATION, *WINDOW)])[1] == [1]
-    assert truth(spark, links=[(1, "", FOUNDATION, *WINDOW)]) == ([], [])
-    assert truth(spark, links=[(1, "16V345000", "  ", *WINDOW)])[0] == []
-    assert "PE16003:c-after" in truth(spark, links=[(1, "16V345000", FOUNDATION, WINDOW[0], None)])[0]
-    # A short component matches whatever starts with it.
-    assert truth(spark, links=[(1, "16V345000", " REAR S ", *WINDOW)])[0] == ["PE16003:c-other"]
-    assert truth(spark, links=[(1, "16V345000", "R", *WINDOW)])[0] == [
-        "PE16003:c-inside-1", "PE16003:c-inside-2", "PE16003:c-other"]
-
-
-def test_one_complaint_under_two_links_is_two_cases(spark):
-    links = [(1, "16V345000", FOUNDATION, *WINDOW), (1, "16V345000", "RUNNING GEAR, OTHER", *WINDOW)]
-    cases, _ = ground_truth.build_ground_truth(*frames(spark, links=links))
-    got = cases.collect()
-    assert len(got) == 4 and len({r["case_row"] for r in got}) == 4 and len({r["case_id"] for r in got}) == 2
-
-
-def test_twenty_complaints_per_link(spark):
-    many = BASE[:2] + [doc(100 + i, "complaint", str(i), FOUNDATION, date(2016, 3, 1)) for i in range(50)]
-    cases, _ = ground_truth.build_ground_truth(*frames(spark, documents=many))
-    assert sorted(r["case_id"].split(":")[1] for r in cases.collect()) == sorted(map(str, range(50)))[:20]
+@pytest.mark.parametrize(("seed", "per_link", "prefix_len"), [(1, 20, 12), (2, 3, 40), (3, None, 5), (4, 1, 1)])
+def test_ground_truth_equals_its_rules(spark, seed, per_link, prefix_len):
+    documents, links = drawn_records(seed)
+    l, d = frames(spark, documents, links)
+    cases, relevant = ground_truth.build_ground_truth(l, d, per_link=per_link, prefix_len=prefix_len)
+    named = ground_truth.scoped_links(l, d).select("link_id", "investigation_document_id", "campaign_number", "component")
+    wanted, wanted_relevant, matches = expected_truth(documents, links, per_link, prefix_len)
+    got = cases.join(named, "link_id").select("case_id", "investigation_document_id", "campaign_number", "component", "document_id")
+    assert sorted(map(tuple, got.collect())) == wanted and wanted
+    assert cases.select("case_row").distinct().count() == len(wanted)
+    got = relevant.join(named, "link_id").select("investigation_document_id", "campaign_number", "component", "document_id")
+    assert set(map(tuple, got.collect())) == wanted_relevant
+    assert ground_truth.count_matches(l, d, prefix_len=prefix_len) == matches
+
+
+def test_one_vehicle_alone(spark):
+    documents, links = drawn_records(5)
+    l, d = frames(spark, documents, links)
+    mine = [x for x in links if next(d for d in documents if d[0] == x[0])[1] == 2]
+    cases, _ = ground_truth.build_ground_truth(l, d, vehicle_id=2)
+    assert sorted(r["case_id"] for r in cases.collect()) == [c[0] for c in expected_truth(documents, mine, 20, 12)[0]]
+    assert ground_truth.count_matches(l, d, vehicle_id=2, prefix_len=12) == expected_truth(documents, mine, 20, 12)[2]
+
+
+def window_tables(spark, complaints, links, seed=6):
+    draw = random.Random(seed)
+    found = [(draw.randint(1, 2), "PART", k, f"x{draw.randrange(10 ** 4)}", drawn_day(draw, 60)) for k in range(complaints)]
+    asked = [(k, draw.randint(1, 2), "PART", drawn_day(draw, 60), draw.choice([None, drawn_day(draw, 80)])) for k in range(links)]
+    return (spark.createDataFrame(asked, "link_id long, vehicle_id long, component string, opened_on date, closed_on date"),
+            spark.createDataFrame(found, "vehicle_id long, component string, document_id long, external_id string, filed_on date"), asked, found)
+
+
+def test_first_of_a_window_without_its_matches(spark, monkeypatch):
+    """Ten times the complaints: more matches, but no more rows that meet the windows than days hold."""
+    met = {}
+    for size in (3_000, 30_000):
+        links, complaints, asked, found = window_tables(spark, size, 80)
+        wanted = sorted((k, i, e) for k, v, _, a, b in asked for e, i in sorted(
+            (e, i) for u, _, i, e, day in found if u == v and a <= day and (b is None or day <= b))[:7])
+        picked = ground_truth.first_in_window(links, complaints, 7)
+        assert rows(picked, "link_id", "document_id", "external_id") == sorted(wanted, key=lambda r: tuple((True, str(v)) for v in r))
+        met[size] = top_k(complaints, ["vehicle_id", "filed_on"], [F.asc("external_id")], 7, "pick").count()
+        counted = dict(map(tuple, ground_truth.count_in_window(links, complaints).collect()))
+        assert counted == {k: sum(u == v and a <= day and (b is None or day <= b) for u, _, _, _, day in found) for k, v, _, a, b in asked}
+    assert met[30_000] <= 2 * 60 * 7 and met[3_000] <= met[30_000]
+    # A vehicle with many links is spread over salts.
+    monkeypatch.setattr(ground_truth, "LINKS_PER_SALT", 5)
+    assert rows(ground_truth.first_in_window(links, complaints, 7)) == rows(picked)
+
+
+def test_ties_of_a_day_go_by_id(spark):
+    complaints = spark.createDataFrame([(1, "P", k, "same", date(2001, 2, 3)) for k in range(9)],
+                                       "vehicle_id long, component string, document_id long, external_id string, filed_on date")
+    links = spark.createDataFrame([(5, 1, "P", date(2001, 2, 3), date(2001, 2, 3))],
+                                  "link_id long, vehicle_id long, component string, opened_on date, closed_on date")
+    assert rows(ground_truth.first_in_window(links, complaints, 3), "document_id", "pick") == [(0, 1), (1, 2), (2, 3)]
+    assert ground_truth.first_in_window(links, complaints.where("false"), 3).count() == 0
+    assert ground_truth.first_in_window(links.where("false"), complaints, 3).count() == 0
 
 
 def test_links_in_order(spark):
-    docs = BASE[:1] + [doc(20, "investigation", "EA1", "X", None)]
-    links = [(1, "B", "Z", *WINDOW), (1, "A", "Z", *WINDOW), (20, "C", "Z", *WINDOW), (1, "Q", "A", *WINDOW)]
-    got = ground_truth.ordered_links(*frames(spark, docs, links)).orderBy("pos").collect()
-    assert [(r["investigation_external_id"], r["component"], r["campaign_number"]) for r in got] == [
-        ("EA1", "Z", "C"), ("PE16003", "A", "Q"), ("PE16003", "Z", "A"), ("PE16003", "Z", "B")]
+    documents, links = drawn_records(7)
+    names = {d[0]: (d[3], d[1]) for d in documents}
+    got = ground_truth.ordered_links(*frames(spark, documents, links)).orderBy("pos").collect()
+    wanted = sorted((names[i][0], part, campaign, names[i][1], i) for i, campaign, part, *_ in links if campaign)
+    assert [(r["investigation_external_id"], r["component"], r["campaign_number"], r["vehicle_id"], r["investigation_document_id"]) for r in got] == wanted
 
 
 def scored(spark, cases, relevant, rankings):
@@ -112,11 +167,22 @@ def test_recall_needs_a_positive_cutoff(spark):
     assert rows(metrics.recall_at_k(found, relevant, ["case_row"], 5)) == [(1, pytest.approx(1 / 3))]
 
 
-SIMILAR = BASE[:2] + [
-    doc(30 + i, "complaint", f"c{i}", FOUNDATION, date(2016, 3, 1 + i), f"Both pads were worn after mile {i}.") for i in range(6)]
+TOOTH = "GEAR TRAIN, SECOND STAGE"
+SPAN = (date(1994, 3, 5), date(1994, 11, 20))
+HEADS = [doc(1, "investigation", "i-1", TOOTH, SPAN[0], "A tooth of the second gear broke under load."),
+         doc(2, "recall", "r-1", TOOTH, SPAN[1], "A tooth of the second gear may break under load.")]
+ONE_LINK = ((1, "r-1", TOOTH, *SPAN),)
+
+
+def alike(count, body):
+    """The two heads, and complaints of the link's window."""
+    return HEADS + [doc(50 + k, "complaint", f"n{k:03}", TOOTH, SPAN[0] + timedelta(days=3 * k), body(k)) for k in range(count)]
+
+
+SIMILAR = alike(6, lambda k: f"A tooth of the gear broke under load {k}.")
 
 
-def grid(spark, documents=SIMILAR, links=((1, "16V345000", FOUNDATION, *WINDOW),), vectors=True, **options):
+def grid(spark, documents=SIMILAR, links=ONE_LINK, vectors=True, **options):
     l, d = frames(spark, documents, links)
     chunks = d.select(F.col("document_id").alias("chunk_id"), "document_id", F.col("body").alias("text"))
     corpus = chunk_context(chunks, d)
@@ -138,7 +204,7 @@ def test_grid(spark):
 
 
 def test_grid_without_cases_or_vectors(spark):
-    empty = grid(spark, links=[(1, "", FOUNDATION, *WINDOW)]).collect()
+    empty = grid(spark, links=[(1, "", TOOTH, *SPAN)]).collect()
     assert len(empty) == 6 and {r["skipped_reason"] for r in empty} == {metrics.NO_CASES}
     assert all(r["recall_at_5"] is None and r["scored"] is None for r in empty)
     for vectors, reason in ((False, "No chunk for this vehicle"), ("none", "No embedding provider")):
@@ -148,7 +214,7 @@ def test_grid_without_cases_or_vectors(spark):
 
 
 def test_long_cases_are_asked_unless_the_published_limit_holds(spark):
-    long = [d[:7] + (d[7] + " pads" * 100,) + d[8:] if d[2] == "complaint" else d for d in SIMILAR]
+    long = [d[:7] + (d[7] + " gear" * 120,) + d[8:] if d[2] == "complaint" else d for d in SIMILAR]
     published = grid(spark, documents=long, settings=plan.PUBLISHED).collect()
     assert all(r["scored"] == r["not_asked"] == 6 and r["mrr"] == 0 for r in published)
     whole = {r["key"]: r for r in grid(spark, documents=long).collect()}
@@ -156,7 +222,7 @@ def test_long_cases_are_asked_unless_the_published_limit_holds(spark):
 
 
 def test_settings_reach_the_cases(spark):
-    l, d = frames(spark, SIMILAR)
+    l, d = frames(spark, SIMILAR, ONE_LINK)
     assert ground_truth.build_ground_truth(l, d, per_link=2)[0].count() == 2
     assert ground_truth.build_ground_truth(l, d, per_link=None)[0].count() == 6
     assert ground_truth.build_ground_truth(l, d, prefix_len=40)[0].count() == 6
@@ -164,8 +230,8 @@ def test_settings_reach_the_cases(spark):
 
 def test_an_evaluation_asks_every_complaint_with_all_its_terms(spark):
     filler = " ".join(f"filler{k}" for k in range(30))
-    many = [BASE[0][:7] + ("Nothing of it.",) + BASE[0][8:], BASE[1][:7] + ("A lastword here.",) + BASE[1][8:]] + [
-        doc(100 + i, "complaint", str(i), FOUNDATION, date(2016, 3, 1), f"{filler} lastword") for i in range(25)]
+    many = alike(25, lambda k: f"{filler} lastword")
+    many[0], many[1] = (h[:7] + (text,) + h[8:] for h, text in zip(HEADS, ("Nothing of it.", "A lastword here.")))
     whole = {r["key"]: r for r in grid(spark, documents=many).collect()}
     assert all(r["scored"] == 25 and r["not_picked"] == 0 for r in whole.values())
     assert whole["campaignsSparse"]["mrr"] == 1.0  # the 31st term alone finds the recall
@@ -176,9 +242,9 @@ def test_an_evaluation_asks_every_complaint_with_all_its_terms(spark):
 
 
 def test_cases_without_a_vector_are_counted(spark):
-    l, d = frames(spark, SIMILAR)
+    l, d = frames(spark, SIMILAR, ONE_LINK)
     cases, _ = ground_truth.build_ground_truth(l, d)
-    some = spark.createDataFrame([(30, [1.0])], "document_id long, embedding array<float>")
+    some = spark.createDataFrame([(50, [1.0])], "document_id long, embedding array<float>")
     assert plan.count_without_vector(cases, some) == 5 and plan.count_without_vector(cases, None) == 6
 
 
