@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 from recordlens.operators import answers, grounding
 from recordlens.plans import audit
 
-BODY = ("The owner of a van wrote in.\n\nOn the motorway, a burnt   rubber smell came into the\r\n  rear seats. "
-        "The garage was told.")
+_draw = random.Random(23)
+GAPS = [" ", " ", "  ", "\t", "\n\n", "\r\n ", " \n"]
+WORDS = [f"{_draw.choice(['pin', 'cog', 'Shaft', 'rim'])}{k}" for k in range(24)]
+BODY = "".join(word + _draw.choice(GAPS) for word in WORDS[:-4]) + " ".join(WORDS[-4:]) + "."
+LAST = " ".join(WORDS[-4:]) + "."
 
 
 def locate(spark, *pairs):
@@ -19,9 +23,8 @@ def locate(spark, *pairs):
 
 
 @pytest.mark.parametrize("body, quote, cut", [
-    (BODY, "The garage was told.", "The garage was told."),
-    (BODY, "a burnt rubber smell came into the rear seats", "a burnt   rubber smell came into the\r\n  rear seats"),
-    ("   \n Rubber smell. ", "Rubber smell.", "Rubber smell."),
+    (BODY, LAST, LAST), *[(BODY, " ".join(WORDS[i:j]), BODY[BODY.index(WORDS[i]):BODY.index(WORDS[j - 1]) + len(WORDS[j - 1])])
+                          for i, j in ((0, 3), (5, 14), (9, 20), (0, 20))],
     ("😀😀 the valve (x.y) stuck", "valve  (x.y)", "valve (x.y)"),
     ("a no break", "no\tbreak", "no break"),
     (r"cost $5 [a-z]* \d+ ^|{2}?", r"$5 [a-z]* \d+ ^|{2}?", r"$5 [a-z]* \d+ ^|{2}?"),
@@ -33,7 +36,7 @@ def test_quotes_found(spark, body, quote, cut):
 
 
 @pytest.mark.parametrize("body, quote, reason", [
-    (BODY, "the garage was told.", grounding.NOT_FOUND), (BODY, "diesel filled the boot", grounding.NOT_FOUND),
+    (BODY, LAST.upper(), grounding.NOT_FOUND), (BODY, WORDS[2] + WORDS[3], grounding.NOT_FOUND),
     (BODY, "", grounding.EMPTY_QUOTE), (BODY, "   \n\t ", grounding.EMPTY_QUOTE), ("xay", "x.y", grounding.NOT_FOUND),
     ("", "x", grounding.NOT_FOUND),
 ])
@@ -68,7 +71,7 @@ BODIES = [(1, BODY), (2, "Brakes failed."), (3, "Not shown.")]
 
 def test_citation_check(spark):
     got = checked(spark, [
-        (1, 0, "1", "The garage was told."), (1, 1, "2", "brakes failed"), (1, 2, "2", "Brakes failed."),
+        (1, 0, "1", LAST), (1, 1, "2", "brakes failed"), (1, 2, "2", "Brakes failed."),
         (1, 3, " ", "Brakes failed."), (1, 4, "3", "Not shown."), (1, 5, "x9", ""), (1, 6, "2", " "),
         (2, 0, "2", "Brakes failed."), (3, 0, "77", "Brakes failed."),
     ], [(1, 1), (1, 2), (2, 2), (2, 3), (3, 2)], BODIES)
@@ -83,7 +86,7 @@ def test_citation_check(spark):
     assert none["faithfulness"] is None and none["label"] == "no citations emitted"
     around = grounding.citation_context(got.where("verified and answer_id = 1 and pos = 0"), spark.createDataFrame(
         BODIES, "document_id long, body string")).first()
-    assert around["before"] + around["highlighted"] + around["after"] == BODY and around["highlighted"] == "The garage was told."
+    assert around["before"] + around["highlighted"] + around["after"] == BODY and around["highlighted"] == LAST
 
 
 def test_bad_ranges_highlight_nothing(spark):
@@ -143,7 +146,7 @@ def test_audit(spark, tmp_path):
     cite = lambda d, q: {"documentId": d, "quote": q}
     reply = lambda *c: json.dumps({"answer": "Yes.", "isKnownPattern": True, "citations": c, "linkedCampaigns": ["17V1"]})
     replies = spark.createDataFrame([
-        (1, reply(cite("1", "The garage was told."), cite("1", "made up")), None), (2, reply(cite("1", "made up")), None),
+        (1, reply(cite("1", LAST), cite("1", "made up")), None), (2, reply(cite("1", "made up")), None),
         (3, None, "The model declined to answer this question."), (4, "broken", None), (5, reply(), None),
     ], "query_id long, reply string, refusal string")
     audited, _ = audit.audit_answers(questions, shown, replies, spark.createDataFrame(BODIES, "document_id long, body string"))

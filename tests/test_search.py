@@ -1,5 +1,5 @@
 import random
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
 import numpy as np
@@ -29,15 +29,24 @@ def ask(i, text, mode="sparse", vehicle=1, **o):
     return (i, vehicle, text, mode, o.get("scope"), o.get("trims"), o.get("component"), o.get("start"), o.get("end"), o.get("limit"))
 
 
+KINDS = ["complaint", "recall", "complaint", "investigation"]
+
+
+def made_records(count=40):
+    """Record ``i`` names the lamp ``i % 5`` times; every seventh has no date."""
+    return [record(i, 1 + i % 3, f"n{i}", ["WIRING", "LENS"][i % 2], None if i % 7 == 0 else date(2011, 1, 1) + timedelta(days=17 * i),
+                   " ".join(["lamp"] * (i % 5) + [f"part{i}", "fitted"]), KINDS[i % 4]) for i in range(count)]
+
+
+def lit(vehicle, keep=lambda r: True):
+    """Ids of the records that name the lamp, those that name it most first."""
+    found = [r for r in made_records() if r[2] == vehicle and "lamp" in r[8] and keep(r)]
+    return [r[4] for r in sorted(found, key=lambda r: (-r[8].count("lamp"), r[0]))]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
-    plain = spark.createDataFrame([
-        record(1, 1, "whistle-1", "WHISTLE", date(2016, 5, 1), "A loud whistle noise starts at the window on each motorway trip."),
-        record(2, 1, "whistle-2", "WHISTLE", date(2019, 5, 1), "Whistle I hear from the boot, more of it in the rain."),
-        record(3, 1, "brakes-1", "SERVICE BRAKES", date(2016, 6, 1), "Both pads were worn after a month of city traffic."),
-        record(4, 2, "other-vehicle-whistle", "WHISTLE", date(2016, 5, 1), "Whistle noise window report about some other model."),
-        record(5, 1, "undated", "WHISTLE", None, "Whistle note, no date.", kind="recall"),
-    ], CORPUS)
+    plain = spark.createDataFrame(made_records(), CORPUS)
     return plain.join(hash_embedded(plain, 64), "chunk_id")
 
 
@@ -56,37 +65,37 @@ def names(hits):
     return [r["external_id"] for r in hits.orderBy("query_id", "position").collect()]
 
 
-NOISE = "I hear a loud whistle noise beside the window"
-
-
 def test_sparse(spark, corpus, vehicles):
-    hits, rejects = run(spark, corpus, vehicles, ask(1, NOISE))
+    hits, rejects = run(spark, corpus, vehicles, ask(1, "the lamp", limit=50))
     got = hits.orderBy("position").collect()
-    assert [r["external_id"] for r in got] == ["whistle-1", "whistle-2", "undated"]
-    assert [r["sparse_rank"] for r in got] == [1, 2, 3] and all(r["dense_rank"] is None for r in got)
-    assert got[0]["fused_score"] == round(1 / 61, 5) and rejects.count() == 0
+    assert [r["external_id"] for r in got] == lit(1) and len(got) > 8
+    assert [r["sparse_rank"] for r in got] == list(range(1, len(got) + 1)) and all(r["dense_rank"] is None for r in got)
+    assert [r["fused_score"] for r in got] == [round(1 / (60 + k), 5) for k in range(1, len(got) + 1)] and rejects.count() == 0
 
 
 def test_dense_and_hybrid(spark, corpus, vehicles):
-    hits, _ = run(spark, corpus, vehicles, ask(1, NOISE, "dense"), ask(2, NOISE, None))
+    hits, _ = run(spark, corpus, vehicles, ask(1, "lamp", "dense", limit=50), ask(2, "lamp", None, limit=50))
     dense = hits.where("query_id = 1").orderBy("position").collect()
-    assert len(dense) == 4 and all(r["sparse_rank"] is None for r in dense)
+    assert {r["external_id"] for r in dense} == {r[4] for r in made_records() if r[2] == 1} and all(r["sparse_rank"] is None for r in dense)
     hybrid = hits.where("query_id = 2").orderBy("position").collect()
-    assert any(r["found_by_both"] for r in hybrid)
+    assert {r["external_id"] for r in hybrid if r["found_by_both"]} == set(lit(1))
     assert [r["fused_score"] for r in hybrid] == sorted((r["fused_score"] for r in hybrid), reverse=True)
 
 
 def test_filters(spark, corpus, vehicles):
-    hits, _ = run(
-        spark, corpus, vehicles,
-        ask(1, NOISE, start=date(2018, 1, 1), end=date(2020, 1, 1)), ask(2, NOISE, limit=1),
-        ask(3, NOISE, component=" whistle "), ask(4, NOISE, scope="CAMPAIGNS"), ask(5, NOISE, end=date(2017, 1, 1)),
-        ask(6, NOISE, "dense", scope="campaigns"), ask(7, NOISE, "dense", end=date(2017, 1, 1)),
-    )
+    early, late = date(2011, 5, 1), date(2012, 3, 1)
+    keeps = {
+        1: (dict(start=early, end=late), lambda r: r[7] and early <= r[7] <= late), 2: (dict(end=late), lambda r: r[7] and r[7] <= late),
+        3: (dict(component=" wiring "), lambda r: r[6] == "WIRING"), 4: (dict(scope="CAMPAIGNS"), lambda r: r[3] != "complaint"),
+        5: (dict(scope="campaigns", start=early), lambda r: r[3] != "complaint" and r[7] and r[7] >= early),
+    }
+    asked = [ask(i, "lamp", limit=50, vehicle=2, **given) for i, (given, _) in keeps.items()]
+    hits, _ = run(spark, corpus, vehicles, *asked, ask(9, "lamp", limit=3), ask(10, "lamp", "dense", limit=50, vehicle=2, end=late))
     by = lambda q: [r["external_id"] for r in hits.where(f"query_id = {q}").orderBy("position").collect()]
-    assert by(1) == ["whistle-2"] and by(2) == ["whistle-1"] and len(by(3)) == 3
-    assert by(4) == ["undated"] and by(5) == ["whistle-1"] and by(6) == ["undated"]
-    assert sorted(by(7)) == ["brakes-1", "whistle-1"]
+    for i, (_, keep) in keeps.items():
+        assert by(i) == lit(2, keep) and by(i)
+    assert by(9) == lit(1)[:3]
+    assert set(by(10)) == {r[4] for r in made_records() if r[2] == 2 and r[7] and r[7] <= late}
 
 
 def test_rejects(spark, corpus, vehicles):
@@ -123,20 +132,20 @@ def test_validation_defaults(spark):
     assert b["mode"] == "dense" and b["limit"] == 10 and b["component"] is None
 
 
-RAPTOR = ("SuperCrew-Raptor", Decimal("5.2"), 8)
+LONG = ("Harbour-Long", Decimal("1.6"), 3)
 
 
 def test_fit_scope(spark):
-    text = "The transmission shifts harshly."
+    text = "A pump hums at idle."
     plain = spark.createDataFrame([
-        record(1, 1, "mine", "T", None, text, fit=RAPTOR), record(2, 1, "other-engine", "T", None, text, fit=("SuperCrew", Decimal("2.7"), 6)),
-        record(3, 1, "same-trim-other-engine", "T", None, text, fit=("SuperCrew-Raptor", Decimal("3.5"), 6)),
-        record(4, 1, "undecoded", "T", None, text), record(5, 2, "anything", "T", None, text, fit=RAPTOR),
+        record(1, 1, "mine", "T", None, text, fit=LONG), record(2, 1, "other-engine", "T", None, text, fit=("Harbour", Decimal("1.2"), 4)),
+        record(3, 1, "same-trim-other-engine", "T", None, text, fit=("Harbour-Long", Decimal("2.1"), 4)),
+        record(4, 1, "undecoded", "T", None, text), record(5, 2, "anything", "T", None, text, fit=LONG),
     ], CORPUS)
     corpus = plain.join(hash_embedded(plain, 64), "chunk_id")
-    owned = spark.createDataFrame([(1, "supercrewraptor", Decimal("5.2"), 8), (2, None, None, None)], VEHICLE)
-    asked = [ask(1, "transmission shifts harshly", trims="thisTrim"), ask(2, "transmission shifts harshly", "dense", trims="thistrim"),
-             ask(3, "transmission shifts harshly"), ask(4, "transmission shifts harshly", vehicle=2, trims="thisTrim")]
+    owned = spark.createDataFrame([(1, "harbourlong", Decimal("1.6"), 3), (2, None, None, None)], VEHICLE)
+    asked = [ask(1, "pump hums idle", trims="thisTrim"), ask(2, "pump hums idle", "dense", trims="thistrim"),
+             ask(3, "pump hums idle"), ask(4, "pump hums idle", vehicle=2, trims="thisTrim")]
     hits, _ = run(spark, corpus, owned, *asked)
     by = lambda q: sorted(r["external_id"] for r in hits.where(f"query_id = {q}").collect())
     assert by(1) == by(2) == ["mine", "undecoded"] and len(by(3)) == 4 and by(4) == ["anything"]
@@ -144,7 +153,7 @@ def test_fit_scope(spark):
     assert rows(plan.other_trims(q, owned, corpus)) == [(1, 2), (2, 2), (3, 2), (4, 0)]
     assert rows(filters.within_fit(corpus, owned), "external_id") == [("anything",), ("mine",), ("undecoded",)]
     label = hits.where("external_id = 'mine' and query_id = 1").first()["trim"]
-    assert label == "SuperCrew-Raptor · 5.2L · 8 cyl"
+    assert label == "Harbour-Long · 1.6L · 3 cyl"
     assert hits.where("external_id = 'undecoded'").first()["trim"] is None
 
 
