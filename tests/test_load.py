@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 from datetime import date, datetime, timedelta
 from decimal import Decimal
@@ -14,16 +15,19 @@ from recordlens.schemas import FIT_COLUMNS, VEHICLES, VIN_DECODES
 from recordlens.sources import feeds, flatfile, tables
 from recordlens.streaming import landing
 
-COMPLAINTS = [("11639231", "ENGINE", "Exhaust odor."), ("11578633", "ENGINE", "Smell."), ("11753414", "STEERING", "Pulls."),
-              ("11751091", "STEERING", "Locks."), ("11760888", "STRUCTURE", "Rust."), ("11639231", "ENGINE", "Exhaust odor.")]
-RECALLS = [("19V435000", "10/06/2019"), ("17E048000", "28/08/2017"), ("15V171000", "24/03/2015")]
-LINES = [
-    "EA17002\tFORD\tEXPLORER\t2012\tENGINE AND ENGINE COOLING:EXHAUST SYSTEM\tFORD\t20170727\t20230117\t\tOdor\tFirst.",
-    "EA17002\tFORD\tEXPLORER\t2012\tSTRUCTURE:BODY\tFORD\t20170727\t20230117\t\tOdor\tFirst.",
-    "PE16008\tFORD\tEXPLORER\t2012\tSUSPENSION:REAR\tFORD\t20160601\t20190131\t19V435000\tToe link\tSecond.",
-    "PE16003\tFORD\tF-150\t2014\tPOWER TRAIN\tFORD\t20160301\t\t16V123000\tShift\tThird.",
-    "PE99999\tTOYOTA\tTUNDRA\t2014\tPOWER TRAIN\tTOYOTA\t20160301\t\t\tShift\tFourth.",
-]
+_draw = random.Random(41)
+MAKE, MODEL, YEAR = "ACME", "ROVER", 1971
+COMPLAINTS = [(str(_draw.randrange(14)), _draw.choice(["HOSE", "SEAT"]), _draw.choice(["", f"Report {k}."])) for k in range(30)]
+RECALLS = [(f"c{k}", f"0{1 + k}/15/1975") for k in range(4)]
+# Lines of other models and makes, repeated actions, actions with and without campaigns.
+LINES = ["\t".join([f"a{_draw.randrange(6)}", make, model, str(year), part, make, "19740301", _draw.choice(["", "19750909"]), campaign, f"Subject {k}", f"Text {k}."])
+         for k, (make, model, year, part, campaign) in enumerate(
+             (_draw.choice([MAKE, MAKE, MAKE, "OTHER"]), _draw.choice([MODEL, MODEL, "K-2"]), _draw.choice([YEAR, YEAR, 1972]),
+              _draw.choice(["HOSE", "SEAT", "HOSE:CLAMP"]), _draw.choice(["", "c1", "c2"])) for _ in range(40))]
+OWN_LINES = [x.split("\t") for x in LINES if x.split("\t")[1:4] == [MAKE, MODEL, str(YEAR)]]
+NEW_COMPLAINTS = {i for i, _, text in COMPLAINTS if text}
+ACTIONS = {x[0] for x in OWN_LINES}
+LINKS = {(x[0], x[8], x[4]) for x in OWN_LINES if x[8]}
 
 
 def fine(spark):
@@ -31,7 +35,7 @@ def fine(spark):
 
 
 def vehicle(i, model, year, vin=None):
-    return (i, "FORD", model, None, year, f"{year} {model}", vin, None, None, None, None)
+    return (i, MAKE, model, None, year, f"{year} {model}", vin, None, None, None, None)
 
 
 @pytest.fixture
@@ -40,7 +44,7 @@ def feed(spark, tmp_path):
     (folder / "c").mkdir(parents=True)
     (folder / "r").mkdir()
     (folder / "c" / "a.json").write_text(json.dumps({"results": [
-        {"odiNumber": i, "components": c, "summary": s, "dateComplaintFiled": "01/28/2025"} for i, c, s in COMPLAINTS]}))
+        {"odiNumber": i, "components": c, "summary": s, "dateComplaintFiled": "02/13/2003"} for i, c, s in COMPLAINTS]}))
     (folder / "r" / "a.json").write_text(json.dumps({"results": [
         {"NHTSACampaignNumber": n, "Component": "X", "Summary": "S.", "ReportReceivedDate": d} for n, d in RECALLS]}))
     with zipfile.ZipFile(folder / "inv.zip", "w") as z:
@@ -58,28 +62,31 @@ def report(df):
 
 
 def test_a_second_load_adds_nothing(spark, tmp_path, feed):
-    vehicles = spark.createDataFrame([vehicle(1, "EXPLORER", 2012)], VEHICLES)
+    vehicles = spark.createDataFrame([vehicle(1, MODEL, YEAR)], VEHICLES)
     root = str(tmp_path / "store")
+    fetched, own = (len(COMPLAINTS), len(RECALLS), len(OWN_LINES)), (len(NEW_COMPLAINTS), len(RECALLS), len(ACTIONS), len(LINKS))
+    everything = own[0] + own[1] + own[2]
     first = report(load.load_records(spark, root, "one", vehicles, *feed, outcomes=fine(spark)))
-    assert first == ((6, 5, 0), (3, 3, 0), (3, 2, 1), 10)
+    assert first == ((fetched[0], own[0], 0), (fetched[1], own[1], 0), (fetched[2], own[2], own[3]), everything)
     second = report(load.load_records(spark, root, "two", vehicles, *feed, outcomes=fine(spark)))
-    assert second == ((6, 0, 5), (3, 0, 3), (3, 0, 0), 0)
+    assert second == ((fetched[0], 0, own[0]), (fetched[1], 0, own[1]), (fetched[2], 0, 0), 0)
     # The first load again replaces itself.
     again = report(load.load_records(spark, root, "one", vehicles, *feed, outcomes=fine(spark)))
     assert again == first
     stored = load.stored_tables(spark, root)
-    assert {k: v.count() for k, v in stored.items()} == {"documents": 10, "chunks": 10, "links": 1}
+    assert {k: v.count() for k, v in stored.items()} == {"documents": everything, "chunks": everything, "links": own[3]}
     assert tables.colliding_ids(stored["documents"], "document_id").count() == 0
-    joined = stored["documents"].where("external_id = 'EA17002'").first()
-    assert joined["component"] == "ENGINE AND ENGINE COOLING:EXHAUST SYSTEM; STRUCTURE:BODY"
-    link = stored["links"].first()
-    assert (link["campaign_number"], link["opened_on"], link["closed_on"]) == ("19V435000", date(2016, 6, 1), date(2019, 1, 31))
+    heads = {r["external_id"]: r["component"] for r in stored["documents"].where("kind = 'investigation'").collect()}
+    assert heads == {a: "; ".join(dict.fromkeys(x[4] for x in OWN_LINES if x[0] == a)) for a in ACTIONS}
+    named = stored["documents"].select(F.col("document_id").alias("investigation_document_id"), "external_id")
+    links = stored["links"].join(named, "investigation_document_id").collect()
+    assert {(r["external_id"], r["campaign_number"], r["component"]) for r in links} == LINKS and {r["opened_on"] for r in links} == {date(1974, 3, 1)}
     lines = tables.read_table(spark, root, "investigation_lines", "document_id long, raw_line string")
-    assert sorted(r["raw_line"] for r in lines.collect()) == sorted(LINES[:3])
+    assert sorted(r["raw_line"] for r in lines.collect()) == sorted("\t".join(x) for x in OWN_LINES)
 
 
 def test_a_failed_feed_stores_nothing(spark, tmp_path, feed):
-    vehicles = spark.createDataFrame([vehicle(1, "EXPLORER", 2012)], VEHICLES)
+    vehicles = spark.createDataFrame([vehicle(1, MODEL, YEAR)], VEHICLES)
     root = str(tmp_path / "store")
     bad = spark.createDataFrame([("r/a.json", "failed"), ("c/a.json", "rows")], "path string, outcome string")
     with pytest.raises(load.FeedFailed, match="r/a.json"):
@@ -88,13 +95,13 @@ def test_a_failed_feed_stores_nothing(spark, tmp_path, feed):
 
 
 def test_unlisted_models_are_left_out(spark, tmp_path, feed):
-    vehicles = spark.createDataFrame([vehicle(1, "EXPLORER", 2012), vehicle(2, "EXPLODER", 2012)], VEHICLES)
-    listed = spark.createDataFrame([("FORD", 2012, "explorer"), ("FORD", 2012, "TAURUS")], "make string, model_year int, model string")
+    vehicles = spark.createDataFrame([vehicle(1, MODEL, YEAR), vehicle(2, "ROAMER", YEAR)], VEHICLES)
+    listed = spark.createDataFrame([(MAKE, YEAR, "rover"), (MAKE, YEAR, "OX")], "make string, model_year int, model string")
     known, unknown = names.split_known(vehicles, listed)
     assert known.first()["vehicle_id"] == 1 and unknown.first()["vehicle_id"] == 2
     load.load_records(spark, str(tmp_path / "s"), "one", vehicles, *feed, outcomes=fine(spark), model_names=listed)
     assert rows(load.stored_tables(spark, str(tmp_path / "s"))["documents"].select("vehicle_id").distinct()) == [(1,)]
-    assert rows(names.suggestions(unknown, listed), "rank", "name") == [(1, "TAURUS"), (2, "explorer")]
+    assert rows(names.suggestions(unknown, listed), "rank", "name") == [(1, "OX"), (2, "rover")]
 
 
 CANDIDATES = ["MUSTANG", "MUSTANG MACH-E BEV BEV", "MUSTANG GTD", "BRONCO 2DR ICE", "BRONCO 4DR ICE", "BRONCO SPORT ICE", "F-150",
