@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import snippet
 from ..operators import filters, postings, ranking
+from ..operators.blocks import block_ranking, pack_blocks
 from ..operators.hits import campaign_matches, chunk_context
 from ..operators.neighbours import knn
 from ..operators.sizing import hot_vehicles, is_small
 from ..operators.validation import QUERY_LENGTH_PROBLEM
 from ..plans import search as plan
+from ..session import cut_lineage
 from . import tables as t
 from .tables import DENSE, DOCS, FUSED, PAIRS, SPARSE, VEHICLES, with_sql
 
@@ -88,6 +90,15 @@ def sparse_topk_distinct(spark, d):
     return ranking.rank_sparse(postings.sparse_scores(_open_matches(spark, d), "distinct"))
 
 
+@query("sparse_topk_blocks", with_sql(*_OPEN, select="""
+SELECT query_id, chunk_id, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS sparse_rank FROM counts) WHERE sparse_rank <= 50"""))
+def sparse_topk_blocks(spark, d):
+    """``sparse_topk`` from stored blocks."""
+    q = filters.own_fit(_one_vehicle(t.queries(spark, d, mode="sparse", embedded=False)), _only_vehicle(spark, d))
+    return block_ranking(q, cut_lineage(pack_blocks(_open_corpus(spark, d))))
+
+
 _SCOPED = [DOCS, VEHICLES, t.terms_sql(), t.tokens_sql(), PAIRS, SPARSE]
 
 
@@ -99,6 +110,14 @@ def sparse_topk_pool(spark, d):
     return plan.sparse_ranking(q, postings.tokens_of(c), plan.hot_or_none(c, is_small(q)))
 
 
+@query("sparse_topk_blocks_filtered", with_sql(t.queries_sql(filtered=True), *_SCOPED, select="""
+SELECT query_id, chunk_id, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse"""))
+def sparse_topk_blocks_filtered(spark, d):
+    """Every filter of a query, on blocks of its vehicle."""
+    q = _own(t.queries(spark, d, mode="sparse", filtered=True, embedded=False), spark, d)
+    return block_ranking(q, cut_lineage(pack_blocks(t.corpus(spark, d, embedded=False), chunks_a_block=64)))
+
+
 @query("sparse_score_single", with_sql(t.queries_sql(), *_SCOPED, select="""
 SELECT query_id, chunk_id, CAST(NULL AS INTEGER) AS dense_rank, CAST(sparse_rank AS INTEGER) AS sparse_rank,
   round(1.0::DOUBLE / (60 + sparse_rank), 9) AS fused_score FROM sparse"""))

@@ -7,7 +7,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from recordlens.operators import filters, neighbours, postings, ranking, validation
+from recordlens.operators import blocks, filters, neighbours, postings, ranking, validation
 from recordlens.operators.sizing import hot_vehicles, is_small
 from recordlens.plans import search as plan
 from recordlens.plans.embed import hash_embedded
@@ -312,3 +312,38 @@ def test_window_of_fifty(spark):
 
 def test_size_check(spark):
     assert is_small(spark.range(5), 5) and not is_small(spark.range(6), 5)
+
+
+def test_blocks_rank_as_the_full_sum_does(spark):
+    corpus, queries, own = random_corpus(spark, 200, 3)
+    asked = filters.own_fit(validation.validate_queries(queries.drop("embedding"))[0], own)
+    tokens = postings.tokens_of(corpus)
+    stored = cut_lineage(blocks.pack_blocks(corpus, chunks_a_block=8))
+    for score in ("occurrences", "distinct"):
+        full = plan.sparse_ranking(asked, tokens, hot_vehicles(corpus), 5, score=score)
+        assert rows(blocks.block_ranking(asked, stored, 5, score=score)) == rows(full)
+    hits, _ = plan.search(queries, own, corpus)
+    again, _ = plan.search(queries, own, corpus, blocks=stored)
+    assert rows(again) == rows(hits)
+
+
+def test_blocks_that_cannot_matter_stay_shut(spark):
+    """One chunk in fifty names the word often; the blocks without such a chunk are not opened."""
+    plain = spark.createDataFrame([record(i, 1, f"n{i}", "A", None, "lamp " * (30 if i % 50 == 0 else 1) + "glass") for i in range(600)], CORPUS)
+    one = spark.createDataFrame([(1, None, None, None)], VEHICLE)
+    asked = filters.own_fit(validation.validate_queries(spark.createDataFrame([ask(1, "lamp"), ask(2, "unheard of")], QUERY))[0], one)
+    stored = cut_lineage(blocks.pack_blocks(plain, chunks_a_block=6))
+    found = cut_lineage(blocks.block_scores(asked, stored, 3))
+    picked = [r["chunk_id"] for r in blocks.rank_sparse(found.where("chunk_id IS NOT NULL"), 3).orderBy("sparse_rank").collect()]
+    assert picked == [0, 50, 100]
+    share = {r["query_id"]: (r["opened"], r["held"]) for r in blocks.opened_share(found).collect()}
+    assert share[1][0] <= 24 < share[1][1] and share[2][0] == 0
+    assert "query_id, chunk_id" not in blocks.block_scores(asked, stored)._jdf.queryExecution().toString()
+
+
+def test_a_search_may_ask_every_term(spark, corpus, vehicles):
+    words = " ".join(f"w{k}" for k in range(30)) + " part4"
+    assert names(run(spark, corpus, vehicles, ask(1, words, vehicle=2))[0]) == []
+    stored = cut_lineage(blocks.pack_blocks(corpus))
+    assert names(run(spark, corpus, vehicles, ask(1, words, vehicle=2), max_terms=None)[0]) == ["n4"]
+    assert names(run(spark, corpus, vehicles, ask(1, words, vehicle=2), max_terms=None, blocks=stored)[0]) == ["n4"]
