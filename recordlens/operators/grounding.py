@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_blank, quote_pattern
+from ..functions.text import WS, collapse_ws, is_blank, quote_pattern
 from ..schemas import CAMPAIGN_KINDS
 
 # The reasons and the explanation shown in place of an answer.
@@ -22,6 +28,10 @@ NO_EVIDENCE = (
 
 
 PERCENT_DECIMALS = 1
+# Quotes of one record that one pass over its body looks for.
+QUOTES_A_PASS = 2_000
+# Spans of white space that are more or other than one blank.
+_GAP = re.compile(WS + "+")
 
 
 def as_text(name: str) -> Column:
@@ -58,6 +68,59 @@ def locate_quotes(cited: DataFrame) -> DataFrame:
     )
 
 
+def first_spans(body: str, quotes: list[str]) -> list[tuple[int, int] | None]:
+    """First place of each quote (white space collapsed, none blank) in one pass over the body."""
+    gaps = [m.span() for m in _GAP.finditer(body) if m.end() - m.start() > 1]
+    flat = _GAP.sub(" ", body)
+    # Where the collapsed text resumes after each long gap, and how much it lacks from there on.
+    lost = np.cumsum([end - start - 1 for start, end in gaps], dtype=np.int64)
+    resumes = np.array([end for _, end in gaps], np.int64) - lost
+    at = lambda place: place + int(np.append(0, lost)[np.searchsorted(resumes, place, "right")])
+    words = ahocorasick.Automaton()
+    for k, quote in enumerate(quotes):
+        words.add_word(quote, (k, len(quote)))
+    found: list[tuple[int, int] | None] = [None] * len(quotes)
+    left = len(quotes)
+    if left:
+        words.make_automaton()
+        for last, (k, length) in words.iter(flat):
+            if found[k] is None:
+                found[k] = (at(last + 1 - length), at(last) + 1)
+                left -= 1
+                if not left:
+                    break
+    return found
+
+
+def locate_in_bodies(pairs: DataFrame, bodies: DataFrame, quotes_a_pass: int = QUOTES_A_PASS) -> DataFrame:
+    """``document_id, quote, start_offset, end_offset, reason`` of distinct (record, quote) pairs, as ``locate_quotes`` has them.
+
+    A record's quotes are looked for together, so its body is read once for every
+    ``quotes_a_pass`` of them; a record with any number of quotes is many passes, not one task.
+    A record without a body holds no quote.
+    """
+    wanted = pairs.where(~is_blank(F.col("quote"))).select("document_id", "quote", collapse_ws(F.col("quote")).alias("flat"))
+    parts = wanted.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / quotes_a_pass).cast("int").alias("parts"))
+    grouped = wanted.join(parts, "document_id").groupBy(
+        "document_id", F.pmod(F.xxhash64("quote"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("quote", "flat")).alias("quotes"))
+    read = grouped.join(bodies.select(as_text("document_id"), "body"), "document_id").select("document_id", "quotes", "body")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name, quotes, body = (column[row].as_py() for column in batch.columns)
+                flats = list(dict.fromkeys(q["flat"] for q in quotes))  # quotes that differ in white space alone
+                spans = dict(zip(flats, first_spans(body or "", flats), strict=True))
+                hits = [(q["quote"], *spans[q["flat"]]) for q in quotes if spans[q["flat"]]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(hits), pa.string()), pa.array([h[0] for h in hits], pa.string()),
+                     *(pa.array([h[k] for h in hits], pa.int32()) for k in (1, 2))], ["document_id", "quote", "start_offset", "end_offset"])
+
+    found = read.mapInArrow(work, "document_id string, quote string, start_offset int, end_offset int")
+    return pairs.join(found, ["document_id", "quote"], "left").withColumn(
+        "reason", F.when(is_blank(F.col("quote")), F.lit(EMPTY_QUOTE)).when(F.col("start_offset").isNull(), F.lit(NOT_FOUND)))
+
+
 def attach_shown(citations: DataFrame, shown: DataFrame) -> DataFrame:
     """Citations with ``is_shown``: whether their answer was given that record."""
     known = shown.select("answer_id", as_text("document_id")).distinct().withColumn(
@@ -72,13 +135,11 @@ def check_citations(citations: DataFrame, shown: DataFrame, bodies: DataFrame) -
     """``answer_id, pos, document_id, quote, verified, reason, start_offset, end_offset``.
 
     Each distinct (record, quote) is looked up once, however many answers repeat
-    it, and only its record's body is read.
+    it, and a record's body is read once for all its quotes.
     """
     tagged = attach_shown(citations, shown)
     pairs = tagged.where("is_shown").select("document_id", "quote").distinct()
-    located = locate_quotes(pairs.join(bodies.select(as_text("document_id"), "body"), "document_id")).select(
-        "document_id", "quote", "start_offset", "end_offset", "reason"
-    )
+    located = locate_in_bodies(pairs, bodies)
     return (
         tagged.join(located, ["document_id", "quote"], "left")
         .withColumn(

@@ -30,13 +30,15 @@ def query(name: str, sql: str | None = None):
 def _citations(spark, d) -> tuple[DataFrame, DataFrame]:
     """Each query cites what it found: its own text, a re-wrapped span, nothing, or a changed span.
 
-    Records past the fortieth were not shown; every tenth citation names none.
+    Spans lie near the start of a body, at two thirds of it, and at its end.  Records past the fortieth were not shown; every tenth citation names none.
     """
     found = ranking.rank_sparse(postings.sparse_scores(_open_matches(spark, d)))
     text = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
     body = t.documents(spark, d).select(F.col("document_id").alias("chunk_id"), "body")
     r = F.col("sparse_rank")
-    span = F.substring("body", 11, 60)
+    length = F.char_length("body")
+    begin = F.when(F.pmod(r, F.lit(3)) == 0, 11).when(F.pmod(r, F.lit(3)) == 1, F.floor(length * 2 / 3)).otherwise(length - 59)
+    span = F.substr(F.col("body"), F.greatest(begin.cast("int"), F.lit(1)), F.lit(60))
     quote = (
         F.when(F.pmod(r, F.lit(4)) == 0, F.col("asked"))
         .when(F.pmod(r, F.lit(4)) == 1, F.concat(F.lit(" \n"), F.regexp_replace(span, " ", "\t  "), F.lit(" ")))
@@ -63,10 +65,11 @@ _REASONS = [grounding.MISSING_DOCUMENT_ID, grounding.UNKNOWN_DOCUMENT, grounding
 _CHECKED = [*_OPEN, """found AS (SELECT query_id, chunk_id, r FROM (SELECT query_id, chunk_id, row_number() OVER
   (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM counts) WHERE r <= 50)""", r"""
 cited AS (SELECT query_id AS answer_id, r, chunk_id, body, CASE WHEN r % 10 = 0 THEN ' ' ELSE CAST(chunk_id AS VARCHAR) END
-    AS document_id, regexp_replace(body, '\s', ' ', 'g') AS flat,
+    AS document_id, regexp_replace(body, '\s', ' ', 'g') AS flat, substr(body, greatest(1, CASE r % 3 WHEN 0 THEN 11
+      WHEN 1 THEN floor(length(body) * 2 / 3)::BIGINT ELSE length(body) - 59 END), 60) AS span,
     CASE r % 4 WHEN 0 THEN trim(regexp_replace(b.text, '\s+', ' ', 'g'))
-      WHEN 1 THEN trim(regexp_replace(substr(body, 11, 60), '\s', ' ', 'g')) WHEN 2 THEN ''
-      ELSE trim(regexp_replace(upper(substr(body, 11, 60)), '\s', ' ', 'g')) END AS quote
+      WHEN 1 THEN trim(regexp_replace(span, '\s', ' ', 'g')) WHEN 2 THEN ''
+      ELSE trim(regexp_replace(upper(span), '\s', ' ', 'g')) END AS quote
   FROM found JOIN benchmark b ON b.item_id = query_id JOIN docs ON docs.document_id = chunk_id)""", f"""
 checked AS (SELECT answer_id, r AS pos, document_id, chunk_id, reason, reason IS NULL AS verified,
     CASE WHEN r % 10 <> 0 AND r <= 40 AND reason IS NULL THEN strpos(flat, quote) - 1 END AS start_offset,
@@ -259,7 +262,8 @@ def _shown_replies(shown: DataFrame) -> DataFrame:
     citation = F.struct(
         F.when(n == 2, F.lit("999999999")).otherwise(F.concat(F.lit("RECORD "), F.col("document_id").cast("string")))
         .alias("documentId"),
-        F.when(n == 1, F.lit("no such words stand here")).otherwise(F.substring("body", 3, 25)).alias("quote"),
+        F.when(n == 1, F.lit("no such words stand here")).otherwise(F.substr(F.col("body"), F.greatest(
+            F.floor(F.char_length("body") * 2 / 3).cast("int"), F.lit(1)), F.lit(25))).alias("quote"),
     )
     cited = shown.groupBy("query_id").agg(F.collect_list(citation).alias("citations"))
     refused = F.pmod("query_id", F.lit(7)) == 0
@@ -274,7 +278,7 @@ def _shown_replies(shown: DataFrame) -> DataFrame:
 
 
 @query("audit_answers", with_sql(*_SHOWN, """
-marks AS (SELECT query_id, count(*) FILTER (document_id % 3 = 0 AND trim(substr(body, 3, 25), E' \\n\\t\\r') <> '') AS good,
+marks AS (SELECT query_id, count(*) FILTER (document_id % 3 = 0 AND trim(substr(body, greatest(1, floor(length(body) * 2 / 3)::BIGINT), 25), E' \\n\\t\\r') <> '') AS good,
     count(*) AS emitted FROM shown JOIN (SELECT document_id, body FROM docs) USING (document_id) GROUP BY ALL),
 states AS (SELECT item_id, text, good, emitted, CASE WHEN emitted IS NULL THEN 'none' WHEN item_id % 7 = 0 THEN 'refused'
     WHEN item_id % 5 = 0 THEN 'broken' WHEN good > 0 THEN 'good' ELSE 'bad' END AS state

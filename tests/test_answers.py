@@ -58,6 +58,26 @@ def test_any_span_is_found_and_slices_back(spark, drawn):
             assert norm(body).index(norm(quote)) == len(norm(body[:r["start_offset"]] + "|")) - 1
 
 
+@pytest.mark.parametrize("a_pass", [1, 3, 2000])
+def test_many_quotes_of_a_body_in_one_pass(spark, a_pass):
+    """Spans of every depth, right, changed and blank, over bodies of any white space: as each alone."""
+    draw = random.Random(a_pass)
+    letters = ["a", "b", "é", "😀", "(", ".", " ", "  ", "\n", "\u3000 ", "\t"]
+    bodies = [(k, "".join(draw.choice(letters) for _ in range(draw.choice([0, 3, 60, 400])))) for k in range(12)] + [(99, None), (98, "x" + " " * 70 + "y z")]
+    quotes = set()
+    for k, body in bodies:
+        for _ in range(25):
+            first = draw.randrange(len(body or "a"))
+            span = (body or "")[first:first + draw.randint(1, 30)]
+            quotes.add((str(k), draw.choice([span, f" {span}\n", span.replace(" ", "  "), span + "q", ""])))
+    quotes |= {("98", "x y"), ("98", "x  y z"), ("98", "y z"), ("99", "a"), ("1000", "a")}
+    pairs = spark.createDataFrame(sorted(quotes), "document_id string, quote string")
+    stored = spark.createDataFrame(bodies, "document_id long, body string")
+    alone = grounding.locate_quotes(pairs.join(stored.select(grounding.as_text("document_id"), "body"), "document_id", "left")).drop("body")
+    columns = ["document_id", "quote", "start_offset", "end_offset", "reason"]
+    assert rows(grounding.locate_in_bodies(pairs, stored, a_pass), *columns) == rows(alone, *columns)
+
+
 def checked(spark, citations, shown, bodies):
     return grounding.check_citations(
         spark.createDataFrame(citations, "answer_id long, pos int, document_id string, quote string"),
