@@ -115,20 +115,95 @@ def current_state(spark: SparkSession, table: str) -> DataFrame:
 
 
 Stage = Callable[[DataFrame, int], None]
+LEDGER = "batch_id long, stage string, outcome string, problem string, tried long"
+DONE, FAILED = "done", "failed"
 
 
-def enrich_batch(load: Stage, *enrichments: Stage, on_failure: Callable[[str], None] = print) -> Stage:
+class Ledger:
+    """The outcome of every enrichment of every batch, one small file for each try."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def tries(self) -> DataFrame:
+        return read_or_empty(self.spark, self.path, LEDGER)
+
+    def outcomes(self) -> DataFrame:
+        """``batch_id, stage, outcome, problem, tries``: how each enrichment of a batch stands."""
+        return self.tries().groupBy("batch_id", "stage").agg(
+            F.max_by(F.struct("outcome", "problem"), "tried").alias("last"), F.count(F.lit(1)).alias("tries")
+        ).select("batch_id", "stage", "last.*", "tries")
+
+    def due(self) -> list[tuple[int, str]]:
+        """What failed and was not done since, in order of batches."""
+        failed = self.outcomes().where(F.col("outcome") == FAILED)
+        return [(r["batch_id"], r["stage"]) for r in failed.orderBy("batch_id", "stage").collect()]
+
+    def enter(self, batch_id: int, stage: str, problem: str | None) -> None:
+        tried = self.tries().where((F.col("batch_id") == batch_id) & (F.col("stage") == stage)).count()
+        row = (batch_id, stage, DONE if problem is None else FAILED, problem, tried)
+        self.spark.createDataFrame([row], LEDGER).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def enrich_batch(
+    load: Stage, *enrichments: Stage, on_failure: Callable[[str], None] = print,
+    ledger: Ledger | None = None, reload: Callable[[int], DataFrame] | None = None,
+) -> Stage:
     """A batch writer that loads, then enriches; a failed enrichment never fails the load.
 
-    Each stage writes its own table under the batch id, so any of them can be
-    run again on its own.
+    Each stage writes its own table under the batch id.  With a ``ledger`` every outcome is
+    entered, and the next batch first runs what failed before, alone, over the rows that
+    ``reload`` gives for its batch; what was done is not run again.
     """
+    def attempt(stage: Stage, batch: DataFrame, batch_id: int) -> None:
+        problem = None
+        try:
+            stage(batch, batch_id)
+        except Exception as failure:  # noqa: BLE001 - recorded, the load stands
+            problem = str(failure)[:500] or type(failure).__name__
+            on_failure(f"batch {batch_id}: {stage.__name__}: {failure}")
+        if ledger is not None:
+            ledger.enter(batch_id, stage.__name__, problem)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         load(batch, batch_id)
+        if ledger is not None and reload is not None:
+            retry_failed(ledger, enrichments, reload, attempt, before=batch_id)
         for stage in enrichments:
-            try:
-                stage(batch, batch_id)
-            except Exception as failure:  # noqa: BLE001 - recorded, the load stands
-                on_failure(f"batch {batch_id}: {stage.__name__}: {failure}")
+            attempt(stage, batch, batch_id)
 
     return write
+
+
+def retry_failed(
+    ledger: Ledger, enrichments: tuple[Stage, ...], reload: Callable[[int], DataFrame],
+    attempt: Callable[[Stage, DataFrame, int], None], before: int | None = None,
+) -> None:
+    """Run the failed enrichments of earlier batches once more."""
+    by_name = {stage.__name__: stage for stage in enrichments}
+    for batch_id, name in ledger.due():
+        if name in by_name and (before is None or batch_id < before):
+            attempt(by_name[name], reload(batch_id), batch_id)
+
+
+def stream_enriched(
+    spark: SparkSession, in_dir: str, schema: str, table: str, keys: list[str], order: str, checkpoint: str,
+    ledger: str, *enrichments: Stage, files_per_batch: int | None = None, on_failure: Callable[[str], None] = print,
+) -> StreamingQuery:
+    """``stream_landing`` with enrichments of each batch's new rows, and a ledger of how they went."""
+    def reload(batch_id: int) -> DataFrame:
+        return read_or_empty(spark, table, schema + ", batch_id long, bucket int").where(F.col("batch_id") == batch_id).drop("batch_id", "bucket")
+
+    def over_new_rows(stage: Stage) -> Stage:
+        def run(_: DataFrame, batch_id: int) -> None:
+            stage(reload(batch_id), batch_id)
+
+        run.__name__ = stage.__name__
+        return run
+
+    write = enrich_batch(insert_if_absent(table, keys, order), *map(over_new_rows, enrichments),
+                         on_failure=on_failure, ledger=Ledger(spark, ledger), reload=reload)
+    return (
+        read_landing(spark, in_dir, schema, files_per_batch).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import hash_embed
@@ -350,3 +352,68 @@ def stream_backfill(spark, d):
 def backfill_embeddings(spark, d):
     chunks = t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return embed.backfill_embeddings(chunks, f"{scratch_folder(spark)}/vectors", "first", _hash64, dim=64)
+
+
+@query("backfill_one_vehicle", """
+SELECT count(*) AS embedded, 0 AS remaining FROM documents WHERE CAST(regexp_extract(source, '\\d+') AS BIGINT) = 3""")
+def backfill_one_vehicle(spark, d):
+    """Only the chunks of the vehicle that is named."""
+    chunks = t.documents(spark, d).select(F.col("document_id").alias("chunk_id"), "vehicle_id", F.col("body").alias("text"))
+    named = chunks.select("vehicle_id").distinct().withColumn("display_name", F.concat(F.lit("Vehicle "), F.col("vehicle_id").cast("string")))
+    return embed.backfill_embeddings(chunks, f"{scratch_folder(spark)}/vectors", "one", _hash64, named, " Vehicle 3 ", dim=64)
+
+
+def _ones_but_for(broken: str):
+    """A provider that gives out at one text; its vectors are all ones."""
+    def ones(texts: list[str]):
+        if broken in texts:
+            raise RuntimeError("the provider gave out")
+        return np.ones((len(texts), 64))
+
+    return ones
+
+
+def _twos(texts: list[str]):
+    return np.full((len(texts), 64), 2.0)
+
+
+@query("backfill_resumed", "SELECT count(*) AS embedded, 0 AS remaining, 0 AS asked_again, true AS gave_out FROM documents")
+def backfill_resumed(spark, d):
+    """A run whose provider gives out, started again under its id: slices that were done are not asked for again."""
+    path = f"{scratch_folder(spark)}/vectors"
+    chunks = t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    slice_chunks = -(-chunks.count() // 6)
+    broken = chunks.select(F.max_by("text", "chunk_id")).first()[0]
+    gave_out = False
+    try:
+        embed.backfill_embeddings(chunks, path, "run", _ones_but_for(broken), dim=64, slice_chunks=slice_chunks)
+    except PySparkException:
+        gave_out = True
+    before = cut_lineage(embed.committed_vectors(spark, path, "run").select("chunk_id"))
+    report = embed.backfill_embeddings(chunks, path, "run", _twos, dim=64, slice_chunks=slice_chunks)
+    again = embed.committed_vectors(spark, path, "run").where(F.get("embedding", F.lit(0)) == 2).join(before, "chunk_id", "left_semi")
+    return report.select("embedded", "remaining", F.lit(again.count()).alias("asked_again"), F.lit(gave_out).alias("gave_out"))
+
+
+@query("enrichment_chain", "SELECT count(*) AS loaded, count(*) AS embedded, 3 AS done, 1 AS failed FROM documents")
+def enrichment_chain(spark, d):
+    """Documents landing in three batches; the first batch's vectors fail once and are made with the second."""
+    folder = scratch_folder(spark)
+    t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").repartition(3).write.parquet(f"{folder}/landed")
+    tried = []
+
+    def vectors(batch: DataFrame, batch_id: int) -> None:
+        tried.append(batch_id)
+        if tried == [0]:
+            raise RuntimeError("the provider gave out")
+        embed.embed(batch, _hash64, 64).write.mode("overwrite").parquet(f"{folder}/vectors/batch_id={batch_id}")
+
+    landing.stream_enriched(
+        spark, f"{folder}/landed", "chunk_id long, text string", f"{folder}/table", ["chunk_id"], "chunk_id", f"{folder}/checkpoint",
+        f"{folder}/ledger", vectors, files_per_batch=1, on_failure=lambda said: None).awaitTermination()
+    outcomes = landing.Ledger(spark, f"{folder}/ledger")
+    counts = outcomes.outcomes().agg(F.count_if(F.col("outcome") == landing.DONE).alias("done")).withColumn(
+        "failed", F.lit(outcomes.tries().where(F.col("outcome") == landing.FAILED).count()))
+    return counts.select(
+        F.lit(spark.read.parquet(f"{folder}/table").count()).alias("loaded"),
+        F.lit(spark.read.parquet(f"{folder}/vectors").select("chunk_id").distinct().count()).alias("embedded"), "done", "failed")

@@ -189,13 +189,40 @@ def test_backfill_resumes(spark, tmp_path):
     assert go("a", " one ") == (70, 0)
     assert go("b", "one") == (0, 0)
     assert go("c") == (70, 0)
-    assert go("a", "one") == (70, 0), "a run again does its own work again"
+    assert go("a", "one") == (70, 0), "a run again finds its own work"
     stored = spark.read.parquet(path)
     assert stored.count() == 140 and stored.select("chunk_id").distinct().count() == 140
     text = {r["chunk_id"]: r["embedding"] for r in stored.collect()}[7]
     assert text == pytest.approx(list(map(float, eight(["text 7"])[0])))
 
 
+def test_backfill_resumes_at_the_slice_that_failed(spark, tmp_path):
+    """The provider gives out at one text; the second start asks for no slice that was done, and for all others."""
+    path, asked = str(tmp_path / "vectors"), spark.sparkContext.accumulator(0)
+    chunks = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "chunk_id long, text string")
+
+    def broken(texts):
+        if "text 150" in texts:
+            raise RuntimeError("gave out")
+        return eight(texts)
+
+    def counting(texts):
+        asked.add(len(texts))
+        return eight(texts)
+
+    with pytest.raises(Exception, match="gave out"):
+        embed.backfill_embeddings(chunks, path, "r", broken, dim=8, slice_chunks=20)
+    done = embed.committed_vectors(spark, path, "r").count()
+    assert 0 < done < 200
+    # More chunks have come in: the run's slices stay as they were dealt.
+    more = chunks.unionByName(spark.createDataFrame([(500 + i, f"new {i}") for i in range(60)], "chunk_id long, text string"))
+    embedded, remaining = rows(embed.backfill_embeddings(more, path, "r", counting, dim=8, slice_chunks=20))[0]
+    assert asked.value == embedded - done and embedded + remaining == 260 and embedded >= 200
+    assert rows(embed.backfill_embeddings(more, path, "s", counting, dim=8))[0] == (remaining, 0)
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("chunk_id").distinct().count() == 260
+
+
 def test_providers_are_checked(spark):
     df = spark.createDataFrame([(i, "x") for i in range(5)], "chunk_id long, text string")
     with pytest.raises(ValueError, match="No embedding provider"):
@@ -294,6 +321,29 @@ def test_enrichment_failure_keeps_the_load(spark):
         landing.enrich_batch(broken)(spark.range(1), 4)
 
 
+def test_a_failed_enrichment_is_run_again_alone(spark, tmp_path):
+    ledger = landing.Ledger(spark, str(tmp_path / "ledger"))
+    calls, said = [], []
+
+    def decode_rows(batch, batch_id):
+        calls.append(("decode", batch_id, batch.count()))
+        if len(calls) in (1, 3):  # batch 0 twice
+            raise RuntimeError("decoder down")
+
+    def embed_rows(batch, batch_id):
+        calls.append(("embed", batch_id, batch.count()))
+
+    write = landing.enrich_batch(lambda b, i: calls.append(("load", i, 0)) if i > 9 else None, decode_rows, embed_rows,
+                                 on_failure=said.append, ledger=ledger, reload=lambda i: spark.range(10 + i))
+    for batch_id in range(3):
+        write(spark.range(3), batch_id)
+    assert calls == [("decode", 0, 3), ("embed", 0, 3), ("decode", 0, 10), ("decode", 1, 3), ("embed", 1, 3),
+                     ("decode", 0, 10), ("decode", 2, 3), ("embed", 2, 3)]
+    assert rows(ledger.outcomes(), "batch_id", "stage", "outcome", "tries") == [
+        (b, s, "done", 3 if (b, s) == (0, "decode_rows") else 1) for b in range(3) for s in ("decode_rows", "embed_rows")]
+    assert len(said) == 2 and ledger.due() == []
+
+
 def test_vehicle_list(spark):
     vehicles = spark.createDataFrame([vehicle(1, "EXPLORER", 2013), vehicle(2, "EDGE", 2012), vehicle(3, "BRONCO", 2013)], VEHICLES)
     docs = spark.createDataFrame([(1, "complaint"), (1, "complaint"), (1, "recall"), (2, "investigation")], "vehicle_id long, kind string")
