@@ -7,10 +7,10 @@ with the number of times they occur.  N-grams are counted inside the distinct
 chunks, weighted by that number; one that lies in two chunks belongs to the chunk in
 which it starts before the shared window, so each occurrence counts once.
 
-Counting goes by length: words first, then pairs of frequent words, then longer
-runs of frequent pairs.  What is frequent reaches the tasks as a bitmap of set size
-(``BITS``); a false hit only means one more phrase is counted.  Counts themselves
-are of the words as written, never of hashes.
+Counting goes by length: words first, then hashes of pairs of frequent words, then
+the pairs themselves and longer runs of them.  What is frequent reaches the tasks as a
+bitmap of set size (``BITS``); a false hit, there or among the hashes, only means one
+more phrase is counted.  The counts that remain are of the words as written.
 """
 
 from __future__ import annotations
@@ -224,12 +224,15 @@ def _single(chunks: Chunks, _: np.ndarray) -> Iterator[pa.RecordBatch | None]:
 
 
 def _pairs(chunks: Chunks, bits: np.ndarray) -> Iterator[pa.RecordBatch | None]:
+    """Hashes of the pairs of frequent words with the sum of their times; which are frequent is settled later, by the words."""
     known = _frequent(bits, chunks.hash_of(np.arange(len(chunks.hashes)), 1))
     places = np.flatnonzero((chunks.owned & known & (chunks.room >= 2))[:-1] & known[1:])
-    # Numbers of the words that are left, so that two of them and the language fit one key.
-    _, ids = np.unique(np.concatenate([chunks.words.ids[places], chunks.words.ids[places + 1]]), return_inverse=True)
-    most = int(ids.max(initial=0)) + 1
-    yield chunks.counted(places, (chunks.lang[places] * most + ids[:len(places)]) * most + ids[len(places):], 2)
+    hashes = chunks.hash_of(places, 2)
+    order = np.argsort(hashes)
+    hashes, times = hashes[order], chunks.times[places[order]]
+    heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]) if len(hashes) else hashes)
+    if len(heads):
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[heads].view(np.int64)), pa.array(np.add.reduceat(times, heads))], ["hash", "f"])
 
 
 def _longer(chunks: Chunks, bits: np.ndarray) -> Iterator[pa.RecordBatch | None]:
@@ -239,6 +242,8 @@ def _longer(chunks: Chunks, bits: np.ndarray) -> Iterator[pa.RecordBatch | None]
     names = np.full(len(ids) + 1, -1)
     _, names[places] = np.unique((chunks.lang[places] * chunks.words.distinct + ids[places]) * chunks.words.distinct + ids[places + 1],
                                  return_inverse=True)
+    owned = chunks.owned[places]
+    yield chunks.counted(places[owned], names[places[owned]], 2)
     for words in range(3, LONGEST + 1):
         # A run has a name if its first and its last words have one; a pair of names is a new name.
         places = places[(names[places + 1] >= 0) & (chunks.room[places] >= words)]
@@ -249,17 +254,20 @@ def _longer(chunks: Chunks, bits: np.ndarray) -> Iterator[pa.RecordBatch | None]
         yield chunks.counted(places[owned], found[owned], words)
 
 
-def _counts(dictionary: DataFrame, work, bits: bytes) -> DataFrame:
-    """``lang, phrase, words, hash, f`` of the phrases that ``work`` finds in the dictionary's chunks."""
+COUNTED = "lang string, phrase string, words int, hash long, f long"
+HASHED = "hash long, f long"
+
+
+def _counts(dictionary: DataFrame, work, bits: bytes, schema: str = COUNTED) -> DataFrame:
+    """The sums of what ``work`` finds in the dictionary's chunks, ``f`` by all other columns."""
     shared = dictionary.sparkSession.sparkContext.broadcast(bits)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = [x for x in work(Chunks(batch), np.frombuffer(shared.value, np.uint8)) if x is not None]
         return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
 
-    rows = over_batches(dictionary.select("lang", "follows", "times", "chunk"), "lang string, phrase string, words int, hash long, f long",
-                        run, BYTES_AT_ONCE)
-    return rows.groupBy("lang", "phrase", "words", "hash").agg(F.sum("f").alias("f"))
+    rows = over_batches(dictionary.select("lang", "follows", "times", "chunk"), schema, run, BYTES_AT_ONCE)
+    return rows.groupBy(*[c for c in rows.columns if c != "f"]).agg(F.sum("f").alias("f"))
 
 
 def _bitmap(frequent: DataFrame) -> bytes:
@@ -279,9 +287,9 @@ def phrase_counts(docs: DataFrame, *, least: int, text: str = "text", lang: str
     words = cut_lineage(_counts(dictionary, _single, b""))
     often = F.col("f") >= least
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    pairs = cut_lineage(_counts(dictionary, _pairs, _bitmap(words.where(often))).where(often))
-    longer = cut_lineage(_counts(dictionary, _longer, _bitmap(pairs)).where(often))
-    found = words.where(often).unionByName(pairs).unionByName(longer)
+    # Pairs that share a hash are counted together here, so none that is frequent is missed.
+    pairs = cut_lineage(_counts(dictionary, _pairs, _bitmap(words.where(often)), HASHED).where(often))
+    found = words.where(often).unionByName(cut_lineage(_counts(dictionary, _longer, _bitmap(pairs)).where(often)))
     return found.select("lang", "phrase", "words", "f"), totals
 
 
