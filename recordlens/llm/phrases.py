@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
@@ -198,7 +199,7 @@ class Chunks:
         sums, first = np.add.reduceat(self.times[places], heads), places[heads]
         return pa.RecordBatch.from_arrays(
             [self.langs.take(pa.array(self.lang[first])), self.words.texts(first, words), pa.array(np.full(len(first), words, np.int32)),
-             pa.array(self.hash_of(first, words).view(np.int64)), pa.array(sums)], ["lang", "phrase", "words", "hash", "f"])
+             pa.array(sums)], ["lang", "phrase", "words", "f"])
 
     def hash_of(self, places: np.ndarray, words: int) -> np.ndarray:
         out = np.zeros(len(places), np.uint64)
@@ -254,7 +255,7 @@ def _longer(chunks: Chunks, bits: np.ndarray) -> Iterator[pa.RecordBatch | None]
         yield chunks.counted(places[owned], found[owned], words)
 
 
-COUNTED = "lang string, phrase string, words int, hash long, f long"
+COUNTED = "lang string, phrase string, words int, f long"
 HASHED = "hash long, f long"
 
 
@@ -270,6 +271,18 @@ def _counts(dictionary: DataFrame, work, bits: bytes, schema: str = COUNTED) ->
     return rows.groupBy(*[c for c in rows.columns if c != "f"]).agg(F.sum("f").alias("f"))
 
 
+def _hashed(words: DataFrame) -> DataFrame:
+    """``hash`` of single words, as ``Chunks.hash_of`` has it.  Made of the frequent alone, it need not be shuffled with all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            salts = _run_hashes(*_letters(langs.dictionary))[langs.indices.to_numpy()]
+            words = _run_hashes(*_letters(pc.binary_join_element_wise(batch.column(1), "", chr(BLANK))))
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(mixed(words ^ salts)).view(np.int64))], ["hash"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "hash long")
+
+
 def _bitmap(frequent: DataFrame) -> bytes:
     """The bits of all frequent phrases: ``BITS`` of them, put together by Spark in pieces of 4 KB."""
     bit = F.col("hash").bitwiseAND(F.lit(BITS - 1))
@@ -288,7 +301,7 @@ def phrase_counts(docs: DataFrame, *, least: int, text: str = "text", lang: str
     often = F.col("f") >= least
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     # Pairs that share a hash are counted together here, so none that is frequent is missed.
-    pairs = cut_lineage(_counts(dictionary, _pairs, _bitmap(words.where(often)), HASHED).where(often))
+    pairs = cut_lineage(_counts(dictionary, _pairs, _bitmap(_hashed(words.where(often))), HASHED).where(often))
     found = words.where(often).unionByName(cut_lineage(_counts(dictionary, _longer, _bitmap(pairs)).where(often)))
     return found.select("lang", "phrase", "words", "f"), totals
 
