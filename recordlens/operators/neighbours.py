@@ -32,6 +32,9 @@ _QUERY_ATTRIBUTES = {
     "campaigns": "boolean", "component": "string", "filed_from": "int", "filed_to": "int",
     "this_trim": "boolean", "trim_key": "string", "litres": "double", "cylinders": "int",
 }
+# Names of a query block's columns where they meet those of a record block.
+_ASKED = {"component": "q_component", "trim_key": "q_trim_key", "litres": "q_litres",
+          "cylinders": "q_cylinders", "vectors": "q_vectors"}
 
 
 def _days(name: str) -> Column:
@@ -91,22 +94,26 @@ def _packed(df: DataFrame, attributes: dict[str, str], key: str, block_bytes: in
     return df.sortWithinPartitions("vehicle_id", key).mapInPandas(pack, schema)
 
 
-def pack_records(chunks: DataFrame) -> DataFrame:
-    """Blocks of embedded chunks; no shuffle."""
-    rows = chunks.where(F.col("embedding").isNotNull()).select(
+def record_rows(chunks: DataFrame) -> DataFrame:
+    """Embedded chunks with the attributes that queries filter by."""
+    return chunks.where(F.col("embedding").isNotNull()).select(
         "vehicle_id", "chunk_id", "embedding",
         (F.col("kind") != "complaint").alias("campaign"),
         F.coalesce("component", F.lit("")).alias("component"),
         F.coalesce(_days("filed_on"), F.lit(NO_DATE)).alias("filed"),
         *[c.alias(n) for n, c in _fit_values().items()],
     )
-    return _packed(rows, _RECORD_ATTRIBUTES, "chunk_id", RECORD_BLOCK_BYTES)
 
 
-def pack_queries(queries: DataFrame) -> DataFrame:
-    """Blocks of query vectors with their filters; a blank component means any."""
+def pack_records(chunks: DataFrame) -> DataFrame:
+    """Blocks of embedded chunks; no shuffle."""
+    return _packed(record_rows(chunks), _RECORD_ATTRIBUTES, "chunk_id", RECORD_BLOCK_BYTES)
+
+
+def query_rows(queries: DataFrame) -> DataFrame:
+    """Queries that have a vector, with their filters; a blank component means any."""
     any_bound = F.when(F.col("filed_to").isNotNull(), F.lit(NO_DATE + 1)).otherwise(F.lit(NO_DATE))
-    rows = queries.where(F.col("embedding").isNotNull()).select(
+    return queries.where(F.col("embedding").isNotNull()).select(
         "vehicle_id", "query_id", "embedding",
         (F.col("scope") == "campaigns").alias("campaigns"),
         F.coalesce("component", F.lit("")).alias("component"),
@@ -115,7 +122,11 @@ def pack_queries(queries: DataFrame) -> DataFrame:
         (F.col("trims") == "thisTrim").alias("this_trim"),
         *[c.alias(n) for n, c in _fit_values("own_").items()],
     )
-    return _packed(rows, _QUERY_ATTRIBUTES, "query_id", QUERY_BLOCK_BYTES)
+
+
+def pack_queries(queries: DataFrame) -> DataFrame:
+    """Blocks of query vectors with their filters."""
+    return _packed(query_rows(queries), _QUERY_ATTRIBUTES, "query_id", QUERY_BLOCK_BYTES).withColumnsRenamed(_ASKED)
 
 
 def _unit_rows(block: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,9 +234,6 @@ def knn(
     vehicles in ``hot`` are spread over salts that the query blocks follow.
     """
     records, wanted = pack_records(chunks), pack_queries(queries)
-    renamed = {"component": "q_component", "trim_key": "q_trim_key", "litres": "q_litres",
-               "cylinders": "q_cylinders", "vectors": "q_vectors"}
-    wanted = wanted.withColumnsRenamed(renamed)
     if hot is None:
         pairs = records.join(F.broadcast(wanted), "vehicle_id")
     else:

@@ -8,6 +8,7 @@ from ..operators.blocks import block_ranking
 from ..operators.filters import count_other_trims, dense_ready, own_fit, reject_unknown_scope
 from ..functions.text import MAX_TERMS
 from ..operators.hits import describe_hits
+from ..operators.cells import cell_ranking
 from ..operators.neighbours import knn
 from ..operators.postings import match_terms, query_terms, sparse_scores, tokens_of
 from ..operators.ranking import (
@@ -66,7 +67,7 @@ def sparse_ranking(
 def fused_ranking(
     queries: DataFrame, corpus: DataFrame, small: bool, tokens: DataFrame | None = None,
     analyzer: str = "simple", k: int = CANDIDATE_WINDOW, chunks_per_salt: int = CHUNKS_PER_SALT,
-    max_terms: int | None = MAX_TERMS, blocks: DataFrame | None = None,
+    max_terms: int | None = MAX_TERMS, blocks: DataFrame | None = None, cells: DataFrame | None = None,
 ) -> DataFrame:
     """Each query's candidates with their ranks, ``fused_score`` and ``position``.
 
@@ -80,35 +81,38 @@ def fused_ranking(
         sparse = sparse_ranking(worded, tokens, hot, k, analyzer, max_terms=max_terms)
     else:
         sparse = block_ranking(worded, blocks, k, analyzer=analyzer, max_terms=max_terms)
-    dense = knn(queries.where(F.col("mode").isin(DENSE_MODES)), corpus, hot, k)
+    vectors = queries.where(F.col("mode").isin(DENSE_MODES))
+    dense = knn(vectors, corpus, hot, k) if cells is None else cell_ranking(vectors, cells, k)
     return fused_order(rrf((dense, "dense_rank"), (sparse, "sparse_rank")))
 
 
 def ranked_hits(
     queries: DataFrame, corpus: DataFrame, small: bool, tokens: DataFrame | None = None,
     analyzer: str = "simple", k: int = CANDIDATE_WINDOW, max_terms: int | None = MAX_TERMS, blocks: DataFrame | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Fused candidates cut to each query's limit."""
-    return limit_per_query(fused_ranking(queries, corpus, small, tokens, analyzer, k, max_terms=max_terms, blocks=blocks), queries)
+    return limit_per_query(fused_ranking(queries, corpus, small, tokens, analyzer, k, max_terms=max_terms, blocks=blocks, cells=cells), queries)
 
 
 def search(
     queries: DataFrame, vehicles: DataFrame, corpus: DataFrame, tokens: DataFrame | None = None,
     analyzer: str = "simple", small: bool | None = None, k: int = CANDIDATE_WINDOW,
-    max_terms: int | None = MAX_TERMS, blocks: DataFrame | None = None,
+    max_terms: int | None = MAX_TERMS, blocks: DataFrame | None = None, cells: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Hits of every valid query, and the rejects; each method offers ``k`` candidates.
 
     ``queries`` carry an ``embedding`` where their mode needs one; ``corpus`` is
     ``chunk_context`` with an ``embedding``; ``tokens`` are stored postings, cut
     from the corpus when not given; ``blocks`` are ``pack_blocks`` of the corpus, ranked
-    without exchanging matches.  A query asks its first ``max_terms`` distinct terms, or all with None.
+    without exchanging matches; ``cells`` are ``pack_cells`` of it, of which a query opens
+    what can hold a neighbour.  A query asks its first ``max_terms`` distinct terms, or all with None.
     """
     accepted, rejected = accept(queries, vehicles, corpus)
     # Asked by both methods and the final limit: checked and fitted once.
     accepted = spread(cut_lineage(accepted))
     small = is_small(accepted) if small is None else small
-    ranked = ranked_hits(accepted, corpus, small, tokens, analyzer, k, max_terms, blocks)
+    ranked = ranked_hits(accepted, corpus, small, tokens, analyzer, k, max_terms, blocks, cells)
     return describe_hits(ranked, corpus, small), rejected
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import snippet
 from ..operators import filters, postings, ranking
 from ..operators.blocks import block_ranking, pack_blocks
+from ..operators.cells import cell_ranking, pack_cells
 from ..operators.hits import campaign_matches, chunk_context
 from ..operators.neighbours import knn
 from ..operators.sizing import hot_vehicles, is_small
@@ -128,26 +129,49 @@ def sparse_score_single(spark, d):
     return ranking.explain_single(ranked, "sparse").withColumn("fused_score", F.round("fused_score", 9))
 
 
-@query("dense_topk", """
+_DENSE_TOPK = """
 SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank, distance FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS dense_rank FROM (
     SELECT item_id AS query_id, b.vec_id AS chunk_id,
       round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS distance
-    FROM benchmark JOIN embeddings a ON a.vec_id = item_id, embeddings b)) WHERE dense_rank <= 50""")
-def dense_topk(spark, d):
-    """Every benchmark vector against every stored vector, all in one scope."""
-    vectors = t.table(spark, d, "embeddings").select(
+    FROM benchmark JOIN embeddings a ON a.vec_id = item_id, embeddings b)) WHERE dense_rank <= 50"""
+
+
+def _open_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored vector under one vehicle, of no known date or version."""
+    return t.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), "embedding", F.lit(0).cast("long").alias("vehicle_id"),
         F.lit("complaint").alias("kind"), F.lit(None).cast("string").alias("component"),
         F.lit(None).cast("date").alias("filed_on"), F.lit(None).cast("string").alias("trim_key"),
         F.lit(None).cast("decimal(4,1)").alias("engine_litres"),
         F.lit(None).cast("int").alias("engine_cylinders"),
     )
+
+
+@query("dense_topk", _DENSE_TOPK)
+def dense_topk(spark, d):
+    """Every benchmark vector against every stored vector, all in one scope."""
+    vectors = _open_vectors(spark, d)
     q = _one_vehicle(t.queries(spark, d, mode="dense"))
     own = filters.own_fit(q, _only_vehicle(spark, d))
     return knn(own, vectors, plan.hot_or_none(vectors, is_small(q))).withColumn("distance", F.round("distance", 9))
 
 
+@query("dense_topk_cells", _DENSE_TOPK)
+def dense_topk_cells(spark, d):
+    """``dense_topk`` from stored cells."""
+    own = filters.own_fit(_one_vehicle(t.queries(spark, d, mode="dense")), _only_vehicle(spark, d))
+    return cell_ranking(own, cut_lineage(pack_cells(_open_vectors(spark, d)))).withColumn("distance", F.round("distance", 9))
+
+
+@query("dense_topk_cells_filtered", with_sql(t.queries_sql(filtered=True), DOCS, VEHICLES, PAIRS, DENSE, select="""
+SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank FROM dense"""))
+def dense_topk_cells_filtered(spark, d):
+    """Every filter of a query, on cells of its vehicle."""
+    q = _own(t.queries(spark, d, mode="dense", filtered=True), spark, d)
+    return cell_ranking(q, cut_lineage(pack_cells(t.corpus(spark, d)))).select("query_id", "chunk_id", "dense_rank")
+
+
 @query("dense_topk_by_label", """
 SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS dense_rank FROM (
