@@ -171,7 +171,8 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, shards: int |
 
     Null texts have no words and are never taken; a null source is a source of its
     own, the last; rows with the same id are documents each, their order is settled
-    by their size; columns named like an output are replaced.  Empty tables and
+    by a hash of id and text, so a hot id is spread as others are; rows with equal id and text are
+    taken alike but for which comes first; columns named like an output are replaced.  Empty tables and
     sources without words take nothing.  More than ``MOST_SOURCES`` sources raise an
     error: their plan is held by the driver.
     """
@@ -180,7 +181,7 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, shards: int |
     sized = docs.select(
         F.struct(*keep).alias("_row"), F.col(source).alias("_source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_order"), F.col(doc_id).alias("_id"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(text)).alias("_order"), F.col(doc_id).alias("_id"),
     )
     sizes = sized.groupBy("_source").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
