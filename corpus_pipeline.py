@@ -8,7 +8,10 @@
 
 A row is a document; only the mix repeats rows.  Missing ids and texts pass
 through: a missing text is not toxic, has no lines, no copies and no words, so the
-mix never takes it.
+mix never takes it.  Further columns pass through whatever their names: a stage's own
+columns never stand beside them.  Rows of one id and one set of shingles are copies; of these the
+one whose text hashes lowest stays, and of equal texts the one whose other columns, as
+text, come first, so reruns agree.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -21,20 +24,31 @@ from recordlens.llm.suite import vocabulary
 from recordlens.session import cut_lineage, steady_unions
 
 
+def framed(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns a stage reads, and all others but the text in one struct, where no made name can meet them."""
+    return docs.select(*read, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def unframed(df: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The columns of ``documents`` again, in their order, with the text as it is now and what the stage changed."""
+    return df.select(*[
+        changed[c].alias(c) if c in changed else F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores below the threshold; learned from ``labels`` as the single operator is."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, made="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.CUT).select(*docs.columns)
+    scored = toxicity.score(framed(docs, "text"), model, made="_toxicity")
+    return unframed(scored.where(F.col("_toxicity") < toxicity.CUT), docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; ``n_chars`` follows the text."""
     steady_unions(spark)
-    cut = line_windows.dedup_lines(docs)
+    cut = line_windows.dedup_lines(framed(docs, "doc_id", "text"))
     left = (F.col("n_removed") == 0) | F.regexp_like("text", F.lit(line_windows.HAS_WORD))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return unframed(cut.where(left), docs.columns, n_chars=n_chars)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,20 +56,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     steady_unions(spark)
     rows, classes = jaccard_join.similar(docs)
     heads = classes.where(F.col("key") == F.col("class_key")).select(F.col("copy_id").alias("_head_id"), F.col("key").alias("_head"))
-    with_key = jaccard_join.with_keys(docs, "_key")
+    with_key = jaccard_join.with_keys(framed(docs, "doc_id", "text"), "_key")
     # By id and key: a key alone may be that of a third of all documents.
     mine = (F.col("_key") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_head_id"))
     kept = with_key.join(heads.hint("merge"), mine, "left").where(F.col("_key").isNull() | F.col("_head").isNotNull())
     # Rows with one id and one set of shingles are copies of each other too.
-    first = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64("text")))
+    first = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64("text"), F.col("_row").cast("string")))
     worded = kept.where(F.col("_key").isNotNull()).withColumn("_first", first).where(F.col("_first") == 1)
-    return worded.select(*docs.columns).unionByName(kept.where(F.col("_key").isNull()).select(*docs.columns))
+    return unframed(worded, docs.columns).unionByName(unframed(kept.where(F.col("_key").isNull()), docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, a row for each time a document is taken, gathered by output shard and shuffled within it."""
-    taken = mixing.dealt_out(mixing.mix(docs, whole=True))
-    return taken.select(*docs.columns)
+    taken = mixing.dealt_out(mixing.mix(framed(docs, "doc_id", "source", "text"), whole=True))
+    return unframed(taken, docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

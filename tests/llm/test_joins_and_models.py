@@ -345,6 +345,46 @@ def test_pipeline_of_nothing(spark, corpus):
         assert docs.count() == 0
 
 
+MADE = ("n_lines n_removed _toxicity _key _head _head_id _first size source_size target spans span taken _row _id _hash _text _cut "
+        "_source _size _order key class_key score").split()
+
+
+def test_columns_of_any_name_pass_through(spark, corpus):
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plain, named = docs, docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in MADE})
+    named = named.withColumn("_map", F.create_map(F.lit("id"), F.col("doc_id")))
+    columns = named.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        named = corpus_pipeline.cut_lineage(stage(spark, named, folder))
+        plain = corpus_pipeline.cut_lineage(stage(spark, plain, folder))
+        assert named.columns == columns, name
+        assert sorted(map(str, named.select(*docs.columns).collect())) == sorted(map(str, plain.collect())), name
+        wrong = [F.col(n) != F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in MADE]
+        for condition in wrong:
+            assert named.where(condition).isEmpty(), (name, condition)
+
+
+def test_which_copy_stays_is_settled(spark, corpus):
+    """Rows of one id and one text differ in source and lang alone; any partitioning keeps the same one."""
+    rows = [(7, "the same seven words stand in all", lang, source, 33) for lang in ("en", "fr", None) for source in ("a", "b", None)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {tuple(corpus_pipeline.drop_near_copies(spark, docs.repartition(n, "lang", F.rand(n)), corpus[0]).first()) for n in (1, 3, 7)}
+    assert len(kept) == 1
+
+
+def test_mix_of_repeated_ids_agrees(spark):
+    """Documents of one id and one size have one share each, whatever the partitioning; null ids are spread."""
+    draw = random.Random(4)
+    rows = [(draw.choice([1, 2, None]), " ".join(f"w{draw.randrange(900)}" for _ in range(20)), draw.choice(["a", "b"])) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = []
+    for parts in (3, 7):
+        mixed = mixing.mix(docs.repartition(parts), whole=True)
+        runs.append(sorted((r["text"], r["source"], r["taken"], str(r["spans"])) for r in mixed.collect()))
+    assert runs[0] == runs[1]
+
+
 def test_run_applies_all_stages(spark, corpus):
     assert corpus_pipeline.run(spark, corpus[0]).columns[0] == "doc_id" and len(corpus_pipeline.STAGES) == 5
     assert line_windows.WINDOW == 3
