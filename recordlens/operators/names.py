@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_blank, trim_ws
 from .ranking import top_k
 
 SUGGESTION_LIMIT = 8
 SCOPE = ["make", "model_year"]
+# A word of at most this many names of a scope is rare: all its names are scored.
+RARE = 64
 
 
 def name_tokens(col: Column) -> Column:
@@ -38,6 +40,53 @@ def model_names(names: DataFrame) -> DataFrame:
     )
 
 
+def _length_of(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda total, word: total + F.length(word))
+
+
+def name_candidates(
+    wanted: DataFrame, names: DataFrame, scope: list[str], limit: int = SUGGESTION_LIMIT, rare: int = RARE
+) -> DataFrame:
+    """``<scope>, typed, name, score`` of the names that can be among the best ``limit``, scores exact for those.
+
+    Names that share a rare word are met through it and scored whole, which gives what the
+    last of the best has to reach.  A typed text looks through its frequent words from the rarest on only while
+    those still to come can add up to that.  Names with one set of frequent words score alike by them, so each
+    set is met once, for its first ``limit`` names in text order, and only the best ``limit`` sets count.
+    """
+    key = [*scope, "typed"]
+    held = names.select(*scope, "name", name_tokens(F.col("name")).alias("tokens")).withColumn("token", F.explode("tokens"))
+    counts = held.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("names"))
+    held = held.join(counts, [*scope, "token"])
+    words = wanted.select(*key, name_tokens(F.col("typed")).alias("words")).withColumn("token", F.explode("words")).join(
+        counts, [*scope, "token"])
+
+    by_rare = words.where(F.col("names") <= rare).drop("names").join(
+        held.where(F.col("names") <= rare).drop("names"), [*scope, "token"])
+    scored = by_rare.withColumn("score", _length_of(F.array_intersect("words", "tokens"))).groupBy(*key, "name").agg(
+        F.max("score").alias("score"))
+    last = top_k(scored, key, [F.desc("score"), F.asc("name")], limit, "place").where(F.col("place") == limit).select(
+        *key, F.col("score").alias("least"))
+
+    # From the most frequent word on: what this word and all more frequent ones can add up to.
+    upwards = Window.partitionBy(*key).orderBy(F.desc("names"), F.asc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    open_words = (
+        words.where(F.col("names") > rare).withColumn("reach", F.sum(F.length("token")).over(upwards))
+        .join(last, key, "left").withColumn("least", F.coalesce("least", F.lit(0))).where(F.col("reach") >= F.col("least"))
+    )
+    sets = held.where(F.col("names") > rare).groupBy(*scope, "name").agg(F.array_sort(F.collect_set("token")).alias("often"))
+    firsts = top_k(sets, [*scope, "often"], [F.asc("name")], limit, "place").groupBy(*scope, "often").agg(
+        F.array_sort(F.collect_list("name")).alias("first_names"))  # at most ``limit``
+    by_set = open_words.drop("names").join(firsts.withColumn("token", F.explode("often")), [*scope, "token"])
+    met = (
+        by_set.withColumn("score", _length_of(F.array_intersect("words", "often"))).where(F.col("score") >= F.col("least"))
+        .groupBy(*key, "often").agg(F.any_value("first_names").alias("first_names"), F.max("score").alias("score"))
+    )
+    best_sets = top_k(met, key, [F.desc("score"), F.element_at("first_names", 1).asc()], limit, "place")
+    frequent = best_sets.select(*key, F.explode("first_names").alias("name"), "score")
+    return scored.unionByName(frequent).groupBy(*key, "name").agg(F.max("score").alias("score"))
+
+
 def suggest_names(
     typed: DataFrame, candidates: DataFrame, scope: list[str], limit: int = SUGGESTION_LIMIT
 ) -> DataFrame:
@@ -45,8 +94,8 @@ def suggest_names(
 
     ``typed`` is ``<scope>, typed``; ``candidates`` is ``<scope>, name``.  A
     candidate scores the length of the typed words it holds.  When none scores,
-    the first names in text order stand in.  Names are matched by an equality on
-    words, so no name meets another it shares no word with.
+    the first names in text order stand in.  A word that all names of a scope share
+    does not bring all of them up: see ``name_candidates``.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
@@ -56,11 +105,7 @@ def suggest_names(
         .agg(F.min(trim_ws(F.col("name"))).alias("name")).drop("key")
     )
     wanted = typed.select(*scope, "typed").distinct()
-    words = wanted.select(*scope, "typed", F.explode(name_tokens(F.col("typed"))).alias("token"))
-    held = names.select(*scope, "name", F.explode(name_tokens(F.col("name"))).alias("token"))
-    scored = words.join(held, [*scope, "token"]).groupBy(*scope, "typed", "name").agg(
-        F.sum(F.length("token")).alias("score")
-    )
+    scored = name_candidates(wanted, names, scope, limit)
     best = top_k(
         scored, [*scope, "typed"], [F.desc("score"), F.asc("name")], limit, "rank"
     ).select(*scope, "typed", "rank", "name")
