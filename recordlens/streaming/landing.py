@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.vectors import EMBEDDING_DIMENSIONS
-from ..operators.catalog import load_state
+from ..operators.catalog import STATE_LEVEL, load_state
 from ..operators.planning import dedupe_first
 from ..plans.embed import MAX_BATCH, Provider, embed, pending_chunks, require_provider
 from ..schemas import EMBEDDINGS
@@ -114,6 +116,59 @@ def current_state(spark: SparkSession, table: str) -> DataFrame:
     ).select("job_id", "s.state", "s.at")
 
 
+def furthest_moves(events: DataFrame, keep: str, delay: str) -> DataFrame:
+    """The moves of each job in a stream of ``job_id, event_id, state, at``, from a state that ends.
+
+    A job whose events have been silent for ``keep`` of event time leaves the state.  Moves
+    back and repeats are refused while it is held; one that comes after it left may be a row again, and
+    ``reached_state`` refuses it there.  Events more than ``delay`` behind the newest, events without
+    a time and unknown states are dropped.
+    """
+    kept = pd.Timedelta(keep) // pd.Timedelta("1ms")
+    job = events.schema["job_id"].dataType.simpleString()
+
+    def move(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else None
+        best = held and (-held[0], *held[1:4])
+        newest = held[4] if held else 0
+        for frame in frames:
+            newest = max(newest, int(frame["us"].max()))
+            first = frame.sort_values(["down", "us", "event_id"]).iloc[0]
+            found = (int(first["down"]), int(first["us"]), int(first["event_id"]), first["state"])
+            best = found if best is None or found[:3] < best[:3] else best
+        state.update((-best[0], *best[1:], newest))
+        state.setTimeoutTimestamp(max(newest // 1000 + kept, state.getCurrentWatermarkMs() + 1))
+        if held is None or best[:3] != (-held[0], *held[1:3]):
+            yield pd.DataFrame({"job_id": [key[0]], "event_id": [best[2]], "state": [best[3]], "us": [best[1]]})
+
+    level = F.coalesce(*[F.when(F.col("state") == s, F.lit(-n)) for s, n in STATE_LEVEL.items()])
+    known = events.where(F.col("state").isin(list(STATE_LEVEL)) & F.col("at").isNotNull()).select(
+        "job_id", "event_id", "state", F.col("at").cast("timestamp").alias("at"), level.alias("down"))
+    moves = known.withWatermark("at", delay).withColumn("us", F.unix_micros("at")).groupBy("job_id").applyInPandasWithState(
+        move, f"job_id {job}, event_id long, state string, us long",
+        "level int, us long, event_id long, state string, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+    return moves.select("job_id", "event_id", "state", F.timestamp_micros("us").alias("at"))
+
+
+def stream_moves(events: DataFrame, table: str, checkpoint: str, keep: str = "7 days", delay: str = "1 day") -> StreamingQuery:
+    """Write the moves of each batch; the state holds the jobs that are not done with, not every job there ever was."""
+    def write(moved: DataFrame, batch_id: int) -> None:
+        moved.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    return (
+        furthest_moves(events, keep, delay).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def reached_state(spark: SparkSession, table: str) -> DataFrame:
+    """``job_id, state, at`` by the moves written so far; a row that would move a job back changes nothing."""
+    return load_state(spark.read.parquet(table))
+
+
 Stage = Callable[[DataFrame, int], None]
 LEDGER = "batch_id long, stage string, outcome string, problem string, tried long"
 DONE, FAILED = "done", "failed"

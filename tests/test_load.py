@@ -286,6 +286,35 @@ def test_states_never_go_back(spark, tmp_path):
     assert sorted(tuple(x) for x in got) == want
 
 
+def test_moves_from_a_state_that_ends(spark, tmp_path):
+    """Thirty days of jobs, a file a day; events repeat, come late or move back, and silent jobs leave the state."""
+    import random
+
+    r = random.Random(8)
+    states = ["queued", "running", "succeeded", "failed"]
+    days = [[(d * 10 + j, 100 * d + 10 * j + n, r.choice(states), datetime(2026, 1, 1 + d, 2 + 4 * n + j % 3)) for j in range(10) for n in range(4)]
+            for d in range(28)]
+    for d in range(1, 28):
+        late = [e for e in days[d - 1] if e[3].hour > 13]
+        back = [(j, i + 50_000, "queued", at.replace(day=1 + d, hour=1)) for j, i, _, at in r.sample(days[max(0, d - 9)], 3)]
+        days[d] += r.sample(late, 5) + back  # repeats of the day before, and moves back of jobs long gone
+    events = [e for day in days for e in day] + [(999, 1, "no such state", datetime(2026, 1, 20))]
+    schema = "job_id long, event_id long, state string, at timestamp"
+    for day in days:
+        spark.createDataFrame(day, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = landing.read_landing(spark, str(tmp_path / "in"), schema, 1)
+    run = landing.stream_moves(stream, str(tmp_path / "out"), str(tmp_path / "ck"), keep="3 days", delay="1 day")
+    run.awaitTermination()
+    want = catalog.load_state(spark.createDataFrame(events, schema))
+    assert rows(landing.reached_state(spark, str(tmp_path / "out")), "job_id", "state") == rows(want, "job_id", "state")
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert held[-1] <= 75 < want.count() == 280 and max(held) <= 90, held  # three days and the delay of 13 jobs a day
+    # Nothing new: a restart goes on from the checkpoint and changes nothing.
+    landing.stream_moves(landing.read_landing(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "out"), str(tmp_path / "ck"),
+                         keep="3 days", delay="1 day").awaitTermination()
+    assert rows(landing.reached_state(spark, str(tmp_path / "out")), "job_id", "state") == rows(want, "job_id", "state")
+
+
 def test_landing_keeps_each_key_once(spark, tmp_path):
     schema = "external_id string, seq long, body string"
     put = lambda *found: spark.createDataFrame([(f"e{i}", s, f"{i}/{s}") for i, s in found], schema).coalesce(1).write.mode(
