@@ -64,3 +64,9 @@ def kept_columns(df: DataFrame, made: list[str]) -> list[str]:
 
 def fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
     return [df.schema[name] for name in names]
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``_hash, _id, text`` of each sampled id that has a document; ``ids`` is ``_id, _hash``, bounded, and broadcast."""
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_read")).join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    return rows.groupBy("_hash", "_id").agg(F.min("_read").alias("text"))

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import rules
-from .common import fold, kept_columns, over_batches
+from .common import fold, kept_columns, one_text_each, over_batches
 from .hashing import word_hashes
 
 BUCKETS = 1 << 14
@@ -214,20 +214,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds:
           unlabelled: int = UNLABELLED, text: str = "text", doc_id: str = "doc_id") -> Model:
     """A classifier from at most ``positives`` labelled good texts outside the held-out fold and ``unlabelled`` others.
 
-    Both samples go by a hash of the id, so they are the same in every run.  If no
-    row is without a label, the mixture is a sample of all rows, their labels unread.
+    Both samples go by a hash of the id, and an id has one text, so they are the same in every run.
+    The mixture takes rows without a label first and is filled up from all others, their labels unread.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull())
     good = known.where((F.col("_label") == 1) & (fold(F.col("_id"), folds) != held)).select("_id")
-    ids = docs.select(F.col(doc_id).alias("_id")).where(F.col("_id").isNotNull())
+    ids = docs.select(F.col(doc_id).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    marked = ids.join(known.select("_id", F.lit(1).alias("_marked")).distinct(), "_id", "left")
 
-    def sample(of: DataFrame, most: int) -> list[str | None]:
-        chosen = of.distinct().select("_id", F.xxhash64(F.lit("quality"), "_id").alias("_hash")).orderBy("_hash", "_id").limit(most)
-        rows = docs.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_hash", text).limit(2 * most).collect()
-        return [r[1] for r in sorted(rows, key=lambda r: (r[0], r[1] or ""))]
+    def sample(of: DataFrame, most: int, *first: Column) -> list[str | None]:
+        numbered = of.distinct().withColumn("_hash", F.xxhash64(F.lit("quality"), "_id"))
+        chosen = numbered.orderBy(*first, "_hash", "_id").limit(most).select("_id", "_hash")
+        rows = one_text_each(docs, chosen, text, doc_id).collect()
+        return [r["text"] for r in sorted(rows, key=lambda r: (r["_hash"], r["_id"]))]
 
-    rest = sample(ids.join(known.select("_id"), "_id", "left_anti"), unlabelled) or sample(ids, unlabelled)
-    return train(sample(good, positives), rest)
+    return train(sample(good, positives), sample(marked, unlabelled, F.col("_marked").asc_nulls_first()))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", made: str = "score") -> DataFrame:

@@ -281,6 +281,24 @@ def test_classifier_edges(spark, edge, nothing, module):
     assert module.score(nothing, model).count() == 0
 
 
+def test_a_repeated_id_is_one_text_of_a_sample(spark, monkeypatch):
+    rows = [(1, f"copy {k} of one id") for k in range(80)] + [(k, f"text {k}") for k in range(2, 60)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 1), int(k % 2 == 1)) for k in range(1, 40)], "doc_id long, toxic int, quality int")
+    seen = []
+    monkeypatch.setattr(pu_quality, "train", lambda good, rest: seen.append((good, rest)))
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        texts, marks, _ = toxicity.labelled_sample(docs, labels, "toxic", folds=3, held=9, most=10)
+        assert len(texts) == 20 and marks.tolist() == [0] * 10 + [1] * 10 and len(set(texts)) == 20
+        pu_quality.learn(docs, labels, positives=15, unlabelled=30)
+        seen.append(texts)
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    good, rest = seen[0]
+    assert len(good) == 15 and len(set(rest)) == 30
+    # All twenty rows without a label are in the mixture, which is filled up from the others.
+    assert {f"text {k}" for k in range(40, 60)} <= set(rest)
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
