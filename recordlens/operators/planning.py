@@ -30,11 +30,21 @@ def dedupe_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     )
 
 
+def passages_of(kind: Column, body: Column) -> Column:
+    """The passages that a stored document of that kind is cut into."""
+    return F.when(kind == "investigation", numbered(passage_texts(body))).otherwise(whole_passage_array(body))
+
+
+def keyed_complaints(feed: DataFrame) -> DataFrame:
+    """Complaints with their trimmed id as ``external_id``, null where the id or the text is blank."""
+    return feed.withColumn("external_id", F.when(
+        ~is_blank(F.col("summary")) & ~is_blank(F.col("odi_number")), trim_ws(F.col("odi_number"))))
+
+
 def plan_complaints(feed: DataFrame) -> DataFrame:
     """Complaint documents, one per (vehicle, trimmed id), first in feed order."""
-    usable = feed.where(~is_blank(F.col("summary")) & ~is_blank(F.col("odi_number"))).select(
-        "vehicle_id", "feed_order", trim_ws(F.col("odi_number")).alias("external_id"),
-        "components", "filed_on", "summary", "raw",
+    usable = keyed_complaints(feed).where(F.col("external_id").isNotNull()).select(
+        "vehicle_id", "feed_order", "external_id", "components", "filed_on", "summary", "raw",
     )
     return dedupe_first(usable, ["vehicle_id", "external_id"], "feed_order").select(
         "vehicle_id",
@@ -57,15 +67,16 @@ def recall_body() -> Column:
     )
 
 
+def keyed_recalls(feed: DataFrame) -> DataFrame:
+    """Recalls with their ``body`` and trimmed campaign as ``external_id``, null where either is blank."""
+    return feed.withColumn("body", recall_body()).withColumn("external_id", F.when(
+        ~is_blank(F.col("campaign_number")) & ~is_blank(F.col("body")), trim_ws(F.col("campaign_number"))))
+
+
 def plan_recalls(feed: DataFrame) -> DataFrame:
     """Recall documents, one per (vehicle, trimmed campaign), first in feed order."""
-    usable = (
-        feed.withColumn("body", recall_body())
-        .where(~is_blank(F.col("campaign_number")) & ~is_blank(F.col("body")))
-        .select(
-            "vehicle_id", "feed_order", trim_ws(F.col("campaign_number")).alias("external_id"),
-            "campaign_number", "component", "received_on", "body", "raw",
-        )
+    usable = keyed_recalls(feed).where(F.col("external_id").isNotNull()).select(
+        "vehicle_id", "feed_order", "external_id", "campaign_number", "component", "received_on", "body", "raw",
     )
     return dedupe_first(usable, ["vehicle_id", "external_id"], "feed_order").select(
         "vehicle_id",
@@ -117,11 +128,15 @@ def collapse_investigations(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """Rows with their trimmed action number as ``external_id``, null where it or the summary is blank."""
+    return rows.withColumn("external_id", F.when(
+        ~is_blank(F.col("action_number")) & ~is_blank(F.col("summary")), trim_ws(F.col("action_number"))))
+
+
 def usable_rows(rows: DataFrame) -> DataFrame:
-    """Rows with an action number and a summary, the number trimmed as ``external_id``."""
-    return rows.where(~is_blank(F.col("action_number")) & ~is_blank(F.col("summary"))).withColumn(
-        "external_id", trim_ws(F.col("action_number"))
-    )
+    """Rows with an action number and a summary."""
+    return keyed_rows(rows).where(F.col("external_id").isNotNull())
 
 
 def plan_investigations(rows: DataFrame) -> DataFrame:

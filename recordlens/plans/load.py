@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import is_blank
 from ..operators.names import split_known
 from ..operators.planning import (
-    investigation_lines, investigation_links, match_family, plan_complaints, plan_investigations, plan_recalls,
+    investigation_lines, investigation_links, keyed_complaints, keyed_recalls, keyed_rows, match_family, passages_of,
+    plan_complaints, plan_investigations, plan_recalls,
 )
 from ..schemas import CHUNKS, DOCUMENTS, LINKS
 from ..session import cut_lineage, steady_unions
 from ..sources.tables import (
-    append_new, explode_passages, load_report, new_links, read_table, write_load,
+    DOCUMENT_KEY, commit_load, explode_passages, load_report, new_links, not_stored, read_table, require_own_ids, write_part,
 )
 
 DOCUMENT_COLUMNS = [
@@ -51,9 +52,9 @@ def plan_records(
 
 
 def fetched_rows(complaints: DataFrame, recalls: DataFrame, investigations: DataFrame) -> DataFrame:
-    """``vehicle_id, kind, is_empty`` of every row that came in."""
+    """``vehicle_id, kind, external_id, is_empty`` of every keyed row that came in; a row that is not stored has no id."""
     row = lambda df, kind, empty: df.select(
-        "vehicle_id", F.lit(kind).alias("kind"), empty.alias("is_empty")
+        "vehicle_id", F.lit(kind).alias("kind"), "external_id", empty.alias("is_empty")
     )
     return (
         row(complaints, "complaint", is_blank(F.col("summary")))
@@ -90,26 +91,36 @@ def load_records(
     # A small part of the file, read by five branches from here on.
     matched = cut_lineage(match_family(rows, known))
 
-    planned = cut_lineage(plan_records(complaints, recalls, matched))
     # A load that is run again must not see itself.
     stored = read_table(spark, root, "documents", DOCUMENTS, without=load_id)
-    new, _ = append_new(stored, planned)
-    new = cut_lineage(new)
+    keyed = {
+        "complaint": keyed_complaints(complaints), "recall": keyed_recalls(recalls), "investigation": keyed_rows(matched),
+    }
+    fresh = [unstored(feed, stored, kind) for kind, feed in keyed.items()]
+    # Bodies are written here, once; all that follows reads what was written.
+    new = write_part(plan_records(*fresh).select(*DOCUMENT_COLUMNS), root, "documents", load_id)
+    require_own_ids(new, stored, "document_id")
+    chunks = write_part(
+        explode_passages(new.withColumn("passages", passages_of(F.col("kind"), F.col("body")))), root, "chunks", load_id)
+    links = write_part(new_links(new, investigation_links(matched)), root, "links", load_id)
     lines = investigation_lines(matched).join(
         new.where(F.col("kind") == "investigation").select("document_id", "vehicle_id", "external_id"),
         ["vehicle_id", "external_id"],
     ).select("document_id", "feed_order", "raw_line")
-    links = cut_lineage(new_links(new, investigation_links(matched)))
-    write_load(
-        {
-            "documents": new.select(*DOCUMENT_COLUMNS),
-            "chunks": explode_passages(new),
-            "links": links,
-            "investigation_lines": lines,
-        },
-        root, load_id,
-    )
-    return load_report(fetched_rows(complaints, recalls, matched), planned, new, links)
+    write_part(lines, root, "investigation_lines", load_id)
+    commit_load(spark, root, load_id)
+
+    counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_passages"))
+    made = new.select("document_id", "vehicle_id", "kind").join(counts, "document_id", "left")
+    fetched = cut_lineage(fetched_rows(*keyed.values()))
+    planned = fetched.where(F.col("external_id").isNotNull()).select(*DOCUMENT_KEY).distinct()
+    return load_report(fetched, planned, made, links)
+
+
+def unstored(keyed: DataFrame, stored: DataFrame, kind: str) -> DataFrame:
+    """Feed rows of one kind that may be stored and are not; the text of a stored record goes no further."""
+    known = stored.where(F.col("kind") == kind)
+    return not_stored(keyed.where(F.col("external_id").isNotNull()), known, ["vehicle_id", "external_id"]).drop("external_id")
 
 
 def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:

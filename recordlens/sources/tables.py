@@ -23,6 +23,23 @@ def colliding_ids(df: DataFrame, id_column: str) -> DataFrame:
     return df.groupBy(id_column).count().where("count > 1")
 
 
+class IdsCollide(Exception):
+    """Two natural keys have one id, so neither may be stored under it."""
+
+
+def require_own_ids(new: DataFrame, stored: DataFrame, id_column: str) -> None:
+    """Refuse new rows that share an id with each other or with a stored row.
+
+    ``stored`` holds no key of ``new``, so an id on both sides is a collision; only new ids are shuffled.
+    """
+    ids = new.select(id_column)
+    shared = colliding_ids(ids, id_column).select(id_column).unionByName(
+        stored.select(id_column).join(ids, id_column, "left_semi"))
+    found = [r[0] for r in shared.limit(5).collect()]
+    if found:
+        raise IdsCollide(f"Ids of more than one record: {sorted(found)}")
+
+
 def not_stored(planned: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Planned rows whose key is not stored yet."""
     return planned.join(existing.select(*keys), keys, "left_anti")
@@ -79,8 +96,10 @@ def load_report(
     """Counts of one load per vehicle.
 
     ``fetched`` is ``vehicle_id, kind, is_empty``; ``planned`` and ``new`` are
-    plan rows with their passages; ``links`` are the link rows created.
+    plan rows, new ones with their ``passages`` or the number of them, ``n_passages``;
+    ``links`` are the link rows created.
     """
+    passages = F.col("n_passages") if "n_passages" in new.columns else F.size("passages")
     of = lambda kind: F.col("kind") == kind
     seen = fetched.groupBy("vehicle_id").agg(
         F.count_if(of("complaint")).alias("complaints_fetched"),
@@ -96,7 +115,7 @@ def load_report(
         F.count_if(of("complaint")).alias("complaints_new"),
         F.count_if(of("recall")).alias("recalls_new"),
         F.count_if(of("investigation")).alias("investigations_new"),
-        F.sum(F.size("passages")).alias("chunks_created"),
+        F.sum(passages).alias("chunks_created"),
     )
     linked = links.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("links_created"))
     joined = seen
@@ -122,13 +141,24 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def write_part(table: DataFrame, root: str, name: str, load_id: str) -> DataFrame:
+    """Write one table of a load, unseen until the load is committed, and read it back."""
+    path = f"{root}/{name}/load_id={load_id}"
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def commit_load(spark: SparkSession, root: str, load_id: str) -> None:
+    """Write the one row that makes a load visible."""
+    commit = spark.createDataFrame([(load_id,)], "load_id string")
+    commit.coalesce(1).write.mode("overwrite").json(f"{root}/_commits/load_id={load_id}")
+
+
 def write_load(tables: dict[str, DataFrame], root: str, load_id: str) -> None:
     """Write every table of a load, then the one row that makes it visible."""
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{root}/{name}/load_id={load_id}")
-    spark = next(iter(tables.values())).sparkSession
-    commit = spark.createDataFrame([(load_id,)], "load_id string")
-    commit.coalesce(1).write.mode("overwrite").json(f"{root}/_commits/load_id={load_id}")
+        write_part(table, root, name, load_id)
+    commit_load(next(iter(tables.values())).sparkSession, root, load_id)
 
 
 def read_table(

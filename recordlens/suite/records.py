@@ -809,7 +809,12 @@ def decode_records(spark, d):
     return fitted.select("document_id", "trim", "engine_litres", "engine_cylinders")
 
 
-@query("load_records", with_sql(DOCS, _FLAT, select="""
+_LOADED = DOCS + ", " + _FLAT + r""", paired AS (SELECT *, CAST(substr(subject, 4) AS BIGINT) AS vehicle_id FROM flat),
+summaries AS (SELECT vehicle_id, action_number, min_by(summary, feed_order) AS summary FROM paired WHERE summary <> ''
+  AND model_year = 2000 + vehicle_id GROUP BY ALL)"""
+
+
+@query("load_records", with_sql(_LOADED, select="""
 SELECT vehicle_id, count(*) FILTER (kind = 'complaint') AS complaints_fetched,
   count(*) FILTER (kind = 'complaint' AND trim(body) <> '') AS complaints_new,
   count(*) FILTER (kind = 'recall' AND trim(body) <> '') AS recalls_new,
@@ -844,22 +849,75 @@ def load_records_again(spark, d):
     )
 
 
-def _outcomes(docs: DataFrame) -> DataFrame:
-    """Every vehicle's feed was read."""
-    return docs.select(F.col("vehicle_id").cast("string").alias("path"), F.lit("rows").alias("outcome")).distinct()
+@query("load_stored_chunks", with_sql(_LOADED, select="""
+SELECT vehicle_id, kind, external_id, count(*) AS documents, sum(chars) AS body_chars, bool_and(whole) AS whole
+FROM (SELECT vehicle_id, kind, external_id, length(body) AS chars, TRUE AS whole FROM docs
+    WHERE kind <> 'investigation' AND trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> ''
+  UNION ALL SELECT vehicle_id, 'investigation', action_number, length(summary), TRUE FROM summaries
+    WHERE vehicle_id IN (SELECT vehicle_id FROM docs))
+GROUP BY ALL"""))
+def load_stored_chunks(spark, d):
+    """What a first load stored: each record's body, and whether its passages hold all of its characters but white space."""
+    root = scratch_folder(spark)
+    _load(spark, d, root, "first")
+    tables_ = load.stored_tables(spark, root)
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    texts = tables_["chunks"].groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("parts")
+    ).select("document_id", bare(F.array_join(F.transform("parts", lambda p: p["text"]), "")).alias("held"))
+    return tables_["documents"].join(texts, "document_id", "left").groupBy("vehicle_id", "kind", "external_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.length("body")).alias("body_chars"),
+        F.bool_and(bare(F.col("body")) == F.col("held")).alias("whole"),
+    )
 
 
-def _load(spark, d, root: str, load_id: str) -> DataFrame:
+@query("load_after_failed_feed", with_sql(DOCS, select="""
+SELECT vehicle_id, count(*) FILTER (kind = 'complaint') AS complaints_fetched,
+  count(*) FILTER (kind = 'complaint' AND trim(body) <> '') AS complaints_new, 0 AS complaints_unchanged,
+  'nothing was stored by the failed load' AS before
+FROM docs WHERE kind <> 'investigation' GROUP BY ALL"""))
+def load_after_failed_feed(spark, d):
+    """A load with one response that is no JSON is refused and stores nothing; with that response read again it loads all."""
+    root = scratch_folder(spark)
+    try:
+        _load(spark, d, root, "first", broken=True)
+        before = "the failed load went through"
+    except load.FeedFailed:
+        rows = load.stored_tables(spark, root)["documents"].count()
+        before = f"{rows} documents of the failed load" if rows else "nothing was stored by the failed load"
+    return _load(spark, d, root, "second").select(
+        "vehicle_id", "complaints_fetched", "complaints_new", "complaints_unchanged", F.lit(before).alias("before"))
+
+
+def _responses(docs: DataFrame, kind: str, element: Column, broken: bool) -> DataFrame:
+    """The landed responses of one kind, eight records each at most, with the vehicle that asked and the status."""
+    asked = docs.where(F.col("kind") == kind).withColumn("doc_id", F.col("document_id"))
+    key = F.concat_ws("/", F.lit(kind), "vehicle_id", F.floor(F.col("document_id") / 160).cast("string"))
+    landed = _envelopes(asked, element, key).select(
+        "path", F.split("path", "/")[1].cast("long").alias("vehicle_id"), F.lit(200).alias("status"), "body")
+    if not broken:
+        return landed
+    first = landed.agg(F.min("path").alias("path")).first()["path"]
+    hit = F.col("path") == F.lit(first)
+    return landed.withColumn("body", F.when(hit, F.lit("<html>busy</html>")).otherwise(F.col("body"))).withColumn(
+        "status", F.when(hit, F.lit(503)).otherwise(F.col("status")))
+
+
+def _load(spark, d, root: str, load_id: str, broken: bool = False) -> DataFrame:
     docs = t.documents(spark, d)
-    shared = ["vehicle_id", F.col("document_id").alias("feed_order")]
-    complaints = docs.where(F.col("kind") == "complaint").select(
-        *shared, F.col("external_id").alias("odi_number"), F.col("component").alias("components"),
-        F.col("body").alias("summary"), "filed_on", F.lit("{}").alias("raw"),
-    )
-    recalls = docs.where(F.col("kind") == "recall").select(
-        *shared, F.col("external_id").alias("campaign_number"), "component", F.col("body").alias("summary"),
-        F.lit("").alias("consequence"), F.lit("").alias("remedy"), F.col("filed_on").alias("received_on"),
-        F.lit("{}").alias("raw"),
-    )
+    filed = F.date_format("filed_on", "MM/dd/yyyy")
+    complaints = _responses(docs, "complaint", F.struct(
+        F.col("external_id").alias("odiNumber"), F.col("component").alias("components"), F.col("body").alias("summary"),
+        filed.alias("dateComplaintFiled"),
+    ), broken)
+    recalls = _responses(docs, "recall", F.struct(
+        F.col("external_id").alias("NHTSACampaignNumber"), F.col("component").alias("Component"), F.col("body").alias("Summary"),
+        filed.alias("ReportReceivedDate"),
+    ), broken)
+    # Landed once: the outcomes and the records are read from the same bodies.
+    landed = cut_lineage(complaints.unionByName(recalls))
+    outcomes = feeds.classify_envelopes(landed).select("path", "outcome")
+    of = lambda kind: landed.where(F.col("path").startswith(kind)).drop("status")
     rows = flatfile.parse_investigations(_flat_lines(spark, d))
-    return load.load_records(spark, root, load_id, t.vehicles(spark, d), complaints, recalls, rows, _outcomes(docs))
+    return load.load_records(spark, root, load_id, t.vehicles(spark, d), feeds.complaints_from(of("complaint")),
+                             feeds.recalls_from(of("recall")), rows, outcomes)

@@ -94,6 +94,29 @@ def test_a_failed_feed_stores_nothing(spark, tmp_path, feed):
     assert load.stored_tables(spark, root)["documents"].count() == 0
 
 
+def test_ids_that_collide_stop_the_load(spark):
+    schema = "document_id long, external_id string"
+    new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], schema)
+    tables.require_own_ids(new, spark.createDataFrame([(9, "z")], schema), "document_id")
+    with pytest.raises(tables.IdsCollide, match="2"):
+        tables.require_own_ids(new, spark.createDataFrame([(2, "z")], schema), "document_id")
+    with pytest.raises(tables.IdsCollide, match="3"):
+        tables.require_own_ids(new.union(spark.createDataFrame([(3, "d")], schema)), new.limit(0), "document_id")
+
+
+def test_a_load_writes_bodies_once(spark, tmp_path, feed, monkeypatch):
+    """Only the documents' own folder receives the complaint texts, and a repeated load writes none."""
+    vehicles = spark.createDataFrame([vehicle(1, MODEL, YEAR)], VEHICLES)
+    root, written = str(tmp_path / "store"), []
+    keep = load.cut_lineage
+    monkeypatch.setattr(load, "cut_lineage", lambda df: written.append(df.columns) or keep(df))
+    load.load_records(spark, root, "one", vehicles, *feed, outcomes=fine(spark))
+    # Beside the flat file's matched rows only keys are set down.
+    assert [c for c in written if "raw_line" not in c] == [["vehicle_id", "kind", "external_id", "is_empty"]]
+    load.load_records(spark, root, "two", vehicles, *feed, outcomes=fine(spark))
+    assert spark.read.parquet(f"{root}/documents/load_id=two").count() == 0
+
+
 def test_unlisted_models_are_left_out(spark, tmp_path, feed):
     vehicles = spark.createDataFrame([vehicle(1, MODEL, YEAR), vehicle(2, "ROAMER", YEAR)], VEHICLES)
     listed = spark.createDataFrame([(MAKE, YEAR, "rover"), (MAKE, YEAR, "OX")], "make string, model_year int, model string")
