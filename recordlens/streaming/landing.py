@@ -14,11 +14,8 @@ from ..operators.catalog import STATE_LEVEL, load_state
 from ..operators.planning import dedupe_first
 from ..plans.embed import MAX_BATCH, Provider, embed, pending_chunks, require_provider
 from ..schemas import EMBEDDINGS
-from ..sources.tables import not_stored, read_or_empty
-
-# Hash buckets of a streamed table: a batch reads those its keys fall into.
-BUCKETS = 64
-
+from ..sources.keys import KEYS_A_FILE, RUNS_A_LEVEL, StoredKeys
+from ..sources.tables import read_or_empty
 
 def read_landing(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet files that land in a folder, or that match a pattern."""
@@ -28,44 +25,44 @@ def read_landing(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return reader.parquet(path)
 
 
-def in_buckets(batch: DataFrame, keys: list[str], table: str, schema: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
-    """The batch with the hash bucket of its keys, and what other batches stored in the buckets it touches.
-
-    The table is partitioned by bucket, so files of other buckets are not opened.
-    """
-    dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-    touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # at most BUCKETS
-    stored = read_or_empty(batch.sparkSession, table, schema + ", batch_id long, bucket int").where(
-        F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id)
-    )
-    return dealt, stored
-
-
-def insert_if_absent(table: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+def insert_if_absent(
+    table: str, keys: list[str], order: str, width: int = RUNS_A_LEVEL, keys_a_file: int = KEYS_A_FILE,
+) -> Callable[[DataFrame, int], None]:
     """A batch writer that adds the rows whose key the table does not hold.
 
+    Keys are looked up in ``<table>.keys`` (``StoredKeys``); the table itself is not read.
     Each batch has its own folder and looks only at the others, so a batch that
     is run again after a failure writes the same rows over itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-        first, stored = in_buckets(
-            dedupe_first(batch, keys, order).select(*batch.columns), keys, table, schema, batch_id)
-        not_stored(first, stored, keys).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{table}/batch_id={batch_id}"
-        )
+        fields = {f.name: f.dataType.simpleString() for f in batch.schema}
+        spark = batch.sparkSession
+        held = StoredKeys(spark, f"{table}.keys", keys, ", ".join(f"`{k}` {fields[k]}" for k in keys), width, keys_a_file)
+        held.merge(before=batch_id)
+        fresh = without_stored(batch, held.stored(batch, without=batch_id), keys)
+        path = f"{table}/batch_id={batch_id}"
+        dedupe_first(fresh, keys, order).select(*batch.columns).write.mode("overwrite").parquet(path)
+        held.add(spark.read.schema(batch.schema).parquet(path), batch_id)
 
     return write
 
 
+def without_stored(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a batch whose key is not stored; null keys are keys too."""
+    on = F.lit(True)
+    for key in keys:
+        on = on & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    return batch.alias("a").join(stored.alias("b"), on, "left_anti")
+
+
 def stream_landing(
     spark: SparkSession, in_dir: str, schema: str, table: str, keys: list[str], order: str,
-    checkpoint: str, files_per_batch: int | None = None,
+    checkpoint: str, files_per_batch: int | None = None, width: int = RUNS_A_LEVEL, keys_a_file: int = KEYS_A_FILE,
 ) -> StreamingQuery:
     """Load what has landed, once per natural key, whenever it landed."""
     return (
         read_landing(spark, in_dir, schema, files_per_batch)
-        .writeStream.foreachBatch(insert_if_absent(table, keys, order))
+        .writeStream.foreachBatch(insert_if_absent(table, keys, order, width, keys_a_file))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
@@ -79,11 +76,14 @@ def stream_backfill(
     """Embed chunks as they land, in bounded batches that a restart goes on from."""
     require_provider(provider)
 
+    held = StoredKeys(spark, f"{table}.keys", ["chunk_id"], "chunk_id long")
+
     def write(landed: DataFrame, batch_id: int) -> None:
-        _, stored = in_buckets(landed.select("chunk_id"), ["chunk_id"], table, EMBEDDINGS, batch_id)
-        made = embed(pending_chunks(landed, stored), provider, dim, batch)
-        made.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")).write.mode(
-            "overwrite").partitionBy("bucket").parquet(f"{table}/batch_id={batch_id}")
+        held.merge(before=batch_id)
+        pending = pending_chunks(landed, held.stored(landed, without=batch_id))
+        path = f"{table}/batch_id={batch_id}"
+        embed(pending, provider, dim, batch).write.mode("overwrite").parquet(path)
+        held.add(spark.read.schema(EMBEDDINGS).parquet(path), batch_id)
 
     return (
         read_landing(spark, chunks_dir, schema, files_per_batch)
@@ -247,7 +247,7 @@ def stream_enriched(
 ) -> StreamingQuery:
     """``stream_landing`` with enrichments of each batch's new rows, and a ledger of how they went."""
     def reload(batch_id: int) -> DataFrame:
-        return read_or_empty(spark, table, schema + ", batch_id long, bucket int").where(F.col("batch_id") == batch_id).drop("batch_id", "bucket")
+        return read_or_empty(spark, table, schema + ", batch_id long").where(F.col("batch_id") == batch_id).drop("batch_id")
 
     def over_new_rows(stage: Stage) -> Stage:
         def run(_: DataFrame, batch_id: int) -> None:

@@ -323,6 +323,25 @@ def stream_landing(spark, d):
     return spark.read.parquet(f"{folder}/table").select("user_id", "event_type", "event_id")
 
 
+@query("stream_landing_merged", ORACLE["stream_landing"])
+def stream_landing_merged(spark, d):
+    """Events landing in slices, each with a part of the one before again, small enough files and levels that keys are merged."""
+    folder = scratch_folder(spark)
+    events = t.table(spark, d, "events")
+    slices = 6
+    marks = events.select(F.percentile_approx("event_id", [n / slices for n in range(1, slices)]).alias("m")).first()["m"] or []
+    place = sum((F.col("event_id") > m).cast("int") for m in marks) if marks else F.lit(0)
+    again = F.when(F.pmod("event_id", F.lit(5)) == 0, F.array(F.col("slice"), F.col("slice") + 1)).otherwise(F.array("slice"))
+    dealt = cut_lineage(events.withColumn("slice", place).withColumn("slice", F.explode(again)))
+    for n in range(len(marks) + 2):
+        dealt.where(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    landing.stream_landing(
+        spark, f"{folder}/in", _EVENTS, f"{folder}/table", ["user_id", "event_type"], "event_id", f"{folder}/checkpoint",
+        files_per_batch=1, width=3, keys_a_file=1000,
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("user_id", "event_type", "event_id")
+
+
 @query("stream_state", _STATES)
 def stream_state(spark, d):
     folder = scratch_folder(spark)
