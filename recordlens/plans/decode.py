@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.identity import fit, fit_is_known
 from ..operators.catalog import describable
 from ..schemas import FIT_COLUMNS, VIN_DECODES
 from ..session import cut_lineage
-from ..sources.tables import append_log, read_or_empty
+from ..sources.tables import read_or_empty
 
 # A picklable function from (descriptor, model year) pairs to (trim, litres,
 # cylinders) triples, in order; unknown parts are None.
@@ -69,20 +70,30 @@ def decode_worklist(worklist: DataFrame, decoder: Decoder, batch: int = 50) -> D
     return answered.select(*KEY, made.alias("f")).select(*KEY, "f.*")
 
 
+def read_decodes(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
+    """One answer for each descriptor and year, though runs that overlapped may both have asked; the first run's stands."""
+    answers = read_or_empty(spark, path, f"{VIN_DECODES}, run_id string")
+    if without is not None:
+        answers = answers.where(~F.col("run_id").eqNullSafe(F.lit(without)))
+    order = F.struct(F.coalesce("run_id", F.lit("")), *[F.col(c) for c in FIT_COLUMNS])
+    return answers.groupBy(*KEY).agg(F.min_by(F.struct(*FIT_COLUMNS), order).alias("first")).select(*KEY, "first.*")
+
+
 def decode_records(
-    documents: DataFrame, vehicles: DataFrame, path: str, decoder: Decoder
+    documents: DataFrame, vehicles: DataFrame, path: str, decoder: Decoder, run_id: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ask about every descriptor nobody has asked about yet, remember the answers, fit the records.
 
-    Answers are appended to the table at ``path``; asking once per descriptor and
-    year is what keeps the calls few.  Returns the documents with their fits and
-    the report.
+    Answers go to a folder of the run under ``path``; asking once per descriptor and
+    year is what keeps the calls few.  A run with the ``run_id`` of an earlier one writes
+    over it, and does not see it.  Returns the documents with their fits and the report.
     """
     spark = documents.sparkSession
     records = cut_lineage(described(documents, vehicles).select("document_id", *KEY))
-    known = read_or_empty(spark, path, VIN_DECODES)
-    append_log(cut_lineage(decode_worklist(descriptor_worklist(records, known), decoder)), path)
-    decodes = spark.read.schema(VIN_DECODES).parquet(path)
+    work = descriptor_worklist(records, read_decodes(spark, path, without=run_id))
+    # Not read from the folder that is being written: a run that is repeated replaces its own answers.
+    decode_worklist(work, decoder).write.mode("overwrite").parquet(f"{path}/run_id={run_id or uuid.uuid4().hex}")
+    decodes = read_decodes(spark, path)
     report = decode_report(records, vehicles.withColumn("was_decoded", F.lit(False)))
     return with_fit(documents, vehicles, decodes), report
 

@@ -192,6 +192,22 @@ def test_decoding_asks_once(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2, "empty answers are remembered too"
 
 
+def test_overlapping_decodes_are_one_answer(spark, tmp_path):
+    """Two runs that asked at the same time, and one that is run again, repeat no record and no answer."""
+    docs = spark.createDataFrame([(i, 1, "complaint", f'{{"vin": "{i % 2 + 1}FM5K8D80DGA"}}') for i in range(6)],
+                                 "document_id long, vehicle_id long, kind string, raw_payload string")
+    vehicles = spark.createDataFrame([vehicle(1, "EXPLORER", 2013)], VEHICLES)
+    path = str(tmp_path / "decodes")
+    decoder = lambda asked: [("Sport", 3.5, 6) for _ in asked]
+    decode.decode_records(docs, vehicles, path, decoder, "b")
+    spark.read.parquet(f"{path}/run_id=b").write.parquet(f"{path}/run_id=a")  # as if it had overlapped
+    assert spark.read.parquet(path).count() == 4 and decode.read_decodes(spark, path).count() == 2
+    fitted, _ = decode.decode_records(docs, vehicles, path, lambda asked: 1 / 0 if asked else [], "c")
+    assert rows(fitted, "document_id", "trim") == [(i, "Sport") for i in range(6)]
+    again, _ = decode.decode_records(docs, vehicles, path, decoder, "b")
+    assert again.count() == 6 and decode.read_decodes(spark, path).count() == 2
+
+
 def test_feed_rows_find_the_vehicle_that_asked(spark):
     vehicles = spark.createDataFrame([(1, "FORD", "F-150 SUPER CREW", "F-150", 2014), (2, "FORD", "EDGE", None, 2014)],
                                      "vehicle_id long, make string, model string, recall_model string, model_year int")
