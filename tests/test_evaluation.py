@@ -221,6 +221,18 @@ def test_long_cases_are_asked_unless_the_published_limit_holds(spark):
     assert all(r["not_asked"] == 0 for r in whole.values()) and whole["campaignsSparse"]["mrr"] > 0
 
 
+def test_lists_are_kept_to_what_is_relevant_before_they_meet_the_cases(spark):
+    l, d = frames(spark, SIMILAR, ONE_LINK)
+    corpus = chunk_context(d.select(F.col("document_id").alias("chunk_id"), "document_id", F.col("body").alias("text")), d)
+    vehicles = spark.createDataFrame([(1, None, None, None)], "vehicle_id long, trim_key string, engine_litres decimal(4,1), engine_cylinders int")
+    cases, relevant = ground_truth.build_ground_truth(l, d)
+    whole, _ = plan.case_rankings(cases, vehicles, corpus, None)
+    kept, _ = plan.case_rankings(cases, vehicles, corpus, None, relevant=relevant)
+    assert rows(kept) == rows(metrics.relevant_retrieved(whole, cases, relevant), *kept.columns) and whole.count() > kept.count() > 0
+    # A match of a word is no row.
+    assert "lexeme#" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_settings_reach_the_cases(spark):
     l, d = frames(spark, SIMILAR, ONE_LINK)
     assert ground_truth.build_ground_truth(l, d, per_link=2)[0].count() == 2

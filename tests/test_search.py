@@ -347,3 +347,12 @@ def test_a_search_may_ask_every_term(spark, corpus, vehicles):
     stored = cut_lineage(blocks.pack_blocks(corpus))
     assert names(run(spark, corpus, vehicles, ask(1, words, vehicle=2), max_terms=None)[0]) == ["n4"]
     assert names(run(spark, corpus, vehicles, ask(1, words, vehicle=2), max_terms=None, blocks=stored)[0]) == ["n4"]
+
+
+def test_rows_of_one_chunk_are_one_chunk_of_merged_blocks(spark):
+    corpus, queries, own = random_corpus(spark, 60, 3)
+    twice = corpus.unionByName(corpus.where("chunk_id % 3 = 0"))
+    asked = filters.own_fit(validation.validate_queries(queries.drop("embedding"))[0], own)
+    full = plan.sparse_ranking(asked, postings.tokens_of(twice), hot_vehicles(twice), 5)
+    stored = cut_lineage(blocks.pack_blocks(twice, chunks_a_block=8))
+    assert rows(blocks.block_ranking(asked, stored, 5, merged=True)) == rows(full)
