@@ -177,3 +177,15 @@ def test_rejected_envelopes(spark):
 def test_any_byte_may_be_in_a_line(spark, tmp_path):
     (tmp_path / "odd.txt").write_bytes(b"A1\tM\tX\t2012\tC\tF\t\t\t\tS\ttwo\x01three \xe9 \xff\n")
     assert flatfile.read_investigations(spark, str(tmp_path / "odd.txt")).first()["summary"] == "two\x01three \xe9 \xff"
+
+
+def test_elements_leave_the_worker_as_they_are_cut(spark):
+    """A response is no row of all its elements: what a batch of responses holds is never made at once."""
+    body = '{"results": [' + ", ".join(f'{{"odiNumber": {k}, "summary": "{"x" * 3000}"}}' for k in range(900)) + "]}"
+    landed = spark.createDataFrame([("a", body), ("b", '{"results": 3}'), ("c", None), ("d", '{"Results": [7]}')], "path string, body string")
+    found = feeds.record_fields(landed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Generate" not in plan
+    seqs = sorted((r["p"], r["s"]) for r in found.select(F.col("feed_order.path").alias("p"), F.col("feed_order.seq").alias("s")).collect())
+    assert seqs == [*(("a", k) for k in range(900)), ("d", 0)]
+    assert found.where("raw = '7'").first()["fields"] is None
