@@ -356,3 +356,36 @@ def test_rows_of_one_chunk_are_one_chunk_of_merged_blocks(spark):
     full = plan.sparse_ranking(asked, postings.tokens_of(twice), hot_vehicles(twice), 5)
     stored = cut_lineage(blocks.pack_blocks(twice, chunks_a_block=8))
     assert rows(blocks.block_ranking(asked, stored, 5, merged=True)) == rows(full)
+
+
+def test_query_blocks_follow_no_more_salts_than_cores_use(spark, monkeypatch):
+    corpus, queries, own = random_corpus(spark, 200, seed=3)
+    dense = plan.accept(queries, own, corpus)[0].where(F.col("mode") != "sparse")
+    seen, real = [], neighbours.replicated
+    monkeypatch.setattr(neighbours, "replicated", lambda df, hot: seen.append(hot.agg(F.max("salts")).first()[0]) or real(df, hot))
+    got = rows(neighbours.knn(dense, corpus, hot_vehicles(corpus, 1)))
+    cores = spark.sparkContext.defaultParallelism
+    assert hot_vehicles(corpus, 1).agg(F.max("salts")).first()[0] > 2 * cores >= seen[0]
+    assert got == rows(neighbours.knn(dense, corpus, None))
+
+
+def test_tasks_of_postings_follow_the_length_of_the_texts(spark, monkeypatch):
+    corpus, _, _ = random_corpus(spark, 200, 3)
+    whole = rows(postings.build_postings(corpus))
+    monkeypatch.setattr(postings, "CHARS_PER_TASK", 100)
+    many = postings.build_postings(corpus)
+    chars = corpus.agg(F.sum(F.length("text"))).first()[0]
+    assert many.rdd.getNumPartitions() == -(-chars // 100) > 4
+    assert rows(many) == whole
+
+
+def test_distinct_terms_are_counted_without_a_row_for_each(spark):
+    words = [f"word{k}" for k in range(150)]
+    plain = spark.createDataFrame([record(i, 1, f"n{i}", "A", None, " ".join(words[:i] * 2)) for i in (3, 63, 64, 150)], CORPUS)
+    one = spark.createDataFrame([(1, None, None, None)], VEHICLE)
+    asked = spark.createDataFrame([ask(1, " ".join(words), scope="all", trims="allTrims")], QUERY)
+    terms = postings.query_terms(filters.own_fit(asked, one), max_terms=None)
+    scores = postings.sparse_scores(postings.match_terms(terms, postings.tokens_of(plain), None), "distinct")
+    assert rows(scores) == [(1, 150, 150), (1, 3, 3), (1, 63, 63), (1, 64, 64)]
+    plan_ = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan_ and "Aggregate [query_id#" in plan_ and not any("lexeme#" in line for line in plan_.splitlines() if "Aggregate" in line)
