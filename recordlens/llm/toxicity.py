@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .common import fold, kept_columns, one_text_each, over_batches
 from .hashing import PREFIXES, hash_of, word_hashes
 
@@ -27,8 +28,14 @@ SIZES = (1, 2, 3)
 CUT = 0.7
 # Texts of the training sample that must share a bucket for it to have a vector.
 LEAST_TEXTS = 4
-# Labelled texts of each class that training and calibration use at most.
-SAMPLE = 3000
+# Labelled texts that one task trains on at a time; all labelled texts are dealt over tasks.
+TEXTS_A_TASK = 4000
+# Rounds over the texts of one task; texts of many tasks are so many more that fewer rounds do.
+ROUNDS, SHARED_ROUNDS, RATE, SEED = 12, 4, 0.1, 5
+# Numbers of an array that are averaged together.
+STEP = 1 << 15
+# Logits are counted in bins of this width where thresholds are sought.
+BIN = 0.001
 # Function words of four languages.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with as this by are on be at from",
@@ -118,32 +125,57 @@ def look_up(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(BUCKETS)).astype(np.int32), offsets
 
 
-def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 12, rate: float = 0.1, seed: int = 5) -> Model:
-    """Adagrad on batches of whole texts; only the place of each filter's largest answer has a gradient."""
-    model = Model.new(seed)
-    rng = np.random.default_rng(seed)
-    shared = np.zeros((2, BUCKETS))
+# A model's arrays, and beside each what Adagrad has seen of it.
+State = dict[str, np.ndarray]
+
+
+def counts_of(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
+    """How many texts of each class (clean, toxic) hold a bucket."""
+    shared = np.zeros((2, BUCKETS), np.int64)
     for text, label in zip(texts, labels.tolist(), strict=True):
         shared[int(label == 1), np.unique(look_up([text])[0])] += 1
+    return shared
+
+
+def first_state(shared: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[State, np.ndarray]:
+    """Where training begins, and which buckets have a vector; ``sizes`` are the texts of each class."""
+    model = Model.new(seed)
     common = shared.sum(0) >= LEAST_TEXTS  # what few texts hold would be learned by heart
     # A first guess for one filter: how surely a bucket's share of toxic texts differs from its share of clean ones.
-    share = (shared + 0.5) / (np.bincount(labels == 1, minlength=2)[:, None] + 1)
+    share = (shared + 0.5) / (sizes[:, None] + 1)
     model.vectors[:, 0] = np.clip((np.log(share[1]) - np.log(share[0])) / np.sqrt((1 / (shared + 0.5)).sum(0)) / 3, -4, 4)
     model.vectors[~common] = 0
     model.filters[0][0] = np.eye(1, WIDTH)
     model.out[0] = 1
-    seen = {name: np.full_like(value, 1e-3) for name, value in
-            [("vectors", model.vectors), ("bias", model.bias), ("out", model.out), *((f"f{k}", f) for k, f in enumerate(model.filters))]}
-    seen_out_bias = 1e-3
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels != 1).sum())) * len(labels)
+    state = {"vectors": model.vectors, "bias": model.bias, "out": model.out, "out_bias": np.zeros(1, np.float32),
+             **{f"f{k}": f for k, f in enumerate(model.filters)}}
+    return state | {f"seen {name}": np.full_like(value, 1e-3) for name, value in state.items()}, common
+
+
+def model_of(state: State) -> Model:
+    return Model(state["vectors"], [state[f"f{k}"] for k in range(len(SIZES))], state["bias"], state["out"], float(state["out_bias"][0]))
+
+
+def advance(state: State, common: np.ndarray, sizes: np.ndarray, texts: list[str | None], labels: np.ndarray, *, rounds: range,
+            rate: float, seed: int) -> State:
+    """Adagrad on batches of whole texts; only the place of each filter's largest answer has a gradient.
+
+    ``sizes`` are the texts of each class in the whole training set, of which these may be a part.
+    """
+    state = {name: value.copy() for name, value in state.items()}
+    model, rng = model_of(state), np.random.default_rng(seed)
+    names = ["out", "bias", *(f"f{k}" for k in range(len(SIZES)))]
+    weight = np.where(labels == 1, 0.5 / max(1, sizes[1]), 0.5 / max(1, sizes[0])) * sizes.sum()
     batch = 24
-    for _ in range(rounds):
+    for turn in range(rounds.stop):
         order = rng.permutation(len(texts))
+        if turn < rounds.start:
+            continue
         for first in range(0, len(order), batch):
             chosen = order[first:first + batch]
             places, offsets = look_up([texts[k] for k in chosen])
             pooled, answers, x = model.pool(places, offsets)
-            z = pooled @ model.out + model.out_bias
+            z = pooled @ model.out + state["out_bias"][0]
             slope = ((1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
             into = slope[:, None] * model.out * (pooled > 0)
             grads = {"out": pooled.T @ slope, "bias": into.sum(0)}
@@ -161,11 +193,10 @@ def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 12, rate
                         gradient[f, :wide] += amount * x[here]
                         touched[here] += amount * model.filters[s][f, :wide]
                 grads[f"f{s}"] = gradient
-            for name, value in [("out", model.out), ("bias", model.bias), *((f"f{k}", f) for k, f in enumerate(model.filters))]:
-                seen[name] += grads[name] ** 2
-                value -= rate * grads[name] / np.sqrt(seen[name])
-            seen_out_bias += float(slope.sum()) ** 2
-            model.out_bias -= rate * float(slope.sum()) / math.sqrt(seen_out_bias)
+            grads["out_bias"] = slope.sum(keepdims=True)
+            for name in (*names, "out_bias"):
+                state[f"seen {name}"] += grads[name] ** 2
+                state[name] -= rate * grads[name] / np.sqrt(state[f"seen {name}"])
             rows = np.flatnonzero(touched.any(1))
             where = places[rows].ravel()
             amounts = np.repeat(touched[rows], places.shape[1], axis=0)
@@ -173,37 +204,53 @@ def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = 12, rate
             buckets, which = np.unique(where, return_inverse=True)
             total = np.zeros((len(buckets), WIDTH), np.float32)
             np.add.at(total, which, amounts)
-            seen["vectors"][buckets] += total ** 2
-            model.vectors[buckets] -= rate * total / np.sqrt(seen["vectors"][buckets])
-    return model
+            state["seen vectors"][buckets] += total ** 2
+            state["vectors"][buckets] -= rate * total / np.sqrt(state["seen vectors"][buckets])
+    return state
 
 
-def threshold(z: np.ndarray, labels: np.ndarray, price: float = 3.0) -> float:
+def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED) -> Model:
+    """A model of texts in one place."""
+    sizes = np.bincount(labels == 1, minlength=2)
+    state, common = first_state(counts_of(texts, labels), sizes, seed)
+    return model_of(advance(state, common, sizes, texts, labels, rounds=range(rounds), rate=rate, seed=seed))
+
+
+def threshold(bins: np.ndarray, price: float = 3.0) -> float:
     """The cut with the least cost, a clean text above it being ``price`` times as bad as a toxic one below; of equal
-    cuts the one in the widest gap."""
-    order = np.argsort(z)
-    z, toxic = z[order], labels[order] == 1
-    n_toxic, n_clean = max(1, toxic.sum()), max(1, (~toxic).sum())
-    below = np.append(0, np.cumsum(toxic)) / n_toxic
-    above = price * (1 - np.append(0, np.cumsum(~toxic)) / n_clean)
-    edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    gap, cost = np.diff(edges), below + above
+    cuts the one in the widest gap.  ``bins``, in order: least and largest logit, toxic and clean texts."""
+    low, high, toxic, clean = bins.T
+    below = np.append(0, np.cumsum(toxic)) / max(1, toxic.sum())
+    above = price * (1 - np.append(0, np.cumsum(clean)) / max(1, clean.sum()))
+    left, right = np.append(low[0] - 1, high), np.append(low, high[-1] + 1)
+    gap, cost = right - left, below + above
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     k = best[gap[best].argmax()]
-    return float((edges[k] + edges[k + 1]) / 2)
+    return float((left[k] + right[k]) / 2)
+
 
+def calibrate(model: Model, texts: DataFrame, least: int = 15) -> None:
+    """Set the thresholds from all rows ``_label, text``; a language with fewer than ``least`` texts of a class has the common one."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
-def calibrate(model: Model, texts: list[str | None], labels: np.ndarray, least: int = 15) -> None:
-    """Set the thresholds; a language with fewer than ``least`` texts of a class has the common one."""
-    if not len(texts) or not (labels == 1).any() or not (labels != 1).any():
-        return
-    places, offsets = look_up(texts)
-    z, language = model.logits(places, offsets), model.language(places, offsets)
-    model.thresholds["all"] = threshold(z, labels)
-    for k, name in enumerate(LANGUAGES):
-        here = language == k
-        if min((labels[here] == 1).sum(), (labels[here] != 1).sum()) >= least:
-            model.thresholds[name] = threshold(z[here], labels[here])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places, offsets = look_up(batch.column(1).to_pylist())
+        z = shared.value.logits(places, offsets).astype(np.float64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shared.value.language(places, offsets), pa.int32()), batch.column(0).cast(pa.int32()), pa.array(z)], ["language", "label", "z"])
+
+    logits = over_batches(texts.select("_label", "text"), "language int, label int, z double", work, size=1 << 20)
+    rows = logits.groupBy("language", F.floor(F.greatest(F.least("z", F.lit(50.0)), F.lit(-50.0)) / BIN).alias("bin")).agg(
+        F.min("z"), F.max("z"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.sum(F.when(F.col("label") == 1, 0).otherwise(1))).collect()
+    found: dict = {}
+    for language, at, low, high, toxic, clean in rows:
+        for key in ("all", LANGUAGES[language]):
+            old = found.setdefault(key, {}).get(at, (low, high, 0, 0))
+            found[key][at] = (min(low, old[0]), max(high, old[1]), toxic + old[2], clean + old[3])
+    for name, of in found.items():
+        bins = np.array([of[at] for at in sorted(of)], float)
+        if bins[:, 2:].sum(0).min() >= (1 if name == "all" else least) and min(np.array([*found["all"].values()])[:, 2:].sum(0)) > 0:
+            model.thresholds[name] = threshold(bins)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held: int, most: int,
@@ -226,17 +273,84 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: in
     return texts, np.array(marks, np.int64), np.array(order, np.int64)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 3, held: int = 1, sample: int = SAMPLE,
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held: int, text: str, doc_id: str) -> DataFrame:
+    """``_hash, _id, _label, text``: every labelled id outside the held-out fold that has a document, with one text,
+    the least of those its rows hold."""
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(
+        F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & (fold(F.col("_id"), folds) != held)).distinct()
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_read")).join(known, F.col("_doc") == F.col("_id"))
+    return rows.groupBy(F.xxhash64("_id").alias("_hash"), "_id", "_label").agg(F.min("_read").alias("text"))
+
+
+def count_buckets(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``counts_of`` all rows, and the texts of each class."""
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks = batch.column(0).to_numpy()
+        shared = counts_of(batch.column(1).to_pylist(), marks)
+        kind, bucket = np.nonzero(shared)
+        sizes = np.bincount(marks == 1, minlength=2)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(kind, [0, 1]), pa.int32()), pa.array(np.append(bucket, [-1, -1]), pa.int32()),
+                                           pa.array(np.append(shared[kind, bucket], sizes), pa.int64())], ["kind", "bucket", "n"])
+
+    shared, sizes = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+    # At most two rows a bucket.
+    for kind, bucket, n in over_batches(texts.select("_label", "text"), "kind int, bucket int, n long", work).groupBy("kind", "bucket").agg(F.sum("n")).collect():
+        if bucket < 0:
+            sizes[kind] = n
+        else:
+            shared[kind, bucket] = n
+    return shared, sizes
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 3, held: int = 1,
           text: str = "text", doc_id: str = "doc_id") -> Model:
-    """A classifier from at most ``sample`` labelled texts of each class; a third of them calibrates the thresholds."""
-    texts, marks, order = labelled_sample(docs, labels, label, folds=folds, held=held, most=sample, text=text, doc_id=doc_id)
-    calibrating = np.abs(order) % 3 == 0
-    pick = lambda mask: ([texts[k] for k in np.flatnonzero(mask)], marks[mask])
-    model = train(*pick(~calibrating))
-    calibrate(model, *pick(calibrating))
+    """A classifier from all labelled texts; a third of them calibrates the thresholds.
+
+    The texts are dealt over tasks of about ``TEXTS_A_TASK``.  Of few texts one task makes the
+    model; of more each task goes on from a common state for a round, and an array's next value is its
+    old one and the average step of the tasks that moved it.
+    """
+    texts = cut_lineage(labelled_texts(docs, labels, label, folds=folds, held=held, text=text, doc_id=doc_id))
+    training = texts.where(F.col("_hash") % 3 != 0)
+    shared, sizes = count_buckets(training)
+    state, common = first_state(shared, sizes, SEED)
+    parts = max(1, -(-int(sizes.sum()) // TEXTS_A_TASK))
+    dealt = training.withColumn("_part", F.pmod(F.xxhash64("_hash", F.lit("part")), F.lit(parts)).cast("int"))
+    for rounds in [range(ROUNDS)] if parts == 1 else [range(k, k + 1) for k in range(SHARED_ROUNDS)]:
+        state = one_round(dealt, state, common, sizes, rounds)
+    model = model_of(state)
+    calibrate(model, texts.where(F.col("_hash") % 3 == 0))
     return model
 
 
+def one_round(dealt: DataFrame, state: State, common: np.ndarray, sizes: np.ndarray, rounds: range) -> State:
+    """The state after every part went on from it; what moves are steps of arrays, each of a bounded size."""
+    held = dealt.sparkSession.sparkContext.broadcast((state, common, sizes))
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_label", "ascending"), ("_hash", "ascending"), ("_id", "ascending")])
+        old, common, sizes = held.value
+        new = advance(old, common, sizes, rows.column("text").to_pylist(), rows.column("_label").to_numpy(), rounds=rounds, rate=RATE, seed=SEED)
+        cut = [(name, at, step[at:at + STEP].tobytes()) for name in new
+               for step in [(new[name].astype(np.float64) - old[name]).ravel()] for at in range(0, len(step), STEP)]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*cut, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["name", "at", "step"])
+
+    def average(key: tuple, steps: pa.Table) -> pa.Table:
+        total = moved = 0
+        # In a settled order: sums of floats depend on it.
+        for step in sorted(x.as_py() for x in steps.column("step")):
+            step = np.frombuffer(step)
+            total, moved = total + step, moved + (step != 0)
+        mean = (total / np.maximum(moved, 1)).tobytes()
+        return pa.table({"name": [key[0].as_py()], "at": pa.array([key[1].as_py()], pa.int32()), "step": pa.array([mean], pa.binary())})
+
+    shape = "name string, at int, step binary"
+    state = {name: value.astype(np.float64) for name, value in state.items()}
+    for name, at, step in dealt.groupBy("_part").applyInArrow(work, shape).groupBy("name", "at").applyInArrow(average, shape).collect():
+        state[name].reshape(-1)[at:at + STEP] += np.frombuffer(step)
+    return {name: value.astype(np.float32) for name, value in state.items()}
+
+
 def score(docs: DataFrame, model: Model, *, text: str = "text", made: str = "score") -> DataFrame:
     """Every row with the score (0 to 1) of its whole text.
 

@@ -235,6 +235,23 @@ def test_toxicity_finds_words_it_was_taught(spark):
     assert (toxicity.learn(docs, other).vectors == model.vectors).all()
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """Words that stand in few of many texts are learned too, and tasks that share the texts make one model."""
+    rows = [(k, t, y) for k, (t, y) in enumerate(labelled_texts(900, 14, insult))]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    outside = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k, _, _ in rows)
+    texts = toxicity.labelled_texts(docs, labels, "toxic", folds=3, held=1, text="text", doc_id="doc_id")
+    assert toxicity.count_buckets(texts)[1].sum() == outside
+    monkeypatch.setattr(toxicity, "TEXTS_A_TASK", 150)
+    seen, real = [], toxicity.one_round
+    monkeypatch.setattr(toxicity, "one_round", lambda dealt, *more: seen.append(dealt.select("_part").distinct().count()) or real(dealt, *more))
+    model = toxicity.learn(docs, labels)
+    assert seen == [seen[0]] * toxicity.SHARED_ROUNDS and seen[0] > 1
+    said = {r["doc_id"]: r["score"] >= toxicity.CUT for r in toxicity.score(docs, model).collect()}
+    assert np.mean([said[k] == bool(y) for k, _, y in rows if zlib.crc32(str(k).encode()) % 3 == 1]) > 0.9
+
+
 def test_score_of_long_texts_is_that_of_all_words():
     model = toxicity.Model.new(1)
     filler = "word " * 30000
