@@ -9,6 +9,7 @@ documents, or of the metadata alone, touches only their pages.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -17,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -45,8 +47,12 @@ FILE_OPTIONS = {
 # One mark after an ASCII letter or digit and before white space is a pre-token of its own, whatever surrounds it.
 MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?])(?=\s)")
 # Where no full stop or comma follows anything else, plain replacement cuts those two off.
-ODD_MARK = re.compile(rb"[^A-Za-z0-9\s][.,]")
+ODD_MARK = re.compile(rb"(?<=[^A-Za-z0-9\s])[.,]")
 PLAIN_MARKS = [(mark + space, b" " + mark + space) for mark in (b".", b",") for space in (b" ", b"\n")]
+# One word, or one and the marks after it, to a tokenizer that keeps letters together and marks too; nothing in it is composed.
+PLAIN_WORD = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-/:-@\\[-`{-~]+)?")
+# Such chunks that the tokenizer is given as one text.
+WORDS_A_TEXT = 64
 # Stands for the id after each document; holds a space, so no chunk is like it.
 END = b" end"
 
@@ -79,6 +85,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_str(definition)
         self.end = [END] if end is not None else []
+        # Ids with which a word ends, if the vocabulary tells them from others.
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        ends = [number for piece, number in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and piece.endswith(suffix)]
+        self.ends = np.zeros(max(ends, default=-1) + 1, bool)
+        self.ends[ends] = True
         self._keep(list(self.end), np.full(len(self.end), end or 0, np.int32), np.ones(len(self.end), np.int64))
 
     def _keep(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -87,15 +98,42 @@ class Encoder:
         self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
 
     def _learn(self, known: int) -> None:
-        new = self.numbers.chunks[known:]
-        ids, sizes = [self.ids], [self.sizes]
-        for first in range(0, len(new), CHUNKS_AT_ONCE):
-            chunks = new[first:first + CHUNKS_AT_ONCE]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        new = [c.decode() for c in self.numbers.chunks[known:]]
+        # Parts of a chunk, each ending as words do; 0 where that is not known.
+        parts = np.fromiter((0 if m is None else 1 + (m.lastindex or 0) for m in map(PLAIN_WORD.fullmatch, new)), np.int64, len(new))
+        parts *= len(self.ends) > 0
+        words, others = np.flatnonzero(parts), np.flatnonzero(parts == 0)
+        # Chunks in the order in which they are encoded, with their ids behind each other.
+        found = [self._words_of([new[k] for k in words.tolist()], parts[words]), self._ids_of([new[k] for k in others.tolist()])]
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = np.argsort(np.concatenate([words, others]), kind="stable")
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.append(self.starts, (len(self.ids) + np.cumsum(sizes) - sizes)[place])
+        self.sizes = np.append(self.sizes, sizes[place])
+
+    def _ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts behind each other, and each text's number of ids."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(texts), CHUNKS_AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[first:first + CHUNKS_AT_ONCE], add_special_tokens=False)]
             ids.append(np.fromiter(chain.from_iterable(found), np.int32))
             sizes.append(np.array([*map(len, found)], np.int64))
-        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _words_of(self, words: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_ids_of`` plain words, many in a text: the last id of each of their parts is one with which words end."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(words), CHUNKS_AT_ONCE):
+            here = words[first:first + CHUNKS_AT_ONCE]
+            found, _ = self._ids_of([" ".join(here[k:k + WORDS_A_TEXT]) for k in range(0, len(here), WORDS_A_TEXT)])
+            ends = np.flatnonzero((found < len(self.ends)) & self.ends[np.minimum(found, len(self.ends) - 1)])
+            last = np.cumsum(parts[first:first + CHUNKS_AT_ONCE])
+            if len(ends) == last[-1] and ends[-1] == len(found) - 1:
+                counts = np.diff(ends[last - 1], prepend=-1)
+            else:
+                found, counts = self._ids_of(here)
+            ids.append(found)
+            sizes.append(counts)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks behind each other, and each chunk's number of ids."""
@@ -103,6 +141,19 @@ class Encoder:
         before = np.cumsum(sizes) - sizes
         return self.ids[np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
+    def _number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all chunks, with that of ``END`` after each text, and where each text's begin; a chunk of these texts is looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        chunks = lists.flatten()
+        full = pc.binary_length(chunks).to_numpy() > 0
+        ends = np.append(0, np.cumsum(full))[lists.offsets.to_numpy()]
+        coded = chunks.filter(pa.array(full)).dictionary_encode()
+        met = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
+        numbers = met[coded.indices.to_numpy()]
+        if self.end:
+            numbers, ends = np.insert(numbers, ends[1:], self.numbers[END]), ends + np.arange(len(ends))
+        return numbers, ends
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more entry at the end)."""
         cut = []
@@ -115,10 +166,9 @@ class Encoder:
             else:
                 for mark, apart in PLAIN_MARKS:
                     data = data.replace(mark, apart)
-            cut.append(data.split() + self.end)
+            cut.append(data)
         known = len(self.numbers.chunks)
-        counts = np.cumsum([0, *map(len, cut)])
-        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts[-1]))
+        numbers, counts = self._number(cut)
         if len(self.numbers.chunks) > known:
             self._learn(known)
         ids, sizes = self._gather(numbers)

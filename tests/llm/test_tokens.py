@@ -122,3 +122,21 @@ def test_digest_of_query(spark, ranks, reference):
     docs = spark.createDataFrame([(1, "hello there")], "doc_id long, text string")
     row = bpe.encode(docs, ranks, public.PATTERN).select(F.sha2("ids", 256)).first()
     assert row[0] == hashlib.sha256(np.array(reference.encode_ordinary("hello there"), "<u4").tobytes()).hexdigest()
+
+
+def test_new_words_are_given_to_the_tokenizer_together():
+    words = [a + b + c for a in "bcdfghäé" for b in "aeiouö" for c in ("rt", "nge", "st,&&&", "lß.")]
+    text = "  ".join(words) + " 10-20 x's naïve,\tİ ﬁ"
+    encoder = token_files.Encoder(vocabulary("word_bpe_49k.json").decode(), 2)
+    real, given = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    ids, offsets = encoder.encode([text, None, text])
+    whole = [*real.encode(text, add_special_tokens=False).ids, 2]
+    assert ids.tolist() == [*whole, 2, *whole] and offsets.tolist() == [0, len(whole), len(whole) + 1, 2 * len(whole) + 1]
+    assert len(given) <= len(words) / 16
