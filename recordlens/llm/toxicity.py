@@ -11,13 +11,14 @@ language's threshold, put so that the threshold is ``CUT``.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import scratch_folder
 from .common import fold, kept_columns, one_text_each, over_batches
 from .hashing import PREFIXES, hash_of, word_hashes
 
@@ -30,6 +31,8 @@ CUT = 0.7
 LEAST_TEXTS = 4
 # Labelled texts that one task trains on at a time; all labelled texts are dealt over tasks.
 TEXTS_A_TASK = 4000
+# Buckets for each of them: two parts in one bucket are trained one after the other.
+BUCKETS_A_PART = 3
 # Rounds over the texts of one task; texts of many tasks are so many more that fewer rounds do.
 ROUNDS, SHARED_ROUNDS, RATE, SEED = 12, 4, 0.1, 5
 # Numbers of an array that are averaged together.
@@ -273,15 +276,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: in
     return texts, np.array(marks, np.int64), np.array(order, np.int64)
 
 
+def labelled_ids(labels: DataFrame, label: str, *, folds: int, held: int, doc_id: str) -> DataFrame:
+    """``_id, _label`` of every labelled id outside the held-out fold."""
+    return labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(
+        F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & (fold(F.col("_id"), folds) != held)).distinct()
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held: int, text: str, doc_id: str) -> DataFrame:
     """``_hash, _id, _label, text``: every labelled id outside the held-out fold that has a document, with one text,
     the least of those its rows hold."""
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(
-        F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & (fold(F.col("_id"), folds) != held)).distinct()
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_read")).join(known, F.col("_doc") == F.col("_id"))
+    known = labelled_ids(labels, label, folds=folds, held=held, doc_id=doc_id)
+    # A merge by id whatever the size: the texts of an id are then beside each other, and their least needs no shuffle of its own.
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_read")).join(known.hint("merge"), F.col("_doc") == F.col("_id"))
     return rows.groupBy(F.xxhash64("_id").alias("_hash"), "_id", "_label").agg(F.min("_read").alias("text"))
 
 
+def dealt_table(texts: DataFrame, parts: int) -> DataFrame:
+    """The texts as a table bucketed by ``_part``, so that each round finds the parts where they lie and shuffles no text."""
+    spark, name, buckets = texts.sparkSession, f"labelled_texts_{uuid.uuid4().hex}", BUCKETS_A_PART * parts
+    texts.repartition(buckets, "_part").write.bucketBy(buckets, "_part").sortBy("_part").option("path", scratch_folder(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def count_buckets(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """``counts_of`` all rows, and the texts of each class."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -306,20 +322,24 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
           text: str = "text", doc_id: str = "doc_id") -> Model:
     """A classifier from all labelled texts; a third of them calibrates the thresholds.
 
-    The texts are dealt over tasks of about ``TEXTS_A_TASK``.  Of few texts one task makes the
+    The texts are written once, dealt over tasks of about ``TEXTS_A_TASK``.  Of few texts one task makes the
     model; of more each task goes on from a common state for a round, and an array's next value is its
     old one and the average step of the tasks that moved it.
     """
-    texts = cut_lineage(labelled_texts(docs, labels, label, folds=folds, held=held, text=text, doc_id=doc_id))
-    training = texts.where(F.col("_hash") % 3 != 0)
-    shared, sizes = count_buckets(training)
+    options = {"folds": folds, "held": held, "doc_id": doc_id}
+    ids = labelled_ids(labels, label, **options).join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi")
+    parts = max(1, -(-ids.where(F.xxhash64("_id") % 3 != 0).count() // TEXTS_A_TASK))
+    place = F.pmod(F.xxhash64("_hash", F.lit("part")), F.lit(parts)).cast("int")
+    # Parts below 0 calibrate.
+    texts = dealt_table(labelled_texts(docs, labels, label, text=text, **options).withColumn(
+        "_part", F.when(F.col("_hash") % 3 != 0, place).otherwise(place - parts)), parts)
+    dealt = texts.where(F.col("_part") >= 0)
+    shared, sizes = count_buckets(dealt)
     state, common = first_state(shared, sizes, SEED)
-    parts = max(1, -(-int(sizes.sum()) // TEXTS_A_TASK))
-    dealt = training.withColumn("_part", F.pmod(F.xxhash64("_hash", F.lit("part")), F.lit(parts)).cast("int"))
     for rounds in [range(ROUNDS)] if parts == 1 else [range(k, k + 1) for k in range(SHARED_ROUNDS)]:
         state = one_round(dealt, state, common, sizes, rounds)
     model = model_of(state)
-    calibrate(model, texts.where(F.col("_hash") % 3 == 0))
+    calibrate(model, texts.where(F.col("_part") < 0))
     return model
 
 
