@@ -225,18 +225,18 @@ def _starts(sized: DataFrame, buckets: int) -> DataFrame:
     """``_start``: the words of the documents before it in its source, in the order of a hash.
 
     Summed in two steps, within buckets of the hash and over the buckets, so that a
-    source of any size is spread over many tasks.
+    source of any size is spread over many tasks.  Rows move once: the sums meet them where
+    they are, by a key that is never null (a struct of the source), so that it is one of both the window and the join.
     """
-    dealt = sized.withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = sized.withColumn("_bucket", F.pmod("_order", F.lit(buckets))).withColumn("_of", F.struct("_source"))
+    inside = Window.partitionBy("_of", "_bucket").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     within = dealt.withColumn("_local", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    over = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("_of").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        dealt.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
-        .select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
+        dealt.groupBy("_of", "_bucket").agg(F.sum("_size").alias("_sum"))
+        .select("_of", "_bucket", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
     )
-    return within.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn(
-        "_start", F.col("_before") + F.col("_local"))
+    return within.join(before, ["_of", "_bucket"]).withColumn("_start", F.col("_before") + F.col("_local"))
 
 
 def dealt_out(mixed: DataFrame, *, seed: int = 7, doc_id: str = "doc_id") -> DataFrame:

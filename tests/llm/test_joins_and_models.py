@@ -423,3 +423,30 @@ def test_mix_of_repeated_ids_agrees(spark):
 def test_run_applies_all_stages(spark, corpus):
     assert corpus_pipeline.run(spark, corpus[0]).columns[0] == "doc_id" and len(corpus_pipeline.STAGES) == 5
     assert line_windows.WINDOW == 3
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_training_shuffle_no_text(spark, monkeypatch):
+    rows = [(k, t, y) for k, (t, y) in enumerate(labelled_texts(600, 15, insult))]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TEXTS_A_TASK", 100)
+    seen, real = [], toxicity.one_round
+    monkeypatch.setattr(toxicity, "one_round", lambda dealt, *more: seen.append(plan_of(dealt.groupBy("_part").agg(F.max("text")))) or real(dealt, *more))
+    toxicity.learn(docs, labels)
+    assert len(seen) == toxicity.SHARED_ROUNDS and not any("Exchange" in plan for plan in seen)
+
+
+def test_starts_meet_the_documents_without_a_second_shuffle_of_them(spark, edge):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mix(edge.select("doc_id", "source", "text"), whole=True)
+        plan = plan_of(mixed)
+        taken = sorted((r["source"] or "", r["source_size"], r["taken"] > 0) for r in mixed.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The documents by source and bucket, and three short lists: their sums, the sums in order, and the sums to the documents.
+    assert plan.count("Exchange hashpartitioning") <= 4 and len(taken) == edge.count()
