@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -135,9 +136,11 @@ def furthest_moves(events: DataFrame, keep: str, delay: str) -> DataFrame:
         best = held and (-held[0], *held[1:4])
         newest = held[4] if held else 0
         for frame in frames:
-            newest = max(newest, int(frame["us"].max()))
-            first = frame.sort_values(["down", "us", "event_id"]).iloc[0]
-            found = (int(first["down"]), int(first["us"]), int(first["event_id"]), first["state"])
+            # Plain arrays: there is a small frame for each job, and sorting one as a frame costs more than all else.
+            down, us, ids = (frame[name].to_numpy() for name in ("down", "us", "event_id"))
+            newest = max(newest, int(us.max()))
+            first = np.lexsort((ids, us, down))[0] if len(us) > 1 else 0
+            found = (int(down[first]), int(us[first]), int(ids[first]), frame["state"].iat[first])
             best = found if best is None or found[:3] < best[:3] else best
         state.update((-best[0], *best[1:], newest))
         state.setTimeoutTimestamp(max(newest // 1000 + kept, state.getCurrentWatermarkMs() + 1))
