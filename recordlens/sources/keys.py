@@ -1,8 +1,8 @@
 """Which natural keys a growing table holds, without reading the table.
 
 Beside the table lies a folder of *runs*: the keys of a batch, sorted by their hash in
-files of a bounded number of keys, and bitmaps that say which hashes a run may hold.  A
-lookup reads the bitmaps of its own hashes' blocks and then opens only the files in which
+files of a bounded number of keys, and bitmaps that say which hashes a run may hold, in files
+of ``KEYS_A_FILE`` keys however few the others hold.  A lookup reads the bitmaps of its own hashes' blocks and then opens only the files in which
 a bitmap found something.  Runs of one level are merged when there are ``width`` of them,
 so there are fewer than ``width`` runs a level, and a key is written again once a level.
 
@@ -13,10 +13,11 @@ levels whose batches it covers, so a merge that fails half way changes nothing.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
 from .tables import read_or_empty
 
 KEYS_A_FILE = 1 << 20
@@ -25,7 +26,7 @@ KEYS_A_BLOCK = 1 << 10
 RUNS_A_LEVEL = 8
 # File numbers named in a plan; a lookup that needs more reads all files of its runs.
 MOST_NAMED = 10_000
-_MADE = "name string, level int, first long, last long, keys long, block_bits int, file_bits int"
+_MADE = "name string, level int, first long, last long, keys long, block_bits int, file_bits int, part_bits int"
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class Run:
     keys: int
     block_bits: int
     file_bits: int
+    part_bits: int  # of the files of bitmaps
 
 
 def _top(digest: Column, bits: int) -> Column:
@@ -60,8 +62,9 @@ class StoredKeys:
 
     def runs(self, without: int | None = None) -> list[Run]:
         """The runs that count, a few for each level; ``without`` leaves out a batch's own."""
-        made = {Run(**r.asDict()) for r in read_or_empty(
-            self.spark, f"{self.path}/_made", _MADE).drop("of").collect()}
+        # Earlier runs have a file of bitmaps for each file of keys.
+        made = {Run(**r.asDict()) for r in read_or_empty(self.spark, f"{self.path}/_made", _MADE).drop("of").withColumn(
+            "part_bits", F.coalesce("part_bits", "file_bits")).collect()}
         live = [r for r in made if not any(
             o.level > r.level and o.first <= r.first and r.last <= o.last for o in made)]
         return sorted((r for r in live if without is None or r.first != without or r.last != without), key=lambda r: r.first)
@@ -73,15 +76,17 @@ class StoredKeys:
         hashed = asked.select(*self.keys).distinct().withColumn("digest", F.xxhash64(*self.keys))
         if not runs:
             return hashed.limit(0).select(*self.keys)
+        hashed = cut_lineage(hashed)  # a batch is read once, not for each use of its keys
         places = F.array(*[F.struct(F.lit(r.name).alias("run"), _top(F.col("digest"), r.block_bits).alias("block"),
+                                    _top(F.col("digest"), r.part_bits).cast("int").alias("part"),
                                     _top(F.col("digest"), r.file_bits).cast("int").alias("file")) for r in runs])
         probes = hashed.select(*self.keys, "digest", F.explode(places).alias("p")).select(*self.keys, "digest", "p.*")
-        _, touched = self._named(probes)
-        bitmaps = self._read("bits", runs, "block long, low binary, high binary").where(touched)
-        met = probes.join(bitmaps, ["run", "file", "block"]).where(
+        _, touched = self._named(probes.select("run", F.col("part").alias("file")))
+        bitmaps = self._read("bits", runs, "block long, low binary, high binary").where(touched).withColumnRenamed("file", "part")
+        met = cut_lineage(probes.join(bitmaps, ["run", "part", "block"]).where(
             _bit_is_set(F.col("low"), F.col("digest").bitwiseAND(32767))
             & _bit_is_set(F.col("high"), F.shiftright("digest", 15).bitwiseAND(32767))
-        ).select("run", "file", "digest", *self.keys)
+        ).select("run", "file", "digest", *self.keys))
         count, wanted = self._named(met)
         if not count:
             return hashed.limit(0).select(*self.keys)
@@ -95,7 +100,8 @@ class StoredKeys:
 
     def add(self, new: DataFrame, batch_id: int) -> None:
         """Enter the keys of a batch; entered again they replace themselves."""
-        self._write(new.select(*self.keys).withColumn("digest", F.xxhash64(*self.keys)), f"b{batch_id}", 0, batch_id, batch_id)
+        rows = new.select(*self.keys).withColumn("digest", F.xxhash64(*self.keys))
+        self._write(rows, rows.count(), f"b{batch_id}", 0, batch_id, batch_id)
 
     def merge(self, before: int) -> None:
         """Merge the levels that are full, looking only at batches before ``before``."""
@@ -108,7 +114,7 @@ class StoredKeys:
             if len(full) >= self.width:
                 first, last = full[0].first, full[-1].last
                 rows = self._read("keys", full, f"{self.schema}, digest long").select(*self.keys, "digest")
-                self._write(rows, f"m{level + 1}-{first}-{last}", level + 1, first, last)
+                self._write(rows, sum(r.keys for r in full), f"m{level + 1}-{first}-{last}", level + 1, first, last)
             level += 1
 
     def _named(self, probes: DataFrame) -> tuple[int, Column]:
@@ -125,21 +131,22 @@ class StoredKeys:
         return len(named), wanted
 
     def _read(self, part: str, runs: list[Run], schema: str) -> DataFrame:
-        held = read_or_empty(self.spark, f"{self.path}/{part}", f"{schema}, run string, file int")
-        return held.where(F.col("run").isin([r.name for r in runs]))
-
-    def _write(self, rows: DataFrame, name: str, level: int, first: int, last: int) -> None:
-        count = rows.count()
+        """What these runs hold; the folders of others are not even listed."""
+        schema = f"{schema}, run string, file int"
+        held = [f"{self.path}/{part}/run={r.name}" for r in runs if r.keys]
+        if not held:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(*held)
+
+    def _write(self, rows: DataFrame, count: int, name: str, level: int, first: int, last: int) -> None:
         bits = lambda size: max(0, math.ceil(math.log2(max(1, count / size))))
-        run = Run(name, level, first, last, count, bits(KEYS_A_BLOCK), bits(self.keys_a_file))
+        run = Run(name, level, first, last, count, bits(KEYS_A_BLOCK), bits(self.keys_a_file), bits(KEYS_A_FILE))
         placed = rows.withColumn("file", _top(F.col("digest"), run.file_bits).cast("int"))
         placed.repartition("file").sortWithinPartitions("file", "digest").write.mode("overwrite").partitionBy("file").parquet(
             f"{self.path}/keys/run={name}")
-        written = read_or_empty(self.spark, f"{self.path}/keys/run={name}", f"{self.schema}, digest long, file int")
-        bitmaps = written.groupBy("file", _top(F.col("digest"), run.block_bits).alias("block")).agg(
+        bitmaps = rows.groupBy(_top(F.col("digest"), run.part_bits).cast("int").alias("file"), _top(F.col("digest"), run.block_bits).alias("block")).agg(
             F.bitmap_construct_agg(F.col("digest").bitwiseAND(32767)).alias("low"),
             F.bitmap_construct_agg(F.shiftright("digest", 15).bitwiseAND(32767)).alias("high"))
         bitmaps.repartition("file").sortWithinPartitions("file", "block").write.mode("overwrite").partitionBy("file").parquet(
             f"{self.path}/bits/run={name}")
-        self.spark.createDataFrame([(name, level, first, last, count, run.block_bits, run.file_bits)], _MADE).coalesce(
-            1).write.mode("overwrite").parquet(f"{self.path}/_made/of={name}")
+        self.spark.createDataFrame([astuple(run)], _MADE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_made/of={name}")
