@@ -29,10 +29,12 @@ UNSAFE = re.compile(f"[{SPACE}] (?![^{SPACE}])")
 # The cut for such texts: other characters with one space before them, or white space up to that space.
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 # Bytes of text that a worker takes apart at once.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 # Runs, and pre-tokens, whose ids a worker remembers, and the longest of them; longer pre-tokens have a queue of their own.
 REMEMBERED = 250_000
 LONGEST_REMEMBERED = 48
+# Bytes of new pre-tokens whose pairs are looked up at once.
+PLACES_AT_ONCE = 1 << 16
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -121,7 +123,7 @@ class Pairs:
 
     def rank(self, left, right):
         """-1 where the join has no rank."""
-        key = left * (self.none + 1) + right
+        key = np.asarray(left, np.int64) * (self.none + 1) + right
         place = np.searchsorted(self.keys, key)
         return np.where(self.keys[place] == key, self.ranks[place], -1)
 
@@ -136,13 +138,16 @@ def merge_all(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> list[byt
     sizes = np.array([len(piece) for piece in pieces], np.int64)
     n = int(sizes.sum())
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    piece = np.repeat(np.arange(len(pieces)), sizes)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     # Place n stands for no token, before the first and after the last of a pre-token.
-    token = np.append(single[np.frombuffer(b"".join(pieces), np.uint8)], pairs.none)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    token = np.append(single[np.frombuffer(b"".join(pieces), np.uint8)], pairs.none).astype(np.int32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[starts[1:] - 1] = before[starts[:-1]] = after[n] = n
     alive = np.ones(n, bool)
-    rank = np.append(pairs.rank(token[:n], token[after[:n]]), -1)  # of the pair that begins here
+    rank = np.full(n + 1, -1, np.int32)  # of the pair that begins here
+    for first in range(0, n, PLACES_AT_ONCE):
+        here = slice(first, min(n, first + PLACES_AT_ONCE))
+        rank[here] = pairs.rank(token[here], token[after[here]])
     buckets: dict[int, list[np.ndarray]] = {}
     words: dict[int, int] = {}
     top, inside = 0, (1 << WORD_BITS) - 1
@@ -164,7 +169,7 @@ def merge_all(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> list[byt
                 new |= 1 << (r >> WORD_BITS)
         return new
 
-    top = file(rank[:n], np.arange(n))
+    top = file(rank[:n], np.arange(n, dtype=np.int32))
     while top:
         high = (top & -top).bit_length() - 1
         word = words[high]
@@ -181,7 +186,7 @@ def merge_all(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> list[byt
         owner = piece[at]
         leftmost = np.append(True, owner[1:] != owner[:-1])
         if not leftmost.all():
-            top |= file(np.full(len(at) - int(leftmost.sum()), now), at[~leftmost])
+            top |= file(np.full(len(at) - int(leftmost.sum()), now, np.int32), at[~leftmost])
             at = at[leftmost]
         middle = after[at]
         last = after[middle]
@@ -294,6 +299,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", d
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _codec(shared, pattern)
+        pa.default_memory_pool().release_unused()  # what earlier slices, or other stages of this worker, have left
         ids = codec.encode(batch.column(len(keep)).to_pylist())
         out = [*batch.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
         if decoded:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -140,3 +141,14 @@ def test_new_words_are_given_to_the_tokenizer_together():
     whole = [*real.encode(text, add_special_tokens=False).ids, 2]
     assert ids.tolist() == [*whole, 2, *whole] and offsets.tolist() == [0, len(whole), len(whole) + 1, 2 * len(whole) + 1]
     assert len(given) <= len(words) / 16
+
+
+def test_the_shared_queue_holds_little(ranks):
+    """Every byte of a slice's new pre-tokens has a place in the queue, so what a place takes is a worker's memory."""
+    codec, draw = bpe.Codec(bpe.read_ranks(ranks), public.PATTERN), random.Random(5)
+    pieces = [bytes(draw.choices(b"etaoinshrdlu", k=draw.randint(5, 14))) for _ in range(20_000)]
+    tracemalloc.start()
+    bpe.merge_all(pieces, codec.pairs, codec.single)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * sum(map(len, pieces))
