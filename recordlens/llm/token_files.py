@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -45,12 +45,13 @@ FILE_OPTIONS = {
 
 
 # One mark after an ASCII letter or digit and before white space is a pre-token of its own, whatever surrounds it.
-MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?])(?=\s)")
-# Where no full stop or comma follows anything else, plain replacement cuts those two off.
-ODD_MARK = re.compile(rb"(?<=[^A-Za-z0-9\s])[.,]")
-PLAIN_MARKS = [(mark + space, b" " + mark + space) for mark in (b".", b",") for space in (b" ", b"\n")]
-# One word, or one and the marks after it, to a tokenizer that keeps letters together and marks too; nothing in it is composed.
-PLAIN_WORD = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-/:-@\\[-`{-~]+)?")
+KINDS = np.zeros(256, np.uint8)
+LETTER, MARK, SPACE = 1, 2, 4
+for kind, held in ((LETTER, string.ascii_letters + string.digits), (MARK, ".,;:!?"), (SPACE, " \t\n\r\f\v")):
+    KINDS[np.frombuffer(held.encode(), np.uint8)] = kind
+# One word, and one with marks after it, to a tokenizer that keeps letters together and marks too; nothing in it is composed.
+PLAIN_WORD = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+MARKED_WORD = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[!-/:-@\\[-`{-~]+$"
 # Such chunks that the tokenizer is given as one text.
 WORDS_A_TEXT = 64
 # Stands for the id after each document; holds a space, so no chunk is like it.
@@ -98,13 +99,14 @@ class Encoder:
         self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
 
     def _learn(self, known: int) -> None:
-        new = [c.decode() for c in self.numbers.chunks[known:]]
+        new = self.numbers.chunks[known:]
         # Parts of a chunk, each ending as words do; 0 where that is not known.
-        parts = np.fromiter((0 if m is None else 1 + (m.lastindex or 0) for m in map(PLAIN_WORD.fullmatch, new)), np.int64, len(new))
-        parts *= len(self.ends) > 0
+        texts = pa.array(new, pa.binary()).cast(pa.string())
+        plain, marked = (pc.match_substring_regex(texts, kind).to_numpy(zero_copy_only=False) for kind in (PLAIN_WORD, MARKED_WORD))
+        parts = (plain + 2 * marked.astype(np.int64)) * (len(self.ends) > 0)
         words, others = np.flatnonzero(parts), np.flatnonzero(parts == 0)
         # Chunks in the order in which they are encoded, with their ids behind each other.
-        found = [self._words_of([new[k] for k in words.tolist()], parts[words]), self._ids_of([new[k] for k in others.tolist()])]
+        found = [self._words_of([new[k] for k in words.tolist()], parts[words]), self._ids_of([new[k].decode() for k in others.tolist()])]
         ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         place = np.argsort(np.concatenate([words, others]), kind="stable")
         self.ids, self.starts = np.concatenate([self.ids, ids]), np.append(self.starts, (len(self.ids) + np.cumsum(sizes) - sizes)[place])
@@ -119,18 +121,18 @@ class Encoder:
             sizes.append(np.array([*map(len, found)], np.int64))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _words_of(self, words: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words_of(self, words: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``_ids_of`` plain words, many in a text: the last id of each of their parts is one with which words end."""
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for first in range(0, len(words), CHUNKS_AT_ONCE):
             here = words[first:first + CHUNKS_AT_ONCE]
-            found, _ = self._ids_of([" ".join(here[k:k + WORDS_A_TEXT]) for k in range(0, len(here), WORDS_A_TEXT)])
+            found, _ = self._ids_of([b" ".join(here[k:k + WORDS_A_TEXT]).decode() for k in range(0, len(here), WORDS_A_TEXT)])
             ends = np.flatnonzero((found < len(self.ends)) & self.ends[np.minimum(found, len(self.ends) - 1)])
             last = np.cumsum(parts[first:first + CHUNKS_AT_ONCE])
             if len(ends) == last[-1] and ends[-1] == len(found) - 1:
                 counts = np.diff(ends[last - 1], prepend=-1)
             else:
-                found, counts = self._ids_of(here)
+                found, counts = self._ids_of([word.decode() for word in here])
             ids.append(found)
             sizes.append(counts)
         return np.concatenate(ids), np.concatenate(sizes)
@@ -141,32 +143,28 @@ class Encoder:
         before = np.cumsum(sizes) - sizes
         return self.ids[np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
-    def _number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _number(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all chunks, with that of ``END`` after each text, and where each text's begin; a chunk of these texts is looked up once."""
-        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
-        chunks = lists.flatten()
-        full = pc.binary_length(chunks).to_numpy() > 0
-        ends = np.append(0, np.cumsum(full))[lists.offsets.to_numpy()]
-        coded = chunks.filter(pa.array(full)).dictionary_encode()
-        met = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
-        numbers = met[coded.indices.to_numpy()]
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        codes = coded.indices.to_numpy()
+        ends = lists.offsets.to_numpy()
+        if b"" in distinct:  # beside white space at the ends of a text
+            empty = distinct.index(b"")
+            full = codes != empty
+            ends, codes = np.append(0, np.cumsum(full))[ends], codes[full]
+            codes = codes - (codes > empty)
+            del distinct[empty]
+        met = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        numbers = met[codes]
         if self.end:
             numbers, ends = np.insert(numbers, ends[1:], self.numbers[END]), ends + np.arange(len(ends))
         return numbers, ends
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more entry at the end)."""
-        cut = []
-        for text in texts:
-            data = (text or "").encode()
-            if b"<|" not in data:
-                data = data.lower()
-            if ODD_MARK.search(data):
-                data = MARK.sub(rb" \1", data)
-            else:
-                for mark, apart in PLAIN_MARKS:
-                    data = data.replace(mark, apart)
-            cut.append(data)
+        cut = marks_apart(lower_case(pa.array(texts, pa.string()).fill_null("")))
         known = len(self.numbers.chunks)
         numbers, counts = self._number(cut)
         if len(self.numbers.chunks) > known:
@@ -180,6 +178,29 @@ class Encoder:
         return ids, np.append(0, np.cumsum(sizes))[counts]
 
 
+def lower_case(texts: pa.StringArray) -> pa.StringArray:
+    """A-Z in lower case, but for texts that may name special tokens."""
+    lower, named = pc.ascii_lower(texts), pc.match_substring(texts, "<|")
+    return pc.if_else(named, texts, lower) if named.true_count else lower
+
+
+def marks_apart(texts: pa.StringArray) -> pa.StringArray:
+    """The texts with a space before each mark that is a pre-token of its own, all texts at once."""
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    kinds = KINDS[data]
+    at = np.flatnonzero(kinds[1:-1] == MARK) + 1
+    at = at[(kinds[at - 1] == LETTER) & (kinds[at + 1] == SPACE)]
+    text = np.searchsorted(offsets, at, "right")  # the text after the one that holds it
+    at = at[(at > offsets[text - 1]) & (at + 1 < offsets[text])]
+    moved = (offsets + np.searchsorted(at, offsets)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(np.insert(data, at, ord(" "))))
+
+
 _encoders: dict[int, Encoder] = {}
 
 
@@ -208,7 +229,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int | None
         for batch in batches:
             for first, rows in slices(batch, BYTES_AT_ONCE):
                 piece = batch.slice(first, rows)
-                ids, offsets = _encoders[key].encode(piece.column(2).to_pylist())
+                ids, offsets = _encoders[key].encode(piece.column(2))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(np.diff(offsets)), pa.array(np.full(rows, part), pa.int32()), pa.array(at + offsets[:-1]),
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))],

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -152,3 +154,20 @@ def test_the_shared_queue_holds_little(ranks):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 60 * sum(map(len, pieces))
+
+
+def test_marks_of_a_whole_slice_are_cut_at_once():
+    mark = re.compile(r"(?<=[A-Za-z0-9])([.,;:!?])(?=[ \t-\r])")
+    odd = ["", None, "a", ".", "a.", " b", ". c", "a. b", "1; 2: x!\ty?\nz", "a.. b", "\u00e9. b", "a.\x1c", "\u65e5\u672c. a, b"]
+    every = [*texts(500, 7), *odd, *reversed(odd)]
+    for column in (pa.array(every, pa.string()), pa.array(every, pa.string()).slice(3, 509), pa.array([], pa.string()), pa.array([""])):
+        cut = token_files.marks_apart(column.fill_null("")).to_pylist()
+        assert cut == [mark.sub(r" \1", text or "") for text in column.to_pylist()]
+    assert token_files.lower_case(pa.array(["A<|B", "AB\u00c9"])).to_pylist() == ["A<|B", "ab\u00c9"]
+
+
+def test_a_column_is_encoded_as_a_list_is():
+    every = [*texts(200, 8), None, "", " \t"]
+    one, other = (token_files.Encoder(vocabulary("word_bpe_49k.json").decode(), 2) for _ in range(2))
+    for found, wanted in zip(one.encode(pa.array(every, pa.string())), other.encode(every), strict=True):
+        assert found.tolist() == wanted.tolist()
