@@ -4,7 +4,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from frames import rows
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from recordlens.operators import catalog, ground_truth, metrics
 from recordlens.operators.hits import chunk_context
@@ -12,6 +12,7 @@ from recordlens.operators.ranking import top_k
 from recordlens.plans import evaluate as plan
 from recordlens.plans.embed import hash_embedded
 from recordlens.schemas import FIT
+from recordlens.session import cut_lineage
 
 DOCUMENT = ("document_id long, vehicle_id long, kind string, external_id string, component string, filed_on date, "
             f"title string, body string, {FIT}")
@@ -112,6 +113,38 @@ def test_first_of_a_window_without_its_matches(spark, monkeypatch):
     assert rows(ground_truth.first_in_window(links, complaints, 7)) == rows(picked)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_whole_windows_are_counted_and_scored_without_a_row_a_case(spark, seed):
+    """Repeated links and complaints too: as often as rows of cases would be."""
+    documents, links = drawn_records(seed)
+    documents += [d for d in documents if d[2] == "complaint"][:20]
+    links += links[:4]
+    l, d = frames(spark, documents, links)
+    cases, relevant = ground_truth.build_ground_truth(l, d, per_link=None)
+    asked, windows, dated, found = ground_truth.asked_in_windows(l, d)
+    assert rows(found) == rows(relevant)
+    assert rows(asked, "vehicle_id", "document_id", "cases") == rows(cases.groupBy("vehicle_id", "document_id").agg(F.count(F.lit(1)).alias("cases")))
+    # Lists of documents drawn at random, of which some are relevant.
+    queries = asked.select(F.col("document_id").alias("query_id"), F.lit("all").alias("scope"), "vehicle_id", "document_id")
+    ids = relevant.select("document_id").distinct()
+    ranked = cut_lineage(queries.select("query_id").crossJoin(ids).where("abs(hash(query_id, document_id)) % 3 = 0").select(
+        "query_id", F.lit("sparse").alias("mode"), "document_id",
+        F.row_number().over(Window.partitionBy("query_id").orderBy(F.hash("document_id", "query_id"), "document_id")).alias("rank")).where("rank <= 10"))
+    of_cases = cases.select("case_row", "link_id", F.col("document_id").alias("query_id"))
+    lists = ranked.join(relevant, "document_id").join(of_cases, ["link_id", "query_id"]).select(F.lit("all").alias("scope"), "mode", "case_row", "document_id", "rank")
+    numbers = [F.round(c, 9).alias(c) for c in ("recall_at_5", "recall_at_10", "reciprocal_rank")]
+    wanted = rows(metrics.per_case(lists, cases, relevant, ["scope", "mode"]), *numbers)
+    got = plan.window_scores(ranked, queries, windows, dated, relevant)
+    assert len(wanted) > 20 and rows(got, *numbers) == wanted
+    assert got.select("link_id", "asked").distinct().count() == got.count()
+
+
+def test_a_whole_evaluation_makes_no_row_a_case(spark, monkeypatch):
+    monkeypatch.setattr(plan, "build_ground_truth", None)
+    monkeypatch.setattr(plan, "case_rankings", None)
+    assert all(r["scored"] == 6 for r in grid(spark).collect())
+
+
 def test_ties_of_a_day_go_by_id(spark):
     complaints = spark.createDataFrame([(1, "P", k, "same", date(2001, 2, 3)) for k in range(9)],
                                        "vehicle_id long, component string, document_id long, external_id string, filed_on date")

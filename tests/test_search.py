@@ -7,6 +7,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
+from recordlens.functions import text, wordlists
 from recordlens.operators import blocks, filters, neighbours, postings, ranking, validation
 from recordlens.operators.sizing import hot_vehicles, is_small
 from recordlens.plans import search as plan
@@ -389,3 +390,49 @@ def test_distinct_terms_are_counted_without_a_row_for_each(spark):
     assert rows(scores) == [(1, 150, 150), (1, 3, 3), (1, 63, 63), (1, 64, 64)]
     plan_ = scores._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or" in plan_ and "Aggregate [query_id#" in plan_ and not any("lexeme#" in line for line in plan_.splitlines() if "Aggregate" in line)
+
+
+def test_a_block_of_short_texts_stays_shut_whatever_its_words(spark):
+    """Each block holds every word; only long texts hold them all."""
+    words = [f"word{k}" for k in range(40)]
+    plain = spark.createDataFrame([record(i, 1, f"n{i}", "A", None, " ".join(words if i >= 590 else (words * 2)[i % 40:i % 40 + 2]))
+                                   for i in range(600)], CORPUS)
+    one = spark.createDataFrame([(1, None, None, None)], VEHICLE)
+    asked = filters.own_fit(validation.validate_queries(spark.createDataFrame([ask(1, " ".join(words))], QUERY), None)[0], one)
+    stored = cut_lineage(blocks.pack_blocks(plain, chunks_a_block=60))
+    found = cut_lineage(blocks.block_scores(asked, stored, 3, max_terms=None))
+    assert rows(blocks.rank_sparse(found, 3)) == rows(plan.sparse_ranking(asked, postings.tokens_of(plain), None, 3, max_terms=None))
+    share = blocks.opened_share(found).first()
+    assert share["opened"] <= 2 < 10 <= share["held"]
+
+
+def test_blocks_of_one_pool_stay_shut_for_the_other(spark):
+    corpus = spark.createDataFrame([record(i, 1, f"n{i}", "A", None, "lamp " * (1 + i % 7), kind="complaint" if i % 4 else "recall") for i in range(200)], CORPUS)
+    one = spark.createDataFrame([(1, None, None, None)], VEHICLE)
+    asked = filters.own_fit(validation.validate_queries(spark.createDataFrame([ask(1, "lamp", scope="campaigns")], QUERY))[0], one)
+    stored = cut_lineage(blocks.pack_blocks(corpus, chunks_a_block=5))
+    found = cut_lineage(blocks.block_scores(asked, stored, 200))
+    assert found.count() == 50 and blocks.opened_share(found).first()["opened"] <= 12
+
+
+def test_long_texts_are_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CHARS_A_BLOCK", 1000)
+    corpus = spark.createDataFrame([record(i, 1, f"n{i}", "A", None, "lamp " * (100 if i < 20 else 1)) for i in range(60)], CORPUS)
+    held = blocks.pack_blocks(corpus).select(F.explode("records.chunk_id").alias("chunk_id"), "block").collect()
+    assert sorted(r["chunk_id"] for r in held) == list(range(60))
+    assert len({r["block"] for r in held if r["chunk_id"] < 20}) >= 5
+
+
+def test_words_cut_in_python_are_those_cut_by_spark(spark):
+    draw = random.Random(4)
+    plain = [chr(c) for part in wordlists._PLAIN for c in part if c]
+    texts = [None, "", " \t", "It's İstanbul ABC The the été ß ÀÉ x", "Σίσυφος word", "日本"] + [
+        "".join(draw.choice(plain) if draw.random() < 0.3 else draw.choice("abc DEF gh12 \t\n-\x85") for _ in range(draw.randrange(200))) for _ in range(300)]
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", text.lexemes(F.col("t")).alias("all"), text.query_lexeme_array(F.col("t"), None).alias("asked"),
+        F.transform(text.query_term_array(F.col("t"), None), lambda w: w["lexeme"]).alias("terms"), wordlists.is_plain(F.col("t")).alias("plain")).collect()
+    assert sum(bool(r["plain"]) for r in told) == len(texts) - 3
+    for r in told:
+        assert r["asked"] == r["terms"]
+        if r["plain"]:
+            assert (wordlists.plain_lexemes(r["t"]), wordlists.plain_query_lexemes(r["t"])) == (r["all"], r["asked"])
